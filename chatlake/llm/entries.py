@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import classlm, fingerprints, langid, mixing, pieces, quality, tokenfiles, urlrules, warc
+from . import classlm, fingerprints, langid, mixing, ngramjoin, pieces, quality, tokenfiles, urlrules, warc
 
 
 def queries() -> dict:
-    made = [mixing.op1_mix_sources, warc.op2_warc, tokenfiles.op3_token_files, pieces.op5_sentencepiece, urlrules.op6_url_filters, fingerprints.op7_fingerprints, quality.op8_quality_rules, langid.op9_language_id, classlm.op10_class_lm]
+    made = [mixing.op1_mix_sources, warc.op2_warc, tokenfiles.op3_token_files, ngramjoin.op4_ngram_jaccard, pieces.op5_sentencepiece, urlrules.op6_url_filters, fingerprints.op7_fingerprints, quality.op8_quality_rules, langid.op9_language_id, classlm.op10_class_lm]
     return {f.__name__: f for f in made}
 
 

@@ -146,9 +146,12 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
     names = np.array([*langs, "und"], object)
     most = max(100_000, int(6_000_000 / max(1, len(langs))))
 
+    own_text = text_col not in keep
+    place = len(keep) if own_text else keep.index(text_col)
+
     def predict(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             lettered = np.array([bool(t and _LETTER.search(t)) for t in texts.to_pylist()], bool)
             parts = [mixtures(data, off, table) for _, data, off in chunks(texts, most)]
             share = np.concatenate(parts) if parts else np.zeros((0, len(langs)), np.float32)
@@ -157,13 +160,22 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
             known = lettered & (score > 0)
             sets = [[(langs[j], float(row[j])) for j in np.flatnonzero(row > 0)] if ok else [] for row, ok in zip(share, known)]
             columns = [pa.array(names[np.where(known, best, len(langs))], pa.string()), pa.array(np.where(known, np.minimum(score, 1), 0).astype(float)), pa.array(sets, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*batch.schema.names[: len(keep)], "lang_pred", "score", "languages"])
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(predict, f"{kept}, lang_pred string, score double, languages map<string,double>")
+    return docs.select(*keep, *[F.col(text_col).alias("_text")] * own_text).mapInArrow(predict, f"{kept}, lang_pred string, score double, languages map<string,double>")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", id_remainder("doc_id", 3) == 1)
     model = train(docs.where("not held_out"))
     return predicted(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def well_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
+    """The documents with a language: letters, and a main language of at least that share. Same columns as docs."""
+    model = train(docs.where(id_remainder("doc_id", 3) != 1).select("lang", "text"))
+    judged = predicted(docs, model, docs.columns)
+    # where nothing is labelled, only texts without letters go
+    ok = (F.col("lang_pred") != "und") & (F.col("score") >= least) if model[0] else F.col("text").rlike(r"\p{L}")
+    return judged.where(ok).select(*docs.columns)

@@ -412,5 +412,16 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("rows", F.lit(1)).alias("set_rows"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The document with the smallest id of each component, once. Same columns as docs.
+
+    Rows that share that id and its text count as one; rows that share the id with another text all stay.
+    """
+    first = linked_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
+
+
 def op4_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

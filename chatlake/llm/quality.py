@@ -71,20 +71,24 @@ def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, host, the measures and base_failed of each row."""
+def measured(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, host, the measures and base_failed of each row, or the columns `keep` in place of id and host."""
     arrow_rows(docs.sparkSession)
+    first = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)] or [F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host")]
+    rows = docs.select(*first, F.col(text_col).alias("_text"))
+    kept = len(first)
 
     def measure(batches):
         for batch in batches:
-            rows = [measures(data, off) for _, data, off in chunks(batch.column(2))]
-            all_rows = np.concatenate(rows) if rows else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(all_rows[:, i]) for i in range(5)]], names=["id", "host", *MEASURES])
+            made = [measures(data, off) for _, data, off in chunks(batch.column(kept))]
+            all_rows = np.concatenate(made) if made else np.zeros((0, 5), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(all_rows[:, i]) for i in range(5)]], names=[*batch.schema.names[:kept], *MEASURES])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).mapInArrow(measure, f"id {kind}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:kept]]
+    out = rows.mapInArrow(measure, ", ".join([*fields, *[f"{m} long" for m in MEASURES]]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumnRenamed("id", id_col)
+    out = out.withColumn("base_failed", failed)
+    return out if keep else out.withColumnRenamed("id", id_col)
 
 
 def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
@@ -111,6 +115,14 @@ def judged_quality(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "do
     return keyed.join(hosts, "host_key", "left").select(id_col, "host", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
 
 
+def good_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """The documents that neither a base rule nor their host's verdict rejects. Same columns as docs."""
+    hosts = written(host_verdicts(measured(docs), limit), "quality-hosts").where("host_rejected").select("host_key")
+    passed = measured(docs, keep=tuple(docs.columns)).where("not base_failed").select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)])
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
+    return passed.join(hosts, key == F.col("host_key"), "left_anti")
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judged_quality(docs).select("doc_id", *MEASURES, "base_failed", "kept")
