@@ -1,7 +1,8 @@
 """Token ids in Arrow stream-format files of fixed-size-list batches.
 
 A shard holds the ids of a range of documents, end to end, cut into rows of equal length: `ids` is a
-fixed_size_list<uint32, L> and `mask` a fixed_size_list<uint8, L>, 0 on the padding of the shard's last row. Every batch
+fixed_size_list<uint16, L> (uint32 for a vocabulary of more than 65,536) and `mask` a fixed_size_list<uint8, L / 8> of bits,
+0 on the padding of the shard's last row. Every batch
 but the last has the same number of rows, so row r of a shard is found by arithmetic, and a memory map gives it without
 a copy (`TokenShard`). A second stream beside it lists the shard's documents: doc_id and number of ids.
 
@@ -26,10 +27,24 @@ from .files import committed, reader
 from .shared import arrow_rows, new_path, written
 
 LENGTH, BATCH_ROWS, END_ID = 2048, 64, 2
-_TWO_SPACES = re.compile(r"\s\s|^\s|\s\Z")
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
+class _Known(dict):
+    """Ids of cuts; a cut that is not known yet is encoded on the spot."""
+
+    def __init__(self, tokenizer, most: int):
+        self.tokenizer, self.most = tokenizer, most
+
+    def __missing__(self, cut: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        ids = self.tokenizer.encode(cut if cut[:1] == "\n" else " " + cut, add_special_tokens=False).ids
+        got = self[cut] = np.array(ids, "<u4").tobytes()
+        return got
+
+
 class WordCachedEncoder:
     """Ids of whole texts, as little-endian uint32 bytes.
 
@@ -37,36 +52,27 @@ class WordCachedEncoder:
     there, and each distinct cut is encoded by the library once while it is remembered.
     """
 
-    def __init__(self, tokenizer, most: int = 1_000_000):
-        self.tokenizer, self.most = tokenizer, most
-        self.heads: dict[str, bytes] = {}  # by a text's first cut
-        self.known: dict[str, bytes] = {}  # by a later cut, without its space
+    def __init__(self, tokenizer, most: int = 1_500_000):
+        self.tokenizer, self.known = tokenizer, _Known(tokenizer, most)
 
     def cuts(self, text: str) -> list[str]:
         """A text's first cut, then the others, without the space that they start with."""
-        if _TWO_SPACES.search(text):
-            head, *rest = _CUT.split(text)
-            return [head, *[x if x[0] == "\n" else x[1:] for x in rest]]
-        return text.replace("\n", " \n").split(" ")
-
-    def _learn(self, store: dict[str, bytes], new: list[str], spaced: bool) -> None:
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            texts = [x if x[:1] == "\n" else " " + x for x in part] if spaced else part
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                store[p] = np.array(e.ids, "<u4").tobytes()
+        single = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
+        if single and not _OTHER_SPACE.search(text):
+            return text.replace("\n", " \n").split(" ")
+        head, *rest = _CUT.split(text)
+        return [head, *[x if x[0] == "\n" else x[1:] for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [self.cuts(t) for t in texts]
-        heads, rest = {r[0] for r in rows}, [r[1:] for r in rows]
-        later = set().union(*rest)
-        if len(self.known) + len(self.heads) > self.most:
-            self.known.clear()
-            self.heads.clear()
-        self._learn(self.heads, list(heads - self.heads.keys()), False)
-        self._learn(self.known, list(later - self.known.keys()), True)
-        get = self.known.__getitem__
-        return [self.heads[r[0]] + b"".join(map(get, tail)) for r, tail in zip(rows, rest)]
+        out, get = [], self.known.__getitem__
+        for text in texts:
+            if not text:
+                out.append(b"")
+                continue
+            head, *rest = self.cuts(text)
+            first = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, "<u4").tobytes()
+            out.append(first + b"".join(map(get, rest)))
+        return out
 
 
 def load_tokenizer(path: str):
@@ -83,35 +89,36 @@ def load_tokenizer(path: str):
 class ShardWriter:
     """Appends ids to a stream of equal-length rows."""
 
-    def __init__(self, out, length: int = LENGTH, rows: int = BATCH_ROWS):
-        self.length, self.rows, self.held = length, rows, bytearray()
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, out, wide: bool, length: int = LENGTH, rows: int = BATCH_ROWS):
+        self.length, self.rows, self.held, self.kind = length, rows, bytearray(), np.dtype("<u4" if wide else "<u2")
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
         self.stream = pa.ipc.new_stream(out, self.schema)
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.zeros(len(ids), np.uint8)
-        mask[:real] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        mask = np.packbits(np.arange(len(ids)) < real, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.length), (mask, self.length // 8))]
         self.stream.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def add(self, ids: bytes) -> None:
-        self.held += ids
-        step = 4 * self.length * self.rows
+        """ids: little-endian uint32."""
+        self.held += np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+        size = self.length * self.rows
+        step = self.kind.itemsize * size
         while len(self.held) >= step:
-            self._batch(np.frombuffer(bytes(self.held[:step]), "<u4"), step // 4)
+            self._batch(np.frombuffer(bytes(self.held[:step]), self.kind), size)
             del self.held[:step]
 
     def close(self) -> None:
-        real = len(self.held) // 4
+        real = len(self.held) // self.kind.itemsize
         if real:
-            ids = np.zeros(-(-real // self.length) * self.length, "<u4")
-            ids[:real] = np.frombuffer(bytes(self.held), "<u4")
+            ids = np.zeros(-(-real // self.length) * self.length, self.kind)
+            ids[:real] = np.frombuffer(bytes(self.held), self.kind)
             self._batch(ids, real)
         self.stream.close()
 
 
 class TokenShard:
-    """Random access to a shard: row(i) is a view of the file's bytes where the file system can map it."""
+    """Random access to a shard: row(i) gives ids and mask bits, views of the file's bytes where the file system can map it."""
 
     def __init__(self, url: str):
         local = url.removeprefix("file://")
@@ -123,6 +130,9 @@ class TokenShard:
         batch, at = self.batches[i // self.rows], i % self.rows
         return tuple(batch.column(c)[at].values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
+    def mask(self, i: int) -> np.ndarray:
+        return np.unpackbits(self.row(i)[1], bitorder="little").astype(bool)
+
     def __len__(self) -> int:
         return sum(b.num_rows for b in self.batches)
 
@@ -145,7 +155,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         shard = TaskContext.get().partitionId()
         name, end, n_docs, n_ids = f"shard-{shard:06d}", np.array([end_id], "<u4").tobytes(), 0, 0
         with committed(f"{folder}/{name}.arrows") as ids_out, committed(f"{folder}/{name}.docs.arrows") as docs_out:
-            ids, listed = ShardWriter(ids_out, length), pa.ipc.new_stream(docs_out, DOCS)
+            wide = _encoder[1].tokenizer.get_vocab_size() > 65_536
+            ids, listed = ShardWriter(ids_out, wide, length), pa.ipc.new_stream(docs_out, DOCS)
             while batch is not None:
                 encoded = [x + end for x in _encoder[1].encode([t or "" for t in batch.column(1).to_pylist()])]
                 for x in encoded:
@@ -179,7 +190,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         crc, left = 0, 4 * n
                         while left:
                             if not held:
-                                held = memoryview(next(rows).column(0).flatten().to_numpy(zero_copy_only=True)).cast("B")
+                                held = memoryview(next(rows).column(0).flatten().to_numpy(zero_copy_only=True).astype("<u4")).cast("B")
                             crc = zlib.crc32(held[:left], crc)
                             left, held = max(0, left - len(held)), held[left:]
                         crcs.append(crc)
