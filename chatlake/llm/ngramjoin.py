@@ -10,8 +10,9 @@ document's connected component. Steps:
 3. A block's nodes form a signature tree: leaves hold a node's bitmap (one of BITS bits per shingle), inner nodes the OR of
    the bitmaps below, the range of sizes, and the largest number of shingles that share a bit. Two trees are traversed
    together; a pair of tree nodes is dropped when the largest overlap its bitmaps and sizes allow is too small.
-4. First, small groups give all surviving pairs, larger ones the NEAREST best partners of each node. These are verified
-   on the whole sets, and components found. Then larger groups that still hold several components are traversed again, every
+4. First, small groups give all surviving pairs, larger ones the NEAREST best partners of each node. Each node's pair with
+   its most connected neighbour is verified on the whole sets, components are found, and so on with the pairs that still
+   connect two of them. Then larger groups that still hold several components are traversed again, every
    pair of their blocks, now also dropping pairs of one component: no link between components is lost, and a group of
    thousands of near copies costs pairs in proportion to its size.
 
@@ -366,6 +367,45 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return written(second.mapInArrow(check, "a long, b long").distinct(), "join-links")
 
 
+def toward_hubs(pairs: DataFrame) -> DataFrame:
+    """For each node the pair with its neighbour of most pairs, if that has more than itself: one pair a node at most.
+
+    In a group that is all alike, everyone picks the same node, and one round of verification links the group.
+    """
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = written(both.groupBy("a").agg(F.count("*").alias("d")), "join-degrees")
+    ranked = both.join(degrees.select(F.col("a").alias("b"), F.col("d").alias("d_b")), "b")
+    best = ranked.groupBy("a").agg(F.max(F.struct("d_b", "b")).alias("best")).join(degrees, "a")
+    return best.where(F.col("best") > F.struct("d", "a")).select("a", F.col("best.b").alias("b"))
+
+
+class Settled:
+    """Links found so far, and the components that they make."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame):
+        self.rows, self.nodes = rows, nodes
+        self.links = self.labels = rows.sparkSession.createDataFrame([], "a long, b long")
+        self.labels = self.labels.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+    def label(self, df: DataFrame, uid: str, name: str) -> DataFrame:
+        return df.join(self.labels.select(F.col("node").alias(uid), F.col("label").alias("_l")), uid, "left").withColumn(name, F.coalesce("_l", uid)).drop("_l")
+
+    def settle(self, pairs: DataFrame, hub_rounds: int = 3) -> None:
+        """Verifies pairs until none is left whose nodes are in two components: towards hubs first, then all."""
+        left = pairs
+        for turn in range(hub_rounds + 1):
+            if not left.take(1):
+                return
+            chosen = written(toward_hubs(left) if turn < hub_rounds else left, "join-chosen")
+            found = verified(chosen, self.rows, self.nodes)
+            if found.take(1):
+                self.links = written(self.links.union(found), "join-links")
+                self.labels = components(self.links)
+            ordered = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            rest = left.join(ordered, ["a", "b"], "left_anti")
+            left = written(self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b"), "join-left")
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, set_rows (rows with the same set) of each row of docs."""
     spark = docs.sparkSession
@@ -391,13 +431,13 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     arrow_rows(spark, 5000)
     members = blocks.select("bid", F.explode("members").alias("uid")).join(light, "uid")
     near = written(block_pairs(members.repartition("bid").sortWithinPartitions("bid", "n", "uid")).distinct(), "join-pairs")
-    links = verified(near, rows, nodes)
-    labels = components(links)
+    settled = Settled(rows, nodes)
+    settled.settle(near)
 
     # groups with more nodes than a small block, which still hold several components
     many = blocks.where((F.col("size") > SMALL) | (F.col("block") > 0)).select("gid").distinct()
     open_blocks = blocks.join(many, "gid", "left_semi")
-    named = open_blocks.select("gid", "bid", F.explode("members").alias("uid")).join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("gid", "bid", "uid", F.coalesce("label", "uid").alias("label"))
+    named = settled.label(open_blocks.select("gid", "bid", F.explode("members").alias("uid")), "uid", "label")
     ranges = named.groupBy("gid", "bid").agg(F.min("label").alias("first"), F.max("label").alias("last"))
     mixed = ranges.groupBy("gid").agg(F.min("first").alias("g0"), F.max("last").alias("g1")).where("g0 <> g1").select("gid")
     summary = written(open_blocks.select("gid", "bid", "lo", "hi").join(mixed, "gid", "left_semi").join(ranges.select("bid", "first", "last"), "bid"), "join-summary")
@@ -407,17 +447,12 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if tiles.take(1):
         sides = tiles.select("tile", F.lit(0).alias("side"), F.col("bid1").alias("bid")).union(tiles.where("bid1 <> bid2").select("tile", F.lit(1).alias("side"), F.col("bid2").alias("bid")))
         placed = sides.join(blocks.select("bid", "members"), "bid").select("tile", "side", F.explode("members").alias("uid"))
-        full = placed.join(light.join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", "n", "bits", F.coalesce("label", "uid").alias("label")), "uid")
+        full = placed.join(settled.label(light, "uid", "label"), "uid")
         rest = tile_pairs(full.repartition("tile").sortWithinPartitions("tile", "side", "label", "n", "uid")).distinct().join(near, ["a", "b"], "left_anti")
-        rest = written(rest, "join-rest")
-        if rest.take(1):
-            more = verified(rest, rows, nodes)
-            if more.take(1):
-                labels = components(links.union(more))
+        settled.settle(written(rest, "join-rest"))
 
     # back to rows: a set's node, its label, and the label's smallest id
-    sets = nodes.select("s1", "s2", "n", "uid", "id", "rows").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    sets = written(sets, "join-sets-labels")
+    sets = written(settled.label(nodes.select("s1", "s2", "n", "uid", "id", "rows"), "uid", "label"), "join-set-labels")
     smallest = sets.groupBy("label").agg(F.min("id").alias("component_id"))
     named = written(sets.join(smallest, "label").select("s1", "s2", "n", "component_id", "rows"), "join-named")
     out = every.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
