@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import clean, ledger, scope, tables, threads  # noqa: F401
+from .operators import clean, ledger, scope, search, tables, threads, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 from .sources import messages  # noqa: F401
 
