@@ -7,7 +7,8 @@ document's connected component. Steps:
 2. A node's tokens are put in one order for all (shingles that a bounded sample finds common come last; only speed depends
    on it). Linked sets share a token among the first n - ceil(0.8 n) + 1 of each, so nodes are grouped by those tokens. Groups
    with the same members count once. A group is cut into blocks of at most BLOCK nodes of neighbouring sizes.
-3. A block's nodes form a signature tree: leaves hold a node's bitmap (one of BITS bits per shingle), inner nodes the OR of
+3. A block's nodes form a signature tree: leaves hold a node's bitmap (a bit per shingle, wide
+   in proportion to its size; of two widths the wider is folded), inner nodes the OR of
    the bitmaps below, the range of sizes, and the largest number of shingles that share a bit. Two trees are traversed
    together; a pair of tree nodes is dropped when the largest overlap its bitmaps and sizes allow is too small.
 4. First, small groups give all surviving pairs, larger ones the NEAREST best partners of each node. Each node's pair with
@@ -33,7 +34,8 @@ from .components import components
 from .shared import arrow_rows, written
 from .textops import LOWER, U, chained, chunks, mix, span_hashes, words
 
-SHINGLE, BITS, BLOCK, SMALL, NEAREST = 5, 1024, 512, 8, 3
+SHINGLE, BLOCK, SMALL, NEAREST = 5, 512, 8, 3
+LEAST_BITS, MOST_BITS = 256, 65_536
 SAMPLE_DOCS, SAMPLE_COMMON, SEGMENT = 4000, 4, 4096
 #: Verification sees so many bytes of a shingle's hash: two sets of 1,000 have a false common shingle once in 10^6 pairs.
 KEPT_BYTES = 5
@@ -64,12 +66,22 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=U).view(np.int64)), int(mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U).view(np.int64))
 
 
-def bitmap(s: np.ndarray, bits: int = BITS) -> bytes:
-    hot = np.zeros(bits, np.uint8)
-    hot[(s >> U(64 - bits.bit_length() + 1)).astype(np.int64)] = 1
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit per shingle among a power of two of bits, two to four times as many as shingles (within LEAST_BITS, MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s)).bit_length()))
+    hot = np.zeros(width, np.uint8)
+    hot[(s & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(hot).tobytes()
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """The bitmaps at a smaller width: halves are ORed."""
+    while bits.shape[1] * 64 > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
 def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
@@ -251,36 +263,84 @@ def _runs(batches, key: int, handle):
         yield from handle(held)
 
 
-def _bits(column) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), U).reshape(len(rows), -1)
+class Bitmaps:
+    """Bitmaps of several widths: rows and matrix of each width."""
+
+    def __init__(self, column):
+        rows = column.to_pylist()
+        widths = np.array([8 * len(r) for r in rows])
+        self.by = {int(w): (at := np.flatnonzero(widths == w), np.frombuffer(b"".join([rows[i] for i in at]), U).reshape(len(at), -1)) for w in np.unique(widths)}
+
+    def within(self, first: int, last: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The part of rows first to last, numbered from there."""
+        out = {}
+        for w, (at, bits) in self.by.items():
+            a, b = np.searchsorted(at, (first, last))
+            if b > a:
+                out[w] = (at[a:b] - first, bits[a:b])
+        return out
+
+
+def block_survivors(n: np.ndarray, label: np.ndarray, one: dict, two: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """survivors() over the widths of a block, or of two: linked nodes' widths are equal or neighbouring powers of two."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    for w, (at, bits) in one.items():
+        for v in (w, 2 * w) if two is None else (w // 2, w, 2 * w):
+            if v not in (one if two is None else two):
+                continue
+            to, other = (one if two is None else two)[v]
+            width = min(v, w)
+            tree = SignatureTree(n[at], folded(bits, width), label[at])
+            same = two is None and v == w
+            i, j, bound = survivors(tree, None if same else SignatureTree(n[to], folded(other, width), label[to]))
+            found.append((at[i], to[j], bound))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (bid, size, uid, n, bits) sorted by (bid, n, uid) -> pairs to verify: all of small blocks, the nearest of others."""
+    """Rows (bid, uid, n, bits) sorted by (bid, n, uid) -> pairs to verify: all of small blocks, the nearest of others."""
 
     def traverse(part):
         k, n, uid = (part.column(c).to_numpy() for c in (0, 2, 1))
-        bits = _bits(part.column(3))
+        maps = Bitmaps(part.column(3))
         heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         sizes = np.diff(np.r_[heads, len(k)])
-        slack = n - np.bitwise_count(bits).sum(axis=1)
-        found = []
+        found, small = [(np.zeros(0, np.int64),) * 2], [(np.zeros(0, np.int64),) * 2]
         for size in range(2, SMALL + 1):
             at = heads[sizes == size]
             one, two = np.triu_indices(size, 1)
             i, j = (at[:, None] + one).ravel(), (at[:, None] + two).ravel()
             fit = 5 * n[i] >= 4 * n[j]
-            i, j = i[fit], j[fit]
-            bound = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(slack[i], slack[j])
-            may = 9 * bound >= 4 * (n[i] + n[j])
-            found.append((i[may], j[may]))
+            small.append((i[fit], j[fit]))
+        i, j = (np.concatenate(x) for x in zip(*small))
+        width = np.zeros(len(k), np.int64)
+        for w, (at, _) in maps.by.items():
+            width[at] = w
+        lower = np.minimum(width[i], width[j])
+        for w in maps.by:  # a pair's trees are its two leaves
+            pick = np.flatnonzero(lower == w)
+            place = np.full(len(k), -1)
+            bits = []
+            for v in (w, 2 * w):
+                if v in maps.by:
+                    at, rows_ = maps.by[v]
+                    place[at] = sum(map(len, bits)) + np.arange(len(at))
+                    bits.append(folded(rows_, w))
+            bits = np.concatenate(bits)
+            slack = np.zeros(len(bits), np.int64)
+            there = np.flatnonzero(place >= 0)
+            slack[place[there]] = n[there] - np.bitwise_count(bits[place[there]]).sum(axis=1)
+            for part_ in range(0, len(pick), 20_000):
+                own = pick[part_ : part_ + 20_000]
+                p, q = place[i[own]], place[j[own]]
+                bound = np.bitwise_count(bits[p] & bits[q]).sum(axis=1) + np.minimum(slack[p], slack[q])
+                may = 9 * bound >= 4 * (n[i[own]] + n[j[own]])
+                found.append((i[own][may], j[own][may]))
         for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            own = slice(head, head + size)
-            i, j, bound = survivors(SignatureTree(n[own], bits[own], uid[own]))
+            i, j, bound = block_survivors(n[head : head + size], uid[head : head + size], maps.within(head, head + size))
             best = nearest(i, j, bound)
             found.append((i[best] + head, j[best] + head))
         i, j = (np.concatenate(x) for x in zip(*found))
@@ -295,14 +355,18 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
 
     def traverse(part):
         tile, side, uid, n, label = (part.column(c).to_numpy() for c in range(5))
-        bits = _bits(part.column(5))
+        maps = Bitmaps(part.column(5))
         heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
         for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(tile)]):
             mid = a + int(np.searchsorted(side[a:b], 1))
-            left = SignatureTree(n[a:mid], bits[a:mid], label[a:mid])
-            i, j, _ = survivors(left, SignatureTree(n[mid:b], bits[mid:b], label[mid:b]) if mid < b else None)
-            x, y = uid[a + i], uid[(mid if mid < b else a) + j]
-            differ = label[a + i] != label[(mid if mid < b else a) + j]
+            if mid == b:
+                i, j, _ = block_survivors(n[a:b], label[a:b], maps.within(a, b))
+            else:
+                # rows of the second side keep their numbers after the first's
+                right = {w: (at + (mid - a), bits) for w, (at, bits) in maps.within(mid, b).items()}
+                i, j, _ = block_survivors(n[a:b], label[a:b], maps.within(a, mid), right)
+            x, y = uid[a + i], uid[a + j]
+            differ = label[a + i] != label[a + j]
             x, y = x[differ], y[differ]
             for at in range(0, len(x), 100_000):
                 p, q = x[at : at + 100_000], y[at : at + 100_000]
@@ -390,7 +454,7 @@ class Settled:
     def label(self, df: DataFrame, uid: str, name: str) -> DataFrame:
         return df.join(self.labels.select(F.col("node").alias(uid), F.col("label").alias("_l")), uid, "left").withColumn(name, F.coalesce("_l", uid)).drop("_l")
 
-    def settle(self, pairs: DataFrame, hub_rounds: int = 3) -> None:
+    def settle(self, pairs: DataFrame, hub_rounds: int = 2) -> None:
         """Verifies pairs until none is left whose nodes are in two components: towards hubs first, then all."""
         left = pairs
         for turn in range(hub_rounds + 1):
