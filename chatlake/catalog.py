@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import clean, ledger, scope, search, tables, threads, vectors  # noqa: F401
+from .operators import clean, graph, ledger, models, scope, search, similar, tables, threads, vectors  # noqa: F401
+from .plans import mapreduce, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 from .sources import messages  # noqa: F401
 

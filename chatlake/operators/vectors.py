@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,13 +137,23 @@ def d1(spark, sf_dir):
 
 
 def hash_embed(text: Column, width: int = 64) -> Column:
-    """A stand-in embedding: term counts in CRC-32 buckets, of length 1 (array<double>)."""
-    from ..functions.text import terms
+    """A stand-in embedding: term counts in CRC-32 buckets, of length 1 (array<double>). A null text gives zeros."""
+    import re
+    import zlib
 
-    buckets = F.transform(terms(text), lambda t: (F.crc32(t.cast("binary")) % width).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    word = re.compile(r"\w+")
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.bincount([zlib.crc32(w.encode()) % width for w in word.findall((t or "").lower())] or [0], minlength=width).astype(float)
+            v = v if t and word.search(t) else np.zeros(width)
+            out.append(v / (np.linalg.norm(v) or 1.0))
+        return pd.Series(out)
+
+    return embed(text)
 
 
 @query("u2_hash_embed")
