@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,14 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 class _Known(dict):
-    """Ids of cuts; a cut that is not known yet is encoded on the spot."""
+    """Ids of cuts. A cut that is not known yet gives None, and waits to be learnt with others."""
 
-    def __init__(self, tokenizer, most: int):
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self):
+        self.waiting: list[str] = []
 
-    def __missing__(self, cut: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.tokenizer.encode(cut if cut[:1] == "\n" else " " + cut, add_special_tokens=False).ids
-        got = self[cut] = np.array(ids, "<u4").tobytes()
-        return got
+    def __missing__(self, cut: str) -> None:
+        self.waiting.append(cut)
+        self[cut] = None
 
 
 class WordCachedEncoder:
@@ -53,7 +51,16 @@ class WordCachedEncoder:
     """
 
     def __init__(self, tokenizer, most: int = 1_500_000):
-        self.tokenizer, self.known = tokenizer, _Known(tokenizer, most)
+        self.tokenizer, self.most, self.known = tokenizer, most, _Known()
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        new, self.known.waiting = self.known.waiting, []
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            self.known.update(zip(part, self._ids([c if c[:1] == "\n" else " " + c for c in part])))
 
     def cuts(self, text: str) -> list[str]:
         """A text's first cut, then the others, without the space that they start with."""
@@ -64,14 +71,18 @@ class WordCachedEncoder:
         return [head, *[x if x[0] == "\n" else x[1:] for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out, get = [], self.known.__getitem__
-        for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            head, *rest = self.cuts(text)
-            first = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, "<u4").tobytes()
-            out.append(first + b"".join(map(get, rest)))
+        if len(self.known) >= self.most:
+            self.known = _Known()
+        get, rows = self.known.__getitem__, [self.cuts(t) if t else [] for t in texts]
+        parts = [list(map(get, row[1:])) for row in rows]
+        if self.known.waiting:
+            self._learn()
+        heads, out = self._ids([row[0] for row in rows if row]), []
+        heads.reverse()
+        for row, part in zip(rows, parts):
+            if None in part:
+                part = [self.known[c] if p is None else p for p, c in zip(part, row[1:])]
+            out.append((heads.pop() if row else b"") + b"".join(part))
         return out
 
 
