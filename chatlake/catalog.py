@@ -6,5 +6,6 @@ from .operators import clean, graph, ledger, models, scope, search, similar, tab
 from .plans import mapreduce, retrieval  # noqa: F401
 from .registry import QUERIES, SQL
 from .sources import messages  # noqa: F401
+from .streaming import ingest  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]
