@@ -11,9 +11,9 @@ document's connected component. Steps:
    in proportion to its size; of two widths the wider is folded), inner nodes the OR of
    the bitmaps below, the range of sizes, and the largest number of shingles that share a bit. Two trees are traversed
    together; a pair of tree nodes is dropped when the largest overlap its bitmaps and sizes allow is too small.
-4. First, small groups give all surviving pairs, larger ones the NEAREST best partners of each node. Each node's pair with
-   its most connected neighbour is verified on the whole sets, components are found, and so on with the pairs that still
-   connect two of them. Then larger groups that still hold several components are traversed again, every
+4. First, small groups give all surviving pairs, larger ones each node's pair with its most connected neighbour. Of these,
+   again each node's pair with its most connected neighbour is verified on the whole sets, components are found, and so on
+   with the pairs that still connect two of them. Then larger groups that still hold several components are traversed again, every
    pair of their blocks, now also dropping pairs of one component: no link between components is lost, and a group of
    thousands of near copies costs pairs in proportion to its size.
 
@@ -34,7 +34,7 @@ from .components import components
 from .shared import arrow_rows, written
 from .textops import LOWER, U, chained, chunks, mix, span_hashes, words
 
-SHINGLE, BLOCK, SMALL, NEAREST = 5, 512, 8, 3
+SHINGLE, BLOCK, SMALL = 5, 512, 8
 LEAST_BITS, MOST_BITS = 256, 65_536
 SAMPLE_DOCS, SAMPLE_COMMON, SEGMENT = 4000, 4, 4096
 #: Verification sees so many bytes of a shingle's hash: two sets of 1,000 have a false common shingle once in 10^6 pairs.
@@ -239,13 +239,16 @@ def survivors(a: SignatureTree, b: SignatureTree | None = None) -> tuple[np.ndar
     return i, j, bound
 
 
-def nearest(i: np.ndarray, j: np.ndarray, bound: np.ndarray, most: int = NEAREST) -> np.ndarray:
-    """Which pairs are among the best of either of their nodes."""
-    ends, at = np.r_[i, j], np.r_[np.arange(len(i)), np.arange(len(i))]
-    order = np.lexsort((at, -np.r_[bound, bound], ends))
-    own = ends[order]
-    rank = np.arange(len(own)) - np.searchsorted(own, own)
-    return np.unique(at[order][rank < most])
+def block_hubs(i: np.ndarray, j: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node of a block, its neighbour of most pairs (then of the smallest uid), if that comes before the node itself."""
+    ends, other = np.r_[i, j], np.r_[j, i]
+    order = np.lexsort((-uid, np.bincount(ends, minlength=len(uid))))
+    rank = np.empty(len(uid), np.int64)
+    rank[order] = np.arange(len(uid))
+    best = np.full(len(uid), -1)
+    np.maximum.at(best, ends, rank[other])
+    node = np.flatnonzero(best > rank)
+    return node, order[best[node]]
 
 
 def _runs(batches, key: int, handle):
@@ -301,7 +304,7 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (bid, uid, n, bits) sorted by (bid, n, uid) -> pairs to verify: all of small blocks, the nearest of others."""
+    """Rows (bid, uid, n, bits) sorted by (bid, n, uid) -> pairs to verify: all of small blocks, each node's hub in others."""
 
     def traverse(part):
         k, n, uid = (part.column(c).to_numpy() for c in (0, 2, 1))
@@ -340,9 +343,10 @@ def block_pairs(rows: DataFrame) -> DataFrame:
                 may = 9 * bound >= 4 * (n[i[own]] + n[j[own]])
                 found.append((i[own][may], j[own][may]))
         for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            i, j, bound = block_survivors(n[head : head + size], uid[head : head + size], maps.within(head, head + size))
-            best = nearest(i, j, bound)
-            found.append((i[best] + head, j[best] + head))
+            own = uid[head : head + size]
+            i, j, _ = block_survivors(n[head : head + size], own, maps.within(head, head + size))
+            i, j = block_hubs(i, j, own)
+            found.append((i + head, j + head))
         i, j = (np.concatenate(x) for x in zip(*found))
         a, b = np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIRS)
