@@ -27,23 +27,22 @@ def reply_roots(messages: DataFrame, most_rounds: int = 32) -> DataFrame:
     """(domain_id, msg_id, root): the top ancestor that replies inside the batch reach, by pointer jumping.
 
     A reply to itself or to a message outside the batch has no parent. Each round doubles the depth and is written to the
-    shared folder. Nodes on a cycle do not settle; their root is the smallest id they saw.
+    shared folder. A root that has a parent lies on a cycle; the smallest id of the cycle takes its place.
     """
     ids = messages.select(*KEY)
     parents = messages.where("reply_to_msg_id is not null and reply_to_msg_id <> msg_id").select("domain_id", "msg_id", F.col("reply_to_msg_id").alias("root"))
     inside = parents.join(ids.withColumnRenamed("msg_id", "root"), ["domain_id", "root"], "left_semi")
-    low = ids.join(inside, KEY, "left").select(*KEY, F.coalesce("root", "msg_id").alias("root")).withColumn("low", F.least("msg_id", "root"))
-    now = written(low, "roots")
+    first = ids.join(inside, KEY, "left").withColumn("top", F.col("root").isNull()).withColumn("root", F.coalesce("root", "msg_id"))
+    now = written(first.withColumn("low", F.least("msg_id", "root")), "roots")
     for _ in range(most_rounds):
         jump = now.select("domain_id", F.col("msg_id").alias("root"), F.col("root").alias("next"), F.col("low").alias("next_low"))
-        step = now.join(jump, ["domain_id", "root"], "left").select(*KEY, F.col("root").alias("old"), F.col("next").alias("root"), F.least("low", "next_low").alias("low"))
+        step = now.join(jump, ["domain_id", "root"], "left").select(*KEY, "top", F.col("root").alias("old"), F.col("next").alias("root"), F.least("low", "next_low").alias("low"))
         new = written(step, "roots")
-        now = new.select(*KEY, "root", "low")
+        now = new.select(*KEY, "root", "top", "low")
         if not new.where("old <> root").take(1):
-            return now.select(*KEY, "root")
-    # a root that is not its own root lies on a cycle
-    tops = now.where("root = msg_id").select("domain_id", F.col("msg_id").alias("root"), F.lit(True).alias("_top"))
-    return now.join(tops, ["domain_id", "root"], "left").select(*KEY, F.when(F.col("_top"), F.col("root")).otherwise(F.col("low")).alias("root"))
+            break
+    tops = now.select("domain_id", F.col("msg_id").alias("root"), F.col("top").alias("_top"), F.col("low").alias("_low"))
+    return now.join(tops, ["domain_id", "root"]).select(*KEY, F.when(F.col("_top"), F.col("root")).otherwise(F.col("_low")).alias("root"))
 
 
 def assign_threads(messages: DataFrame, gap_s: int = GAP_S) -> DataFrame:
