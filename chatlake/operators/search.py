@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.keys import message_link
 from ..registry import query
 from ..sources.fixtures import cte, view
+from ..sources.tables import written
 from .tables import top_per_key
 
 K1, B = 1.2, 0.75
@@ -42,7 +43,8 @@ def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     vocabulary = F.broadcast(q.select("term").distinct())
     words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    hits = words.select("id", "dl", F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("id", "term", "dl").agg(F.count("*").cast("double").alias("tf"))
+    # used three times below: written once, so that the texts are read once
+    hits = written(words.select("id", "dl", F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("id", "term", "dl").agg(F.count("*").cast("double").alias("tf")), "bm25-hits")
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(df, "term").select("query_id", "term", (F.col("boost") * idf).alias("w"))
