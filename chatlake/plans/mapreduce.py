@@ -15,7 +15,7 @@ from ..operators.threads import build_threads
 from ..operators.vectors import hash_embed, vector_docs
 from ..registry import query
 from ..sources.fixtures import cte, view
-from ..sources.tables import written
+from ..sources.tables import new_path, written
 
 
 def summarise(text: Column, sentences: int = 2) -> Column:
@@ -116,10 +116,7 @@ def ingest_vectors(messages: DataFrame) -> DataFrame:
 
 @query("s9_reembed")
 def s9(spark, sf_dir):
-    import uuid
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/chatlake-checkpoints"
-    return reembed(view(spark, sf_dir, "messages"), view(spark, sf_dir, "domains"), f"{where.rstrip('/')}/reembed-{uuid.uuid4().hex}").select("thread_id", "domain_id", "content", "msg_ts")
+    return reembed(view(spark, sf_dir, "messages"), view(spark, sf_dir, "domains"), new_path(spark, "reembed")).select("thread_id", "domain_id", "content", "msg_ts")
 
 
 def conversation_markdown(chat: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from ..operators.clean import with_noise
 from ..operators.threads import GAP_S
 from ..registry import query
 from ..sources.fixtures import cte, view
-from ..sources.tables import written
+from ..sources.tables import new_path
 
 
 def enriched(messages: DataFrame) -> DataFrame:
@@ -83,24 +81,19 @@ def stale_counters(tags: DataFrame, least: int = 100) -> DataFrame:
 
 def _stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     """df as a stream of files in the shared folder."""
-    where = written(df.limit(0), "stream-anchor").inputFiles()
-    base = (where[0].rsplit("/", 2)[0] if where else "/tmp/chatlake-streams") + f"/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     df.repartition(files).write.parquet(base)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(base)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/chatlake-streams').rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _run(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     """All rows a stream gives until its input ends."""
-    where = _folder(spark, "stream-out")
+    where = new_path(spark, "stream-out")
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{where}/batch={number}")
 
-    out.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", _folder(spark, "stream-check")).trigger(availableNow=True).start().awaitTermination()
+    out.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", new_path(spark, "stream-check")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).option("basePath", where).parquet(f"{where}/batch=*").select(*out.columns)
 
 
@@ -109,15 +102,15 @@ _CLEAN = "m AS (SELECT * FROM messages WHERE content_type NOT IN ('sticker') AND
 
 @query("t1_stream_clean", cte("messages") + f", {_CLEAN} SELECT domain_id, msg_id, 'en' AS language FROM m")
 def t1(spark, sf_dir):
-    where = _folder(spark, "clean")
-    stream_clean(_stream(spark, view(spark, sf_dir, "messages")), where, _folder(spark, "check")).awaitTermination()
+    where = new_path(spark, "clean")
+    stream_clean(_stream(spark, view(spark, sf_dir, "messages")), where, new_path(spark, "check")).awaitTermination()
     return spark.read.parquet(where).select("domain_id", "msg_id", "language")
 
 
 @query("t2_stream_ingest", cte("messages") + f", {_CLEAN} SELECT domain_id, msg_id FROM m")
 def t2(spark, sf_dir):
-    m, where = view(spark, sf_dir, "messages"), _folder(spark, "ingest")
-    stream_ingest(_stream(spark, m.unionByName(m)), where, _folder(spark, "check")).awaitTermination()
+    m, where = view(spark, sf_dir, "messages"), new_path(spark, "ingest")
+    stream_ingest(_stream(spark, m.unionByName(m)), where, new_path(spark, "check")).awaitTermination()
     return snapshot(spark, where).select("domain_id", "msg_id")
 
 
