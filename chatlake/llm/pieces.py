@@ -30,7 +30,7 @@ MARK = "▁"
 
 
 class PrefixTableEncoder:
-    def __init__(self, model_path: str, most_words: int = 400_000, most_pairs: int = 2_000_000):
+    def __init__(self, model_path: str, most_words: int = 900_000, most_pairs: int = 2_000_000):
         import ahocorasick
         import sentencepiece
 
