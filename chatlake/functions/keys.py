@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the namespace of thread ids.
 THREAD_NAMESPACE = "b7e3f1a0-2d4c-4e6f-8a1b-c3d5e7f90123"
 #: Period code -> days.
-PERIOD_DAYS = {"1w": 7, "2w": 14, "1m": 30, "2m": 60, "3m": 90, "6m": 180, "1y": 365, "3y": 1095}
+PERIOD_DAYS = {"1w": 7, "2w": 14, "1m": 30, "3m": 90, "6m": 180, "1y": 365, "3y": 1095}
 
 
 def uuid5(name: Column, namespace: str = THREAD_NAMESPACE) -> Column:

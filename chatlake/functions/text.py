@@ -6,12 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-#: Short stop lists by language.
+#: Stop words by language.
 STOP_WORDS = {
-    "ru": ["и", "в", "на", "с", "по", "что", "как", "это", "для", "не", "из", "к", "о", "от", "за", "у", "или", "но", "а", "так"],
-    "en": ["the", "and", "of", "to", "in", "is", "it", "that", "for", "on", "with", "as", "was", "by", "at", "be", "this", "are", "or", "an"],
+    "ru": (
+        "а без более бы был была были было быть в вам вас ваш весь вдруг ведь во "
+        "вот впрочем все всё всего всех всю вы где да даже два для до другой его "
+        "ее ей ему если есть ещё же за здесь и из или им иногда их к каждый как "
+        "когда конечно которого которые кто куда ли лучше между меня мне много "
+        "может можно можешь мой моя мы на надо наконец нам нас не него нее ней "
+        "нельзя нет ни нибудь никогда ним них ничего но ну о об один он она они "
+        "опять от перед по под после потом потому почему при про раз разве с сам "
+        "свою себе себя сейчас со совсем так также такой там тебе тебя тем теперь "
+        "то тогда тоже того той только том тот три тут ты у уж уже хорошо хоть "
+        "чего чем через что чтоб чтобы чуть эти этих это этого этой этом этот я "
+        "сколько какой какие какая какое"
+    ).split(),
+    "en": "the and of to in is it that for on with as was by at be this are or an".split(),
 }
-OVERVIEW_PHRASES = ["overview", "summary", "summarize", "main topics", "key points", "in general", "what is discussed", "обзор", "итоги", "в целом"]
+#: A question with one of these asks for an overview.
+OVERVIEW_PHRASES = ["проанализируй", "обзор", "обобщи", "тренды", "расскажи", "о чём", "о чем", "подведи итог", "суммируй", "summary"]
 
 
 def detect_language(text: Column, share: float = 0.30) -> Column:
@@ -45,7 +58,7 @@ def expand_keywords(phrases: Column) -> Column:
     return first_by_lower(F.flatten(F.transform(phrases, lambda p: F.concat(F.array(p), F.filter(F.split(p, " "), lambda w: F.char_length(w) >= 3)))))
 
 
-def bm25_terms(text: Column, language: str = "en") -> Column:
+def bm25_terms(text: Column, language: str = "ru") -> Column:
     """Query terms with boosts: struct(term, boost); words of 10 characters or more weigh 5."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")), r"\s+"), lambda w: F.char_length(w) >= 2)
     wanted = F.filter(words, lambda w: ~w.isin(STOP_WORDS[language]))

@@ -11,9 +11,9 @@ from ..sources.fixtures import AS_OF, cte, table, view
 from ..sources.messages import newest_per_domain
 
 #: Fixed values.
-NOISE_TYPES = ["sticker", "geo", "video_note", "dice", "contact", "venue", "service_join", "service_leave", "service_pin", "service_title", "service_photo"]
+NOISE_TYPES = ["sticker", "geo", "video_note", "dice", "contact", "venue", "new_chat_members", "left_chat_member", "pinned_message", "migrate_to_chat_id", "migrate_from_chat_id"]
 NEEDS_TEXT = ["poll", "voice", "audio"]
-DIGEST_TAGS = ["дайджест", "digest", "итоги", "weekly", "summary", "recap"]
+DIGEST_TAGS = ["дайджест", "digest", "дайджестчата", "дайджестдня", "weekly", "weeklydigest"]
 ITEM_TYPES = ["decision", "action_item", "open_question"]
 
 
@@ -96,7 +96,7 @@ def drop_digest_posts(df: DataFrame) -> DataFrame:
 _DIGESTY = "CASE WHEN msg_id % 7 = 0 THEN concat(content, ' #Digest') WHEN msg_id % 7 = 1 THEN concat(content, ' #Weekly') ELSE content END"
 
 
-@query("n8_digest_post_filter", cte("messages") + f", m AS (SELECT msg_id, {_DIGESTY} AS content FROM messages) SELECT msg_id FROM m WHERE NOT contains(lower(content), '#дайджест') AND NOT contains(lower(content), '#digest') AND len(list_filter({_TAGS}, lambda t: lower(t) IN ('дайджест','digest','итоги','weekly','summary','recap'))) = 0")
+@query("n8_digest_post_filter", cte("messages") + f", m AS (SELECT msg_id, {_DIGESTY} AS content FROM messages) SELECT msg_id FROM m WHERE NOT contains(lower(content), '#дайджест') AND NOT contains(lower(content), '#digest') AND len(list_filter({_TAGS}, lambda t: lower(t) IN ('дайджест','digest','дайджестчата','дайджестдня','weekly','weeklydigest'))) = 0")
 def n8(spark, sf_dir):
     return drop_digest_posts(view(spark, sf_dir, "messages").withColumn("content", F.expr(_DIGESTY))).select("msg_id")
 
@@ -203,7 +203,7 @@ def f3(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_keywords(text), "|").alias("keywords"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["en"])
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["ru"])
 
 
 @query("f4_bm25_terms", cte("queries") + rf", w AS (SELECT query_id, list_filter(regexp_split_to_array(lower(regexp_replace(query_text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: length(x) >= 2) AS ws FROM queries), f AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN ({_STOP})) AS fs FROM w), t AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(fs) > 0 THEN fs ELSE ws END) AS term FROM f) SELECT query_id, term, CASE WHEN length(term) >= 10 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM t")
@@ -244,7 +244,7 @@ def f11(spark, sf_dir):
 
 @query("f12_is_overview", "SELECT item_id, item_id % 3 = 0 AS overview FROM benchmark")
 def f12(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.is_overview(F.expr("CASE WHEN item_id % 3 = 0 THEN concat('Give me an OVERVIEW of ', text) ELSE text END")).alias("overview"))
+    return table(spark, sf_dir, "benchmark").select("item_id", T.is_overview(F.expr("CASE WHEN item_id % 3 = 0 THEN concat('Give me a SUMMARY of ', text) ELSE text END")).alias("overview"))
 
 
 @query("f13_period_to_cutoff", f"SELECT event_id, CASE event_id % 6 WHEN 0 THEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY WHEN 1 THEN TIMESTAMP '{AS_OF}' - INTERVAL 1095 DAY WHEN 2 THEN TIMESTAMP '{AS_OF}' - to_days(CAST(1 + event_id % 30 AS INTEGER)) WHEN 3 THEN TIMESTAMP '2024-01-15 00:00:00' WHEN 4 THEN TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY END AS cutoff FROM events")

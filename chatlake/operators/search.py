@@ -57,7 +57,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id")).join(F.broadcast(totals), "query_id")
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["en"])
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["ru"])
 _TERMS = rf", qw AS (SELECT query_id, list_filter(regexp_split_to_array(lower(regexp_replace(query_text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: length(x) >= 2) AS ws FROM queries), qf AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN ({_STOP})) AS fs FROM qw), qd AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(fs) > 0 THEN fs ELSE ws END) AS term FROM qf), qt AS (SELECT query_id, term, CASE WHEN length(term) >= 10 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM qd)"
 _BM25 = _POSTINGS + _TERMS + ", st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)::DOUBLE) AS avgdl FROM w), dfs AS (SELECT term, count(*)::DOUBLE AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY 1), g AS (SELECT query_id, id, term, boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS g FROM post JOIN qt USING (term) JOIN dfs USING (term), st), sc AS (SELECT query_id, id, round(sum(g ORDER BY term), 4) AS score FROM g GROUP BY 1, 2), bm AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_matches FROM sc)"
 BM25_SQL = cte("posts", "queries") + _BM25

@@ -12,6 +12,9 @@ from .fixtures import cte, table, view
 #: Canonical columns and types.
 MESSAGE_TYPES = {"domain_id": "long", "msg_id": "long", "reply_to_msg_id": "long", "topic_id": "long", "sender_name": "string", "content": "string", "content_type": "string", "msg_date": "timestamp_ntz", "hashtags": "array<string>"}
 
+#: Media kinds, the first that a record has counts.
+KINDS = ["photo", "video", "document", "sticker", "voice", "video_note", "poll", "geo"]
+
 
 def canonical(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
     """Raw rows -> message schema; mapping gives a column or expression for each canonical column, null where absent."""
@@ -37,20 +40,18 @@ def widen_if_empty(df: DataFrame, since: Column) -> DataFrame:
 
 
 def content_type(raw: Column) -> Column:
-    """First matching media kind of a raw record (JSON)."""
-    has = lambda k: F.get_json_object(raw, f"$.{k}").isNotNull()
-    flag = lambda k: F.get_json_object(raw, f"$.{k}") == "true"
-    out = F.when(has("photo"), "photo").when(flag("document.sticker"), "sticker").when(flag("document.voice"), "voice").when(flag("document.round"), "video_note")
-    for k in ("video", "audio", "document", "poll", "geo", "venue", "contact", "dice", "web_page"):
-        out = out.when(has(k), k)
+    """First matching media kind of a raw record (JSON), in the order of KINDS."""
+    out = F.when(F.get_json_object(raw, f"$.{KINDS[0]}").isNotNull(), KINDS[0])
+    for kind in KINDS[1:]:
+        out = out.when(F.get_json_object(raw, f"$.{kind}").isNotNull(), kind)
     return out.otherwise("text")
 
 
 def parse_handle(text: Column) -> Column:
-    """A channel link, @name or bare name -> name; null for anything else."""
-    link = F.regexp_extract(F.trim(text), r"^(?:https?://)?t\.me/(?:s/)?([A-Za-z0-9_]+)", 1)
-    name = F.regexp_extract(F.trim(text), r"^@?([A-Za-z][A-Za-z0-9_]{2,31})$", 1)
-    return F.nullif(F.when(link != "", link).otherwise(name), F.lit(""))
+    """A channel link, @name or bare name -> name."""
+    given = F.trim(text)
+    link = F.regexp_extract(given, r"(?:https?://)?(?:t\.me|telegram\.me)/(?:\+)?([a-zA-Z0-9_]+)", 1)
+    return F.when(F.startswith(given, F.lit("@")), F.substring(given, 2, 1_000_000)).when(link != "", link).otherwise(given)
 
 
 def topic_id(raw: Column, reply_id: Column) -> Column:
@@ -80,7 +81,7 @@ def s3(spark, sf_dir):
     return widen_if_empty(m, F.expr("timestamp_ntz'2024-01-05 00:00:00'")).select((F.col("real") * 100 + F.char_length("content_type")).alias("domain_id"), "msg_id")
 
 
-_RAW = """CASE event_id % 6 WHEN 0 THEN '{"photo":{"id":1}}' WHEN 1 THEN '{"document":{"sticker":true}}' WHEN 2 THEN '{"document":{"voice":true}}' WHEN 3 THEN '{"poll":{"q":1}}' WHEN 4 THEN '{"document":{"id":3}}' ELSE props END"""
+_RAW = """CASE event_id % 6 WHEN 0 THEN '{"photo":{"id":1}}' WHEN 1 THEN '{"sticker":{"id":2}}' WHEN 2 THEN '{"voice":{"id":2},"poll":{"q":0}}' WHEN 3 THEN '{"poll":{"q":1}}' WHEN 4 THEN '{"document":{"id":3}}' ELSE props END"""
 
 
 @query("s4_content_type", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'photo' WHEN 1 THEN 'sticker' WHEN 2 THEN 'voice' WHEN 3 THEN 'poll' WHEN 4 THEN 'document' ELSE 'text' END AS content_type FROM events")
@@ -88,7 +89,7 @@ def s4(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", content_type(F.expr(_RAW)).alias("content_type"))
 
 
-@query("s5_parse_handle", r"WITH h AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://t.me/chan_', page_id, '/7') WHEN 1 THEN concat('@name', page_id) WHEN 2 THEN concat('bare_', page_id) ELSE url END AS h FROM pages) SELECT page_id, nullif(CASE WHEN regexp_extract(trim(h), '^(?:https?://)?t\.me/(?:s/)?([A-Za-z0-9_]+)', 1) <> '' THEN regexp_extract(trim(h), '^(?:https?://)?t\.me/(?:s/)?([A-Za-z0-9_]+)', 1) ELSE regexp_extract(trim(h), '^@?([A-Za-z][A-Za-z0-9_]{2,31})$', 1) END, '') AS handle FROM h")
+@query("s5_parse_handle", r"WITH h AS (SELECT page_id, trim(CASE page_id % 4 WHEN 0 THEN concat('https://t.me/chan_', page_id, '/7') WHEN 1 THEN concat('@name', page_id) WHEN 2 THEN concat('bare_', page_id) ELSE url END) AS h FROM pages), l AS (SELECT page_id, h, regexp_extract(h, '(?:https?://)?(?:t\.me|telegram\.me)/(?:\+)?([a-zA-Z0-9_]+)', 1) AS l FROM h) SELECT page_id, CASE WHEN starts_with(h, '@') THEN substr(h, 2) WHEN l <> '' THEN l ELSE h END AS handle FROM l")
 def s5(spark, sf_dir):
     raw = F.expr("CASE page_id % 4 WHEN 0 THEN concat('https://t.me/chan_', page_id, '/7') WHEN 1 THEN concat('@name', page_id) WHEN 2 THEN concat('bare_', page_id) ELSE url END")
     return table(spark, sf_dir, "pages").select("page_id", parse_handle(raw).alias("handle"))
