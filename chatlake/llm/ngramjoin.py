@@ -67,8 +67,8 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit per shingle among a power of two of bits, two to four times as many as shingles (within LEAST_BITS, MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(s)).bit_length()))
+    """One bit per shingle among a power of two of bits, 8 to 16 times as many as shingles (within LEAST_BITS, MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * len(s)).bit_length()))
     hot = np.zeros(width, np.uint8)
     hot[(s & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(hot).tobytes()
@@ -357,7 +357,13 @@ def block_pairs(rows: DataFrame) -> DataFrame:
 def tile_pairs(rows: DataFrame) -> DataFrame:
     """Rows (tile, side, uid, n, label, bits) sorted by (tile, side, label, n) -> surviving pairs of different labels."""
 
+    def emit(held):
+        pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+        held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
+
     def traverse(part):
+        held: list[np.ndarray] = []
         tile, side, uid, n, label = (part.column(c).to_numpy() for c in range(5))
         maps = Bitmaps(part.column(5))
         heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
@@ -371,10 +377,10 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 i, j, _ = block_survivors(n[a:b], label[a:b], maps.within(a, mid), right)
             x, y = uid[a + i], uid[a + j]
             differ = label[a + i] != label[a + j]
-            x, y = x[differ], y[differ]
-            for at in range(0, len(x), 100_000):
-                p, q = x[at : at + 100_000], y[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], schema=PAIRS)
+            held.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
+            if sum(map(len, held)) > 200_000:
+                yield from emit(held)
+        yield from emit(held)
 
     return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(lambda batches: _runs(batches, 0, traverse), "a long, b long")
 
