@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -182,16 +183,19 @@ class PrefixTableEncoder:
         return self.sp.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> PrefixTableEncoder:
+    """One encoder per worker process: what a task learns, the next one knows."""
+    return PrefixTableEncoder(path)
+
+
 def encoded_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, and on request ids and decoded."""
     arrow_rows(docs.sparkSession, 500)
     extra = [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
     def encode(batches):
-        global _pieces
-        if globals().get("_pieces", (None,))[0] != model_path:
-            _pieces = (model_path, PrefixTableEncoder(model_path))
-        encoder = _pieces[1]
+        encoder = encoder_for(model_path)
         for batch in batches:
             n, a, b, ids_out, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,12 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
+def encoder_for(path: str) -> WordCachedEncoder:
+    """One encoder per worker process: what a task learns, the next one knows."""
+    return WordCachedEncoder(load_tokenizer(path))
+
+
 class ShardWriter:
     """Appends ids to a stream of equal-length rows."""
 
@@ -160,16 +167,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         batch = next(batches, None)
         if batch is None:
             return
-        global _encoder
-        if globals().get("_encoder", (None,))[0] != tokenizer_path:
-            _encoder = (tokenizer_path, WordCachedEncoder(load_tokenizer(tokenizer_path)))
+        encoder = encoder_for(tokenizer_path)
         shard = TaskContext.get().partitionId()
         name, end, n_docs, n_ids = f"shard-{shard:06d}", np.array([end_id], "<u4").tobytes(), 0, 0
         with committed(f"{folder}/{name}.arrows") as ids_out, committed(f"{folder}/{name}.docs.arrows") as docs_out:
-            wide = _encoder[1].tokenizer.get_vocab_size() > 65_536
+            wide = encoder.tokenizer.get_vocab_size() > 65_536
             ids, listed = ShardWriter(ids_out, wide, length), pa.ipc.new_stream(docs_out, DOCS)
             while batch is not None:
-                encoded = [x + end for x in _encoder[1].encode([t or "" for t in batch.column(1).to_pylist()])]
+                encoded = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
                 for x in encoded:
                     ids.add(x)
                 sizes = [len(x) // 4 for x in encoded]
