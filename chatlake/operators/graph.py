@@ -134,7 +134,7 @@ def communities(relations: DataFrame, least: int = 3) -> DataFrame:
 
 @query("g5_communities")
 def g5(spark, sf_dir):
-    return communities(view(spark, sf_dir, "relations"))
+    return communities(view(spark, sf_dir, "all_relations"))
 
 
 _COMM = "SELECT DISTINCT domain_id, concat('c', type) AS community_id, source AS name FROM {}"

@@ -64,7 +64,7 @@ def standard_pipeline(docs: DataFrame, vectors: DataFrame, queries: DataFrame, q
 
 
 def _inputs(spark, sf_dir):
-    return [view(spark, sf_dir, n) for n in ("posts", "vectors", "queries", "query_vectors", "entities", "relations")]
+    return [view(spark, sf_dir, n) for n in ("posts", "vectors", "queries", "query_vectors", "entities", "all_relations")]
 
 
 @query("r14_standard_pipeline")

@@ -57,6 +57,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "chat": ("conversations", {"conv_id": "conv_id", "turn": "turn", "role": "role", "content": "text", "token_count": "CAST(length(text) AS DOUBLE) / 4"}),
 }
 RELATIONS = "SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS domain_id, s_name AS source, concat('Part#', CAST(l_partkey % 50 AS VARCHAR(10))) AS target, l_returnflag AS type FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 20 = 0"
+#: The relations of every order, for the graph queries without SQL; the SQL of the others names a twentieth of the orders.
+ALL_RELATIONS = RELATIONS.removesuffix(" WHERE l_orderkey % 20 = 0")
 
 
 def _seconds(text: str, form: str) -> str:
@@ -74,6 +76,8 @@ def duck_sql(text: str) -> str:
 def _select(name: str) -> str:
     if name == "relations":
         return RELATIONS
+    if name == "all_relations":
+        return ALL_RELATIONS
     source, columns = VIEWS[name]
     return "SELECT " + ", ".join(f"{e} AS {a}" for a, e in columns.items()) + f" FROM {source}"
 
@@ -88,7 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of VIEWS, or relations, as a DataFrame."""
+    """One of VIEWS, relations or all_relations, as a DataFrame."""
     text = spark_sql(_select(name))
     tables = set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text))
     for t in tables:

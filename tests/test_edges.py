@@ -111,6 +111,16 @@ def test_graph(spark):
     assert kinds["a"] == "Q" and kinds["y"] == "Unknown" and relations.count() == 5
 
 
+def test_communities_of_all_orders(spark):
+    lines, firms = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("lineitem", "supplier"))
+    ends = lines.join(firms, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "s_name", F.concat(F.lit("Part#"), F.col("l_partkey") % 50).alias("target"))
+    want = {(r[0], x) for r in ends.distinct().collect() for x in r[1:]}
+    got = {(r.domain_id, r.name) for r in graph.g5(spark, SF).collect()}
+    few = {(r[0], x) for r in view(spark, SF, "relations").select("domain_id", "source", "target").collect() for x in r[1:]}
+    assert got <= want and len(got) > len(few) and few < want
+    assert view(spark, SF, "relations").exceptAll(view(spark, SF, "all_relations")).isEmpty()
+
+
 def test_communities_modularity(spark):
     rows = [(1, f"{g}{i}", f"{g}{j}", "T") for g in "abc" for i in range(6) for j in range(i)] + [(1, "a0", "b0", "T"), (1, "b1", "c1", "T")]
     r = spark.createDataFrame(rows, "domain_id long, source string, target string, type string")
