@@ -70,7 +70,7 @@ def rerank(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
 def r8(spark, sf_dir):
     from .search import bm25_search
 
-    posts, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "queries")
+    posts, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "all_queries")
     hits = bm25_search(posts, q, 20).join(posts.select("id", "content"), "id")
     return rerank(hits, q, 10).select("query_id", "id", "score", "rank")
 

@@ -37,10 +37,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(query_id, id, score, rank, total_matches): OR-search of many queries at once.
 
-    Only postings of query terms leave the scan; queries are a batch of bounded size. Scores are rounded to 4 decimals.
+    Only postings of query terms leave the scan; whether the terms are broadcast is Spark's choice by their size. Scores are rounded to 4 decimals.
     """
     q = query_terms(queries)
-    vocabulary = F.broadcast(q.select("term").distinct())
+    vocabulary = q.select("term").distinct()
     words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
     stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     # used three times below: written once, so that the texts are read once
@@ -50,11 +50,11 @@ def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     weights = q.join(df, "term").select("query_id", "term", (F.col("boost") * idf).alias("w"))
     gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (stats.avgdl or 1.0)))
     # terms are summed in order, so that every plan gives the same last digits
-    terms = hits.join(F.broadcast(weights), "term").groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", gain.alias("g")))).alias("gs"))
+    terms = hits.join(weights, "term").groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", gain.alias("g")))).alias("gs"))
     scored = terms.select("query_id", "id", F.round(F.aggregate("gs", F.lit(0.0), lambda s, x: s + x["g"]), 4).alias("score"))
     # totals are counted apart, so that the ranking can cut each task's rows early
     totals = scored.groupBy("query_id").agg(F.count("*").alias("total_matches"))
-    return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id")).join(F.broadcast(totals), "query_id")
+    return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id")).join(totals, "query_id")
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["ru"])
@@ -82,7 +82,7 @@ def fts_fallback(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     q = query_terms(queries)
     # this file's postings, only those of query terms
     words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
-    tf = words.select("id", "dl", F.explode("ws").alias("term")).join(F.broadcast(q), "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("dl"), 6).alias("score"))
+    tf = words.select("id", "dl", F.explode("ws").alias("term")).join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("dl"), 6).alias("score"))
     level2 = tf.withColumn("level", F.lit(2))
     answered = F.broadcast(level2.select("query_id").distinct())
     open_terms = q.join(answered, "query_id", "left_anti").groupBy("query_id").agg(F.collect_set("term").alias("ts"))  # a query's terms

@@ -33,30 +33,47 @@ def f6(spark, sf_dir):
     return view(spark, sf_dir, "vectors").join(F.broadcast(q)).select("id", "query_id", F.round(cosine("embedding", "q"), 4).alias("cosine"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, most: int, places: int = 4) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine top-k of a batch of queries (bounded: it is sent to every task).
+#: Rows of a block: a task compares one block of vectors with one of queries, or two of vectors.
+BLOCK = 2000
 
-    Each Arrow batch is one matrix product; only its k best rows per query leave it, so the shuffle holds k rows per query and
-    batch, whatever the number of vectors. Filter vectors beforehand; the filters reach the scan.
+
+def in_blocks(df: DataFrame, key: str, name: str, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """df with a block number by hash of the key, about `size` rows in each, and the number of blocks."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    m = np.array(pa.concat_arrays(vectors.chunks).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, most: int, places: int = 4, size: int = BLOCK) -> DataFrame:
+    """(query_id, id, score, rank): exact cosine top-k of any number of queries.
+
+    Vectors and queries are cut into blocks, and a task gets one block of each: one matrix product, of which k rows per query
+    are kept. Neither the driver nor a task holds all queries. Filter vectors beforehand; the filters reach the scan.
     """
-    got = queries.select("query_id", "q").collect()
-    ids = [r.query_id for r in got]
-    matrix = np.array([r.q for r in got], np.float64).reshape(len(got), -1)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30)
-
-    def search(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n or not ids:
-                continue
-            block = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
-            block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-30)
-            scores = np.round(matrix @ block.T, places)
-            own = batch.column(0).to_numpy()
-            best = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :most]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "id", "score"])
-
-    near = vectors.where("embedding is not null").select("id", "embedding").mapInArrow(search, "query_id long, id long, score double")
+    v, n_v = in_blocks(vectors.where("embedding is not null").select("id", "embedding"), "id", "vb", size)
+    q, n_q = in_blocks(queries.where("q is not null").select("query_id", "q"), "query_id", "qb", size)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = v.select("vb", every(n_q, "qb"), "id", F.col("embedding").cast("array<double>").alias("x"), F.lit(False).alias("asks"))
+    right = q.select(every(n_v, "vb"), "qb", F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("x"), F.lit(True).alias("asks"))
+
+    def search(both: pa.Table) -> pa.Table:
+        asks = both.column("asks").to_numpy()
+        own, ids = (both.filter(pa.array(mask)) for mask in (~asks, asks))
+        if not own.num_rows or not ids.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))})
+        block, at, found = unit_rows(own.column("x")), own.column("id").to_numpy(), []
+        matrix, asked = unit_rows(ids.column("x")), ids.column("id").to_numpy()
+        for i in range(0, len(asked), 200):
+            scores = np.round(matrix[i : i + 200] @ block.T, places)
+            best = np.lexsort((np.broadcast_to(at, scores.shape), -scores), axis=1)[:, :most]
+            found.append((np.repeat(asked[i : i + 200], best.shape[1]), at[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+        return pa.table(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found)))))
+
+    near = left.unionByName(right).groupBy("vb", "qb").applyInArrow(search, "query_id long, id long, score double")
     return top_per_key(near, ["query_id"], most, F.desc("score"), F.col("id"))
 
 
@@ -92,20 +109,21 @@ def cells(vectors: DataFrame, n_cells: int, seed: int = 3, most_sample: int = 20
 
 def vector_search_pruned(placed: DataFrame, centroids: np.ndarray, queries: DataFrame, most: int, probes: int) -> DataFrame:
     """Top-k in each query's nearest cells only; cells prune the scan when the vectors are stored by cell."""
-    got = queries.select("query_id", "q").collect()
-    rows = []
-    for r in got:
-        far = ((centroids - np.array(r.q)) ** 2).sum(axis=1)
-        rows += [(r.query_id, int(c), list(map(float, r.q))) for c in np.argsort(far, kind="stable")[:probes]]
-    probe = placed.sparkSession.createDataFrame(rows, "query_id long, cell int, q array<double>")
-    hits = placed.join(F.broadcast(probe), "cell").select("query_id", "id", F.round(cosine("embedding", "q"), 4).alias("score"))
+
+    @F.pandas_udf("array<int>")
+    def nearest(q: pd.Series) -> pd.Series:
+        far = (((centroids - np.array(x)) ** 2).sum(axis=1) for x in q)
+        return pd.Series([np.argsort(f, kind="stable")[:probes].astype(np.int32) for f in far])
+
+    probe = queries.where("q is not null").select("query_id", "q", F.explode(nearest("q")).alias("cell"))
+    hits = placed.join(probe, "cell").select("query_id", "id", F.round(cosine("embedding", "q"), 4).alias("score"))
     return top_per_key(hits, ["query_id"], most, F.desc("score"), F.col("id"))
 
 
 @query("r4_vector_search_pruned")
 def r4(spark, sf_dir):
     centroids, placed = cells(view(spark, sf_dir, "vectors"), 16)
-    return vector_search_pruned(placed, centroids, view(spark, sf_dir, "query_vectors"), 10, 8)
+    return vector_search_pruned(placed, centroids, view(spark, sf_dir, "all_query_vectors"), 10, 8)
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, depth: int, most: int) -> DataFrame:

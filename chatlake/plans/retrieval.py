@@ -64,7 +64,7 @@ def standard_pipeline(docs: DataFrame, vectors: DataFrame, queries: DataFrame, q
 
 
 def _inputs(spark, sf_dir):
-    return [view(spark, sf_dir, n) for n in ("posts", "vectors", "queries", "query_vectors", "entities", "all_relations")]
+    return [view(spark, sf_dir, n) for n in ("posts", "vectors", "all_queries", "all_query_vectors", "entities", "all_relations")]
 
 
 @query("r14_standard_pipeline")
@@ -99,14 +99,14 @@ def context_package(docs: DataFrame, messages: DataFrame, queries: DataFrame, as
 def r15(spark, sf_dir):
     from ..operators.clean import now
 
-    return context_package(view(spark, sf_dir, "posts"), view(spark, sf_dir, "messages"), view(spark, sf_dir, "queries"), now()).select("query_id", "n_sources", F.size("hits").alias("n_hits"), F.size("decisions").alias("n_decisions"))
+    return context_package(view(spark, sf_dir, "posts"), view(spark, sf_dir, "messages"), view(spark, sf_dir, "all_queries"), now()).select("query_id", "n_sources", F.size("hits").alias("n_hits"), F.size("decisions").alias("n_decisions"))
 
 
 @query("r13_cascaded_analysis")
 def r13(spark, sf_dir):
     from .mapreduce import map_reduce
 
-    docs, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "queries")
+    docs, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "all_queries")
     recent = since(docs, F.expr("timestamp_ntz'2024-01-02 00:00:00'"))
     hits = bm25_search(recent, q, 500).join(docs.select("id", "content"), "id")
     return map_reduce(top_per_key(hits.drop("rank"), ["query_id"], 200, F.desc("score"), F.col("id")).withColumnRenamed("query_id", "key").select("key", "id", "rank", "content"))

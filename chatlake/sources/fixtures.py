@@ -26,6 +26,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "vectors": ("embeddings", {"id": "vec_id", "channel_id": "label", "embedding": "embedding", "msg_ts": "1704067200 + vec_id * 600"}),
     "queries": ("benchmark WHERE item_id < 10", {"query_id": "item_id", "query_text": "substr(text, 1, 80)"}),
     "query_vectors": ("embeddings WHERE vec_id < 10", {"query_id": "vec_id", "q": "embedding"}),
+    # the queries without SQL ask every hundredth row; the SQL of the others names the first ten
+    "all_queries": ("benchmark WHERE item_id % 100 = 0", {"query_id": "item_id", "query_text": "text"}),
+    "all_query_vectors": ("embeddings WHERE vec_id % 100 = 0", {"query_id": "vec_id", "q": "embedding"}),
     "domains": (
         "customer",
         {

@@ -154,6 +154,26 @@ def test_dedup_and_clusters(spark):
     assert best == set(kept)
 
 
+def test_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v, q = rng.normal(size=(90, 8)), rng.normal(size=(25, 8))
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, q array<double>")
+    monkeypatch.setattr(type(asked), "collect", None)  # nothing of the queries comes to the driver
+    found = vectors.vector_search(data, asked, 3, size=20)
+    monkeypatch.undo()
+    assert vectors.in_blocks(asked, "query_id", "b", 20)[1] == 2
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = np.argsort(-np.round(unit(q) @ unit(v).T, 4), axis=1, kind="stable")[:, :3]
+    assert {(r.query_id, r["rank"]): r.id for r in found.collect()} == {(i, k + 1): int(want[i, k]) for i in range(25) for k in range(3)}
+
+
+def test_all_queries_are_asked(spark):
+    ids = lambda name: {r.query_id for r in view(spark, SF, name).collect()}
+    given = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").where("vec_id % 100 = 0").collect()}
+    assert ids("all_query_vectors") == given and {r.query_id for r in vectors.r4(spark, SF).collect()} == given
+
+
 def test_pruned_recall(spark):
     v, q = view(spark, SF, "vectors"), view(spark, SF, "query_vectors")
     exact = {(r.query_id, r.id) for r in vectors.vector_search(v, q, 10).collect()}
