@@ -154,6 +154,19 @@ def test_dedup_and_clusters(spark):
     assert best == set(kept)
 
 
+def test_every_near_pair(spark):
+    """At 0.35 random sign buckets find a tenth of the pairs."""
+    v = view(spark, SF, "vectors").select(F.lit(0).cast("long").alias("batch"), "id", "embedding").toPandas()
+    x = np.stack(v["embedding"].to_numpy()).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = v["id"].to_numpy()
+    want = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in np.argwhere(np.triu(x @ x.T > 0.35, 1))}
+    posts = view(spark, SF, "vectors").select(F.lit(0).cast("long").alias("batch"), "id", "embedding")
+    assert {(r.a, r.b) for r in similar.near_pairs(posts, 0.35, 30).collect()} == want and want
+    kept = {r.id for r in similar.d4s(spark, SF).where("kept").collect()}
+    assert not any(a in kept and b in kept for a, b in want)
+
+
 def test_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(90, 8)), rng.normal(size=(25, 8))
