@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -14,9 +15,6 @@ from ..sources.tables import written
 from .tables import top_per_key
 from .vectors import BLOCK, cosine, unit_rows
 
-#: A batch of posts that one task compares: a digest's, after its top-k cut.
-MOST_BATCH = 5000
-
 
 def near_pairs(posts: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
     """(batch, a, b, cosine), a < b: every pair of a batch with cosine above the threshold.
@@ -101,6 +99,36 @@ def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK) -> Da
     return posts.select("batch", "id").join(verdict, ["batch", "id"], "left").select("batch", "id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def clusters_in_blocks(posts: DataFrame, threshold: float, most: int = 25, least: int = 3, size: int = BLOCK) -> DataFrame:
+    """(batch, id, cluster_id, position): the clusters of `greedy_clusters` for batches of any size.
+
+    In rounds, an unassigned post that is the best of all within two steps is a seed: no earlier seed can take it or one of its
+    neighbours. Each round has the best unassigned post at least.
+    """
+    posts = written(posts.select("batch", "id", F.struct(F.col("score"), -F.col("id")).alias("r"), "embedding"), "cluster-posts")
+    pairs = near_pairs(posts, threshold, size)
+    edges = written(pairs.unionByName(pairs.select("batch", F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), "cluster-edges")
+    live, done = posts.select("batch", "id", "r"), None
+    while live.take(1):
+        named = lambda df, to: df.withColumnRenamed("id", to)
+        edges = written(edges.join(named(live.select("batch", "id"), "a"), ["batch", "a"], "left_semi").join(named(live.select("batch", "id"), "b"), ["batch", "b"], "left_semi").select("batch", "a", "b", "cosine"), "cluster-edges")
+        best, step = live.withColumn("best", F.col("r")), None
+        for _ in range(2):
+            step = edges.join(named(best.select("batch", "id", "best"), "b"), ["batch", "b"]).groupBy("batch", F.col("a").alias("id")).agg(F.max("best").alias("near"))
+            best = written(best.join(step, ["batch", "id"], "left").select("batch", "id", "r", F.when(F.col("near") > F.col("best"), F.col("near")).otherwise(F.col("best")).alias("best")), "cluster-best")
+        seeds = best.where("best = r").select("batch", "id")
+        near = edges.join(named(seeds, "a"), ["batch", "a"]).join(named(live, "b"), ["batch", "b"])
+        taken = top_per_key(near, ["batch", "a"], most - 1, F.desc("cosine"), F.desc("r")).select("batch", F.col("b").alias("id"), F.col("a").alias("seed"), F.col("rank").alias("position"))
+        new = written(seeds.select("batch", "id", F.col("id").alias("seed"), F.lit(0).cast("long").alias("position")).unionByName(taken), "clusters")
+        done = new if done is None else done.unionByName(new)
+        live = written(live.join(new, ["batch", "id"], "left_anti"), "cluster-live")
+    if done is None:
+        return posts.select("batch", "id", F.lit(-1).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("position"))
+    big = done.groupBy("batch", "seed").count().where(F.col("count") >= least).join(posts.select("batch", F.col("id").alias("seed"), "r"), ["batch", "seed"])
+    numbers = big.select("batch", "seed", (F.row_number().over(W.partitionBy("batch").orderBy(F.desc("r"))).cast("long") - 1).alias("cluster_id"))
+    return done.join(numbers, ["batch", "seed"], "left").select("batch", "id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), "position")
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     m = np.stack(pdf["embedding"].to_numpy()).astype(float)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
@@ -109,9 +137,8 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 def dedup_semantic(posts: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(batch, id): each batch's posts without near copies, in the order (score desc, id): a kept post removes later ones.
 
-    A batch is one digest's posts after its cut, at most MOST_BATCH rows.
+    A batch is one digest's posts after its cut, which one task compares; `dedup_in_blocks` is for whole tables.
     """
-    bounded = top_per_key(posts, ["batch"], MOST_BATCH, F.desc("score"), F.col("id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
@@ -122,12 +149,14 @@ def dedup_semantic(posts: DataFrame, threshold: float = 0.92) -> DataFrame:
                 alive[i + 1 :] &= near[i + 1 :] @ near[i] <= threshold
         return pdf.loc[alive, ["batch", "id"]]
 
-    return bounded.select("batch", "id", "score", "embedding").groupBy("batch").applyInPandas(run, "batch long, id long")
+    return posts.select("batch", "id", "score", "embedding").groupBy("batch").applyInPandas(run, "batch long, id long")
 
 
 def greedy_clusters(posts: DataFrame, threshold: float = 0.55, most: int = 25, least: int = 3) -> DataFrame:
-    """(batch, id, cluster_id, position): seeds in order of score take their nearest unassigned posts; small ones are cluster -1."""
-    bounded = top_per_key(posts, ["batch"], MOST_BATCH, F.desc("score"), F.col("id"))
+    """(batch, id, cluster_id, position): seeds in order of score take their nearest unassigned posts; small ones are cluster -1.
+
+    One task clusters a batch, a digest's posts after its cut; `clusters_in_blocks` is for whole tables.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
@@ -144,7 +173,7 @@ def greedy_clusters(posts: DataFrame, threshold: float = 0.55, most: int = 25, l
             n += big
         return pdf.assign(cluster_id=cluster, position=position)[["batch", "id", "cluster_id", "position"]]
 
-    return bounded.select("batch", "id", "score", "embedding").groupBy("batch").applyInPandas(run, "batch long, id long, cluster_id long, position long")
+    return posts.select("batch", "id", "score", "embedding").groupBy("batch").applyInPandas(run, "batch long, id long, cluster_id long, position long")
 
 
 def _posts(spark, sf_dir, score: Column) -> DataFrame:
@@ -154,7 +183,7 @@ def _posts(spark, sf_dir, score: Column) -> DataFrame:
 
 @query("d4_dedup_semantic")
 def d4(spark, sf_dir):
-    return dedup_semantic(_posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))), 0.35)
+    return dedup_in_blocks(_posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))), 0.35).where("kept").select("batch", "id")
 
 
 @query("d4_dedup_semantic_scalable")
@@ -165,4 +194,4 @@ def d4s(spark, sf_dir):
 
 @query("c1_greedy_clusters")
 def c1(spark, sf_dir):
-    return greedy_clusters(_posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))), 0.3)
+    return clusters_in_blocks(_posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))), 0.3)

@@ -167,6 +167,18 @@ def test_every_near_pair(spark):
     assert not any(a in kept and b in kept for a, b in want)
 
 
+def test_whole_batches(spark):
+    rng = np.random.default_rng(4)
+    some = rng.normal(size=(60, 8))
+    rows = [(i % 2, i, float(i % 4), (some[i % 60] if i < 80 else np.zeros(8)).tolist()) for i in range(84)]
+    posts = spark.createDataFrame(rows, "batch long, id long, score double, embedding array<double>")
+    pairs = lambda df: sorted(map(tuple, df.collect()))
+    assert pairs(similar.dedup_in_blocks(posts, 0.5, 15).where("kept").select("batch", "id")) == pairs(similar.dedup_semantic(posts, 0.5))
+    assert pairs(similar.clusters_in_blocks(posts, 0.5, 4, size=15).select("batch", "id", "cluster_id")) == pairs(similar.greedy_clusters(posts, 0.5, 4).select("batch", "id", "cluster_id"))
+    large = spark.range(5100).select(F.lit(1).cast("long").alias("batch"), "id", F.lit(1.0).alias("score"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.sin(F.col("id") * (j + 1) * 1.37)).alias("embedding"))
+    assert similar.dedup_in_blocks(large, 0.99999).count() == 5100 and similar.clusters_in_blocks(large, 0.99999).count() == 5100
+
+
 def test_search_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     v, q = rng.normal(size=(90, 8)), rng.normal(size=(25, 8))
