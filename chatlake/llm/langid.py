@@ -3,7 +3,7 @@
 Training counts, for every language, the 4-byte grams of its documents (ASCII lower-cased, hashed to BUCKETS). A document's
 words are its units: a word's likelihood in a language is the product over the grams that start in it. Expectation
 maximisation estimates the proportions of the languages; it runs for growing sets of languages (the best, the best two,
-...), and the set with the largest likelihood less (set size / 2) * ln(words) is selected. The language with the largest
+...; all whose next one has a share in the fit of all languages), and the set with the largest likelihood less (set size / 2) * ln(words) is selected. The language with the largest
 proportion in it is the prediction and that proportion the score.
 
 The model has a row per language and bucket at most; it is what the driver holds, and its size does not depend on the
@@ -26,7 +26,7 @@ from .textops import LOWER, U, chunks, words
 
 BITS = 15
 BUCKETS = 1 << BITS
-ROUNDS, MOST_LANGUAGES = 8, 3
+ROUNDS = 8
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -121,7 +121,7 @@ def mixtures(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray
     chosen[np.arange(len(heads)), best] = 1
     value = alone.max(axis=1) - 0.5 * np.log(sizes)
     order = np.argsort(-full, axis=1, kind="stable")
-    for size in range(2, min(k, MOST_LANGUAGES) + 1):
+    for size in range(2, k + 1):
         # a further language can only pay if the full fit gives it a share
         some = np.flatnonzero(full[np.arange(len(heads)), order[:, size - 1]] > 0.01)
         if not len(some):

@@ -401,6 +401,17 @@ def test_language_mixture(spark):
     assert set(r.languages) >= {"en", "fr"} and all(0.25 < r.languages[x] < 0.75 for x in ("en", "fr"))
 
 
+def test_four_languages(spark):
+    docs = sample(spark)
+    model = langid.train(docs)
+    long = docs.where("length(text) > 1400").groupBy("lang").agg(F.max_by("text", F.struct(-F.col("doc_id"))).alias("text")).collect()
+    text = {r.lang: r.text for r in long}
+    assert len(model[0]) == len(text) == 4
+    four = " ".join(text[lang][:n] for lang, n in zip(sorted(text), (1400, 1000, 800, 800)))
+    r = langid.predicted(spark.createDataFrame([(1, four)], "doc_id long, text string"), model, ["doc_id"]).first()
+    assert set(r.languages) == set(text) and r.lang_pred == sorted(text)[0] and r.score < 0.4
+
+
 def test_language_edges(spark):
     docs = texts_table(spark, extra=ODD)
     model = langid.train(docs)
