@@ -1,14 +1,17 @@
 """Language-model scores from Brown class-based bigrams.
 
 Training counts every token of the training documents (by 64-bit hash). The CLUSTERED most frequent words and the end of
-a document are assigned to CLASSES by the exchange algorithm: each word moves to the class that raises the likelihood of the
-class bigrams most, until no word moves. All other words are one class. The model's probability of a token is
+a document are assigned to classes by the exchange algorithm: each word moves to the class that raises the likelihood of the
+class bigrams most, until no word moves. Every other training word then goes to the class of the largest gain, taken over its
+neighbours' classes (other such words are one class there) as counted for the whole corpus; each pair counts by itself. The model's
+probability of a token is
 
     P(class | class before) * (c + 0.1) / (N_class + 0.1 * (V_class + 1))
 
-with additively smoothed transitions. The KEPT most frequent words' counts travel to the tasks; the counts of all other words, without a
-bound, are joined to the documents' rare words by a shuffle. Class bigram counts are at most (CLUSTERED + 2)^2 numbers, which
-is all that the driver sees.
+with additively smoothed transitions, counted over all training words' classes. Unknown words are a class of their own. There are
+CLASSES classes, more (the fourth root) for a vocabulary beyond a million words. The KEPT most frequent words' counts and classes
+travel to the tasks; those of all other words, without a bound, are joined to the documents' rare words by a shuffle. The driver
+sees at most (CLUSTERED + 2)^2 numbers and the KEPT words.
 
 Defined cases: a null text is one end token; rows with equal ids are scored each by itself; without training rows all words
 are unknown and c = 0; an empty table gives no rows; extra columns are ignored.
@@ -187,6 +190,48 @@ def class_model(bigrams: np.ndarray, of: np.ndarray, counts: np.ndarray, total:
     return moves, np.log10(size + ALPHA * (words_in + 1))
 
 
+def tail_classes(texts: DataFrame, head: np.ndarray, of: np.ndarray, bigrams: np.ndarray) -> DataFrame:
+    """h, c, cls of every word outside the head, by the gain of its pairs with its neighbours' classes."""
+    rest, order = int(of.max()), np.argsort(head)
+    k, ranked = rest + 1, head[order]
+    member = np.zeros((len(of), k))
+    member[np.arange(len(of)), of] = 1
+    g = member.T @ bigrams @ member
+    # a pair's count, by the class before (first k rows) or after (last k) and the word's class
+    pair, size = np.r_[g[:, :rest], g[:rest].T], bigrams.sum(axis=1) @ member[:, :rest]
+    xlx = lambda x: x * np.log(np.maximum(x, 1e-12))
+    end_class = int(of[np.flatnonzero(head == END)[0]])
+
+    def contexts(batches):
+        for batch in batches:
+            for _, data, off in chunks(batch.column(0)):
+                h, _ = tokens(data, off)
+                cls = of[looked_up(ranked, order, h, len(head))]
+                at = np.flatnonzero(cls == rest)
+                if not len(at):
+                    continue
+                own, index = np.unique(h[at], return_inverse=True)
+                # an end follows every word, so the next token is of the same text
+                both = np.r_[index * 2 * k + np.r_[end_class, cls[:-1]][at], index * 2 * k + k + cls[at + 1]]
+                keys, n = np.unique(both, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(own[keys // (2 * k)].view(np.int64)), pa.array(keys % (2 * k)), pa.array(n)], names=["h", "slot", "n"])
+
+    def assign(batches):
+        for batch in batches:
+            codes, many = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            if not len(many):
+                continue
+            heads = np.cumsum(many) - many
+            slot, n = codes >> 40, codes & ((1 << 40) - 1)
+            gain = np.add.reduceat(xlx(pair[slot] + n[:, None]) - xlx(pair)[slot], heads, axis=0)
+            c = np.add.reduceat(np.where(slot < k, n, 0), heads)
+            gain -= 2 * (xlx(size + c[:, None]) - xlx(size))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c), pa.array(gain.argmax(axis=1).astype(np.int64))], names=["h", "c", "cls"])
+
+    counted = texts.mapInArrow(contexts, "h long, slot long, n long").groupBy("h", "slot").agg(F.sum("n").alias("n"))
+    return counted.groupBy("h").agg(F.collect_list(F.shiftleft("slot", 40).bitwiseOR(F.col("n"))).alias("codes")).mapInArrow(assign, "h long, c long, cls long")
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, clustered: int = CLUSTERED, classes: int = CLASSES, kept: int = KEPT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row."""
     spark = docs.sparkSession
@@ -196,23 +241,31 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     counts = written(token_counts(training), "lm-counts")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top, top_counts = frequent(counts, kept)
+    if len(top) < min(clustered, stats.v):  # a band of equal counts passes `kept`
+        got = counts.orderBy(F.desc("c"), "h").limit(clustered).toPandas()
+        top, top_counts = got["h"].to_numpy(np.int64).view(U), got["c"].to_numpy(np.int64)
     if not (top == END).any():  # no training rows, or more tokens than `kept` as frequent as the end
         n_end = counts.where(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         top, top_counts = np.r_[top, END], np.r_[top_counts, n_end]
     chosen = np.unique(np.r_[np.arange(min(clustered, len(top))), np.flatnonzero(top == END)])
     words_, word_counts = top[chosen], top_counts[chosen]
     bigrams = word_bigrams(training, words_)
-    of = exchange(bigrams, classes)
-    moves, sizes = class_model(bigrams, of, word_counts, stats.n, max(stats.v, len(word_counts)))
-    flat_moves, rest, k = moves.ravel(), int(of.max()), moves.shape[0]
-    by_hash, end_class = np.argsort(top), int(of[np.flatnonzero(words_ == END)[0]])
+    of = exchange(bigrams, max(classes, int(stats.v**0.25)))
+    tail = written(tail_classes(training, words_, of, bigrams), "lm-tail")
+    rest, end_class = int(of.max()), int(of[np.flatnonzero(words_ == END)[0]])
+    k = rest + 1
+    by_hash = np.argsort(top)
     ranked, logs, known = top[by_hash], np.log10(top_counts[by_hash] + ALPHA), top_counts[by_hash] > 0
     class_of = np.full(len(top), rest)
     class_of[chosen] = of[:-1]
     class_of = class_of[by_hash]
+    near = tail.where(F.col("c") >= int(top_counts[top != END].min() if (top != END).any() else 1 << 62))
+    if len(top) > len(words_):
+        got = near.join(spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "h long"), "h", "left_semi").toPandas()
+        class_of[np.searchsorted(ranked, got["h"].to_numpy(np.int64).view(U))] = got["cls"].to_numpy(np.int64)
     everyone = np.arange(len(top))
 
-    def score(batches):
+    def place_words(batches):
         row = TaskContext.get().partitionId() << 34
         for batch in batches:
             held = np.array(batch.column(2).to_pylist(), bool)
@@ -221,39 +274,82 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                 h, doc = tokens(data, off)
                 place = looked_up(ranked, everyone, h, -1)
                 found = place >= 0
-                cls = np.where(found, class_of[place], rest)
-                steps = flat_moves[np.r_[end_class, cls[:-1]] * k + cls] - sizes[cls]
+                cls = np.where(found, class_of[place], rest).astype(np.int32)
                 ids, uid = batch.column(0).slice(at, n), np.arange(row, row + n)
                 row += n
-                sums = [np.bincount(doc, x, n) for x in (np.where(found, logs[place], 0.0), steps)]
+                sizes = counts_per(doc, n)
+                starts = np.cumsum(sizes) - sizes
                 n_known = np.bincount(doc[found], known[place[found]], n).astype(np.int64)
                 none = lambda kind, size: pa.nulls(size, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(uid), none(pa.int64(), n), none(pa.int64(), n), ids, pa.array(held[at : at + n]), pa.array(counts_per(doc, n)), pa.array(n_known), pa.array(np.bincount(doc[~found], minlength=n)), pa.array(sums[0]), pa.array(sums[1])], names=names)
-                # rare words, once per document with their number
+                lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(uid), none(pa.int64(), n), none(pa.list_(pa.int32()), n), ids, pa.array(held[at : at + n]), pa.array(sizes), pa.array(n_known), pa.array(np.bincount(doc[~found], minlength=n)), pa.array(np.bincount(doc, np.where(found, logs[place], 0.0), n)), lists(cls, np.r_[starts, len(cls)])], names=names)
+                # rare words, once per document with their places
                 rare = np.flatnonzero(~found)
                 order = rare[np.lexsort((h[rare], doc[rare]))]
                 heads = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(order) else order
-                many = np.diff(np.r_[heads, len(order)])
                 m = len(heads)
                 if m:
-                    yield pa.RecordBatch.from_arrays([pa.array(uid[doc[order][heads]]), pa.array(h[order][heads].view(np.int64)), pa.array(many), none(ids.type, m), none(pa.bool_(), m), *[none(t, m) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[doc[order][heads]]), pa.array(h[order][heads].view(np.int64)), lists(order - starts[doc[order]], np.r_[heads, len(order)]), none(ids.type, m), none(pa.bool_(), m), *[none(t, m) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()))]], names=names)
 
-    names = ["uid", "h", "n", "id", "held_out", "n_tokens", "n_known", "n_rare", "logs", "steps"]
+    names = ["uid", "h", "at", "id", "held_out", "n_tokens", "n_known", "n_rare", "logs", "cls"]
     kind = docs.schema[id_col].dataType.simpleString()
-    both = written(rows.mapInArrow(score, f"uid long, h long, n long, id {kind}, held_out boolean, n_tokens long, n_known long, n_rare long, logs double, steps double"), "lm-rows")
-    rare = both.where("h is not null").select("uid", "h", "n").join(counts, "h").groupBy("uid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + ALPHA)).alias("rare_logs"))
-    named = both.where("h is null").join(rare, "uid", "left")
+    both = written(rows.mapInArrow(place_words, f"uid long, h long, at array<int>, id {kind}, held_out boolean, n_tokens long, n_known long, n_rare long, logs double, cls array<int>"), "lm-rows")
+    joined = both.where("h is not null").select("uid", "h", "at").join(tail, "h").withColumn("n", F.size("at"))
+    rare = joined.groupBy("uid").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + ALPHA)).alias("rare_logs"), F.flatten(F.collect_list(F.expr("transform(at, p -> shiftleft(cls, 32) | p)"))).alias("codes"))
+    named = both.where("h is null").drop("h", "at").join(rare, "uid", "left")
     rare_known = F.coalesce("rare_known", F.lit(0))
-    logs = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + (F.col("n_rare") - rare_known) * math.log10(ALPHA)
-    return named.select(
+    logs_ = F.col("logs") + F.coalesce("rare_logs", F.lit(0.0)) + (F.col("n_rare") - rare_known) * math.log10(ALPHA)
+
+    def fill(batches):
+        for batch in batches:
+            cls, codes = batch.column(5), batch.column(6)
+            flat, many = cls.flatten().to_numpy().copy(), cls.value_lengths().to_numpy()
+            starts, own = np.cumsum(many) - many, codes.value_lengths().fill_null(0).to_numpy()
+            code = codes.flatten().to_numpy()
+            flat[np.repeat(starts, own) + (code & 0xFFFFFFFF)] = code >> 32
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(np.r_[starts, len(flat)].astype(np.int32)), pa.array(flat))], names=[*batch.schema.names[:5], "cls"])
+
+    filled = named.select("id", "held_out", "n_tokens", (F.col("n_known") + rare_known).alias("n_known"), logs_.alias("logs"), "cls", "codes")
+    sequences = written(filled.mapInArrow(fill, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, cls array<int>"), "lm-sequences")
+
+    def transitions(batches):
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            c = batch.column(0).flatten().to_numpy().astype(np.int64)
+            if len(c):
+                total += np.bincount(np.r_[end_class, c[:-1]] * k + c, minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    got = sequences.where("not held_out").select("cls").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    g = np.zeros(k * k)
+    g[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
+    g = g.reshape(k, k)
+    moves = np.log10((g + ALPHA) / (g.sum(axis=1, keepdims=True) + ALPHA * k)).ravel()
+    n_class, v_class = np.bincount(of[:-1], word_counts, k), np.bincount(of[:-1], minlength=k).astype(float)
+    for r in tail.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        n_class[r.cls] += r.c
+        v_class[r.cls] += r.v
+    emitted = np.log10(n_class + ALPHA * (v_class + 1))
+
+    def score(batches):
+        for batch in batches:
+            c, many = batch.column(5).flatten().to_numpy().astype(np.int64), batch.column(5).value_lengths().to_numpy()
+            if not len(many):
+                continue
+            steps = moves[np.r_[end_class, c[:-1]] * k + c] - emitted[c]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.add.reduceat(steps, np.cumsum(many) - many))], names=[*batch.schema.names[:5], "steps"])
+
+    out = sequences.mapInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, steps double")
+    return out.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_known") + rare_known).alias("n_known"),
+        "n_known",
         F.lit(stats.n).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(stats.n + ALPHA * (stats.v + 1))).alias("base_score"),
-        (logs + F.col("steps")).alias("score"),
-        F.pow(F.lit(10.0), -(logs + F.col("steps")) / F.col("n_tokens")).alias("perplexity"),
+        (F.col("logs") - F.col("n_tokens") * math.log10(stats.n + ALPHA * (stats.v + 1))).alias("base_score"),
+        (F.col("logs") + F.col("steps")).alias("score"),
+        F.pow(F.lit(10.0), -(F.col("logs") + F.col("steps")) / F.col("n_tokens")).alias("perplexity"),
     )
 
 

@@ -455,6 +455,23 @@ def test_class_model_beats_unigrams(spark):
     assert len(set(of[:5])) == 1 and len(set(of[5:])) == 1 and of[0] != of[5]
 
 
+def test_rare_words_have_classes(spark):
+    """Two alternating kinds of words, most of them outside the clustered ones: their order is still learnt."""
+    r = random.Random(2)
+    kinds = [[f"{x}{i}" for i in range(150)] for x in "nv"]
+    weights = [20 if i < 10 else 1 for i in range(150)]
+    texts = [" ".join(r.choices(kinds[j % 2], weights)[0] for j in range(40)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    per_token = {}
+    for kept in (100_000, 30):
+        got = classlm.scored(docs, clustered=20, classes=4, kept=kept).toPandas().sort_values("doc_id")
+        per_token[kept] = got["score"].to_numpy()
+        held = got[got["held_out"]]
+        # the kind of the next word is certain: nearly log10(2) a token
+        assert (held["score"] - held["base_score"]).sum() / held["n_tokens"].sum() > 0.25
+    assert np.allclose(per_token[100_000], per_token[30])
+
+
 def test_class_model_is_a_distribution():
     rng = np.random.default_rng(0)
     b = rng.integers(0, 9, (12, 12)).astype(float)
