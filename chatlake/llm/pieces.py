@@ -25,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows
 
 MARK = "▁"
 
@@ -191,7 +190,6 @@ def encoder_for(path: str) -> PrefixTableEncoder:
 
 def encoded_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, and on request ids and decoded."""
-    arrow_rows(docs.sparkSession, 500)
     extra = [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
     def encode(batches):

@@ -2,17 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import new_path, written
+from ..sources import tables
+from ..sources.tables import new_path
+
+__all__ = ["batches", "free_name", "id_remainder", "new_path", "slices", "written"]
+
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int = 10_000, mb: int = 4) -> Iterator[None]:
+    """Actions inside hand Python workers at most so many rows and MB at a time. The session's own settings come back."""
+    before = {key: spark.conf.get(key) for key in (_ROWS, _BYTES)}
+    spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, f"{mb}m")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def written(df: DataFrame, name: str, rows: int = 10_000, mb: int = 4) -> DataFrame:
+    """df as a Parquet table in the shared folder, made in batches of at most so many rows and MB."""
+    with batches(df.sparkSession, rows, mb):
+        return tables.written(df, name)
+
 
-__all__ = ["arrow_rows", "id_remainder", "new_path", "written"]
+def slices(batch: pa.RecordBatch, mb: float = 4) -> Iterator[pa.RecordBatch]:
+    """A batch of the session's size in parts of about so many MB: bounds what a task makes of it at once."""
+    step = max(1, int(batch.num_rows * mb * 1_000_000 / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 500) -> None:
-    """Texts reach Python workers so many at a time, which bounds a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or the first of name_1, name_2, ... that is not taken; Spark compares names without case."""
+    low, n, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in low:
+        n += 1
+        out = f"{name}_{n}"
+    return out
 
 
 def id_remainder(column: str, modulus: int):

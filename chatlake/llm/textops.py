@@ -41,7 +41,7 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def chunks(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, most: int = 500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with at most so many bytes, or of one longer row. Null counts as ''."""
     texts = texts.fill_null("").cast(pa.large_string())
     n = len(texts)
