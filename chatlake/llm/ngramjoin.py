@@ -17,30 +17,34 @@ document's connected component. Steps:
    pair of their blocks, now also dropping pairs of one component: no link between components is lost, and a group of
    thousands of near copies costs pairs in proportion to its size.
 
-Shingles are compared by 64-bit hashes. Defined cases: a null text, or one without words, has an empty set and is a
+Shingles are compared by 64-bit hashes, at the end whole sets of them. Work on pairs is cut by the bytes of their bitmaps and
+batches by their bytes, so that long texts cost time and not memory. Defined cases: a null text, or one without words, has an empty set and is a
 component of its own; fewer than 5 words are one shingle; repeated rows are equal sets; null ids link like others and a
 component's id is the smallest that is not null; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .components import components
-from .shared import arrow_rows, written
+from .shared import batches, free_name, written
 from .textops import LOWER, U, chained, chunks, mix, span_hashes, words
 
 SHINGLE, BLOCK, SMALL = 5, 512, 8
 LEAST_BITS, MOST_BITS = 256, 65_536
 SAMPLE_DOCS, SAMPLE_COMMON, SEGMENT = 4000, 4, 4096
-#: Verification sees so many bytes of a shingle's hash: two sets of 1,000 have a false common shingle once in 10^6 pairs.
-KEPT_BYTES = 5
-#: Ids of at most so many nodes travel by broadcast; beyond, texts are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bytes of bitmaps that a traversal holds side by side, and shingles that the sample can send through the driver.
+PAIR_BYTES, MOST_COMMON = 4_000_000, 200_000
+#: Numeric ids of at most so many nodes (32 bytes each) travel by broadcast; beyond, texts are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -96,14 +100,16 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(data, off), np.zeros(0, U)]).view(np.int64))], names=["h"])
 
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(every)) == 0).select("text")
-    found = sample.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_COMMON).toPandas()
+    counted = sample.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_COMMON)
+    with batches(rows.sparkSession):
+        found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
     h, n = found["h"].to_numpy(np.int64).view(U), found["count"].to_numpy(np.int64) * every
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def nodes_of(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """uid, id, n, s1, s2, prefix, bits of each row."""
+    """uid, id, null_key, n, s1, s2, prefix, bits of each row."""
 
     def make(batches):
         uid = TaskContext.get().partitionId() << 34
@@ -121,11 +127,11 @@ def nodes_of(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     offsets.append(offsets[-1] + len(p))
                 both = [digest(s) for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, U)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), lists, pa.array([bitmap(s) for s in sets], pa.binary())], names=["uid", "id", "n", "s1", "s2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), lists, pa.array([bitmap(s) for s in sets], pa.binary())], names=["uid", "id", "null_key", "n", "s1", "s2", "prefix", "bits"])
                 uid += m
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"uid long, id {kind}, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    return rows.mapInArrow(make, f"uid long, id {kind}, null_key string, n long, s1 long, s2 long, prefix array<long>, bits binary")
 
 
 BLOCKS = "gid long, block int, alone boolean, size int, lo long, hi long, members array<long>"
@@ -189,6 +195,16 @@ def token_blocks(sorted_tokens: DataFrame) -> DataFrame:
     return sorted_tokens.mapInArrow(cut, BLOCKS)
 
 
+def largest_overlaps(i: np.ndarray, j: np.ndarray, bits: np.ndarray, bits2: np.ndarray, slack: np.ndarray, slack2: np.ndarray) -> np.ndarray:
+    """The bound of each pair (i, j), over so many pairs at a time that their bitmaps fit PAIR_BYTES."""
+    step = max(1, PAIR_BYTES // (8 * bits.shape[1]))
+    out = np.zeros(len(i), np.int64)
+    for at in range(0, len(i), step):
+        p, q = i[at : at + step], j[at : at + step]
+        out[at : at + step] = np.bitwise_count(bits[p] & bits2[q]).sum(axis=1) + np.minimum(slack[p], slack2[q])
+    return out
+
+
 class SignatureTree:
     """Levels of up to FAN children; level 0 has the nodes themselves."""
 
@@ -223,10 +239,7 @@ def survivors(a: SignatureTree, b: SignatureTree | None = None) -> tuple[np.ndar
         sizes = (5 * hi[i] >= 4 * lo2[j]) & (5 * hi2[j] >= 4 * lo[i])
         one_label = (first[i] == last[i]) & (first2[j] == last2[j]) & (first[i] == first2[j])
         i, j = i[sizes & ~one_label], j[sizes & ~one_label]
-        bound = np.zeros(len(i), np.int64)
-        for part in range(0, len(i), 100_000):
-            p, q = i[part : part + 100_000], j[part : part + 100_000]
-            bound[part : part + 100_000] = np.bitwise_count(bits[p] & bits2[q]).sum(axis=1) + np.minimum(slack[p], slack2[q])
+        bound = largest_overlaps(i, j, bits, bits2, slack, slack2)
         may = 9 * bound >= 4 * (lo[i] + lo2[j])
         i, j, bound = i[may], j[may], bound[may]
         if level:
@@ -336,12 +349,9 @@ def block_pairs(rows: DataFrame) -> DataFrame:
             slack = np.zeros(len(bits), np.int64)
             there = np.flatnonzero(place >= 0)
             slack[place[there]] = n[there] - np.bitwise_count(bits[place[there]]).sum(axis=1)
-            for part_ in range(0, len(pick), 20_000):
-                own = pick[part_ : part_ + 20_000]
-                p, q = place[i[own]], place[j[own]]
-                bound = np.bitwise_count(bits[p] & bits[q]).sum(axis=1) + np.minimum(slack[p], slack[q])
-                may = 9 * bound >= 4 * (n[i[own]] + n[j[own]])
-                found.append((i[own][may], j[own][may]))
+            bound = largest_overlaps(place[i[pick]], place[j[pick]], bits, bits, slack, slack)
+            may = 9 * bound >= 4 * (n[i[pick]] + n[j[pick]])
+            found.append((i[pick][may], j[pick][may]))
         for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
             own = uid[head : head + size]
             i, j, _ = block_survivors(n[head : head + size], own, maps.within(head, head + size))
@@ -385,22 +395,11 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(lambda batches: _runs(batches, 0, traverse), "a long, b long")
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The first KEPT_BYTES of each hash, in order."""
-    return (s >> U(64 - 8 * KEPT_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
-
-
-def unpacked(data) -> np.ndarray:
-    out = np.zeros((len(data) // KEPT_BYTES, 8), np.uint8)
-    out[:, :KEPT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
-    return out.view("<u8").ravel()
-
-
 def whole_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """uid and set (packed) of the wanted nodes, made from their texts again; a node may come twice if ids repeat."""
+    """uid and set (its hashes' bytes) of the wanted nodes, made from their texts again; a node may come twice if ids repeat."""
     who = written(nodes.join(wanted, "uid", "left_semi").select("uid", "id", "n", "s1", "s2"), "join-wanted")
     ids = who.select("id").distinct()
-    small = who.count() <= BROADCAST_IDS
+    small = isinstance(rows.schema["id"].dataType, NumericType) and who.count() <= BROADCAST_IDS
     ids = F.broadcast(ids) if small else ids
     texts = rows.join(ids.withColumnRenamed("id", "_id"), rows["id"].eqNullSafe(F.col("_id")), "left_semi").select("text")
 
@@ -409,7 +408,7 @@ def whole_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
             for _, data, off in chunks(batch.column(0)):
                 sets = shingle_sets(data, off)
                 both = [digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), pa.array([packed(s) for s in sets], pa.binary())], names=["n", "s1", "s2", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "s1", "s2", "set"])
 
     sets = texts.mapInArrow(make, "n long, s1 long, s2 long, set binary")
     key = who.select("uid", "n", "s1", "s2")
@@ -420,7 +419,6 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose whole sets link."""
     wanted = pairs.select(F.col("a").alias("uid")).union(pairs.select(F.col("b").alias("uid"))).distinct()
     sets = written(whole_sets(rows, nodes, wanted), "join-sets")
-    arrow_rows(rows.sparkSession, 500)
 
     def check(batches):
         for batch in batches:
@@ -429,8 +427,8 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
             last, one = None, None
             for r, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 if last is None or a[r] != last:
-                    last, one = a[r], unpacked(x.as_buffer())
-                two = unpacked(y.as_buffer())
+                    last, one = a[r], np.frombuffer(x.as_buffer(), U)
+                two = np.frombuffer(y.as_buffer(), U)
                 at = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 both = int((one[at] == two).sum())
                 ok[r] = 100 * both >= 80 * (len(one) + len(two) - both)
@@ -480,29 +478,42 @@ class Settled:
             left = written(self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b"), "join-left")
 
 
+def tiles_of(summary: DataFrame) -> DataFrame:
+    """(gid, bid, lo, hi, first, last), a row per block -> the pairs of a group's blocks that can hold a link between components.
+
+    Blocks meet by (group, band of sizes), bands a factor of 1.26 apart: a large group joins its neighbouring sizes only.
+    """
+    band = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1))) / math.log(1.26)).cast("int")
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("bid", "lo", "hi", "first", "last")]
+    left = summary.select("gid", *side(1), F.explode(F.sequence(band("lo"), band("hi"))).alias("band"))
+    right = summary.select("gid", *side(2), F.explode(F.sequence(band("lo") - 1, band("hi") + 1)).alias("band"))
+    one_label = (F.col("first1") == F.col("last1")) & (F.col("first2") == F.col("last2")) & (F.col("first1") == F.col("first2"))
+    met = left.join(right, ["gid", "band"]).where((F.col("bid1") <= F.col("bid2")) & (5 * F.col("hi1") >= 4 * F.col("lo2")) & (5 * F.col("hi2") >= 4 * F.col("lo1")) & ~one_label)
+    return met.select("bid1", "bid2").distinct().withColumn("tile", F.monotonically_increasing_id())
+
+
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, set_rows (rows with the same set) of each row of docs."""
+    """id, n_shingles, component_id, set_rows (rows with the same set) of each row of docs, and null_key: for
+    rows without id that stand for a component without ids, the SHA-256 of their text, else null."""
     spark = docs.sparkSession
-    arrow_rows(spark, 500)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common, common_n = common_shingles(rows, rows.count())
-    every = written(nodes_of(rows, common), "join-rows")
+    keyed_rows = rows.withColumn("null_key", F.when(F.col("id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    every = written(nodes_of(keyed_rows, common), "join-rows")
     # nodes: one for each set
-    nodes = written(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("id"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "join-nodes")
+    nodes = written(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("id"), F.min("null_key").alias("null_key"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "join-nodes")
     tokens = nodes.select("uid", "n", F.explode("prefix").alias("token"))
     cut_up = {int(h.view(np.int64)): int(-(-n // SEGMENT)) for h, n in zip(common, common_n) if n > SEGMENT}
     seg = F.lit(-1)
-    if cut_up:  # at most the sample's texts times their shingles / SAMPLE_COMMON
+    if cut_up:  # at most MOST_COMMON
         hot = spark.createDataFrame(list(cut_up.items()), "token long, segs int")
         tokens = tokens.join(F.broadcast(hot), "token", "left")
         seg = F.when(F.col("segs").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("uid"), F.col("segs"))).cast("int")
-    arrow_rows(spark, 50_000)
     keyed = tokens.select("token", seg.alias("seg"), "n", "uid").repartition("token", "seg").sortWithinPartitions("token", "seg", "n", "uid")
-    blocks = written(token_blocks(keyed), "join-cuts")
+    blocks = written(token_blocks(keyed), "join-cuts", rows=50_000)
     alone = blocks.where("alone").groupBy("gid", "size", "lo", "hi").agg(F.first("members").alias("members")).select("gid", F.lit(0).alias("block"), "size", "lo", "hi", "members")
     blocks = written(alone.unionByName(blocks.where("not alone").select("gid", "block", "size", "lo", "hi", "members")).withColumn("bid", F.monotonically_increasing_id()), "join-blocks")
     light = nodes.select("uid", "n", "bits")
-    arrow_rows(spark, 5000)
     members = blocks.select("bid", F.explode("members").alias("uid")).join(light, "uid")
     near = written(block_pairs(members.repartition("bid").sortWithinPartitions("bid", "n", "uid")).distinct(), "join-pairs")
     settled = Settled(rows, nodes)
@@ -515,9 +526,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = named.groupBy("gid", "bid").agg(F.min("label").alias("first"), F.max("label").alias("last"))
     mixed = ranges.groupBy("gid").agg(F.min("first").alias("g0"), F.max("last").alias("g1")).where("g0 <> g1").select("gid")
     summary = written(open_blocks.select("gid", "bid", "lo", "hi").join(mixed, "gid", "left_semi").join(ranges.select("bid", "first", "last"), "bid"), "join-summary")
-    left, right = summary.select("gid", *[F.col(c).alias(f"{c}1") for c in ("bid", "lo", "hi", "first", "last")]), summary.select("gid", *[F.col(c).alias(f"{c}2") for c in ("bid", "lo", "hi", "first", "last")])
-    one_label = (F.col("first1") == F.col("last1")) & (F.col("first2") == F.col("last2")) & (F.col("first1") == F.col("first2"))
-    tiles = written(left.join(right, "gid").where((F.col("bid1") <= F.col("bid2")) & (5 * F.col("hi1") >= 4 * F.col("lo2")) & (5 * F.col("hi2") >= 4 * F.col("lo1")) & ~one_label).select(F.monotonically_increasing_id().alias("tile"), "bid1", "bid2"), "join-tiles")
+    tiles = written(tiles_of(summary), "join-tiles")
     if tiles.take(1):
         sides = tiles.select("tile", F.lit(0).alias("side"), F.col("bid1").alias("bid")).union(tiles.where("bid1 <> bid2").select("tile", F.lit(1).alias("side"), F.col("bid2").alias("bid")))
         placed = sides.join(blocks.select("bid", "members"), "bid").select("tile", "side", F.explode("members").alias("uid"))
@@ -526,20 +535,32 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         settled.settle(written(rest, "join-rest"))
 
     # back to rows: a set's node, its label, and the label's smallest id
-    sets = written(settled.label(nodes.select("s1", "s2", "n", "uid", "id", "rows"), "uid", "label"), "join-set-labels")
-    smallest = sets.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = written(sets.join(smallest, "label").select("s1", "s2", "n", "component_id", "rows"), "join-named")
-    out = every.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("rows", F.lit(1)).alias("set_rows"))
+    sets = written(settled.label(nodes.select("s1", "s2", "n", "uid", "id", "null_key", "rows"), "uid", "label"), "join-set-labels")
+    smallest = sets.groupBy("label").agg(F.min("id").alias("component_id"), F.min("null_key").alias("first_key"))
+    named = written(sets.join(smallest, "label").select("s1", "s2", "n", "component_id", "first_key", "rows"), "join-named")
+    out = every.select("id", "null_key", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    in_set = F.col("n") > 0
+    # a row without an id stands for its component if that has no id at all and the row's text comes first by its hash
+    stands = F.col("null_key").isNotNull() & (~in_set | (F.col("component_id").isNull() & (F.col("null_key") == F.col("first_key"))))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(in_set, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("rows", F.lit(1)).alias("set_rows"), F.when(stands, F.col("null_key")).alias("null_key"))
 
 
 def one_per_component(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each component, once. Same columns as docs.
+    """One document of each component. Same columns as docs.
 
-    Rows that share that id and its text count as one; rows that share the id with another text all stay.
+    It is the one with the smallest id, or of a component without ids the text whose SHA-256 comes first. Rows that share that
+    id and text count as one; rows that share the id with another text all stay. Without words, every text stays (null and
+    equal ones without id as one).
     """
-    first = linked_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    own = free_name("_id", docs.columns)
+    key = free_name("_null_key", [*docs.columns, own])
+    linked = written(linked_components(docs), "join-linked")
+    first = linked.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(first, docs["doc_id"] == F.col(own), "left_semi")
+    without = linked.where("null_key is not null").select(F.col("null_key").alias(key)).distinct()
+    if without.take(1):
+        nameless = docs.where("doc_id is null")
+        kept = kept.unionByName(nameless.join(without, F.sha2(F.coalesce(nameless["text"], F.lit("")), 256) == F.col(key), "left_semi"))
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return kept.dropDuplicates(["doc_id", "text"]) if repeated.take(1) else kept
 
