@@ -1,11 +1,18 @@
 """Quality rules at host level.
 
-Each text is measured and held against the base rules; failures are counted by host, each host's failure rate is shrunk
-towards all hosts' by a beta prior fitted to the hosts' rates (method of moments, weighted by documents), and the
-verdict on a host, rejected if its shrunk rate passes a limit, is joined back to its documents.
-
-Word triples are compared by 64-bit hashes. Defined cases: a null text has no words and fails; a null host is a host of
-its own; repeated rows count as often as they occur; an empty table gives no rows; extra columns are ignored.
+Each text is measured and held against base rules and soft rules (symbols a word, repeated lines, mean word length). Failures
+are counted by host, each host's failure rate is shrunk towards all hosts' by a beta prior fitted to the hosts' rates (method of
+moments, weighted by documents), and the verdict on the host is joined back to its documents:
+
+- rejected, if most of its documents fail beyond doubt (the shrunk rate less SURE standard deviations of its posterior is above
+  HOST_LIMIT): all its documents go;
+- trusted, if its shrunk rate is below TRUST times the rate over all documents: its soft failures are forgiven;
+- otherwise a soft failure counts like a base failure.
+
+A document that fails a base rule always goes. Word triples and lines are compared by 64-bit hashes. Defined cases: a null text
+has no words and fails; a null host is a host of its own; very long texts are measured whole, in bounded batches; repeated rows
+count as often as they occur, ties do not arise; an empty table gives no rows; extra columns are ignored, or pass through
+`good_documents` whatever their names.
 """
 
 from __future__ import annotations
@@ -15,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, written
+from .shared import written
 from .textops import U, chained, chunks, code_points, counts_per, mix, span_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: A host goes when its shrunk failure rate passes this.
-HOST_LIMIT = 0.8
+HOST_LIMIT, SURE, TRUST = 0.5, 2.0, 0.5
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Measured beside these, for the soft rules.
+ALL = (*MEASURES, "n_lines")
 
 
 def _repeated(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -35,11 +43,11 @@ def _repeated(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of MEASURES for each text."""
+    """A row of ALL for each text."""
     n = len(off) - 1
     starts, ends, doc = words(data, off)
     points = np.r_[0, np.cumsum(code_points(data))]
-    out = np.zeros((n, 5), np.int64)
+    out = np.zeros((n, len(ALL)), np.int64)
     out[:, 0] = counts_per(doc, n)
     out[:, 1] = np.bincount(doc, points[ends] - points[starts], n)
     symbols = np.r_[0, np.cumsum(SYMBOLS[data])]
@@ -57,7 +65,8 @@ def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     line_doc = np.searchsorted(off, line_starts, side="right") - 1
     lines = mix(span_hashes(data, line_starts, line_ends) + line_doc.astype(U) * U(0xC2B2AE3D27D4EB4F))
     distinct_doc = line_doc[np.unique(lines, return_index=True)[1]]
-    out[:, 3] = counts_per(line_doc, n) - counts_per(distinct_doc, n)
+    out[:, 5] = counts_per(line_doc, n)
+    out[:, 3] = out[:, 5] - counts_per(distinct_doc, n)
     h = span_hashes(data, starts, ends)
     runs = chained(h, 3)
     if len(runs):
@@ -71,56 +80,66 @@ def measures(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, host, the measures and base_failed of each row, or the columns `keep` in place of id and host."""
-    arrow_rows(docs.sparkSession)
-    first = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)] or [F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host")]
-    rows = docs.select(*first, F.col(text_col).alias("_text"))
-    kept = len(first)
+def measured(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """id, host, the measures, base_failed and soft_failed of each row; with `whole`, the columns of docs (c0, c1, ...) for the id."""
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if whole else [F.col(id_col).alias("id")]
+    rows = docs.select(*kept, F.col(host_col).cast("string").alias("host"), *[] if whole else [F.col(text_col).alias("measured_text")])
+    place = docs.columns.index(text_col) if whole else 2
+    n = len(kept) + 1
 
     def measure(batches):
         for batch in batches:
-            made = [measures(data, off) for _, data, off in chunks(batch.column(kept))]
-            all_rows = np.concatenate(made) if made else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *[pa.array(all_rows[:, i]) for i in range(5)]], names=[*batch.schema.names[:kept], *MEASURES])
+            made = [measures(data, off) for _, data, off in chunks(batch.column(place))]
+            all_rows = np.concatenate(made) if made else np.zeros((0, len(ALL)), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(all_rows[:, i]) for i in range(len(ALL))]], names=[*batch.schema.names[:n], *ALL])
+
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:n]]
+    out = rows.mapInArrow(measure, ", ".join([*fields, *[f"{m} long" for m in ALL]]))
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    soft = (10 * F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_dup_lines") > F.col("n_lines")) | (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 40 * F.col("n_words"))
+    out = out.withColumn("base_failed", base).withColumn("soft_failed", soft)
+    return out if whole else out.withColumnRenamed("id", id_col)
+
 
-    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:kept]]
-    out = rows.mapInArrow(measure, ", ".join([*fields, *[f"{m} long" for m in MEASURES]]))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
-    return out if keep else out.withColumnRenamed("id", id_col)
+def host_key(host: str = "host"):
+    """A key that tells a null host from any name."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host)), F.lit(""))
 
 
-def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """host_key, host_docs, host_failures, host_rate (shrunk), host_rejected; one row per host."""
-    hosts = rows.groupBy(F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")).alias("host_key")).agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
+def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT, trust: float = TRUST) -> DataFrame:
+    """host_key, host_docs, host_failures, host_rate (shrunk), host_rejected, host_trusted; one row per host."""
+    failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
+    hosts = written(rows.groupBy(host_key().alias("host_key")).agg(F.count("*").alias("host_docs"), F.sum(failed).alias("host_failures")), "quality-counts")
     rate = F.col("host_failures") / F.col("host_docs")
-    total = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failures").alias("f"), F.count("*").alias("hosts"), F.sum(F.col("host_failures") * rate).alias("f2"))
-    t = total.first()
+    t = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failures").alias("f"), F.count("*").alias("hosts"), F.sum(F.col("host_failures") * rate).alias("f2")).first()
     if not t.n:
-        return hosts.select("host_key", "host_docs", "host_failures", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_rejected"))
+        return hosts.select("*", F.lit(0.0).alias("host_rate"), F.lit(False).alias("host_rejected"), F.lit(False).alias("host_trusted"))
     # mean and variance of the rates, weighted by documents; the variance less what chance alone gives
     mean = t.f / t.n
     between = max(t.f2 / t.n - mean * mean - mean * (1 - mean) * t.hosts / t.n, 1e-6)
     strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1e6)
     shrunk = (F.col("host_failures") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.select("host_key", "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk > limit).alias("host_rejected"))
+    spread = F.sqrt(shrunk * (1 - shrunk) / (F.col("host_docs") + F.lit(strength + 1)))
+    return hosts.select("*", shrunk.alias("host_rate"), (shrunk - SURE * spread > limit).alias("host_rejected"), (shrunk < trust * mean).alias("host_trusted"))
+
+
+def with_verdicts(rows: DataFrame, limit: float, trust: float) -> DataFrame:
+    """Rows of `measured` with host_rate and kept."""
+    hosts = written(host_verdicts(rows, limit, trust), "quality-hosts")
+    judged = rows.withColumn("host_key", host_key()).join(hosts, "host_key", "left")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & (~F.col("soft_failed") | F.col("host_trusted")))
 
 
-def judged_quality(docs: DataFrame, limit: float = HOST_LIMIT, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, MEASURES, base_failed, host, host_rate, kept."""
+def judged_quality(docs: DataFrame, limit: float = HOST_LIMIT, trust: float = TRUST, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """id, host, ALL, base_failed, soft_failed, host_rate, kept."""
     rows = written(measured(docs, id_col, host_col, text_col), "quality-rows")
-    hosts = written(host_verdicts(rows, limit), "quality-hosts")
-    keyed = rows.withColumn("host_key", F.coalesce(F.concat(F.lit("="), F.col("host")), F.lit("")))
-    return keyed.join(hosts, "host_key", "left").select(id_col, "host", *MEASURES, "base_failed", "host_rate", (~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"))
+    return with_verdicts(rows, limit, trust).select(id_col, "host", *ALL, "base_failed", "soft_failed", "host_rate", "kept")
 
 
-def good_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that neither a base rule nor their host's verdict rejects. Same columns as docs."""
-    hosts = written(host_verdicts(measured(docs), limit), "quality-hosts").where("host_rejected").select("host_key")
-    passed = measured(docs, keep=tuple(docs.columns)).where("not base_failed").select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)])
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    return passed.join(hosts, key == F.col("host_key"), "left_anti")
+def good_documents(docs: DataFrame, limit: float = HOST_LIMIT, trust: float = TRUST) -> DataFrame:
+    """The documents that neither a rule nor their host's verdict rejects, measured once. Same columns as docs."""
+    rows = written(measured(docs, whole=True), "quality-rows")
+    return with_verdicts(rows, limit, trust).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -138,13 +157,15 @@ t AS (SELECT doc_id, i, ws[i] || chr(0) || ws[i + 1] || chr(0) || ws[i + 2] AS g
     FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM b WHERE len(ws) >= 3)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1),
 p AS (SELECT doc_id, CAST(count(DISTINCT i + j) AS BIGINT) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS j) GROUP BY doc_id),
-m AS (SELECT b.doc_id, source, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+m AS (SELECT b.doc_id, source, n_words, word_chars, n_symbols, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM b LEFT JOIN p USING (doc_id)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS x FROM f GROUP BY source),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    10 * n_symbols > n_words OR 3 * n_dup_lines > n_lines OR word_chars < 3 * n_words OR word_chars > 40 * n_words AS soft_failed FROM m),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft_failed)::INT)::DOUBLE AS x FROM f GROUP BY source),
 q AS (SELECT sum(x) / sum(n) AS mean, sum(x * x / n) / sum(n) AS sq, count(*) AS hosts, sum(n) AS n FROM h),
 s AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(sq - mean * mean - mean * (1 - mean) * hosts / n, 1e-6) - 1, 2.0), 1e6) AS k FROM q),
-v AS (SELECT source, (x + mean * k) / (n + k) > 0.8 AS rejected FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+z AS (SELECT source, n, mean, k, (x + mean * k) / (n + k) AS rate FROM h, s),
+v AS (SELECT source, rate - 2 * sqrt(rate * (1 - rate) / (n + k + 1)) > 0.5 AS rejected, rate < 0.5 * mean AS trusted FROM z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AND (NOT soft_failed OR trusted) AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
