@@ -2,12 +2,14 @@
 
 Each row gets an Efraimidis-Spirakis key, -ln(u) / quality, from a hash of its id. Within a source rows are taken in
 ascending key order until their sizes, prefix-summed, fill the source's token budget; when the budget holds the source
-once or more, complete epochs come first and the keys decide the rest. Prefix sums run over (source, key bucket), with
-the square root of all rows as the number of buckets, so that no window holds a whole source.
+once or more, complete epochs come first and the keys decide the rest. Prefix sums run over (source, key bucket): a source's
+buckets are equal shares of its own keys' distribution, which follows from its qualities (`key_share`), and all sources together
+have about the square root of all rows as the number of buckets, so that no window holds a whole source, whatever its quality.
 
 Defined cases: a null source is a source of its own, last in order; a null text has size 0 and is taken as 0 words; rows
-with equal id share a key and are ordered by size; sources without words get target 0; an empty table gives no rows.
-Columns of other names pass through; the names in `OWN` are the operator's.
+with equal id share a key and are ordered by size (rows without id have keys by their text); sources without words get
+target 0; very long texts only count their words; an empty table gives no rows. Columns of other names pass through.
+The sources' own table is ordered in one task: a row a source.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_name, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-OWN = ("size", "source_size", "target", "taken")
+#: Qualities are told apart in so many steps when a source's keys are dealt to buckets.
+QUALITY_STEPS = 20
 
 
 def word_count(text: Column) -> Column:
@@ -40,6 +43,12 @@ def uniform(row_id: Column, seed: int) -> Column:
     return (F.conv(hexed, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def key_share(key: Column, shares: Column) -> Column:
+    """The share of a source's keys that is at most `key`: a key of quality q is exponential with rate q. Grows with key alone."""
+    of_step = lambda share, i: share * (1.0 - F.exp(-key * (i + 1) / F.lit(float(QUALITY_STEPS))))
+    return F.aggregate(F.transform(shares, of_step), F.lit(0.0), lambda a, x: a + x)
+
+
 def source_targets(sources: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
     """(skey, source, source_size) -> the same with `target`.
 
@@ -59,15 +68,25 @@ def source_targets(sources: DataFrame, weights: list[int], share: float, most: f
     return levels.select("skey", "source_size", F.when(F.col("open"), F.least(F.col("cap"), final * F.col("w"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int], share: float, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: its id, size, source_size, target, taken and the columns `keep` needs to copy it."""
+def bucketed_keys(docs: DataFrame, seed: int, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """doc_id, source, skey (tells a null source), size, quality, key and bucket of each row; buckets of a source are in key order."""
     text = F.col(text_col)
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("quality"))
-    keyed = sized.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / F.col("quality"))
-    rows = written(keyed.withColumn("skey", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source")))), "mix-sizes")
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), quality_weight(text).alias("quality"), F.when(F.col(id_col).isNull(), F.md5(text.cast("binary"))).alias("loose"))
+    keyed = sized.withColumn("key", -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.col("loose")), seed)) / F.col("quality")).drop("loose")
+    keyed = keyed.withColumn("skey", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("source"))))
+    rows = written(keyed.withColumn("step", F.ceil(F.col("quality") * QUALITY_STEPS).cast("int")), "mix-sizes")
+    steps = rows.groupBy("skey", "step").count().groupBy("skey").agg(F.sum("count").alias("of_source"), F.map_from_entries(F.collect_list(F.struct("step", "count"))).alias("steps"))
     n = max(1, math.ceil(math.sqrt(rows.count())))
-    rows = rows.withColumn("bucket", F.least(F.floor((1.0 - F.exp(-F.col("key"))) * n), F.lit(n - 1)).cast("int"))
+    total = F.sum("of_source").over(W.partitionBy())
+    each = F.transform(F.sequence(F.lit(1), F.lit(QUALITY_STEPS)), lambda i: F.coalesce(F.col("steps")[i], F.lit(0)) / F.col("of_source"))
+    shapes = written(steps.select("skey", each.alias("shares"), F.greatest(F.lit(1), F.ceil(n * F.col("of_source") / total)).alias("buckets")), "mix-shapes")
+    placing = key_share(F.col("key"), F.col("shares"))
+    return rows.join(shapes, "skey").withColumn("bucket", F.least(F.floor(placing * F.col("buckets")), F.col("buckets") - 1).cast("int")).drop("shares", "buckets", "step")
+
 
+def mix_sources(docs: DataFrame, weights: list[int], share: float, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, source and key."""
+    rows = bucketed_keys(docs, seed, id_col, source_col, text_col)
     buckets = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"), F.max("source").alias("source"))
     sources = buckets.groupBy("skey").agg(F.sum("bucket_size").alias("source_size"), F.max("source").alias("source"))
     earlier = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -83,14 +102,25 @@ def mix_sources(docs: DataFrame, weights: list[int], share: float, most: float =
 
 
 def mixed_documents(docs: DataFrame, weights: list[int], share: float, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: each document once per time it is taken; the one that a budget cuts counts if half of it fits."""
-    if not docs.take(1):
-        return docs
-    plan = mix_sources(docs, weights, share, most, seed).where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    # one row per id: rows with a repeated id are each copied as the first of them is
-    times = plan.groupBy("_id").agg(F.max("_times").alias("_times"))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: each document once per time it is taken; the one that a budget cuts counts if half of it fits.
+
+    Rows that share an id are told apart by their source, size and rank, so that each is copied as often as it was taken itself. Texts without words are not taken.
+    """
+    plan = mix_sources(docs, weights, share, most, seed).select("doc_id", "source", "size", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int").alias("times"))
+    plan = written(plan, "mix-times")
+    own, times, rank, copy = (free_name(c, docs.columns) for c in ("_id", "_times", "_rank", "_copy"))
+    once = plan.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("rows"), F.max("times").alias(times))
+    alone = docs.join(once.where((F.col("rows") == 1) & (F.col(times) > 0)).select(own, times), docs["doc_id"].eqNullSafe(F.col(own))).select(*[docs[c] for c in docs.columns], times)
+    several = once.where("rows > 1").select(own)
+    if several.take(1):
+        size = free_name("_size", docs.columns)
+        among = lambda df, last: df.withColumn(rank, F.row_number().over(W.partitionBy("doc_id", "source", size).orderBy(last)))
+        rows = among(docs.join(several, docs["doc_id"].eqNullSafe(F.col(own)), "left_semi").withColumn(size, word_count(F.col("text"))), F.col("text"))
+        taken = among(plan.withColumnRenamed("size", size).join(several, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi"), F.desc("times"))
+        taken = taken.select(F.struct("doc_id", "source", size, rank).alias("t"), F.col("times").alias(times))
+        met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("source").eqNullSafe(F.col("t.source")) & (F.col(size) == F.col(f"t.{size}")) & (F.col(rank) == F.col(f"t.{rank}")))
+        alone = alone.unionByName(met.select(*docs.columns, times))
+    return alone.where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
