@@ -1,33 +1,38 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Records are gzip members of their own. The reader checks each member (gzip checksum), its version line, its length and,
-for responses, the payload digest. After a failed check it looks for the next valid member or, in plain files, the next
-version line, goes on there, and logs the skipped bytes as a gap row with the reason.
-
-Defined cases: a null payload is empty; a null id or URL is written as `-` and read as null; rows with one id are
-each written; an empty table gives an archive folder without records; extra columns are ignored. One task's records form
-one file, which is renamed into place when whole, so a task that runs twice leaves one file. The reader takes files whole
-(Spark's binaryFile, 2 GB at most); the writer's files are as large as its tasks' input.
+Records are gzip members of their own. The reader checks each member (gzip checksum), its version line, its length and the block
+and payload digests that it names (SHA-256, SHA-1, MD5; of HTTP responses the body's). After a failed check it looks for the next
+valid member or, in plain files, the next version line, goes on there, and logs the skipped bytes as a gap row with the reason.
+Files are read as streams: a reader holds one record and a window of the file, whatever the file's length.
+
+Defined cases: a null payload is empty; a null id or URL is written as `-` and read as null; rows with one id are each written;
+of equal payloads the smallest id is the response, and rows that share that id all are; very long payloads are one record each;
+an empty table gives an archive folder without records; extra columns are ignored. A task's records form files of about
+FILE_BYTES, each renamed into place when whole; the manifest names those of the attempts that count. Members of several records
+give each of them; records of other writers have their `record_id` and no page_id.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .files import committed
-from .shared import arrow_rows, new_path, written
+from .files import committed, reader
+from .shared import new_path, slices, written
 
 LEAST_REVISIT = 100
 VERSION = b"WARC/1.1"
 HEAD = re.compile(rb"WARC/1\.[01]\r\n")
+FILE_BYTES, WINDOW = 256_000_000, 1 << 20
 #: Payloads with at least this share of all rows are heavy: 1 / share of them at most.
 HEAVY = 1 / 1000
 
@@ -39,10 +44,10 @@ def record_plan(pages: DataFrame, id_col: str, url_col: str, payload_col: str, l
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    digests = rows.select("id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("bytes"))
+    digests = written(rows.select("id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("bytes")), "warc-digests")
     groups = digests.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     groups = written(groups, "warc-groups")
-    total = pages.count()
+    total = digests.count()
     hot = groups.where(F.col("n") >= max(2, total * HEAVY))
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
     if hot.take(1):
@@ -76,144 +81,269 @@ def record_bytes(row_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def write_warc(plan: DataFrame, folder: str, compress: bool = True) -> DataFrame:
-    """Writes a file per task below folder; returns the manifest (file, records, bytes)."""
-    arrow_rows(plan.sparkSession, 500)
+MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+
+
+def write_warc(plan: DataFrame, folder: str, compress: bool = True, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes files of about file_bytes below folder; returns the manifest (file, records, bytes)."""
 
     def write(batches):
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-        name, records, size = f"part-{TaskContext.get().partitionId():06d}.warc{'.gz' * compress}", 0, 0
-        with committed(f"{folder}/{name}") as out:
-            while first is not None:
-                for row in first.to_pylist():
+        part, n = TaskContext.get().partitionId(), 0
+        rows = (row for whole in batches for batch in slices(whole) for row in batch.to_pylist())
+        row = next(rows, None)
+        while row is not None:
+            name, records, size = f"part-{part:06d}-{n:05d}.warc{'.gz' * compress}", 0, 0
+            with committed(f"{folder}/{name}") as out:
+                while row is not None and size < file_bytes:
                     data = record_bytes(row["id"], row["url"], row["payload"], row["digest"], row["refers_to"])
                     if compress:
                         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                         data = packer.compress(data) + packer.flush()
                     out.write(data)
                     records, size = records + 1, size + len(data)
-                first = next(batches, None)
-        yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]}, pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+                    row = next(rows, None)
+            n += 1
+            yield pa.RecordBatch.from_pydict({"file": [name], "records": [records], "bytes": [size]}, MANIFEST)
 
     return written(plan.select("id", "url", "payload", "digest", "refers_to").mapInArrow(write, "file string, records long, bytes long"), "warc-manifest")
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers, block and length of the record at the start of data, or what is wrong with it."""
-    if not HEAD.match(data):
+class Window:
+    """Bytes of a file, or of a buffer, read as far as they are asked for."""
+
+    def __init__(self, source):
+        self.file = source if hasattr(source, "read_at") else pa.BufferReader(source)
+        self.size, self.start, self.held = self.file.size(), 0, b""
+
+    def at(self, offset: int, n: int) -> bytes:
+        """n bytes from offset, fewer at the end of the file."""
+        n = max(0, min(n, self.size - offset))
+        if offset < self.start or offset + n > self.start + len(self.held):
+            self.start, self.held = offset, self.file.read_at(max(n, min(WINDOW, self.size - offset)), offset)
+        return self.held[offset - self.start : offset - self.start + n]
+
+    def find(self, sought: re.Pattern, offset: int) -> int:
+        """The first match of a pattern of at most 32 bytes, or the file's end."""
+        while offset < self.size:
+            part = self.at(offset, WINDOW)
+            if hit := sought.search(part):
+                return offset + hit.start()
+            offset += max(1, len(part) - 32) if offset + len(part) < self.size else len(part)
+        return self.size
+
+
+class Plain:
+    """The bytes of an uncompressed archive from an offset on."""
+
+    def __init__(self, window: Window, offset: int):
+        self.window, self.offset = window, offset
+
+    def peek(self, n: int) -> bytes:
+        return self.window.at(self.offset, n)
+
+    def skip(self, n: int) -> None:
+        self.offset += n
+
+
+class Member:
+    """The bytes of the gzip member at an offset, unpacked as far as they are asked for."""
+
+    def __init__(self, window: Window, offset: int):
+        self.window, self.offset, self.unpack, self.held, self.whole = window, offset, zlib.decompressobj(31), bytearray(), False
+
+    def peek(self, n: int) -> bytes:
+        while len(self.held) < n and not self.whole:
+            left = self.unpack.unconsumed_tail
+            data = left or self.window.at(self.offset, 1 << 16)
+            more = self.unpack.decompress(data, WINDOW)
+            if not (data or more or self.unpack.eof):
+                raise zlib.error("cut")
+            self.held += more
+            self.offset += 0 if left else len(data)
+            if self.unpack.eof:
+                self.offset -= len(self.unpack.unused_data)
+                self.whole = True
+        return bytes(self.held[:n])
+
+    def skip(self, n: int) -> None:
+        del self.held[:n]
+
+
+def _differs(digest: str, data: bytes) -> bool:
+    """True if data doesn't have the digest, as `algorithm:value` in hex or base32; algorithms that are not known pass."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return False
+    got = hashlib.new(kind.lower(), data).digest()
+    return value.lower() != got.hex() and value.upper().rstrip("=") != base64.b32encode(got).decode().rstrip("=")
+
+
+def body_of(head: dict[str, str], block: bytes) -> bytes | None:
+    """The payload: the block, or an HTTP message's body; None where that is sent in chunks."""
+    if not head.get("content-type", "").startswith("application/http"):
+        return block
+    top, _, body = block.partition(b"\r\n\r\n")
+    return None if b"transfer-encoding: chunked" in top.lower() else body
+
+
+def _record(stream) -> tuple[dict[str, str], bytes] | str:
+    """Headers and block of the record that the stream begins with, or what is wrong with it."""
+    if not HEAD.match(stream.peek(10)):
         return "no version line"
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        return "headers do not end"
+    n = 4096
+    while (end := (top := stream.peek(n)).find(b"\r\n\r\n")) < 0:
+        if len(top) < n or n > 64 * WINDOW:
+            return "headers do not end"
+        n *= 4
     head: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in top[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             return "bad header line"
         head[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
     length = head.get("content-length", "")
-    if not length.isdigit():
+    if not (length.isascii() and length.isdigit()):
         return "no content length"
-    stop = end + 4 + int(length)
-    if data[stop : stop + 4] != b"\r\n\r\n":
+    whole = stream.peek(end + 8 + int(length))
+    if whole[end + 4 + int(length) :] != b"\r\n\r\n":
         return "block is cut or followed by other bytes"
-    block = data[end + 4 : stop]
-    kind, _, digest = head.get("warc-payload-digest", "").partition(":")
-    if head.get("warc-type") == "response" and kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
+    block = whole[end + 4 : -4]
+    if _differs(head.get("warc-block-digest", ""), block):
+        return "block digest differs"
+    payload = body_of(head, block) if head.get("warc-type") in ("response", "resource") else None
+    if payload is not None and _differs(head.get("warc-payload-digest", ""), payload):
         return "payload digest differs"
-    return head, block, stop + 4
+    stream.skip(len(whole))
+    return head, block
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at `at`, and where it ends, if it is whole and its checksum fits."""
-    unpack = zlib.decompressobj(31)
-    view = memoryview(data)[at:]
-    parts, step = [], 1 << 16
+def _of_member(window: Window, at: int) -> Iterator[tuple[dict[str, str], bytes] | str | int]:
+    """A member's records, then where it ends, or what is wrong; the last record only once the checksum fits."""
+    stream, last = Member(window, at), None
     try:
-        for i in range(0, len(view), step):
-            parts.append(unpack.decompress(view[i : i + step]))
-            if unpack.eof:
-                return b"".join(parts), at + min(i + step, len(view)) - len(unpack.unused_data)
+        while stream.peek(1):
+            found = _record(stream)
+            if isinstance(found, str):
+                if last is not None:
+                    yield last
+                yield found
+                return
+            if last is not None:
+                yield last
+            last = found
     except zlib.error:
-        pass
-    return None
+        yield "gzip member is damaged"
+        return
+    if last is None:
+        yield "no version line"
+        return
+    yield last
+    yield stream.offset
+
+
+NEXT = re.compile(rb"\x1f\x8b\x08|" + HEAD.pattern)
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(offset, length, headers, block, ""), or (offset, length, None, b"", reason) for skipped bytes, in file order."""
+def salvage(source) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
+    """(offset, length, headers, block, ""), or (offset, length, None, b"", reason) for skipped bytes, in file order.
+
+    source: bytes, or a file with size() and read_at(). Of a member's records the last has its length, the others 0.
+    """
+    window = Window(source)
     at, bad, why = 0, None, ""
-    while at < len(data):
-        got, packed = None, data[at : at + 2] == b"\x1f\x8b"
-        if packed:
-            member = _member(data, at)
-            found = _parse(member[0]) if member else "gzip member is damaged"
-            if not isinstance(found, str) and found[2] != len(member[0]):
-                found = "member holds more than a record"
-            got = (found[0], found[1], member[1]) if not isinstance(found, str) else None
+    while at < window.size:
+        if window.at(at, 2) == b"\x1f\x8b":
+            held, end, wrong = None, None, ""
+            for found in _of_member(window, at):
+                if isinstance(found, tuple):
+                    if bad is not None:
+                        yield bad, at - bad, None, b"", why
+                        bad = None
+                    if held:
+                        yield at, 0, *held, ""
+                    held = found
+                elif isinstance(found, int):
+                    end = found
+                else:
+                    wrong = found
+            if held:
+                yield at, 0 if end is None else end - at, *held, ""
         else:
-            found = _parse(data[at:] if at == 0 else memoryview(data)[at:].tobytes()) if HEAD.match(data, at) else "no version line"
-            got = (found[0], found[1], at + found[2]) if not isinstance(found, str) else None
-        if got:
-            if bad is not None:
-                yield bad, at - bad, None, b"", why
-                bad = None
-            yield at, got[2] - at, got[0], got[1], ""
-            at = got[2]
+            stream = Plain(window, at)
+            found = _record(stream)
+            end, wrong = (None, found) if isinstance(found, str) else (stream.offset, "")
+            if end is not None:
+                if bad is not None:
+                    yield bad, at - bad, None, b"", why
+                    bad = None
+                yield at, end - at, *found, ""
+        if end is not None:
+            at = end
             continue
         if bad is None:
-            bad, why = at, found
-        line, member_at = HEAD.search(data, at + 1), data.find(b"\x1f\x8b\x08", at + 1)
-        at = min([x for x in (member_at, line.start() if line else -1) if x > 0], default=len(data))
+            bad, why = at, wrong
+        at = window.find(NEXT, at + 1)
     if bad is not None:
-        yield bad, len(data) - bad, None, b"", why
+        yield bad, window.size - bad, None, b"", why
+
+
+FIELDS = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("is_gap", pa.bool_()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record and per gap: file, offset, length, is_gap, reason, headers, block."""
-    arrow_rows(spark, 1)
-    fields = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("is_gap", pa.bool_()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None, blocks: bool = True) -> DataFrame:
+    """A row per record and per gap: file, offset, length, is_gap, reason, headers, block (null unless asked for), payload_bytes, payload_digest.
+
+    Reads the files of the manifest, or all `*.warc*` of the folder, a task a few files each.
+    """
 
     def read(batches):
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file in batch.column(0).to_pylist():
                 rows, size = [], 0
-                for at, length, head, block, why in salvage(content):
-                    rows.append((file, at, length, head is None, why or None, list((head or {}).items()), block))
-                    size += len(block)
-                    if size > 4_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
-                        rows, size = [], 0
+                with ExitStack() as stack:
+                    for at, length, head, block, why in salvage(stack.enter_context(reader(file))):
+                        payload = None if head is None else body_of(head, block)
+                        rows.append((file, at, length, head is None, why or None, list((head or {}).items()), block if blocks and head is not None else None, None if payload is None else len(payload), None if payload is None else hashlib.sha256(payload).hexdigest()))
+                        size += len(block) * blocks + 500
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FIELDS)], schema=FIELDS)
+                            rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), FIELDS)], schema=FIELDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
-    return files.mapInArrow(read, "file string, offset long, length long, is_gap boolean, reason string, headers map<string,string>, block binary")
+    if manifest is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path")
+    else:
+        files = manifest.select(F.concat(F.lit(f"{folder}/"), "file").alias("path"))
+    spread = files.repartition(max(1, files.count()))
+    return spread.mapInArrow(read, "file string, offset long, length long, is_gap boolean, reason string, headers map<string,string>, block binary, payload_bytes long, payload_digest string")
 
 
-def archived(spark: SparkSession, folder: str, id_type: str = "long") -> DataFrame:
-    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+def archived(spark: SparkSession, folder: str, id_type: str = "long", manifest: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records (page_id, record_id, payload_bytes, payload_digest, record_type, refers_to, url), and the log of quarantined gaps
+    (file, offset, length, reason); both come from one pass over the files, kept in the shared folder."""
+    rows = written(read_warc(spark, folder, manifest, blocks=False), "warc-read")
     urn = lambda name: F.regexp_extract(F.col("headers")[name], "^<urn:page:(.*)>$", 1).try_cast(id_type)
     kind = F.col("headers")["warc-type"]
-    response = kind == "response"
-    return read_warc(spark, folder).where("not is_gap").select(
+    revisit = kind == "revisit"
+    records = rows.where("not is_gap").select(
         urn("warc-record-id").alias("page_id"),
-        F.when(response, F.length("block")).otherwise(F.col("headers")["warc-payload-length"].cast("long")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha2("block", 256)).otherwise(F.substring_index(F.col("headers")["warc-payload-digest"], ":", -1)).alias("payload_digest"),
+        F.col("headers")["warc-record-id"].alias("record_id"),
+        F.when(revisit, F.col("headers")["warc-payload-length"].try_cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.substring_index(F.col("headers")["warc-payload-digest"], ":", -1)).otherwise(F.col("payload_digest")).alias("payload_digest"),
         kind.alias("record_type"),
         urn("warc-refers-to").alias("refers_to"),
         F.nullif(F.col("headers")["warc-target-uri"], F.lit("-")).alias("url"),
     )
+    return records, written(rows.where("is_gap").select("file", "offset", "length", "reason"), "warc-gaps")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = new_path(spark, "warc")
-    if not write_warc(record_plan(pages, "page_id", "url", "html"), folder).take(1):
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return archived(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = write_warc(record_plan(pages, "page_id", "url", "html"), folder)
+    records, _ = archived(spark, folder, manifest=manifest)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = r"""
