@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .files import committed, reader
-from .shared import arrow_rows, new_path, written
+from .shared import new_path, written
 
 LENGTH, BATCH_ROWS, END_ID = 2048, 64, 2
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -160,7 +160,6 @@ DOCS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """Writes the shards; returns the manifest: shard, file, docs, tokens, start."""
-    arrow_rows(docs.sparkSession, 500)
 
     def write(batches):
         batches = (b for b in batches if b.num_rows)
@@ -214,7 +213,8 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                         start += n
                     yield pa.RecordBatch.from_arrays([docs.column(0), pa.array(starts, pa.int64()), docs.column(1), pa.array(crcs, pa.int64())], schema=fields)
 
-    spread = manifest.select("file", "start").repartition("file")
+    # a number of its own keeps adaptive execution from putting all shards into one task
+    spread = manifest.select("file", "start").repartition(max(1, manifest.count()))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
