@@ -2,13 +2,14 @@
 
 A paragraph (a line of the text) is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs' vectors,
 lane by lane. Lanes 0 to 7 are 64 bits of BLAKE2b, summed modulo 2**64: equal multisets, and only those, have equal sums, in
-any order. Lanes 8 to 135 are summed modulo 2**16: each word triple of the paragraph adds +1 or -1 to every lane by the bits
+any order. Lanes 8 to 135 are summed modulo 2**32: each word triple of the paragraph adds +1 or -1 to every lane by the bits
 of its hash, so that the lanes' dot products estimate how many triples two documents share. Paragraphs are inserted or
 deleted by adding or subtracting their vectors; `op7` makes the edited text's fingerprint so.
 
 Defined cases: a null text is the empty text, a single empty paragraph; equal texts have equal fingerprints and likeness 1;
-texts without words are like only their equals; null ids come after all others; rows with equal ids follow each other by
-text; an empty table gives no rows; extra columns are ignored.
+texts without words are like only their equals; null ids come after all others, in order of a hash of their text; rows with equal
+ids follow each other by text; very long texts are hashed whole, in bounded parts; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows
+from .shared import slices
 from .textops import U, chained, chunks, mix, span_hashes, sums_per, words
 
 EXACT, LANES, K = 8, 128, 3
-#: Rows of a run of neighbours, and runs at most.
-RUN, MOST_RUNS = 2000, 10_000
+#: Rows of a run of neighbours; beyond MOST_RUNS runs (whose cuts the driver holds) they grow, and are still streamed.
+RUN, MOST_RUNS = 2000, 100_000
 
 
 def _signs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,11 +63,11 @@ def _signs(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints' exact lanes (uint64) and likeness lanes (uint16) of each text's paragraphs."""
-    exact, soft = np.zeros((len(texts), EXACT), U), np.zeros((len(texts), LANES), np.uint16)
+    """The fingerprints' exact lanes (uint64) and likeness lanes (uint32) of each text's paragraphs."""
+    exact, soft = np.zeros((len(texts), EXACT), U), np.zeros((len(texts), LANES), np.uint32)
     for at, data, off in chunks(pa.array(texts, pa.large_string())):
         n = len(off) - 1
-        soft[at : at + n] = _signs(data, off)[0].astype(np.uint16)
+        soft[at : at + n] = _signs(data, off)[0].astype(np.uint32)
         for i in range(at, at + n):
             digests = b"".join([blake2b(p, digest_size=8 * EXACT).digest() for p in texts[i].encode("utf-8", "surrogatepass").split(b"\n")])
             exact[i] = np.frombuffer(digests, "<u8").reshape(-1, EXACT).sum(axis=0, dtype=U)
@@ -75,7 +76,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
     """1 - |a - b|^2 / (|a|^2 + |b|^2) over the likeness lanes, in 0 to 1; 1 where the fingerprints are equal."""
-    signed = lambda x: x.astype(np.int16).astype(np.float64)
+    signed = lambda x: x.astype(np.int32).astype(np.float64)
     gap, norm = (signed(a - b) ** 2).sum(axis=1), (signed(a) ** 2).sum(axis=1) + (signed(b) ** 2).sum(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         got = np.where(norm > 0, 1 - gap / norm, 0.0)
@@ -83,15 +84,14 @@ def likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
 
 
 def hexed(exact: np.ndarray, soft: np.ndarray) -> list[str]:
-    return [a.astype("<u8").tobytes().hex() + b.astype("<u2").tobytes().hex() for a, b in zip(exact, soft)]
+    return [a.astype("<u8").tobytes().hex() + b.astype("<u4").tobytes().hex() for a, b in zip(exact, soft)]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fingerprint of each row."""
-    arrow_rows(docs.sparkSession)
 
     def make(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = hexed(*vectors([t or "" for t in batch.column(1).to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["id", "fingerprint"])
 
@@ -124,6 +124,17 @@ def compared(texts: list[str], followers: list[str]) -> dict[str, list]:
     }
 
 
+def passed(cuts: list[int], key):
+    """How many of the ascending cuts are at most key: a binary search, as many steps as the number of cuts has bits."""
+    if not cuts:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
+    found = F.lit(0)
+    # the largest position whose cut is at most key; element p - 1 is the p-th cut
+    steps = F.lit([1 << i for i in reversed(range(len(cuts).bit_length()))])
+    return F.coalesce(F.aggregate(steps, found, lambda at, step: F.when((at + step <= len(cuts)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at)), F.lit(0))
+
+
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row beside its edited text and the next row, in descending order of id, the first after the last.
 
@@ -131,30 +142,36 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     neighbours is in one task. One row per run is sent twice, and a few numbers per run pass through the driver.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 200)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    n = rows.count()
-    runs = max(1, min(MOST_RUNS, n // RUN))
+    totals = rows.agg(F.count("*").alias("n"), F.count("key").alias("keys")).first()
+    if not totals.n:
+        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    runs = max(1, min(MOST_RUNS, totals.keys // RUN))
     cuts = rows.where("key is not null").approxQuantile("key", [i / runs for i in range(1, runs)], 0.2 / runs) if runs > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    run = F.when(F.col("key").isNull(), F.lit(len(cuts) + 1))
-    run = run.otherwise(F.lit(len(cuts)) - F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("key")))) if cuts else run.otherwise(F.lit(0))
-    keyed = rows.withColumn("run", run.cast("int"))
-    # a run's first row has its largest id (null ids are a run of their own, the last)
-    firsts = sorted((r.run, r.first) for r in keyed.groupBy("run").agg(F.max("key").alias("first")).collect())
-    if not firsts:
-        return spark.createDataFrame([], schema).withColumnRenamed("id", id_col)
-    before = {r: (firsts[i - 1][0], first) for i, (r, first) in enumerate(firsts)}
-    heads = spark.createDataFrame([(r, first, to) for r, (to, first) in before.items()], "run int, first long, to_run int")
-    guests = keyed.join(F.broadcast(heads), (keyed["run"] == heads["run"]) & keyed["key"].eqNullSafe(heads["first"])).select(heads["to_run"].alias("run"), "key", "text", F.lit(1).alias("guest"))
-    everyone = keyed.select("run", "key", "text", F.lit(0).alias("guest")).unionByName(guests)
-    ordered = everyone.repartitionByRange(max(len(firsts), 1), "run").sortWithinPartitions("run", "guest", F.col("key").desc_nulls_last(), "text")
+    run = F.lit(len(cuts)) - passed(cuts, F.col("key"))
+    tie = F.lit(0).cast("long")
+    if totals.keys < totals.n:  # rows without id: runs of their own, equal ranges of their texts' hashes
+        loose = max(1, min(MOST_RUNS, (totals.n - totals.keys) // RUN))
+        tie = F.when(F.col("key").isNull(), F.xxhash64("text")).otherwise(0)
+        share = (tie.cast("double") / 2.0**63 + 1.0) / 2.0
+        run = F.when(F.col("key").isNull(), len(cuts) + 1 + F.least(F.floor(share * loose), F.lit(loose - 1))).otherwise(run)
+    keyed = rows.select(run.cast("int").alias("run"), "key", tie.alias("tie"), "text")
+    # a run's first row has its largest id, or without ids the smallest hash
+    firsts = sorted((r.run, r.key, r.tie) for r in keyed.groupBy("run").agg(F.max("key").alias("key"), F.min("tie").alias("tie")).collect())
+    heads = spark.createDataFrame([(*first, firsts[i - 1][0]) for i, first in enumerate(firsts)], "run int, key long, tie long, to_run int")
+    head = heads.select(F.col("run").alias("h_run"), F.col("key").alias("h_key"), F.col("tie").alias("h_tie"), "to_run")
+    # a row a run: at most 2 * MOST_RUNS of them
+    met = keyed.join(F.broadcast(head), (F.col("run") == F.col("h_run")) & F.col("key").eqNullSafe(F.col("h_key")) & (F.col("tie") == F.col("h_tie")))
+    guests = met.select(F.col("to_run").alias("run"), "key", "tie", "text", F.lit(1).alias("guest"))
+    everyone = keyed.withColumn("guest", F.lit(0)).unionByName(guests)
+    ordered = everyone.repartitionByRange(max(len(firsts), 1), "run").sortWithinPartitions("run", "guest", F.col("key").desc_nulls_last(), "tie", "text").select("run", "key", "text", "guest")
 
     def compare(batches):
         held, run_now = None, None  # the last row whose next one is still to come
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             table = batch.to_pydict()
             keys, texts, followers = [], [], []
             for run_id, key, text, guest in zip(table["run"], table["key"], table["text"], table["guest"]):
