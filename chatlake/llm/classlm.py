@@ -2,18 +2,20 @@
 
 Training counts every token of the training documents (by 64-bit hash). The CLUSTERED most frequent words and the end of
 a document are assigned to classes by the exchange algorithm: each word moves to the class that raises the likelihood of the
-class bigrams most, until no word moves. Every other training word then goes to the class of the largest gain, taken over its
+class bigrams most, until no word moves (each move raises it, so this ends). Every other training word then goes to the class of the largest gain, taken over its
 neighbours' classes (other such words are one class there) as counted for the whole corpus; each pair counts by itself. The model's
 probability of a token is
 
-    P(class | class before) * (c + 0.1) / (N_class + 0.1 * (V_class + 1))
+    P(class | class before) * (c + 0.1) / (N_class + 0.1 * V_class)
 
-with additively smoothed transitions, counted over all training words' classes. Unknown words are a class of their own. There are
+with additively smoothed transitions, counted over all training words' classes. Words that training has not are one word, a class
+of its own, so that after every class the probabilities of all words sum to 1. There are
 CLASSES classes, more (the fourth root) for a vocabulary beyond a million words. The KEPT most frequent words' counts and classes
 travel to the tasks; those of all other words, without a bound, are joined to the documents' rare words by a shuffle. The driver
 sees at most (CLUSTERED + 2)^2 numbers and the KEPT words.
 
-Defined cases: a null text is one end token; rows with equal ids are scored each by itself; without training rows all words
+Defined cases: a null text is one end token; very long texts are scored whole, in one row; words of equal count are ordered by
+their hash; rows with equal ids are scored each by itself; without training rows all words
 are unknown and c = 0; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -27,11 +29,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_rows, id_remainder, written
+from .shared import batches, id_remainder, written
 from .textops import LOWER, U, chunks, counts_per, span_hashes, words
 
 END = np.uint64(0x656E64)
-CLUSTERED, CLASSES, KEPT, ALPHA = 1000, 32, 100_000, 0.1
+CLUSTERED, CLASSES, KEPT, ALPHA = 2000, 32, 100_000, 0.1
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +114,8 @@ def word_bigrams(texts: DataFrame, clustered: np.ndarray) -> np.ndarray:
             part = at[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
 
-    rows = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    with batches(texts.sparkSession):
+        rows = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(w * w)
     out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out.reshape(w, w)
@@ -125,7 +128,7 @@ def looked_up(ranked: np.ndarray, order: np.ndarray, h: np.ndarray, otherwise: i
     return np.where(ranked[at] == h, order[at], otherwise)
 
 
-def exchange(bigrams: np.ndarray, classes: int, fixed: int = 1, sweeps: int = 10) -> np.ndarray:
+def exchange(bigrams: np.ndarray, classes: int, fixed: int = 1) -> np.ndarray:
     """Class of each word. Words come in order of frequency; the last `fixed` are classes of their own.
 
     The likelihood of class bigrams is sum h(n(c, d)) - 2 sum h(n(c)) + constant, with h(x) = x ln x. One word at a time is
@@ -143,7 +146,8 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int = 1, sweeps: int = 10
     uni = bigrams.sum(axis=1)
     n = member.T @ uni
     xlx = lambda x: x * np.log(np.maximum(x, 1e-12))
-    for _ in range(sweeps):
+    moved, least = 1, 1e-12 * max(1.0, float(xlx(uni.sum())))  # gains below roundings are none
+    while moved:
         moved = 0
         for v in range(free):
             c, r, l, s = of[v], right[v].copy(), left[v].copy(), bigrams[v, v]
@@ -160,7 +164,7 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int = 1, sweeps: int = 10
             gain += xlx(own + r + l + s) - xlx(own + r) - xlx(own + l) + xlx(own)
             gain -= 2 * (xlx(n + uni[v]) - xlx(n))
             best = int(gain[:classes].argmax())
-            if gain[best] <= gain[c] + 1e-9:
+            if gain[best] <= gain[c] + least:
                 best = c
             g[best, :] += r
             g[:, best] += l
@@ -173,21 +177,18 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int = 1, sweeps: int = 10
                 right[:, best] += bigrams[:, v]
                 left[:, c] -= bigrams[v, :]
                 left[:, best] += bigrams[v, :]
-        if not moved:
-            break
     return of
 
 
-def class_model(bigrams: np.ndarray, of: np.ndarray, counts: np.ndarray, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 transitions (class before, class), and log10 of each class's emission denominator. The last class is the rest's."""
-    k = int(of.max()) + 1
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    g = member.T @ bigrams @ member
-    moves = np.log10((g + ALPHA) / (g.sum(axis=1, keepdims=True) + ALPHA * k))
-    size, words_in = np.bincount(of[:-1], counts, k), np.bincount(of[:-1], minlength=k)
-    size[-1], words_in[-1] = total - counts.sum(), vocabulary - len(counts)
-    return moves, np.log10(size + ALPHA * (words_in + 1))
+def class_model(pairs: np.ndarray, count: np.ndarray, words_in: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 transitions (class before, class), and log10 of each class's emission denominator.
+
+    pairs: counts of neighbouring classes; count and words_in: each class's tokens and words. The last class is the unknown word's.
+    """
+    moves = np.log10((pairs + ALPHA) / (pairs.sum(axis=1, keepdims=True) + ALPHA * len(pairs)))
+    words_in = words_in.astype(float)
+    words_in[-1] += 1
+    return moves, np.log10(np.maximum(count + ALPHA * words_in, ALPHA))
 
 
 def tail_classes(texts: DataFrame, head: np.ndarray, of: np.ndarray, bigrams: np.ndarray) -> DataFrame:
@@ -235,7 +236,6 @@ def tail_classes(texts: DataFrame, head: np.ndarray, of: np.ndarray, bigrams: np
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 10, clustered: int = CLUSTERED, classes: int = CLASSES, kept: int = KEPT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each row."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (id_remainder(id_col, held_out) == 0).alias("held_out"))
     training = rows.where("not held_out").select("text")
     counts = written(token_counts(training), "lm-counts")
@@ -321,16 +321,16 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    got = sequences.where("not held_out").select("cls").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    with batches(spark):
+        got = sequences.where("not held_out").select("cls").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     g = np.zeros(k * k)
     g[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
-    g = g.reshape(k, k)
-    moves = np.log10((g + ALPHA) / (g.sum(axis=1, keepdims=True) + ALPHA * k)).ravel()
     n_class, v_class = np.bincount(of[:-1], word_counts, k), np.bincount(of[:-1], minlength=k).astype(float)
     for r in tail.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         n_class[r.cls] += r.c
         v_class[r.cls] += r.v
-    emitted = np.log10(n_class + ALPHA * (v_class + 1))
+    moves, emitted = class_model(g.reshape(k, k), n_class, v_class)
+    moves = moves.ravel()
 
     def score(batches):
         for batch in batches:
