@@ -44,6 +44,7 @@ def amount_to_points(amount: Column, price: Column) -> Column:
 
 def register_sql_functions(spark: SparkSession) -> None:
     """The scalar functions for SQL users; Catalyst inlines them."""
+    periods = "map(" + ", ".join(f"'{code}', {days}" for code, days in PERIOD_DAYS.items()) + ")"
     bodies = {
         "detect_language(t STRING)": ("STRING", r"CASE WHEN coalesce(length(regexp_replace(t, r'[^\p{L}]', '')), 0) = 0 THEN 'unknown' WHEN length(regexp_replace(t, r'[^\x{0400}-\x{04FF}]', '')) / length(regexp_replace(t, r'[^\p{L}]', '')) >= 0.30 THEN 'ru' ELSE 'en' END"),
         "hashtags_of(t STRING)": ("ARRAY<STRING>", r"CASE WHEN size(regexp_extract_all(t, r'#([\p{L}\p{N}_]+)', 1)) > 0 THEN regexp_extract_all(t, r'#([\p{L}\p{N}_]+)', 1) END"),
@@ -51,6 +52,8 @@ def register_sql_functions(spark: SparkSession) -> None:
         "count_tokens(t STRING)": ("BIGINT", r"CAST(coalesce(regexp_count(t, r'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'), 0) AS BIGINT)"),
         "content_score(t STRING)": ("DOUBLE", "least(CAST(length(t) AS DOUBLE) / 100, 5.0D)"),
         "days_cutoff(d INT, as_of TIMESTAMP_NTZ)": ("TIMESTAMP_NTZ", "as_of - make_dt_interval(d)"),
+        "period_to_cutoff(code STRING, as_of TIMESTAMP_NTZ)": ("TIMESTAMP_NTZ", f"CASE WHEN code RLIKE r'^\\d{{4}}-\\d{{2}}-\\d{{2}}' THEN CAST(try_to_timestamp(substring(code, 1, 10)) AS TIMESTAMP_NTZ) ELSE as_of - make_dt_interval(coalesce(element_at({periods}, lower(code)), try_cast(regexp_extract(lower(code), r'^(\\d{{1,4}})d$', 1) AS INT))) END"),
+        "thread_uuid(domain_id BIGINT, root_id BIGINT)": ("STRING", f"element_at(transform(array(sha1(concat(unhex('{THREAD_NAMESPACE.replace('-', '')}'), CAST(concat_ws('_', domain_id, root_id) AS BINARY)))), h -> concat_ws('-', substring(h, 1, 8), substring(h, 9, 4), concat('5', substring(h, 14, 3)), concat(substring('89ab', CAST(conv(substring(h, 17, 1), 16, 10) AS INT) % 4 + 1, 1), substring(h, 18, 3)), substring(h, 21, 12))), 1)"),
     }
     for head, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")

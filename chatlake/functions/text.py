@@ -23,6 +23,8 @@ STOP_WORDS = {
     ).split(),
     "en": "the and of to in is it that for on with as was by at be this are or an".split(),
 }
+#: Phrases in quotation marks, straight or typographic, and CamelCase words.
+QUOTED, CAMEL = '["«“]([^"»”]+)["»”]', r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"
 #: A question with one of these asks for an overview.
 OVERVIEW_PHRASES = ["проанализируй", "обзор", "обобщи", "тренды", "расскажи", "о чём", "о чем", "подведи итог", "суммируй", "summary"]
 
@@ -46,9 +48,9 @@ def first_by_lower(words: Column) -> Column:
 
 def query_keywords(text: Column) -> Column:
     """Quoted phrases, tags, CamelCase words, and words of 5 letters or more."""
-    quoted = F.regexp_extract_all(text, F.lit(r'"([^"]+)"'), 1)
+    quoted = F.filter(F.transform(F.regexp_extract_all(text, F.lit(QUOTED), 1), lambda x: F.trim(x)), lambda x: x != "")
     tags = F.regexp_extract_all(text, F.lit(r"#([\p{L}\p{N}_]+)"), 1)
-    camel = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b"), 1)
+    camel = F.regexp_extract_all(text, F.lit(CAMEL), 1)
     long_words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]{5,})"), 1)
     return first_by_lower(F.concat(quoted, tags, camel, long_words))
 
@@ -75,9 +77,10 @@ def count_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")), F.lit(0)).cast("long")
 
 
-def truncate_tokens(text: Column, most: int) -> Column:
-    """The text up to the end of its token number `most`."""
-    return F.regexp_extract(text, rf"^(?:\s*(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])){{0,{most}}}", 0)
+def truncate_tokens(text: Column, most: Column | int) -> Column:
+    """The text up to the end of its token number `most`: tokens, with the blanks before them, leave nothing out."""
+    pieces = F.regexp_extract_all(text, F.lit(r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])"), 0)
+    return F.array_join(F.slice(pieces, F.lit(1), F.lit(most) if isinstance(most, int) else most.cast("int")), "")
 
 
 def escape_html(text: Column) -> Column:
@@ -91,8 +94,9 @@ def html_text(text: Column) -> Column:
 
 
 def html_refs(text: Column, links: Column) -> Column:
-    """Replaces `[msg_id: N]` by N's link; links: map of id (string) to URL; ids without one vanish."""
-    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[msg_id: (\d+)\]"), 1))
+    """Replaces `[msg_id: N]` (any blanks) by N's link; links: map of id (string) to URL; ids without one vanish."""
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[msg_id:\s*(\d+)\]"), 1))
+    text = F.regexp_replace(text, r"\[msg_id:\s*(\d+)\]", "[msg_id: $1]")
     linked = lambda n: F.when(links[n].isNotNull(), F.concat(F.lit('<a href="'), links[n], F.lit('">[link]</a>'))).otherwise(F.lit(""))
     return F.aggregate(ids, html_text(text), lambda acc, n: F.replace(acc, F.concat(F.lit("[msg_id: "), n, F.lit("]")), linked(n)))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query
 from ..sources.fixtures import AS_OF, cte, table, view
 from ..sources.messages import newest_per_domain
+from ..sources.tables import written
 
 #: Fixed values.
 NOISE_TYPES = ["sticker", "geo", "video_note", "dice", "contact", "venue", "new_chat_members", "left_chat_member", "pinned_message", "migrate_to_chat_id", "migrate_from_chat_id"]
@@ -57,10 +59,15 @@ def keyword_any(df: DataFrame, keywords: list[str], most: int | None = None) ->
     hit = F.lit(False)
     for k in keywords:
         hit = hit | F.contains(low, F.lit(k.lower()))
-    found = df.where(hit)
-    top = found.orderBy(F.desc("msg_date"), "id")
-    top = top.limit(most) if most else top
-    return top.withColumn("total_matches", F.lit(found.count()))
+    return newest_with_total(df.where(hit), most, F.desc("msg_date"), F.col("id"))
+
+
+def newest_with_total(found: DataFrame, most: int | None, *order: Column) -> DataFrame:
+    """The first rows in order, with the number of all. The matches, written once, serve both."""
+    found = written(found, "matches")
+    total = found.agg(F.count("*").alias("total_matches"))
+    top = found.orderBy(*order)
+    return (top.limit(most) if most else top).join(F.broadcast(total))  # one row
 
 
 @query("n5_keyword_any", cte("posts") + ", f AS (SELECT id, msg_date FROM posts WHERE contains(lower(content), 'thion') OR contains(lower(content), 'eaux')) SELECT id, (SELECT count(*) FROM f) AS total_matches FROM f ORDER BY msg_date DESC, id LIMIT 200")
@@ -75,8 +82,7 @@ def n6(spark, sf_dir):
 
 
 def hashtag_contains(df: DataFrame, tag: str, most: int) -> DataFrame:
-    found = df.where(F.array_contains(T.hashtags(F.col("content")), tag))
-    return found.orderBy(F.desc("msg_date"), F.desc("msg_id")).limit(most).withColumn("total_matches", F.lit(found.count()))
+    return newest_with_total(df.where(F.array_contains(T.hashtags(F.col("content")), tag)), most, F.desc("msg_date"), F.desc("msg_id"))
 
 
 _TAGS = r"regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)"
@@ -112,22 +118,36 @@ def n9(spark, sf_dir):
     return recent_messages(view(spark, sf_dir, "messages"), now(), 30, 10).select("domain_id", "msg_id")
 
 
-def entity_type_filter(posts: DataFrame, queries: DataFrame, types: DataFrame) -> DataFrame:
-    """(query_id, id) of posts that mention a type that the query names; all posts of a query that would keep none.
+def named_keywords(queries: DataFrame, types: DataFrame) -> DataFrame:
+    """(query_id, kw): the words of each type that a query names, by the type itself or a description's word of 5 letters or more.
 
-    types: type, description (a schema's few rows, by broadcast). Queries are a batch of bounded size, too.
+    types: type, description: a schema's rows, of which each query is held against all.
     """
     words = lambda c, n: F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.char_length(w) >= n)
-    t = types.select("type", words(F.col("description"), 5).alias("w5"), words(F.col("description"), 4).alias("w4"))
+    schema = types.agg(F.collect_list(F.struct(F.lower("type").alias("type"), words(F.col("description"), 5).alias("w5"), words(F.col("description"), 4).alias("w4"))).alias("ts"))
     low = F.lower("query_text")
-    named = queries.join(F.broadcast(t), F.contains(low, F.lower("type")) | F.exists("w5", lambda w: F.contains(low, w)))
-    wanted = named.select("query_id", F.explode(F.concat(F.array(F.lower("type")), "w4")).alias("kw")).distinct()
-    per_query = wanted.groupBy("query_id").agg(F.collect_set("kw").alias("kws"))  # a schema's words
-    ids = queries.select("query_id").join(per_query, "query_id", "left")
-    pairs = posts.select("id", F.lower("content").alias("low")).join(F.broadcast(ids))
-    judged = pairs.select("query_id", "id", F.coalesce(F.exists("kws", lambda k: F.contains(F.col("low"), k)), F.lit(False)).alias("hit"))
-    some = judged.groupBy("query_id").agg(F.max("hit").alias("some"))
-    return judged.join(F.broadcast(some), "query_id").where("hit or not some").select("query_id", "id")
+    asked = queries.join(F.broadcast(schema)).select("query_id", F.explode(F.filter("ts", lambda t: F.contains(low, t["type"]) | F.coalesce(F.exists(t["w5"], lambda w: F.contains(low, w)), F.lit(False)))).alias("t"))
+    return asked.select("query_id", F.explode(F.concat(F.array("t.type"), F.coalesce("t.w4", F.array().cast("array<string>")))).alias("kw")).distinct()
+
+
+def entity_type_filter(posts: DataFrame, queries: DataFrame, types: DataFrame) -> DataFrame:
+    """(query_id, id) of posts that mention a type that the query names; all posts of a query that would keep none."""
+    wanted = written(named_keywords(queries, types), "type-words")
+    # the words in one row: each text is held against every word once, whatever the number of queries
+    sought = F.broadcast(wanted.agg(F.collect_set("kw").alias("kws")))
+    held = posts.select("id", F.lower("content").alias("low")).join(sought).select("id", F.explode(F.filter("kws", lambda k: F.contains(F.col("low"), k))).alias("kw"))
+    hits = written(held.join(wanted, "kw").select("query_id", "id").distinct(), "type-hits")
+    # only queries without a hit keep everything
+    others = queries.select("query_id").join(hits.select("query_id").distinct(), "query_id", "left_anti").agg(F.collect_list("query_id").alias("qs"))
+    return hits.unionByName(posts.select("id").join(F.broadcast(others)).select(F.explode("qs").alias("query_id"), "id"))
+
+
+def entity_type_hits(hits: DataFrame, queries: DataFrame, types: DataFrame) -> DataFrame:
+    """Of each query's own hits (query_id, id, content, ...) those that mention a type that the query names; all, if none would be left."""
+    wanted = named_keywords(queries, types).groupBy("query_id").agg(F.collect_set("kw").alias("_kws"))  # a schema's words
+    low = F.lower("content")
+    marked = hits.join(wanted, "query_id", "left").withColumn("_hit", F.coalesce(F.exists("_kws", lambda k: F.contains(low, k)), F.lit(False)))
+    return marked.withColumn("_some", F.max("_hit").over(W.partitionBy("query_id"))).where("_hit or not _some").drop("_kws", "_hit", "_some")
 
 
 _TYPES = "SELECT r_name AS type, CASE r_regionkey WHEN 0 THEN 'stouhe thent' WHEN 1 THEN 'eauxment' WHEN 2 THEN 'tionble' ELSE 'nothing' END AS description FROM {}region"
@@ -184,7 +204,7 @@ def n18(spark, sf_dir):
 
 # ---- the column functions, each as a query over its table
 
-_MIXED = "CASE WHEN doc_id % 5 = 0 THEN concat('Привет мир и все остальные люди ', substr(text, 1, 40)) WHEN doc_id % 5 = 1 THEN '12 34' WHEN doc_id % 5 = 2 THEN NULL ELSE text END"
+_MIXED = "CASE WHEN doc_id % 5 = 0 THEN concat(repeat('Привет мир и все остальные люди ', CAST(floor(doc_id % 3 * length(text) / 60) AS INT) + 1), text) WHEN doc_id % 5 = 1 THEN '12 34' WHEN doc_id % 5 = 2 THEN NULL ELSE text END"
 
 
 @query("f1_detect_language", rf"WITH m AS (SELECT doc_id, {_MIXED} AS t FROM documents), n AS (SELECT doc_id, CAST(length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS DOUBLE) AS l, CAST(length(regexp_replace(t, '[^\x{{0400}}-\x{{04FF}}]', '', 'g')) AS DOUBLE) AS c FROM m) SELECT doc_id, CASE WHEN coalesce(l, 0) = 0 THEN 'unknown' WHEN c / l >= 0.3 THEN 'ru' ELSE 'en' END AS language FROM n")
@@ -197,9 +217,9 @@ def f2(spark, sf_dir):
     return view(spark, sf_dir, "messages").select("msg_id", F.array_join(T.hashtags(F.col("content")), "|").alias("tags"))
 
 
-@query("f3_query_keywords", r"""WITH q AS (SELECT item_id, concat('"', substr(text, 1, 12), '" #tag NewYorkTimes ', substr(text, 1, 80)) AS t FROM benchmark), k AS (SELECT item_id, list_concat(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(t, '#([\p{L}\p{N}_]+)', 1)), list_concat(regexp_extract_all(t, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1), regexp_extract_all(t, '([\p{L}\p{N}_]{5,})', 1))) AS l FROM q), e AS (SELECT item_id, l[i] AS w, i FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM k)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(w) ORDER BY i) AS rn FROM e) SELECT item_id, string_agg(w, '|' ORDER BY i) AS keywords FROM r WHERE rn = 1 GROUP BY item_id""")
+@query("f3_query_keywords", r"""WITH q AS (SELECT item_id, concat('"', substr(text, 1, 12), '" « ', substr(text, 3, 9), '» “', substr(text, 5, 8), '” #tag NewYorkTimes ', text) AS t FROM benchmark), k AS (SELECT item_id, list_concat(list_concat(list_filter(list_transform(regexp_extract_all(t, '["«“]([^"»”]+)["»”]', 1), lambda x: trim(x)), lambda x: x <> ''), regexp_extract_all(t, '#([\p{L}\p{N}_]+)', 1)), list_concat(regexp_extract_all(t, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1), regexp_extract_all(t, '([\p{L}\p{N}_]{5,})', 1))) AS l FROM q), e AS (SELECT item_id, l[i] AS w, i FROM (SELECT item_id, l, unnest(range(1, len(l) + 1)) AS i FROM k)), r AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(w) ORDER BY i) AS rn FROM e) SELECT item_id, string_agg(w, '|' ORDER BY i) AS keywords FROM r WHERE rn = 1 GROUP BY item_id""")
 def f3(spark, sf_dir):
-    text = F.expr("""concat('"', substr(text, 1, 12), '" #tag NewYorkTimes ', substr(text, 1, 80))""")
+    text = F.expr("""concat('"', substr(text, 1, 12), '" « ', substr(text, 3, 9), '» “', substr(text, 5, 8), '” #tag NewYorkTimes ', text)""")
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.query_keywords(text), "|").alias("keywords"))
 
 
@@ -224,10 +244,10 @@ def f9(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.count_tokens(F.col("text")).alias("n_tokens"), T.truncate_tokens(F.col("text"), 20).alias("head"))
 
 
-_MARKED = "concat('### head\n**', substr(text, 1, 10), '** <x> [msg_id: ', doc_id % 7, '] and [msg_id: 3] ', substr(text, 11, 20))"
+_MARKED = "concat('### head\n**', substr(text, 1, 10), '** <x> [msg_id:  ', doc_id % 7, '] and [msg_id:3] ', text)"
 
 
-@query("f10_html_refs", f"""WITH m AS (SELECT doc_id, replace(replace(replace({_MARKED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents), h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*([^*]+)\\*\\*', '<b>\\1</b>', 'g'), '\\*([^*\\n]+)\\*', '<i>\\1</i>', 'g'), '(?m)^#{{1,6}} +', '', 'g') AS t FROM m) SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(t, '[msg_id: 3]', '<a href="https://t.me/c/3">[link]</a>'), '[msg_id: 5]', '<a href="https://t.me/c/5">[link]</a>'), '[msg_id: 0]', ''), '[msg_id: 1]', ''), '[msg_id: 2]', ''), '[msg_id: 4]', ''), '[msg_id: 6]', '') AS html FROM h""")
+@query("f10_html_refs", f"""WITH m AS (SELECT doc_id, replace(replace(replace({_MARKED}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents), h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*([^*]+)\\*\\*', '<b>\\1</b>', 'g'), '\\*([^*\\n]+)\\*', '<i>\\1</i>', 'g'), '(?m)^#{{1,6}} +', '', 'g') AS t FROM m) SELECT doc_id, regexp_replace(regexp_replace(t, '\\[msg_id:\\s*([35])\\]', '<a href="https://t.me/c/\\1">[link]</a>', 'g'), '\\[msg_id:\\s*\\d+\\]', '', 'g') AS html FROM h""")
 def f10(spark, sf_dir):
     links = F.create_map(F.lit("3"), F.lit("https://t.me/c/3"), F.lit("5"), F.lit("https://t.me/c/5"))
     return table(spark, sf_dir, "documents").select("doc_id", T.html_refs(F.expr(_MARKED.replace("\n", "\\n")), links).alias("html"))
@@ -272,7 +292,7 @@ def f16(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", amount_to_points(F.col("o_totalprice"), F.lit(0.37)).alias("points"))
 
 
-_SKIPPY = "CASE WHEN doc_id % 3 = 0 THEN concat('[SKIP] nothing\n \n', substr(text, 1, 30), '\n[SKIP]') WHEN doc_id % 3 = 1 THEN '[SKIP]\n' ELSE substr(text, 1, 200) END"
+_SKIPPY = "CASE WHEN doc_id % 3 = 0 THEN concat('[SKIP] nothing\n \n', text, '\n[SKIP]') WHEN doc_id % 3 = 1 THEN '[SKIP]\n' ELSE text END"
 
 
 @query("f17_skip_lines", f"SELECT doc_id, nullif(array_to_string(list_filter(string_split({_SKIPPY}, chr(10)), lambda l: NOT contains(l, '[SKIP]') AND trim(l) <> ''), chr(10)), '') AS kept FROM documents")
@@ -292,10 +312,10 @@ def a16(spark, sf_dir):
     return view(spark, sf_dir, "messages").select("msg_id", F.array_join(F.sort_array(T.backfilled_hashtags(F.col("content"))), "|").alias("tags"))
 
 
-@query("u3_sql_functions", cte("messages") + rf" SELECT msg_id, CASE WHEN length(regexp_replace(content, '[^\p{{L}}]', '', 'g')) = 0 THEN 'unknown' ELSE 'en' END AS language, array_to_string({_TAGS}, '|') AS tags, least(CAST(length(content) AS DOUBLE) / 100, 5.0::DOUBLE) AS score FROM messages")
+@query("u3_sql_functions", cte("messages") + rf" SELECT msg_id, CASE WHEN length(regexp_replace(content, '[^\p{{L}}]', '', 'g')) = 0 THEN 'unknown' ELSE 'en' END AS language, array_to_string({_TAGS}, '|') AS tags, least(CAST(length(content) AS DOUBLE) / 100, 5.0::DOUBLE) AS score, CASE msg_id % 3 WHEN 0 THEN TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY WHEN 1 THEN TIMESTAMP '2024-01-15 00:00:00' ELSE TIMESTAMP '{AS_OF}' - INTERVAL 12 DAY END AS cutoff FROM messages")
 def u3(spark, sf_dir):
     from ..functions.keys import register_sql_functions
 
     register_sql_functions(spark)
     view(spark, sf_dir, "messages").createOrReplaceTempView("messages_view")
-    return spark.sql("SELECT msg_id, detect_language(content) AS language, array_join(hashtags_of(content), '|') AS tags, content_score(content) AS score FROM messages_view")
+    return spark.sql("SELECT msg_id, detect_language(content) AS language, array_join(hashtags_of(content), '|') AS tags, content_score(content) AS score, period_to_cutoff(CASE msg_id % 3 WHEN 0 THEN '1w' WHEN 1 THEN '2024-01-15' ELSE '12D' END, timestamp_ntz'" + AS_OF + "') AS cutoff FROM messages_view")

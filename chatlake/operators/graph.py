@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -90,38 +91,59 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("type").agg(F.count("*").alias("n_entities"))
 
 
-def louvain(edges: DataFrame, levels: int = 2, rounds: int = 6) -> DataFrame:
+def louvain(edges: DataFrame) -> DataFrame:
     """(domain_id, a, b, w) undirected, each pair once -> (domain_id, name, community), by modularity moves in joins.
 
     In every round half of the nodes (by hash) move to the neighbouring community of the largest gain; a level's communities are
-    the next level's nodes. Each round's labels are written to the shared folder.
+    the next level's nodes. A level ends when a pair of rounds no longer raises the modularity, the whole when a level merges nothing.
+    Each round's labels are written to the shared folder.
     """
-    member = None
-    graph = edges
-    for level in range(levels):
+    member, graph = None, edges
+    while True:
         both = written(graph.select("domain_id", "a", "b", "w").union(graph.select("domain_id", F.col("b"), F.col("a"), "w")), "louvain-edges")
         degree = written(both.groupBy("domain_id", "a").agg(F.sum("w").alias("k")), "louvain-degrees")
         total = degree.groupBy("domain_id").agg(F.sum("k").alias("m2"))
-        labels = degree.select("domain_id", "a", F.col("a").alias("c"))
-        for turn in range(rounds):
-            named = labels.join(degree, ["domain_id", "a"])
-            sizes = named.groupBy("domain_id", "c").agg(F.sum("k").alias("tot"))
-            to = both.where("a <> b").join(labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("to")), ["domain_id", "b"]).groupBy("domain_id", "a", "to").agg(F.sum("w").alias("k_in"))
-            own = named.select("domain_id", "a", F.col("c").alias("to"), F.lit(0.0).alias("k_in"))
-            options = to.unionByName(own).groupBy("domain_id", "a", "to").agg(F.sum("k_in").alias("k_in"))
-            judged = options.join(named, ["domain_id", "a"]).join(sizes.withColumnRenamed("c", "to"), ["domain_id", "to"]).join(total, "domain_id")
-            rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("k_in") - F.col("k") * rest / F.col("m2"), 9)
-            best = judged.groupBy("domain_id", "a").agg(F.max_by("to", F.struct(gain, (F.col("to") == F.col("c")).cast("int"), "to")).alias("to"), F.first("c").alias("c"))
-            moves = F.pmod(F.xxhash64("a", F.lit(turn // 2)), F.lit(2)) == turn % 2
-            new = written(best.select("domain_id", "a", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c"), F.col("c").alias("old")), "louvain-labels")
-            labels = new.select("domain_id", "a", "c")
-        member = labels.select("domain_id", F.col("a").alias("name"), F.col("c").alias("community")) if member is None else member.join(labels.select("domain_id", F.col("a").alias("community"), F.col("c").alias("up")), ["domain_id", "community"]).select("domain_id", "name", F.col("up").alias("community"))
-        if level + 1 < levels:
-            la = labels.select("domain_id", "a", F.col("c").alias("ca"))
-            lb = labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("cb"))
-            graph = graph.join(la, ["domain_id", "a"]).join(lb, ["domain_id", "b"]).groupBy("domain_id", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
-    return member
+        labels = best_labels = degree.select("domain_id", "a", F.col("a").alias("c"))
+        reached, turn = modularity(both, degree, total, labels), 0
+        while True:
+            new = written(moved(both, degree, total, labels, turn), "louvain-labels")
+            labels, turn = new.select("domain_id", "a", "c"), turn + 1
+            if turn % 2 == 0:
+                now = modularity(both, degree, total, labels)
+                if now <= reached + 1e-9:
+                    break
+                reached, best_labels = now, labels
+        labels = best_labels
+        member = labels.select("domain_id", F.col("a").alias("name"), F.col("c").alias("community")) if member is None else written(member.join(labels.select("domain_id", F.col("a").alias("community"), F.col("c").alias("up")), ["domain_id", "community"]).select("domain_id", "name", F.col("up").alias("community")), "louvain-members")
+        if not labels.where("a <> c").take(1):
+            return member
+        la = labels.select("domain_id", "a", F.col("c").alias("ca"))
+        lb = labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("cb"))
+        graph = graph.join(la, ["domain_id", "a"]).join(lb, ["domain_id", "b"]).groupBy("domain_id", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+
+
+def modularity(both: DataFrame, degree: DataFrame, total: DataFrame, labels: DataFrame) -> float:
+    """Sum of all domains' modularities; both: each edge in either direction."""
+    la, lb = labels.withColumnRenamed("c", "ca"), labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("cb"))
+    inside = both.join(la, ["domain_id", "a"]).join(lb, ["domain_id", "b"]).where("ca = cb").groupBy("domain_id").agg(F.sum("w").alias("inner"))
+    spread = labels.join(degree, ["domain_id", "a"]).groupBy("domain_id", "c").agg(F.sum("k").alias("tot")).groupBy("domain_id").agg(F.sum(F.col("tot") * F.col("tot")).alias("sq"))
+    q = F.coalesce("inner", F.lit(0.0)) / F.col("m2") - F.col("sq") / (F.col("m2") * F.col("m2"))
+    return total.join(spread, "domain_id").join(inside, "domain_id", "left").agg(F.sum(q)).first()[0] or 0.0
+
+
+def moved(both: DataFrame, degree: DataFrame, total: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Labels after half of the nodes, those of this turn, have moved to their best neighbouring community."""
+    named = labels.join(degree, ["domain_id", "a"])
+    sizes = named.groupBy("domain_id", "c").agg(F.sum("k").alias("tot"))
+    to = both.where("a <> b").join(labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("to")), ["domain_id", "b"]).groupBy("domain_id", "a", "to").agg(F.sum("w").alias("k_in"))
+    own = named.select("domain_id", "a", F.col("c").alias("to"), F.lit(0.0).alias("k_in"))
+    options = to.unionByName(own).groupBy("domain_id", "a", "to").agg(F.sum("k_in").alias("k_in"))
+    judged = options.join(named, ["domain_id", "a"]).join(sizes.withColumnRenamed("c", "to"), ["domain_id", "to"]).join(total, "domain_id")
+    rest = F.col("tot") - F.when(F.col("to") == F.col("c"), F.col("k")).otherwise(0.0)
+    gain = F.round(F.col("k_in") - F.col("k") * rest / F.col("m2"), 9)
+    best = judged.groupBy("domain_id", "a").agg(F.max_by("to", F.struct(gain, (F.col("to") == F.col("c")).cast("int"), "to")).alias("to"), F.first("c").alias("c"))
+    moves = F.pmod(F.xxhash64("a", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return best.select("domain_id", "a", F.when(moves, F.col("to")).otherwise(F.col("c")).alias("c"))
 
 
 def communities(relations: DataFrame, least: int = 3) -> DataFrame:
@@ -134,7 +156,7 @@ def communities(relations: DataFrame, least: int = 3) -> DataFrame:
 
 @query("g5_communities")
 def g5(spark, sf_dir):
-    return communities(view(spark, sf_dir, "all_relations"))
+    return communities(view(spark, sf_dir, "relations"))
 
 
 _COMM = "SELECT DISTINCT domain_id, concat('c', type) AS community_id, source AS name FROM {}"
@@ -184,19 +206,35 @@ def g8(spark, sf_dir):
     return find(view(spark, sf_dir, "relations"), [("a", "A", "b"), ("c", "R", "b")])
 
 
-def entities_in_text(texts: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
-    """(id, name): names that occur in the text, by their words.
+#: Characters of the pieces by which names are found; shorter names are found by their first three.
+GRAM, SHORT = 6, 3
 
-    Each name is filed under its first word; texts' words fetch candidates by an equi-join, and `contains` confirms. No text
-    meets every name, so a large dictionary needs no broadcast.
+
+def grams(text: Column, n: int) -> Column:
+    """All runs of n characters, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1))
+
+
+def entities_in_text(texts: DataFrame, names: DataFrame, least: int = SHORT) -> DataFrame:
+    """(id, name): names of at least `least` characters that occur in the text, as any part of it, whatever the case.
+
+    A text holds a name only if it holds each of the name's grams. Each name is filed under the one that fewest texts hold; texts'
+    grams fetch candidates by an equi-join of ids alone, and `contains` confirms them on the texts, joined back by id.
     """
     low = texts.select("id", F.lower("content").alias("low"))
-    words = low.select("id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("w"))
-    filed = names.select("name").distinct().where(F.char_length("name") >= least).withColumn("n", F.lower("name")).withColumn("w", F.regexp_extract("n", r"[\p{L}\p{N}_]+", 0))
-    return words.join(filed, "w").where(F.contains("low", F.col("n"))).select("id", "name").distinct()
+    named = names.select("name").distinct().where(F.char_length("name") >= max(least, SHORT)).withColumn("n", F.lower("name"))
+    keys = named.select("name", "n", F.explode(F.when(F.char_length("n") >= GRAM, grams(F.col("n"), GRAM)).otherwise(F.array(F.substring("n", 1, SHORT)))).alias("gram"))
+    known = written(keys, "name-grams")
+    held = low.select("id", F.explode(F.concat(grams(F.col("low"), GRAM), grams(F.col("low"), SHORT))).alias("gram"))
+    held = written(held.join(known.select("gram").distinct(), "gram", "left_semi"), "text-grams")
+    seen = held.groupBy("gram").agg(F.count("*").alias("texts"))
+    filed = known.join(seen, "gram").groupBy("name", "n").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
+    whole = known.groupBy("name").agg(F.count("*").alias("all"))  # a name with a gram that no text holds is in none
+    candidates = held.join(filed.join(whole, "name").where("found = all").select("name", "n", "gram"), "gram").select("id", "name", "n").distinct()
+    return candidates.join(low, "id").where(F.contains("low", F.col("n"))).select("id", "name").distinct()
 
 
-_NAMED = "CASE WHEN doc_id % 3 = 0 THEN concat('about supplier#00000000', doc_id % 9, ' and ', substr(text, 1, 60)) ELSE substr(text, 1, 100) END"
+_NAMED = "CASE WHEN doc_id % 3 = 0 THEN concat(text, ' about counterSupplier#00000000', doc_id % 9, ' and more') WHEN doc_id % 3 = 1 THEN concat(text, ' supplier#00000000', doc_id % 9, '5th') ELSE text END"
 
 
 @query("j9_entities_in_text", cte("entities") + f", t AS (SELECT doc_id AS id, {_NAMED} AS content FROM documents) SELECT DISTINCT id, name FROM t JOIN entities ON contains(lower(content), lower(name))")
@@ -207,34 +245,80 @@ def j9(spark, sf_dir):
     return entities_in_text(t, view(spark, sf_dir, "entities"))
 
 
-def graph_retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
-    """(query_id, source, target, type): relations of the first entities that each query names."""
-    named = entities_in_text(queries.select(F.col("query_id").alias("id"), F.col("query_text").alias("content")), entities)
-    first = top_per_key(named, ["id"], most, F.col("name")).select(F.col("id").alias("query_id"), "name")
-    owned = first.join(entities.select("domain_id", "name").distinct(), "name")
-    return relations_of(relations, owned).join(owned.select("query_id", "domain_id", F.col("name").alias("source")), ["domain_id", "source"])
+def schema_first(named: DataFrame, types: list[str] | None, key: str) -> DataFrame:
+    """Of (key, name, type), the names of the schema's types; all of a key's names where none is of these."""
+    fits = F.col("type").isin(types) if types else F.lit(False)
+    marked = named.withColumn("_fits", fits).withColumn("_some", F.max("_fits").over(W.partitionBy(key)))
+    return marked.where("_fits or not _some").drop("_fits", "_some", "type").distinct()
+
+
+def graph_retrieve(queries: DataFrame, entities: DataFrame, relations: DataFrame, most: int = 5, types: list[str] | None = None, vector_hits: DataFrame | None = None) -> dict[str, DataFrame]:
+    """For the first entities that each query names: `relations` (query_id, domain_id, source, target, type), `neighbors`
+    (query_id, domain_id, start, name) one hop away, and `hits`, the first of the query's vector hits.
+
+    types: a schema's types, which go first; where a query names none of them, all entities count.
+    """
+    found = entities_in_text(queries.select(F.col("query_id").alias("id"), F.col("query_text").alias("content")), entities).withColumnRenamed("id", "query_id")
+    typed = schema_first(found.join(entities.select("name", "type").distinct(), "name"), types, "query_id")
+    first = top_per_key(typed, ["query_id"], most, F.col("name")).select("query_id", "name")
+    owned = written(first.join(entities.select("domain_id", "name").distinct(), "name"), "graph-starts")
+    touching = relations_of(relations, owned).join(owned.select("query_id", "domain_id", F.col("name").alias("source")), ["domain_id", "source"])
+    near = neighbors(relations, owned, 1).join(owned.select("query_id", "domain_id", F.col("name").alias("start")), ["domain_id", "start"])
+    out = {"relations": touching, "neighbors": near.select("query_id", "domain_id", "start", "name")}
+    if vector_hits is not None:
+        out["hits"] = top_per_key(vector_hits.select("query_id", "id", "score"), ["query_id"], most, F.desc("score"), F.col("id"))
+    return out
+
+
+_EXACT = ", vs AS (SELECT query_id, id, round(list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2])) / (sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(q, lambda x: x::DOUBLE * x)))), 4) AS score FROM vectors, query_vectors)"
 
 
-@query("r7_graph_retrieve", cte("entities", "relations") + ", q AS (SELECT item_id AS query_id, concat('tell me of Supplier#00000000', item_id % 9 + 1) AS query_text FROM benchmark WHERE item_id < 20), n AS (SELECT DISTINCT query_id, name FROM q JOIN entities ON contains(lower(query_text), lower(name))), o AS (SELECT query_id, domain_id, name FROM n JOIN (SELECT DISTINCT domain_id, name FROM entities) USING (name)), s AS (SELECT * FROM relations UNION ALL SELECT domain_id, target, source, type FROM relations) SELECT query_id, s.domain_id, source, target, type FROM s JOIN o ON s.domain_id = o.domain_id AND s.source = o.name")
+@query("r7_graph_retrieve", cte("entities", "relations", "vectors", "query_vectors") + _EXACT + ", q AS (SELECT item_id AS query_id, concat('tell me of Supplier#00000000', item_id % 9 + 1) AS query_text FROM benchmark), n AS (SELECT DISTINCT query_id, name FROM q JOIN entities ON contains(lower(query_text), lower(name))), w AS (SELECT query_id, name, name IN (SELECT name FROM entities WHERE type = 'Vendor') AS fits FROM n), k AS (SELECT *, max(fits::INT) OVER (PARTITION BY query_id) AS anyone FROM w), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS rn FROM k WHERE fits OR anyone = 0), o AS (SELECT query_id, domain_id, name FROM f JOIN (SELECT DISTINCT domain_id, name FROM entities) USING (name) WHERE rn <= 5), s AS (SELECT * FROM relations UNION ALL SELECT domain_id, target, source, type FROM relations), vh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs WHERE query_id IN (SELECT query_id FROM q)) SELECT query_id, 'relation' AS kind, s.domain_id, source, target, type FROM s JOIN o ON s.domain_id = o.domain_id AND s.source = o.name UNION ALL SELECT DISTINCT query_id, 'neighbor', s.domain_id, source, target, NULL FROM s JOIN o ON s.domain_id = o.domain_id AND s.source = o.name WHERE source <> target UNION ALL SELECT query_id, 'hit', NULL, CAST(id AS VARCHAR), NULL, NULL FROM vh WHERE rank <= 5")
 def r7(spark, sf_dir):
     from ..sources.fixtures import table
 
-    q = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.expr("concat('tell me of Supplier#00000000', item_id % 9 + 1)").alias("query_text"))
-    return graph_retrieve(q, view(spark, sf_dir, "entities"), view(spark, sf_dir, "relations"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.expr("concat('tell me of Supplier#00000000', item_id % 9 + 1)").alias("query_text"))
+    got = graph_retrieve(q, view(spark, sf_dir, "entities"), view(spark, sf_dir, "relations"), types=["Vendor"], vector_hits=_vector_hits(spark, sf_dir, q))
+    edges = got["relations"].select("query_id", F.lit("relation").alias("kind"), "domain_id", "source", "target", "type")
+    near = got["neighbors"].select("query_id", F.lit("neighbor").alias("kind"), "domain_id", F.col("start").alias("source"), F.col("name").alias("target"), F.lit(None).cast("string").alias("type"))
+    hits = got["hits"].select("query_id", F.lit("hit").alias("kind"), F.lit(None).cast("long").alias("domain_id"), F.col("id").cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("type"))
+    return edges.unionByName(near).unionByName(hits)
+
+
+def _vector_hits(spark, sf_dir, queries):
+    from .vectors import vector_search
+
+    asked = view(spark, sf_dir, "query_vectors").join(queries.select("query_id"), "query_id", "left_semi")
+    return vector_search(view(spark, sf_dir, "vectors"), asked, 10)
 
 
-def graph_enrich(hits: DataFrame, entities: DataFrame, relations: DataFrame, most: int = 10, per_entity: int = 5) -> DataFrame:
-    """(query_id, source, target, type): relations of entities named in each query's top chunks, so many per entity."""
+def graph_enrich(hits: DataFrame, entities: DataFrame, relations: DataFrame, most: int = 10, per_entity: int = 5, types: list[str] | None = None, memberships: DataFrame | None = None, summaries: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(query_id, source, target, type): relations of entities named in each query's top chunks, so many per entity, those of a
+    schema's types first; and (query_id, community_id, summary), each summary once, where communities are given.
+    """
     named = entities_in_text(hits.select(F.struct("query_id", "id").alias("id"), "content"), entities)
     first = top_per_key(named.select("id.query_id", "name").distinct(), ["query_id"], most, F.col("name")).select("query_id", "name")
-    owned = first.join(entities.select("domain_id", "name").distinct(), "name")
-    found = relations_of(relations, owned).join(owned.select("query_id", "domain_id", F.col("name").alias("source")), ["domain_id", "source"])
-    return top_per_key(found, ["query_id", "source"], per_entity, F.col("target"), F.col("type"), F.col("domain_id"))
+    owned = written(first.join(entities.select("domain_id", "name", "type").distinct(), "name"), "enrich-starts")
+    wanted = schema_first(owned, types, "query_id").select("query_id", "domain_id", "name")
+    found = relations_of(relations, wanted).join(wanted.select("query_id", "domain_id", F.col("name").alias("source")), ["domain_id", "source"])
+    lines = top_per_key(found, ["query_id", "source"], per_entity, F.col("target"), F.col("type"), F.col("domain_id"))
+    if memberships is None or summaries is None:
+        return lines, None
+    starts = owned.select("query_id", "domain_id", "name").distinct()
+    about = community_of(memberships, summaries, starts).join(starts, ["domain_id", "name"])
+    return lines, about.groupBy("query_id", "summary").agg(F.min("community_id").alias("community_id")).select("query_id", "community_id", "summary")
+
 
+_R11 = cte("entities", "relations") + f", t AS (SELECT doc_id % 10 AS query_id, doc_id AS id, {_NAMED} AS content FROM documents), n AS (SELECT DISTINCT query_id, name FROM t JOIN entities ON contains(lower(content), lower(name))), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS rn FROM n), o AS (SELECT DISTINCT query_id, domain_id, f.name, type FROM f JOIN entities USING (name) WHERE rn <= 10), tt AS (SELECT *, max((type = 'Vendor')::INT) OVER (PARTITION BY query_id) AS anyone FROM o), s AS (SELECT * FROM relations UNION ALL SELECT domain_id, target, source, type FROM relations), j AS (SELECT query_id, source, target, s.type, row_number() OVER (PARTITION BY query_id, source ORDER BY target, s.type, s.domain_id) AS rank FROM s JOIN (SELECT DISTINCT query_id, domain_id, name FROM tt WHERE type = 'Vendor' OR anyone = 0) o ON s.domain_id = o.domain_id AND s.source = o.name), mb AS ({_COMM.format('relations')}), c AS (SELECT query_id, concat('summary ', community_id) AS summary, min(community_id) AS community_id FROM mb JOIN o ON mb.domain_id = o.domain_id AND mb.name = o.name GROUP BY 1, 2)"
 
-@query("r11_graph_enrich", cte("entities", "relations") + f", t AS (SELECT doc_id % 10 AS query_id, doc_id AS id, {_NAMED} AS content FROM documents WHERE doc_id < 200), n AS (SELECT DISTINCT query_id, name FROM t JOIN entities ON contains(lower(content), lower(name))), f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS rn FROM n), o AS (SELECT DISTINCT query_id, domain_id, f.name FROM f JOIN entities USING (name) WHERE rn <= 10), s AS (SELECT * FROM relations UNION ALL SELECT domain_id, target, source, type FROM relations), j AS (SELECT query_id, source, target, s.type, row_number() OVER (PARTITION BY query_id, source ORDER BY target, s.type, s.domain_id) AS rank FROM s JOIN o ON s.domain_id = o.domain_id AND s.source = o.name) SELECT query_id, source, target, type FROM j WHERE rank <= 5")
+
+@query("r11_graph_enrich", _R11 + " SELECT query_id, source, target, type FROM j WHERE rank <= 5 UNION ALL SELECT query_id, community_id, summary, 'community' FROM c")
 def r11(spark, sf_dir):
     from ..sources.fixtures import table
 
-    hits = table(spark, sf_dir, "documents").where("doc_id < 200").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("id"), F.expr(_NAMED).alias("content"))
-    return graph_enrich(hits, view(spark, sf_dir, "entities"), view(spark, sf_dir, "relations")).select("query_id", "source", "target", "type")
+    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("id"), F.expr(_NAMED).alias("content"))
+    r = view(spark, sf_dir, "relations")
+    mb = r.select("domain_id", F.concat(F.lit("c"), "type").alias("community_id"), F.col("source").alias("name")).distinct()
+    summaries = mb.select("domain_id", "community_id").distinct().withColumn("summary", F.concat(F.lit("summary "), "community_id"))
+    lines, about = graph_enrich(hits, view(spark, sf_dir, "entities"), r, types=["Vendor"], memberships=mb, summaries=summaries)
+    return lines.select("query_id", "source", "target", "type").union(about.select("query_id", "community_id", "summary", F.lit("community")))

@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query
 from ..sources.fixtures import cte, view
 from .clean import recent_messages, valid_items
-from .tables import dedup_exact_text, items_by_confidence
+from ..sources.tables import written
+from .tables import dedup_exact_text, items_by_confidence, top_per_key
 
 CUES = {"decision": ["tion the", "decided", "agreed"], "action_item": ["ing the", "todo", "please"], "open_question": ["?", "eaux"]}
 
@@ -42,6 +44,15 @@ def apply_model(df: DataFrame, build: Callable[[], Callable[[list[str]], list]],
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, value string, error string").withColumnRenamed("key", key)
 
 
+Model = Callable[[], Callable[[list[str]], list]]
+
+
+def judged_pairs(hits: DataFrame, queries: DataFrame, model: Model, batch: int = 32) -> DataFrame:
+    """(query_id, id, value, error): the model sees a query and a hit's text, a blank line between them."""
+    texts = hits.join(queries.select("query_id", "query_text"), "query_id").select(F.struct("query_id", "id").alias("pair"), F.concat_ws("\n\n", "query_text", "content").alias("text"))
+    return apply_model(texts, model, "pair", batch=batch).select("pair.query_id", "pair.id", "value", "error")
+
+
 def word_lengths() -> Callable[[list[str]], list]:
     """The smallest of models: number of words and longest word."""
     return lambda texts: [{"words": len(t.split()), "longest": max(map(len, t.split()))} for t in texts]
@@ -53,16 +64,23 @@ def u1(spark, sf_dir):
     return got.select("doc_id", F.get_json_object("value", "$.words").cast("long").alias("words"), "error")
 
 
-def rerank(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """Re-scores hits: the boosts of the query terms that a text holds over those of all, plus 0.1 of the old score's share."""
+def rerank(hits: DataFrame, queries: DataFrame, most: int, model: Model | None = None) -> DataFrame:
+    """Re-scores hits, and keeps each query's best. model: a pair model that gives a number for "query, blank line, text".
+
+    Where it fails for one of a query's hits, that query keeps its first ones as they were. Without a model the score is the
+    boosts of the query terms that a text holds over those of all, plus 0.1 of the old score's share.
+    """
+    if model:
+        got = judged_pairs(hits, queries, model).select("query_id", "id", F.col("value").try_cast("double").alias("_new"))
+        both = hits.join(got, ["query_id", "id"], "left").withColumn("_bad", F.max(F.col("_new").isNull()).over(W.partitionBy("query_id")))
+        scored = both.withColumn("_by", F.when(F.col("_bad"), F.col("score")).otherwise(F.col("_new"))).withColumn("score", F.col("_by")).drop("_new", "_bad", "_by", "rank")
+        return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id"))
     q = queries.select("query_id", T.bm25_terms(F.col("query_text")).alias("ts"))
     words = F.array_distinct(T.terms(F.col("content")))
-    joined = hits.join(F.broadcast(q), "query_id").withColumn("ws", words)
+    joined = hits.join(q, "query_id").withColumn("ws", words)
     add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["boost"])
     held = add(F.filter("ts", lambda t: F.array_contains(F.col("ws"), t["term"])))
     scored = joined.withColumn("score", F.round(held / F.greatest(add("ts"), F.lit(1.0)) + 0.1 * F.col("score") / (1 + F.col("score")), 6))
-    from .tables import top_per_key
-
     return top_per_key(scored.drop("ts", "ws", "rank"), ["query_id"], most, F.desc("score"), F.col("id"))
 
 
@@ -70,13 +88,22 @@ def rerank(hits: DataFrame, queries: DataFrame, most: int) -> DataFrame:
 def r8(spark, sf_dir):
     from .search import bm25_search
 
-    posts, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "all_queries")
+    posts, q = view(spark, sf_dir, "posts"), view(spark, sf_dir, "queries")
     hits = bm25_search(posts, q, 20).join(posts.select("id", "content"), "id")
     return rerank(hits, q, 10).select("query_id", "id", "score", "rank")
 
 
-def extract_items(messages: DataFrame, cues: dict[str, list[str]] = CUES) -> DataFrame:
-    """Sentences with a cue phrase: (domain_id, msg_id, item_id, type, content, confidence). The default in a model's place."""
+ITEM = "array<struct<type:string,content:string,confidence:double>>"
+
+
+def extract_items(messages: DataFrame, cues: dict[str, list[str]] = CUES, model: Model | None = None) -> DataFrame:
+    """(domain_id, msg_id, item_id, type, content, confidence): what a model lists for a message's first 500 characters, as JSON
+    objects of these three, or by default sentences with a cue phrase."""
+    if model:
+        keyed = messages.select(F.struct("domain_id", "msg_id").alias("at"), "content")
+        got = apply_model(keyed, model, "at", "content", 15, 500).where("error is null")
+        each = got.select("at.domain_id", "at.msg_id", F.posexplode(F.from_json("value", ITEM)).alias("pos", "i"))
+        return each.select("domain_id", "msg_id", (F.col("msg_id") * 1000 + F.col("pos")).alias("item_id"), "i.type", "i.content", F.coalesce("i.confidence", F.lit(0.5)).alias("confidence"))
     sentences = messages.select("domain_id", "msg_id", F.posexplode(F.split(F.substring("content", 1, 500), r"\. ")).alias("pos", "content"))
     kind = F.lit(None).cast("string")
     for name, phrases in reversed(cues.items()):
@@ -87,10 +114,10 @@ def extract_items(messages: DataFrame, cues: dict[str, list[str]] = CUES) -> Dat
     return sentences.withColumn("type", kind).select("domain_id", "msg_id", (F.col("msg_id") * 1000 + F.col("pos")).alias("item_id"), "type", "content", F.least(F.lit(1.0), F.char_length("content") / 100).alias("confidence"))
 
 
-def decisions(messages: DataFrame, as_of, days: int = 30, per_domain: int = 500) -> DataFrame:
+def decisions(messages: DataFrame, as_of, days: int = 30, per_domain: int = 500, model: Model | None = None) -> DataFrame:
     """Recent messages -> valid items, unique by content within a domain, the surest first."""
     recent = recent_messages(messages, as_of, days, per_domain)
-    return items_by_confidence(dedup_exact_text(valid_items(extract_items(recent))))
+    return items_by_confidence(dedup_exact_text(valid_items(extract_items(recent, model=model))))
 
 
 _CASE = "CASE WHEN contains(lower(c), 'tion the') OR contains(lower(c), 'decided') OR contains(lower(c), 'agreed') THEN 'decision' WHEN contains(lower(c), 'ing the') OR contains(lower(c), 'todo') OR contains(lower(c), 'please') THEN 'action_item' WHEN contains(lower(c), '?') OR contains(lower(c), 'eaux') THEN 'open_question' END"
@@ -103,11 +130,24 @@ def m6(spark, sf_dir):
     return decisions(view(spark, sf_dir, "messages"), now()).select("domain_id", "item_id", "type")
 
 
-def extract_entities(threads: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Default extraction from thread texts: tags, mentions and capitalised word pairs; entities in one thread are related.
+GRAPH = "struct<entities:array<struct<name:string,type:string,confidence:double>>,relations:array<struct<source:string,target:string,type:string,confidence:double>>>"
+
 
-    threads: domain_id, thread_id, text. At most `most` entities of a thread (by name) enter relations.
+def extract_entities(threads: DataFrame, most: int = 10, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of thread texts: (domain_id, name, type, n_threads, confidence) and (domain_id, source, target,
+    n_threads, type). threads: domain_id, thread_id, text.
+
+    A model gives for a text {"entities": [{name, type, confidence}], "relations": [{source, target, type, confidence}]}; what it
+    leaves out is 0.8 and RELATED_TO. By default tags, mentions and capitalised word pairs are entities, and those of one thread are
+    related, at most `most` of a thread (by name).
     """
+    if model:
+        keyed = threads.select(F.struct("domain_id", "thread_id").alias("at"), "text")
+        got = written(apply_model(keyed, model, "at", "text", 5, 4000).where("error is null").select("at.domain_id", F.from_json("value", GRAPH).alias("g")), "extracted")
+        each = got.select("domain_id", F.inline("g.entities")).where("trim(name) <> ''")
+        entities = each.groupBy("domain_id", "name").agg(F.min("type").alias("type"), F.count("*").alias("n_threads"), F.max(F.coalesce("confidence", F.lit(0.8))).alias("confidence"))
+        linked = got.select("domain_id", F.inline("g.relations")).where("source <> target").withColumn("type", F.coalesce("type", F.lit("RELATED_TO")))
+        return entities, linked.groupBy("domain_id", "source", "target", "type").agg(F.count("*").alias("n_threads")).select("domain_id", "source", "target", "n_threads", "type")
     text = F.substring("text", 1, 4000)
     kinds = [("Tag", r"#([\p{L}\p{N}_]+)"), ("Person", r"@([A-Za-z0-9_]{3,})"), ("Term", r"([A-Z][a-z]{3,} [A-Z][a-z]{3,})")]
     named = lambda kind, pattern: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type")))
@@ -120,7 +160,11 @@ def extract_entities(threads: DataFrame, most: int = 10) -> tuple[DataFrame, Dat
     return entities, relations
 
 
-@query("m7_entity_extraction", cte("messages") + r", e AS (SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '#([\p{L}\p{N}_]+)', 1)) AS name, 'Tag' AS type FROM messages UNION SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '@([A-Za-z0-9_]{3,})', 1)), 'Person' FROM messages UNION SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '([A-Z][a-z]{3,} [A-Z][a-z]{3,})', 1)), 'Term' FROM messages) SELECT domain_id, name, min(type) AS type, count(*) AS n_threads FROM e GROUP BY 1, 2")
+_M7 = cte("messages") + r", e AS (SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '#([\p{L}\p{N}_]+)', 1)) AS name, 'Tag' AS type FROM messages UNION SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '@([A-Za-z0-9_]{3,})', 1)), 'Person' FROM messages UNION SELECT domain_id, msg_id, unnest(regexp_extract_all(substr(content, 1, 4000), '([A-Z][a-z]{3,} [A-Z][a-z]{3,})', 1)), 'Term' FROM messages), few AS (SELECT *, row_number() OVER (PARTITION BY domain_id, msg_id ORDER BY name, type) AS i FROM e)"
+
+
+@query("m7_entity_extraction", _M7 + " SELECT domain_id, name AS source, NULL AS target, min(type) AS type, count(*) AS n_threads FROM e GROUP BY 1, 2 UNION ALL SELECT a.domain_id, a.name, b.name, 'RELATED_TO', count(*) FROM few a JOIN few b ON a.domain_id = b.domain_id AND a.msg_id = b.msg_id AND a.i < b.i AND b.i <= 10 AND a.name <> b.name GROUP BY 1, 2, 3")
 def m7(spark, sf_dir):
     m = view(spark, sf_dir, "messages").select("domain_id", F.col("msg_id").alias("thread_id"), F.col("content").alias("text"))
-    return extract_entities(m)[0].select("domain_id", "name", "type", "n_threads")
+    entities, relations = extract_entities(m)
+    return entities.select("domain_id", F.col("name").alias("source"), F.lit(None).cast("string").alias("target"), "type", "n_threads").unionByName(relations.select("domain_id", "source", "target", "type", "n_threads"))

@@ -14,6 +14,8 @@ from ..sources.tables import written
 from .tables import top_per_key
 
 K1, B = 1.2, 0.75
+#: Up to so many query terms are sought in each text's words where they stand; more are joined to the words.
+MOST_TERMS = 5000
 
 
 def postings(docs: DataFrame, stem=lambda c: c) -> DataFrame:
@@ -37,14 +39,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     """(query_id, id, score, rank, total_matches): OR-search of many queries at once.
 
-    Only postings of query terms leave the scan; whether the terms are broadcast is Spark's choice by their size. Scores are rounded to 4 decimals.
+    Only postings of query terms leave the scan. Scores are rounded to 4 decimals.
     """
     q = query_terms(queries)
     vocabulary = q.select("term").distinct()
     words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
-    stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    # used three times below: written once, so that the texts are read once
-    hits = written(words.select("id", "dl", F.explode("ws").alias("term")).join(vocabulary, "term").groupBy("id", "term", "dl").agg(F.count("*").cast("double").alias("tf")), "bm25-hits")
+    # the texts are read once: each row keeps its length and, of its words, those of a query
+    wanted = [r.term for r in vocabulary.limit(MOST_TERMS + 1).collect()]
+    if len(wanted) > MOST_TERMS:
+        held = words.select("id", "dl", F.explode("ws").alias("term")).join(vocabulary, "term")
+        stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    else:
+        few = written(words.select("id", "dl", F.filter("ws", lambda w: w.isin(wanted)).alias("ws")), "bm25-words")
+        stats = few.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        held = few.select("id", "dl", F.explode("ws").alias("term"))
+    hits = written(held.groupBy("id", "term", "dl").agg(F.count("*").cast("double").alias("tf")), "bm25-hits")
     df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = q.join(df, "term").select("query_id", "term", (F.col("boost") * idf).alias("w"))
@@ -84,20 +93,22 @@ def fts_fallback(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
     tf = words.select("id", "dl", F.explode("ws").alias("term")).join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("dl"), 6).alias("score"))
     level2 = tf.withColumn("level", F.lit(2))
-    answered = F.broadcast(level2.select("query_id").distinct())
-    open_terms = q.join(answered, "query_id", "left_anti").groupBy("query_id").agg(F.collect_set("term").alias("ts"))  # a query's terms
-    low = docs.select("id", F.lower("content").alias("low"))
-    level3 = low.join(F.broadcast(open_terms), F.exists("ts", lambda t: F.contains(F.col("low"), t))).select("query_id", "id", F.lit(1.0).alias("score"), F.lit(3).alias("level"))
+    open_terms = q.join(level2.select("query_id").distinct(), "query_id", "left_anti")
+    # the terms of queries without an answer, one row of distinct words: each text is held against a word once
+    sought = F.broadcast(open_terms.agg(F.collect_set("term").alias("ts")))
+    low = docs.select("id", F.lower("content").alias("low")).join(sought)
+    found = low.select("id", F.explode(F.filter("ts", lambda t: F.contains(F.col("low"), t))).alias("term"))
+    level3 = found.join(open_terms, "term").select("query_id", "id").distinct().select("query_id", "id", F.lit(1.0).alias("score"), F.lit(3).alias("level"))
     return top_per_key(level2.unionByName(level3), ["query_id"], most, F.desc("score"), F.col("id"))
 
 
-_QPART = cte("posts", "queries").replace("FROM benchmark WHERE item_id < 10", "FROM benchmark WHERE item_id < 10 UNION ALL SELECT 100, 'entio'")
+_QPART = cte("posts", "queries").replace("AS query_text FROM benchmark", "AS query_text FROM benchmark UNION ALL SELECT -1, 'entio'")
 
 
 @query("r2_fts_fallback", _QPART + _POSTINGS + _TERMS + ", l2 AS (SELECT query_id, id, 2 AS level, round(sum(tf)::DOUBLE / max(dl), 6) AS score FROM post JOIN qt USING (term) GROUP BY 1, 2), l3 AS (SELECT DISTINCT query_id, id, 3 AS level, 1.0::DOUBLE AS score FROM qt JOIN posts ON contains(lower(content), term) WHERE query_id NOT IN (SELECT query_id FROM l2)), u AS (SELECT * FROM l2 UNION ALL SELECT * FROM l3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM u) SELECT query_id, id, level, score FROM r WHERE rank <= 10")
 def r2(spark, sf_dir):
     q = view(spark, sf_dir, "queries")
-    more = q.limit(1).select(F.lit(100).cast("long").alias("query_id"), F.lit("entio").alias("query_text"))
+    more = q.limit(1).select(F.lit(-1).cast("long").alias("query_id"), F.lit("entio").alias("query_text"))
     return fts_fallback(view(spark, sf_dir, "posts"), q.unionByName(more), 10).select("query_id", "id", "level", "score")
 
 
@@ -159,15 +170,24 @@ def j10(spark, sf_dir):
     return hits_with_domain(view(spark, sf_dir, "posts"), view(spark, sf_dir, "domains")).select("id", "channel_username", "link")
 
 
-def relevance_gate(hits: DataFrame, high: float, low: float, top: int = 3) -> DataFrame:
-    """Labels each query's top hits by score; reformulate if two or more are low; low ones go unless all would."""
+def relevance_gate(hits: DataFrame, high: float, low: float, top: int = 3, queries: DataFrame | None = None, model=None) -> DataFrame:
+    """Labels each query's top hits; reformulate if two or more are low; low ones go unless all would.
+
+    The label is a pair model's (a string for "query, blank line, text"), or where there is none, or it fails, the score's.
+    """
     label = F.when(F.col("score") >= high, "high").when(F.col("score") >= low, "medium").otherwise("low")
+    if model is not None:
+        from .models import judged_pairs
+
+        said = judged_pairs(hits.where(F.col("rank") <= top), queries, model).select("query_id", "id", F.lower(F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v")).alias("_said"))
+        hits = hits.join(said, ["query_id", "id"], "left")
+        label = F.when(F.col("_said").isin("high", "medium", "low"), F.col("_said")).otherwise(label)
     w = W.partitionBy("query_id")
     labelled = hits.withColumn("relevance", F.when(F.col("rank") <= top, label))
     n_low = F.count_if(F.col("relevance") == "low").over(w)
     left = F.count_if(F.coalesce(F.col("relevance") != "low", F.lit(True))).over(w)
     out = labelled.withColumn("reformulate", n_low >= 2).withColumn("_left", left)
-    return out.where((F.coalesce(F.col("relevance"), F.lit("")) != "low") | (F.col("_left") == 0)).drop("_left")
+    return out.where((F.coalesce(F.col("relevance"), F.lit("")) != "low") | (F.col("_left") == 0)).drop("_left", "_said")
 
 
 @query("r9_relevance_gate", BM25_SQL + ", h AS (SELECT query_id, id, rank, CASE WHEN rank <= 3 THEN CASE WHEN score >= 12 THEN 'high' WHEN score >= 8 THEN 'medium' ELSE 'low' END END AS relevance FROM bm WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 3 ELSE 10 END), c AS (SELECT *, count(*) FILTER (WHERE relevance = 'low') OVER (PARTITION BY query_id) >= 2 AS reformulate, count(*) FILTER (WHERE coalesce(relevance <> 'low', true)) OVER (PARTITION BY query_id) AS n_left FROM h) SELECT query_id, id, relevance, reformulate FROM c WHERE coalesce(relevance, '') <> 'low' OR n_left = 0")
@@ -179,14 +199,14 @@ def r9(spark, sf_dir):
 def route_path(queries: DataFrame, fresh_summary: DataFrame, hits: DataFrame, many: int = 30) -> DataFrame:
     """overview (a fresh summary and an overview question), cascaded (many keyword hits), else standard."""
     n = hits.groupBy("query_id").agg(F.max("total_matches").alias("n_hits"))
-    out = queries.join(F.broadcast(fresh_summary.select("query_id", F.lit(True).alias("_fresh"))), "query_id", "left").join(n, "query_id", "left")
+    out = queries.join(fresh_summary.select("query_id", F.lit(True).alias("_fresh")), "query_id", "left").join(n, "query_id", "left")
     path = F.when(F.coalesce("_fresh", F.lit(False)) & T.is_overview(F.col("query_text")), "overview").when(F.coalesce("n_hits", F.lit(0)) > many, "cascaded").otherwise("standard")
     return out.select("query_id", path.alias("path"))
 
 
-@query("r12_route_path", BM25_SQL + ", n AS (SELECT query_id, max(total_matches) AS n FROM bm GROUP BY 1) SELECT query_id, CASE WHEN query_id < 2 THEN 'overview' WHEN coalesce(n, 0) > 30 THEN 'cascaded' ELSE 'standard' END AS path FROM queries LEFT JOIN n USING (query_id)")
+@query("r12_route_path", BM25_SQL + ", n AS (SELECT query_id, max(total_matches) AS n FROM bm GROUP BY 1) SELECT query_id, CASE WHEN query_id % 5 = 0 THEN 'overview' WHEN coalesce(n, 0) > 30 THEN 'cascaded' ELSE 'standard' END AS path FROM queries LEFT JOIN n USING (query_id)")
 def r12(spark, sf_dir):
     q = view(spark, sf_dir, "queries")
     hits = bm25_search(view(spark, sf_dir, "posts"), q, 1)
-    asked = q.withColumn("query_text", F.expr("CASE WHEN query_id < 2 THEN concat('summary of ', query_text) ELSE query_text END"))
-    return route_path(asked, q.where("query_id < 5").select("query_id"), hits)
+    asked = q.withColumn("query_text", F.expr("CASE WHEN query_id % 5 = 0 THEN concat('summary of ', query_text) ELSE query_text END"))
+    return route_path(asked, q.where("query_id % 5 < 3").select("query_id"), hits)

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import query
 from ..sources.fixtures import cte, table, view
+from ..sources.tables import written
 from .clean import _NOISE_SQL, with_noise
 from .scope import last_row
+from .threads import THREADS_SQL
 
 _TAGS = r"regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)"
 
 
+def _threads_sql(*names: str) -> str:
+    return THREADS_SQL + ", " + cte(*names).removeprefix("WITH ")
+
+
 def posts_per_hashtag(messages: DataFrame) -> DataFrame:
     return messages.select("domain_id", F.explode(T.hashtags(F.col("content"))).alias("tag")).groupBy("domain_id", "tag").agg(F.count("*").alias("n_posts"))
 
@@ -58,14 +64,22 @@ def a9(spark, sf_dir):
     return reply_counts(view(spark, sf_dir, "messages"))
 
 
-def ingestion_stats(messages: DataFrame) -> DataFrame:
+def ingestion_stats(messages: DataFrame, **tables: DataFrame) -> DataFrame:
+    """Totals of a run in one row: all, noise, clean, replies and duration of the messages, and n_NAME of each further table."""
     noisy = with_noise(messages)
-    return noisy.agg(F.count("*").alias("n_all"), F.count_if("is_noise").alias("n_noise"), F.count_if(~F.col("is_noise")).alias("n_clean"), F.count_if(F.col("reply_to_msg_id").isNotNull()).alias("n_replies"))
+    span = F.unix_seconds(F.max("msg_date").cast("timestamp")) - F.unix_seconds(F.min("msg_date").cast("timestamp"))
+    out = noisy.agg(F.count("*").alias("n_all"), F.count_if("is_noise").alias("n_noise"), F.count_if(~F.col("is_noise")).alias("n_clean"), F.count_if(F.col("reply_to_msg_id").isNotNull()).alias("n_replies"), span.alias("duration_s"))
+    for name, df in tables.items():
+        out = out.join(F.broadcast(df.agg(F.count("*").alias(f"n_{name}"))))  # one row each
+    return out
 
 
-@query("a10_ingestion_stats", cte("messages") + f" SELECT count(*) AS n_all, count(*) FILTER (WHERE {_NOISE_SQL}) AS n_noise, count(*) FILTER (WHERE NOT {_NOISE_SQL}) AS n_clean, count(reply_to_msg_id) AS n_replies FROM messages")
+@query("a10_ingestion_stats", _threads_sql("entities", "relations", "vectors") + f" SELECT count(*) AS n_all, count(*) FILTER (WHERE {_NOISE_SQL}) AS n_noise, count(*) FILTER (WHERE NOT {_NOISE_SQL}) AS n_clean, count(reply_to_msg_id) AS n_replies, CAST(date_diff('second', min(msg_date), max(msg_date)) AS BIGINT) AS duration_s, (SELECT count(DISTINCT (domain_id, thread_root)) FROM t) AS n_threads, (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM relations) AS n_relations, (SELECT count(*) FROM vectors) AS n_vectors FROM messages")
 def a10(spark, sf_dir):
-    return ingestion_stats(view(spark, sf_dir, "messages"))
+    from .threads import build_threads
+
+    m = view(spark, sf_dir, "messages")
+    return ingestion_stats(m, threads=build_threads(m), **{n: view(spark, sf_dir, n) for n in ("entities", "relations", "vectors")})
 
 
 def engagement_top(messages: DataFrame, most: int = 200) -> DataFrame:
@@ -237,12 +251,27 @@ def w4(spark, sf_dir):
 
 
 def decisions_grouped(items: DataFrame) -> DataFrame:
-    """Items per type, with their contents by confidence."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "item_id"))), lambda x: x["item_id"])
-    return items.groupBy("type").agg(F.count("*").alias("n_items"), listed.alias("item_ids"))
-
-
-@query("a15_decisions_grouped", "SELECT l_returnflag AS type, count(*) AS n_items, string_agg(l_orderkey, ',' ORDER BY -l_quantity, l_orderkey) AS item_ids FROM lineitem WHERE l_linenumber = 7 GROUP BY 1")
+    """Each item with its type's number of items and its place in the type by confidence: a type of any size, a row an item."""
+    n = items.groupBy("type").agg(F.count("*").alias("n_items"))
+    return ranked_in_ranges(items.withColumn("_order", -F.col("confidence")), "type", "_order", "item_id").join(n, "type").drop("_order")
+
+
+def ranked_in_ranges(rows: DataFrame, key: str, order: str, tie: str, size: int = 100_000) -> DataFrame:
+    """rows with their 1-based place by (order, tie) in their key, keys of any size: ranges of a key are ranked apart, and the ranges
+    before are added. Ranges are cut at the key's own quantiles."""
+    n = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"), F.count("*").alias("_all"))
+    most = n.agg(F.max("_n")).first()[0] or 1
+    if most == 1:
+        return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(order, tie)).cast("long"))
+    cuts = rows.groupBy(key).agg(F.percentile_approx(order, F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(10 * most)).alias("_cuts"))
+    dealt = written(rows.join(cuts, key, "left").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts"), "ranges")
+    parts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_rows"))
+    before = parts.select(key, "_part", F.coalesce(F.sum("_rows").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(key, "_part").orderBy(order, tie))
+    return dealt.join(before, [key, "_part"]).withColumn("place", (F.col("_before") + inside).cast("long")).drop("_part", "_before")
+
+
+@query("a15_decisions_grouped", "SELECT l_returnflag AS type, l_orderkey * 10 + l_linenumber AS item_id, count(*) OVER (PARTITION BY l_returnflag) AS n_items, row_number() OVER (PARTITION BY l_returnflag ORDER BY -l_quantity, l_orderkey * 10 + l_linenumber) AS place FROM lineitem")
 def a15(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_returnflag").alias("type"), F.col("l_quantity").cast("double").alias("confidence"), F.col("l_orderkey").alias("item_id"))
-    return decisions_grouped(items).withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("type"), F.col("l_quantity").cast("double").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"))
+    return decisions_grouped(items).select("type", "item_id", "n_items", "place")

@@ -27,10 +27,16 @@ def _sql_dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]))"
 
 
-@query("f6_cosine", cte("vectors", "query_vectors") + f" SELECT id, query_id, round({_sql_dot('embedding', 'q')} / (sqrt({_sql_dot('embedding', 'embedding')}) * sqrt({_sql_dot('q', 'q')})), 4) AS cosine FROM vectors, query_vectors WHERE query_id < 3")
+@query("f6_cosine", cte("vectors", "query_vectors") + f" SELECT id, query_id, coalesce(nullif(round({_sql_dot('embedding', 'q')} / (sqrt({_sql_dot('embedding', 'embedding')}) * sqrt({_sql_dot('q', 'q')})), 4), 0), 0) AS cosine FROM vectors, query_vectors")
 def f6(spark, sf_dir):
-    q = view(spark, sf_dir, "query_vectors").where("query_id < 3")
-    return view(spark, sf_dir, "vectors").join(F.broadcast(q)).select("id", "query_id", F.round(cosine("embedding", "q"), 4).alias("cosine"))
+    return all_cosines(view(spark, sf_dir, "vectors"), view(spark, sf_dir, "query_vectors"))
+
+
+def all_cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, query_id, cosine): every vector beside every query of a stated set, in blocks: a result as large as both together."""
+    v, n = in_blocks(vectors.select("id", "embedding"), "id", "vb")
+    asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("vb"))
+    return v.join(asked, "vb").select("id", "query_id", F.round(cosine("embedding", "q"), 4).alias("cosine"))
 
 
 #: Rows of a block: a task compares one block of vectors with one of queries, or two of vectors.
@@ -86,9 +92,12 @@ def r3(spark, sf_dir):
     return vector_search(view(spark, sf_dir, "vectors").where("channel_id IN (1, 2, 3, 4, 5)"), view(spark, sf_dir, "query_vectors"), 10)
 
 
-@query("r5_vector_search_temporal", cte("vectors", "query_vectors") + _exact("msg_ts BETWEEN 1704127200 AND 1704247200") + " SELECT query_id, id, score, rank FROM vr WHERE rank <= 10")
+@query("r5_vector_search_temporal", cte("vectors", "query_vectors") + _exact("msg_ts BETWEEN (SELECT min(msg_ts) + (max(msg_ts) - min(msg_ts)) // 5 FROM vectors) AND (SELECT max(msg_ts) - (max(msg_ts) - min(msg_ts)) // 5 FROM vectors)") + " SELECT query_id, id, score, rank FROM vr WHERE rank <= 10")
 def r5(spark, sf_dir):
-    return vector_search_temporal(view(spark, sf_dir, "vectors"), view(spark, sf_dir, "query_vectors"), 1704127200, 1704247200, 10)
+    v = view(spark, sf_dir, "vectors")
+    first, last = v.agg(F.min("msg_ts"), F.max("msg_ts")).first()
+    edge = (last - first) // 5 if first is not None else 0
+    return vector_search_temporal(v, view(spark, sf_dir, "query_vectors"), (first or 0) + edge, (last or 0) - edge, 10)
 
 
 def vector_search_temporal(vectors: DataFrame, queries: DataFrame, since: int, until: int, most: int) -> DataFrame:
@@ -123,7 +132,7 @@ def vector_search_pruned(placed: DataFrame, centroids: np.ndarray, queries: Data
 @query("r4_vector_search_pruned")
 def r4(spark, sf_dir):
     centroids, placed = cells(view(spark, sf_dir, "vectors"), 16)
-    return vector_search_pruned(placed, centroids, view(spark, sf_dir, "all_query_vectors"), 10, 8)
+    return vector_search_pruned(placed, centroids, view(spark, sf_dir, "query_vectors"), 10, 8)
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, depth: int, most: int) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.keys import message_link
 from ..operators.clean import drop_digest_posts, with_noise
 from ..operators.graph import communities, merge_graph
-from ..operators.models import extract_entities
+from ..operators.models import Model, apply_model, extract_entities
 from ..operators.similar import dedup_semantic, greedy_clusters
-from ..operators.tables import reply_counts, representatives, top_per_key
+from ..operators.tables import posts_per_hashtag, reply_counts, representatives, top_per_key
 from ..operators.threads import build_threads
 from ..operators.vectors import hash_embed, vector_docs
 from ..registry import query
@@ -23,22 +25,34 @@ def summarise(text: Column, sentences: int = 2) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[.!?])\s+"), 1, sentences), " ")
 
 
-def map_reduce(posts: DataFrame, batch: int = 15, chars: int = 1500, most_tokens: int = 12_000, group: int = 4, most_rounds: int = 5) -> DataFrame:
+def summarised(df: DataFrame, keys: list[str], text: str, sentences: int = 2, model: Model | None = None) -> DataFrame:
+    """df with its text summarised: by a model (a string for each text; where it fails, and without one, the first sentences)."""
+    if model is None:
+        return df.withColumn(text, summarise(F.col(text), sentences))
+    got = apply_model(df.select(F.struct(*keys).alias("at"), F.col(text).alias("text")), model, "at").select("at.*", F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"].alias("_said"))
+    return df.join(got, keys, "left").withColumn(text, F.coalesce("_said", summarise(F.col(text), sentences))).drop("_said")
+
+
+def map_reduce(posts: DataFrame, batch: int = 15, chars: int = 1500, most_tokens: int = 12_000, group: int = 4, most_rounds: int = 5, model: Model | None = None) -> DataFrame:
     """(key, id, rank, content) -> a row per key: text, n_posts, output budget.
 
-    Batches of posts are mapped to summaries; while a key's summaries hold too many tokens, groups of them collapse.
+    Batches of posts are mapped to summaries; while a key's summaries hold too many tokens, groups of them collapse. A model
+    summarises whole batches and groups; by default each post gives its first sentences, and each group its first ten.
     """
     n = posts.groupBy("key").agg(F.count("*").alias("n_posts"))
     joined = lambda order, c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(c).alias("x")))), lambda s: s["x"]), sep)
-    numbered = posts.withColumn("i", F.floor((F.col("rank") - 1) / batch)).withColumn("line", summarise(F.substring("content", 1, chars)))
-    parts = numbered.groupBy("key", "i").agg(joined("rank", "line", "\n").alias("text")).withColumn("text", T.skip_lines(F.col("text"))).where("text is not null")
+    line = F.substring("content", 1, chars)
+    numbered = posts.withColumn("i", F.floor((F.col("rank") - 1) / batch)).withColumn("line", line if model else summarise(line))
+    parts = numbered.groupBy("key", "i").agg(joined("rank", "line", "\n").alias("text"))
+    parts = summarised(parts, ["key", "i"], "text", model=model) if model else parts
+    parts = parts.withColumn("text", T.skip_lines(F.col("text"))).where("text is not null")
     for _ in range(most_rounds):
         parts = written(parts, "map-reduce")
         over = parts.groupBy("key").agg(F.sum(T.count_tokens(F.col("text"))).alias("tokens"), F.count("*").alias("n")).where((F.col("tokens") > most_tokens) & (F.col("n") > 1)).select("key")
         if not over.take(1):
             break
-        shrink = parts.join(over, "key", "left_semi").withColumn("g", F.floor(F.col("i") / group)).groupBy("key", "g").agg(joined("i", "text", "\n").alias("text")).select("key", F.col("g").alias("i"), summarise(F.col("text"), 10).alias("text"))
-        parts = parts.join(over, "key", "left_anti").unionByName(shrink)
+        shrink = parts.join(over, "key", "left_semi").withColumn("g", F.floor(F.col("i") / group)).groupBy("key", "g").agg(joined("i", "text", "\n").alias("text"))
+        parts = parts.join(over, "key", "left_anti").unionByName(summarised(shrink.select("key", F.col("g").alias("i"), "text"), ["key", "i"], "text", 10, model))
     budget = F.greatest(F.lit(4096), F.least(120 * F.col("n_posts"), F.lit(16_384)))
     return parts.groupBy("key").agg(joined("i", "text", "\n").alias("text")).join(n, "key").select("key", "text", "n_posts", budget.alias("output_budget"))
 
@@ -49,23 +63,37 @@ def m5(spark, sf_dir):
     return map_reduce(top_per_key(p, ["key"], 200, F.col("id")).select("key", "id", "rank", "content"))
 
 
-def digest(messages: DataFrame, configs: DataFrame, as_of: Column, most: int = 200, threshold: float = 0.92, like: float = 0.55) -> DataFrame:
-    """Digests of all configs in one job: a row per (config_id, cluster) with its posts and summary.
+def digest(messages: DataFrame, configs: DataFrame, as_of: Column, domains: DataFrame | None = None, most: int = 200, threshold: float = 0.92, like: float = 0.55, model: Model | None = None) -> DataFrame:
+    """Digests of all configs in one job: a row per (config_id, cluster_id), and one per config, without cluster, that combines them.
 
-    configs: config_id, domain_id, days. Posts are scored and cut to `most` per config before any are compared.
+    configs: config_id, domain_id, days. Posts are scored and cut to `most` per config before any are compared. Summaries name their
+    posts as `[msg_id: N]`, which become links to the domains' channels, or vanish where none is known.
     """
-    window = messages.join(F.broadcast(configs), "domain_id").where(F.col("msg_date") >= as_of - F.make_dt_interval(F.col("days")))
+    window = messages.join(configs, "domain_id").where(F.col("msg_date") >= as_of - F.make_dt_interval(F.col("days")))
     clean = drop_digest_posts(with_noise(window).where("not is_noise"))
     scored = clean.join(reply_counts(messages), ["domain_id", "msg_id"], "left").withColumn("score", 3 * F.coalesce("n_replies", F.lit(0)) + T.content_score(F.col("content")))
     top = top_per_key(scored, ["config_id"], most, F.desc("score"), F.col("msg_id"))
-    posts = written(top.select(F.col("config_id").alias("batch"), F.col("msg_id").alias("id"), "score", F.col("content").alias("text"), hash_embed(F.substring("content", 1, 2000)).alias("embedding")), "digest-posts")
+    posts = written(top.select(F.col("config_id").alias("batch"), F.col("msg_id").alias("id"), "domain_id", "score", F.col("content").alias("text"), hash_embed(F.substring("content", 1, 2000)).alias("embedding")), "digest-posts")
     kept = posts.join(dedup_semantic(posts, threshold), ["batch", "id"], "left_semi")
-    clustered = greedy_clusters(kept, like).join(posts.select("batch", "id", "text"), ["batch", "id"])
+    clustered = written(greedy_clusters(kept, like).join(posts.select("batch", "id", "text"), ["batch", "id"]), "digest-clusters")
     one = representatives(clustered.withColumn("cluster_id", F.struct("batch", "cluster_id")))
-    lines = one.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", summarise(F.col("snippet"), 1).alias("s")))), lambda x: F.concat(F.lit("- "), x["s"])), "\n").alias("summary"))
-    sizes = clustered.groupBy(F.struct("batch", "cluster_id").alias("cluster_id")).agg(F.count("*").alias("n_posts"), F.min_by("text", "position").alias("label"))
-    out = sizes.join(lines, "cluster_id")
-    return out.select(F.col("cluster_id.batch").alias("config_id"), F.col("cluster_id.cluster_id").alias("cluster_id"), "n_posts", T.snippet(F.col("label"), 80).alias("label"), T.html_text(F.col("summary")).alias("summary"))
+    said = F.concat(F.lit("- "), summarise(F.col("snippet"), 1), F.lit(" [msg_id: "), F.col("id").cast("string"), F.lit("]"))
+    lines = one.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", said.alias("s")))), lambda x: x["s"]), "\n").alias("summary"))
+    lines = summarised(lines.select("cluster_id.*", "summary"), ["batch", "cluster_id"], "summary", model=model) if model else lines.select("cluster_id.*", "summary")
+    sizes = clustered.groupBy("batch", "cluster_id").agg(F.count("*").alias("n_posts"), F.min_by("text", "position").alias("label"))
+    clusters = written(sizes.join(lines, ["batch", "cluster_id"]).withColumn("label", T.snippet(F.col("label"), 80)), "digest-lines")
+    # the combine step: large clusters first, under a heading each
+    section = F.concat(F.lit("### "), "label", F.lit("\n"), "summary")
+    order = F.struct((F.col("cluster_id") < 0).alias("misc"), (-F.col("n_posts")).alias("size"), "cluster_id", section.alias("s"))
+    whole = clusters.groupBy("batch").agg(F.sum("n_posts").alias("n_posts"), F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["s"]), "\n\n").alias("summary")).withColumn("label", F.lit("digest")).withColumn("cluster_id", F.lit(None).cast("long"))
+    whole = summarised(whole, ["batch"], "summary", model=model) if model else whole
+    rows = clusters.unionByName(whole.select(*clusters.columns))
+    named = domains.select("domain_id", "channel_username") if domains is not None else messages.select("domain_id", F.lit(None).cast("string").alias("channel_username")).limit(0)
+    linked = posts.select("batch", "id", "domain_id").join(named, "domain_id").withColumn("link", message_link(F.col("channel_username"), F.col("id"))).where("link <> ''")
+    # at most `most` posts a config
+    maps = linked.groupBy("batch").agg(F.map_from_entries(F.collect_set(F.struct(F.col("id").cast("string"), "link"))).alias("links"))
+    out = rows.join(maps, "batch", "left").withColumn("links", F.coalesce("links", F.create_map().cast("map<string,string>")))
+    return out.select(F.col("batch").alias("config_id"), "cluster_id", "n_posts", "label", T.html_refs(F.col("summary"), F.col("links")).alias("summary"))
 
 
 @query("m4_digest")
@@ -74,24 +102,84 @@ def m4(spark, sf_dir):
 
     m = view(spark, sf_dir, "messages")
     configs = m.select("domain_id").distinct().select((F.col("domain_id") + 100).alias("config_id"), "domain_id", F.lit(30).alias("days"))
-    return digest(m, configs, now())
+    return digest(m, configs, now(), view(spark, sf_dir, "domains"))
+
+
+def embedded(df: DataFrame, key: str, text: str, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """(key, embedding) of each text's first 8192 characters, and (key, error) of those for which the model failed."""
+    cut = df.select(key, F.substring(text, 1, 8192).alias("text"))
+    if model is None:
+        none = df.select(key, F.lit(None).cast("string").alias("error")).limit(0)
+        return cut.select(key, hash_embed(F.col("text")).alias("embedding")), none
+    got = written(apply_model(cut, model, key, "text", 4), "embedded")
+    return got.where("error is null").select(key, F.from_json("value", "array<double>").alias("embedding")), got.where("error is not null").select(key, "error")
 
 
-def ingest_initial(messages: DataFrame) -> dict[str, DataFrame]:
-    """Messages -> clean messages, threads, vectors, entities, relations, communities: the tables of one run."""
-    clean = written(with_noise(messages).where("not is_noise").withColumn("language", T.detect_language(F.col("content"))).withColumn("hashtags", T.hashtags(F.col("content"))), "ingest-clean")
+def enriched(messages: DataFrame) -> DataFrame:
+    """The columns that cleaning adds, for batch and stream alike."""
+    return with_noise(messages).where("not is_noise").withColumn("language", T.detect_language(F.col("content"))).withColumn("hashtags", T.hashtags(F.col("content")))
+
+
+def ingest_initial(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+    """Messages -> clean messages, threads, vectors, tags, entities, relations, communities, failures: the tables of one run.
+
+    A text for which a model fails is a row of `failures` and missing in that table; the run goes on.
+    """
+    out = ingest_part(messages, embed_model, graph_model)
+    entities, relations = merge_graph(out["entities"].limit(0), out["entities"], out["relations"].limit(0), out["relations"])
+    relations = written(relations, "ingest-relations")
+    return out | {"entities": entities, "relations": relations, "communities": communities(relations)}
+
+
+def ingest_part(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+    """The tables that some messages add: nothing is merged with what is known already."""
+    clean = written(enriched(messages), "ingest-clean")
     threads = written(build_threads(clean), "ingest-threads")
-    vectors = vector_docs(threads, threads.select("thread_id", hash_embed(F.substring("text", 1, 8192)).alias("embedding")))
-    entities, relations = extract_entities(threads)
-    none_e, none_r = entities.limit(0), relations.limit(0)
-    entities, relations = merge_graph(none_e, entities, none_r, relations)
-    return {"messages": clean, "threads": threads, "vectors": vectors, "entities": entities, "relations": relations, "communities": communities(relations)}
+    vectors, failed = embedded(threads, "thread_id", "text", embed_model)
+    entities, relations = extract_entities(threads, model=graph_model)
+    return {"messages": clean, "threads": threads, "vectors": vector_docs(threads, vectors), "tags": posts_per_hashtag(clean), "entities": entities, "relations": relations, "failures": failed.withColumn("step", F.lit("embed"))}
+
+
+def ingest_incremental(known: dict[str, DataFrame], messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+    """The known tables after new messages: M1 on messages, threads and vectors of the new ones, tag counts, G1 on the graph.
+
+    Messages that are known already are left out. Communities stay as they are until the next whole run.
+    """
+    fresh = messages.dropDuplicates(["domain_id", "msg_id"]).join(known["messages"].select("domain_id", "msg_id"), ["domain_id", "msg_id"], "left_anti")
+    part = ingest_part(fresh, embed_model, graph_model)
+    counted = known["tags"].unionByName(part["tags"]).groupBy("domain_id", "tag").agg(F.sum("n_posts").alias("n_posts"))
+    entities, relations = merge_graph(known["entities"], part["entities"], known["relations"], part["relations"])
+    grown = {name: known[name].unionByName(part[name]) for name in ("messages", "threads", "vectors", "failures")}
+    return known | grown | {"tags": counted, "entities": entities, "relations": relations}
+
 
+def _tables_sql() -> str:
+    """What an ingestion gives, as (name, a, b, n): every message, the tags' counts, the tag entities."""
+    tags = r"regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)"
+    return rf"SELECT 'messages' AS name, domain_id AS a, CAST(msg_id AS VARCHAR) AS b, 1 AS n FROM m UNION ALL SELECT 'tags', domain_id, tag, count(*) FROM (SELECT domain_id, unnest({tags}) AS tag FROM m) GROUP BY 2, 3 UNION ALL SELECT DISTINCT 'entities', domain_id, tag, 1 FROM (SELECT domain_id, unnest({tags}) AS tag FROM m)"
 
-@query("m9_ingest_initial", cte("messages") + ", m AS (SELECT * FROM messages WHERE content_type NOT IN ('sticker') AND NOT (content_type = 'poll' AND trim(coalesce(content, '')) = '') AND NOT (length(trim(coalesce(content, ''))) < 5 AND reply_to_msg_id IS NULL)) SELECT 'messages' AS name, count(*) AS n FROM m UNION ALL SELECT 'in_threads', count(*) FROM m")
+
+def tables_of(got: dict[str, DataFrame]) -> DataFrame:
+    """(name, a, b, n) of an ingestion's messages, tags and tag entities."""
+    rows = got["messages"].select(F.lit("messages").alias("name"), F.col("domain_id").alias("a"), F.col("msg_id").cast("string").alias("b"), F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(got["tags"].select(F.lit("tags").alias("name"), F.col("domain_id").alias("a"), F.col("tag").alias("b"), F.col("n_posts").alias("n")))
+    return rows.unionByName(got["entities"].where("type = 'Tag'").select(F.lit("entities").alias("name"), F.col("domain_id").alias("a"), F.col("name").alias("b"), F.lit(1).cast("long").alias("n")))
+
+
+_CLEAN = cte("messages") + ", m AS (SELECT * FROM messages WHERE content_type NOT IN ('sticker') AND NOT (content_type = 'poll' AND trim(coalesce(content, '')) = '') AND NOT (length(trim(coalesce(content, ''))) < 5 AND reply_to_msg_id IS NULL)) "
+
+
+@query("m9_ingest_initial", _CLEAN + _tables_sql() + " UNION ALL SELECT 'in_threads', NULL, NULL, count(*) FROM m")
 def m9(spark, sf_dir):
     got = ingest_initial(view(spark, sf_dir, "messages"))
-    return got["messages"].agg(F.lit("messages").alias("name"), F.count("*").alias("n")).union(got["threads"].agg(F.lit("in_threads"), F.sum("n_messages")))
+    return tables_of(got).unionByName(got["threads"].select(F.lit("in_threads").alias("name"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("string").alias("b"), "n_messages").groupBy("name", "a", "b").agg(F.sum("n_messages").alias("n")))
+
+
+@query("m9_ingest_incremental", _CLEAN + _tables_sql())
+def m9_incremental(spark, sf_dir):
+    m = view(spark, sf_dir, "messages")
+    first = ingest_initial(m.where("pmod(xxhash64(msg_id div 100), 2) = 0"))
+    return tables_of(ingest_incremental(first, m))
 
 
 @query("s7_vector_docs")
@@ -138,7 +226,32 @@ def packed_paragraphs(text: Column, most: int = 4096) -> Column:
     return F.aggregate(cut, start, step, lambda s: F.filter(F.concat(s["done"], F.array(s["now"])), lambda x: x.isNotNull() & (F.trim(x) != "")))
 
 
+def cut_at_newlines(text: Column, most: int = 4096) -> Column:
+    """Array of pieces of at most `most` characters, each cut at its last line feed, or in full length where it has none."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            pieces, at, t = [], 0, t or ""
+            while len(t) - at > most:
+                end = t.rfind("\n", at, at + most)
+                end = at + most if end <= at else end
+                pieces.append(t[at:end])
+                at = end + (t[end : end + 1] == "\n")
+            pieces.append(t[at:])
+            out.append([p for p in pieces if p.strip()])
+        return pd.Series(out)
+
+    return cut(text)
+
+
 @query("s11_chunk_text")
 def s11(spark, sf_dir):
     docs = view(spark, sf_dir, "posts").select("id", F.regexp_replace("content", "\n", "\n\n").alias("text"))
     return docs.select("id", F.posexplode(packed_paragraphs(F.col("text"))).alias("piece_no", "piece"))
+
+
+@query("s11_chunk_lines")
+def s11_lines(spark, sf_dir):
+    return view(spark, sf_dir, "posts").select("id", F.posexplode(cut_at_newlines(F.col("content"))).alias("piece_no", "piece"))

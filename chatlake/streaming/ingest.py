@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators.clean import with_noise
+from ..operators.graph import merge_graph
 from ..operators.threads import GAP_S
+from ..plans.mapreduce import _CLEAN, _tables_sql, enriched, ingest_part, tables_of
 from ..registry import query
 from ..sources.fixtures import cte, view
-from ..sources.tables import new_path
-
-
-def enriched(messages: DataFrame) -> DataFrame:
-    """The columns that cleaning adds, for batch and stream alike."""
-    return with_noise(messages).where("not is_noise").withColumn("language", T.detect_language(F.col("content"))).withColumn("hashtags", T.hashtags(F.col("content")))
+from ..sources.tables import new_path, written
 
 
 def stream_clean(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -25,19 +21,35 @@ def stream_clean(messages: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return enriched(messages).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch becomes a folder of its own, overwritten if the batch is run again."""
+INGESTED = ("messages", "threads", "vectors", "tags", "entities", "relations", "failures")
+
+
+def stream_ingest(messages: DataFrame, path: str, checkpoint: str, **models) -> StreamingQuery:
+    """Every micro-batch adds its clean messages, threads, vectors, tag counts and graph: a folder per table and batch, overwritten
+    if the batch is run again. Messages that earlier batches have stored are left out, so that a late copy adds nothing."""
 
     def save(batch: DataFrame, number: int) -> None:
-        enriched(batch.dropDuplicates(["domain_id", "msg_id"])).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["domain_id", "msg_id"])
+        if number:
+            before = spark.read.schema("domain_id long, msg_id long, batch long").option("basePath", f"{path}/seen").parquet(f"{path}/seen").where(F.col("batch") < number)
+            fresh = fresh.join(before.select("domain_id", "msg_id"), ["domain_id", "msg_id"], "left_anti")
+        fresh = written(fresh, "ingest-fresh")
+        for name, table in ingest_part(fresh, **models).items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        fresh.select("domain_id", "msg_id").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
 
     return messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The ingested batches as one table, one row per message: the first batch that brought it."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("domain_id", "msg_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("domain_id", "msg_id", "batch")]), "batch").alias("m")).select("domain_id", "msg_id", "m.*")
+def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The ingested batches as tables: tag counts are summed, the graph is merged, the latest batch winning on attributes."""
+    read = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    out = {name: read(name) for name in INGESTED}
+    entities = out["entities"].groupBy("domain_id", "name").agg(F.max_by(F.struct("type", "confidence"), F.struct("batch", "type")).alias("a"), F.sum("n_threads").alias("n_threads")).select("domain_id", "name", "a.*", "n_threads")
+    tags = out["tags"].groupBy("domain_id", "tag").agg(F.sum("n_posts").alias("n_posts"))
+    entities, relations = merge_graph(entities.limit(0), entities, out["relations"].drop("batch").limit(0), out["relations"].drop("batch"))
+    return {name: df.drop("batch") for name, df in out.items()} | {"tags": tags, "entities": entities, "relations": relations}
 
 
 def stream_threads(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -65,16 +77,17 @@ def stream_counters(messages: DataFrame) -> DataFrame:
 
 
 def stale_counters(tags: DataFrame, least: int = 100) -> DataFrame:
-    """(domain_id, tag) rows -> new posts per tag since its last summary, and whether one is due: custom state per tag."""
+    """(domain_id, tag) rows -> per micro-batch and tag: posts seen, new posts since the last summary, and how many summaries came
+    due, one with each `least` posts. Custom state per tag."""
 
     def count(key, batches, state):
         n = state.get[0] if state.exists else 0
-        n += sum(len(b) for b in batches)
-        due = n >= least
-        state.update((0 if due else n,))
-        yield pd.DataFrame({"domain_id": [key[0]], "tag": [key[1]], "new_posts": [n], "due": [due]})
+        seen = sum(len(b) for b in batches)
+        due, left = divmod(n + seen, least)
+        state.update((left,))
+        yield pd.DataFrame({"domain_id": [key[0]], "tag": [key[1]], "seen": [seen], "new_posts": [left], "due": [due]})
 
-    return tags.groupBy("domain_id", "tag").applyInPandasWithState(count, "domain_id long, tag string, new_posts long, due boolean", "n long", "update", "NoTimeout")
+    return tags.groupBy("domain_id", "tag").applyInPandasWithState(count, "domain_id long, tag string, seen long, new_posts long, due long", "n long", "update", "NoTimeout")
 
 
 # ---- each stream, run to the end of the given table's messages, as files
@@ -97,29 +110,26 @@ def _run(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(out.schema).option("basePath", where).parquet(f"{where}/batch=*").select(*out.columns)
 
 
-_CLEAN = "m AS (SELECT * FROM messages WHERE content_type NOT IN ('sticker') AND NOT (content_type = 'poll' AND trim(coalesce(content, '')) = '') AND NOT (length(trim(coalesce(content, ''))) < 5 AND reply_to_msg_id IS NULL))"
-
-
-@query("t1_stream_clean", cte("messages") + f", {_CLEAN} SELECT domain_id, msg_id, 'en' AS language FROM m")
+@query("t1_stream_clean", _CLEAN + "SELECT domain_id, msg_id, 'en' AS language FROM m")
 def t1(spark, sf_dir):
     where = new_path(spark, "clean")
     stream_clean(_stream(spark, view(spark, sf_dir, "messages")), where, new_path(spark, "check")).awaitTermination()
     return spark.read.parquet(where).select("domain_id", "msg_id", "language")
 
 
-@query("t2_stream_ingest", cte("messages") + f", {_CLEAN} SELECT domain_id, msg_id FROM m")
+@query("t2_stream_ingest", _CLEAN + _tables_sql())
 def t2(spark, sf_dir):
     m, where = view(spark, sf_dir, "messages"), new_path(spark, "ingest")
     stream_ingest(_stream(spark, m.unionByName(m)), where, new_path(spark, "check")).awaitTermination()
-    return snapshot(spark, where).select("domain_id", "msg_id")
+    return tables_of(snapshot(spark, where))
 
 
-@query("t3_stream_threads", cte("messages") + ", g AS (SELECT *, CASE WHEN date_diff('second', lag(msg_date) OVER (PARTITION BY domain_id ORDER BY msg_date, msg_id), msg_date) <= 300 THEN 0 ELSE 1 END AS opens FROM messages), s AS (SELECT *, sum(opens) OVER (PARTITION BY domain_id ORDER BY msg_date, msg_id ROWS UNBOUNDED PRECEDING) AS no FROM g), t AS (SELECT domain_id, count(*) AS n_messages, max(msg_date) AS last_at FROM s GROUP BY domain_id, no) SELECT domain_id, n_messages FROM t WHERE last_at < (SELECT max(msg_date) FROM messages) - INTERVAL 1 DAY")
+@query("t3_stream_threads", cte("messages") + ", g AS (SELECT *, CASE WHEN date_diff('second', lag(msg_date) OVER (PARTITION BY domain_id ORDER BY msg_date, msg_id), msg_date) <= 300 THEN 0 ELSE 1 END AS opens FROM messages), s AS (SELECT *, sum(opens) OVER (PARTITION BY domain_id ORDER BY msg_date, msg_id ROWS UNBOUNDED PRECEDING) AS no FROM g), t AS (SELECT domain_id, count(*) AS n_messages, max(msg_date) AS last_at FROM s GROUP BY domain_id, no) SELECT domain_id, n_messages FROM t")
 def t3(spark, sf_dir):
     m = view(spark, sf_dir, "messages")
-    out = _run(spark, stream_threads(_stream(spark, m, 1), "10 minutes"), "append")
-    end = m.agg(F.max("msg_date").cast("timestamp") - F.expr("INTERVAL 1 DAY")).first()[0]
-    return out.where(F.col("last_at") < F.lit(end)).select("domain_id", "n_messages")
+    # a message of a later day ends what is open, and its own group stays open
+    end = m.orderBy(F.desc("msg_date")).limit(1).withColumn("domain_id", F.lit(-1).cast("long")).withColumn("msg_date", F.col("msg_date") + F.expr("INTERVAL 2 DAYS"))
+    return _run(spark, stream_threads(_stream(spark, m.unionByName(end), 1), "10 minutes"), "append").select("domain_id", "n_messages")
 
 
 @query("t4_stream_dedup", cte("messages") + " SELECT domain_id, msg_id FROM messages")
@@ -144,8 +154,11 @@ def t6(spark, sf_dir):
     return out.groupBy("domain_id").agg(F.max("n_messages").alias("n_messages"), F.max("last_id").alias("last_id"))
 
 
-@query("t6_stale_counters", cte("messages") + r" SELECT domain_id, tag, count(*) AS n_posts FROM (SELECT domain_id, unnest(regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)) AS tag FROM messages) GROUP BY 1, 2")
+STALE = 7
+
+
+@query("t6_stale_counters", cte("messages") + rf" SELECT domain_id, tag, count(*) AS n_posts, CAST(count(*) // {STALE} AS BIGINT) AS n_due FROM (SELECT domain_id, unnest(regexp_extract_all(content, '#([\p{{L}}\p{{N}}_]+)', 1)) AS tag FROM messages) GROUP BY 1, 2")
 def t6s(spark, sf_dir):
     tags = view(spark, sf_dir, "messages").select("domain_id", F.explode(T.hashtags(F.col("content"))).alias("tag"))
-    out = _run(spark, stale_counters(_stream(spark, tags), 1_000_000_000), "update")
-    return out.groupBy("domain_id", "tag").agg(F.max("new_posts").alias("n_posts"))
+    out = _run(spark, stale_counters(_stream(spark, tags), STALE), "update")
+    return out.groupBy("domain_id", "tag").agg(F.sum("seen").alias("n_posts"), F.sum("due").alias("n_due"))
