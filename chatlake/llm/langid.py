@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, free_name, id_remainder, slices
+from .shared import free_name, gathered, id_remainder, slices
 from .textops import LOWER, U, chunks, words
 
 BITS = 15
@@ -80,13 +80,12 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in code-point order, and a (BUCKETS, languages) table of log probabilities."""
-    with batches(labelled.sparkSession):
-        rows = gram_counts(labelled.where("lang is not null and text is not null")).toPandas()
-    langs = sorted(rows["lang"].unique().tolist())
+    rows = gathered(gram_counts(labelled.where("lang is not null and text is not null")))
+    langs = sorted(set(rows["lang"].tolist()))
     table = np.zeros((BUCKETS, len(langs)))
     for k, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang]
-        table[own["bucket"].to_numpy(), k] = own["n"].to_numpy()
+        own = rows["lang"] == lang
+        table[rows["bucket"][own], k] = rows["n"][own]
     table += smooth
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from ..sources.tables import new_path
 
-__all__ = ["batches", "free_name", "id_remainder", "new_path", "slices", "written"]
+__all__ = ["batches", "free_name", "gathered", "id_remainder", "new_path", "slices", "written"]
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -36,6 +37,13 @@ def written(df: DataFrame, name: str, rows: int = 10_000, mb: int = 4) -> DataFr
         return tables.written(df, name)
 
 
+def gathered(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size in the driver, by Arrow: rows of Python objects would take ten times the memory."""
+    with batches(df.sparkSession):
+        table = df.toArrow()
+    return {name: table.column(name).combine_chunks().to_numpy(zero_copy_only=False) for name in table.column_names}
+
+
 def slices(batch: pa.RecordBatch, mb: float = 4) -> Iterator[pa.RecordBatch]:
     """A batch of the session's size in parts of about so many MB: bounds what a task makes of it at once."""
     step = max(1, int(batch.num_rows * mb * 1_000_000 / max(1, batch.nbytes)))
