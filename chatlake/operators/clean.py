@@ -165,7 +165,7 @@ def n10(spark, sf_dir):
 
 def read_by_ids(df: DataFrame, ids: DataFrame, read: DataFrame) -> DataFrame:
     """Rows of the wanted ids that were not read yet. ids: a request's, at most 20."""
-    return df.join(F.broadcast(ids), "msg_id", "left_semi").join(F.broadcast(read), "msg_id", "left_anti")
+    return df.join(F.broadcast(ids), "msg_id", "left_semi").join(read, "msg_id", "left_anti")
 
 
 @query("n12_read_by_ids", cte("messages") + " SELECT msg_id, content FROM messages WHERE msg_id IN (SELECT conv_id * 100 FROM conversations WHERE turn = 0 AND conv_id < 20) AND msg_id NOT IN (300, 500)")

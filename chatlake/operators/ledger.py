@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.fixtures import cte, table, view
+from .running import running_sum
 
 
 def ledger_balance(ledger: DataFrame) -> DataFrame:
     """Running balance per user, and whether the transaction takes it below 0."""
-    w = W.partitionBy("telegram_id").orderBy("created_at", "tx_id").rowsBetween(W.unboundedPreceding, 0)
-    out = ledger.withColumn("balance_after", F.sum("amount").over(w))
+    seconds = F.unix_micros(F.col("created_at").cast("timestamp")) / 1e6
+    out = running_sum(ledger, ["telegram_id"], ["created_at", "tx_id"], "amount", "balance_after", by=seconds)
     return out.withColumn("overdrawn", (F.col("balance_after") < 0) & (F.col("amount") < 0))
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import query
 from ..sources.fixtures import cte, table, view
-from ..sources.tables import written
 from .clean import _NOISE_SQL, with_noise
+from .running import place
 from .scope import last_row
 from .threads import THREADS_SQL
 
@@ -191,7 +191,7 @@ def a11(spark, sf_dir):
 def run_score_means(scores: DataFrame, metrics: list[str], last: int = 5) -> DataFrame:
     """Mean of each metric over a run, nulls and NaN skipped, of the last runs; a column per metric."""
     runs = scores.select("run_id").distinct().orderBy(F.desc("run_id")).limit(last)
-    kept = scores.join(F.broadcast(runs), "run_id").where(F.col("value").isNotNull() & ~F.isnan("value"))
+    kept = scores.join(runs, "run_id").where(F.col("value").isNotNull() & ~F.isnan("value"))
     return kept.groupBy("run_id").pivot("metric", metrics).agg(F.round(F.avg("value"), 4))
 
 
@@ -253,22 +253,7 @@ def w4(spark, sf_dir):
 def decisions_grouped(items: DataFrame) -> DataFrame:
     """Each item with its type's number of items and its place in the type by confidence: a type of any size, a row an item."""
     n = items.groupBy("type").agg(F.count("*").alias("n_items"))
-    return ranked_in_ranges(items.withColumn("_order", -F.col("confidence")), "type", "_order", "item_id").join(n, "type").drop("_order")
-
-
-def ranked_in_ranges(rows: DataFrame, key: str, order: str, tie: str, size: int = 100_000) -> DataFrame:
-    """rows with their 1-based place by (order, tie) in their key, keys of any size: ranges of a key are ranked apart, and the ranges
-    before are added. Ranges are cut at the key's own quantiles."""
-    n = rows.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_n"), F.count("*").alias("_all"))
-    most = n.agg(F.max("_n")).first()[0] or 1
-    if most == 1:
-        return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(order, tie)).cast("long"))
-    cuts = rows.groupBy(key).agg(F.percentile_approx(order, F.array(*[F.lit(i / most) for i in range(1, most)]), F.lit(10 * most)).alias("_cuts"))
-    dealt = written(rows.join(cuts, key, "left").withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts"), "ranges")
-    parts = dealt.groupBy(key, "_part").agg(F.count("*").alias("_rows"))
-    before = parts.select(key, "_part", F.coalesce(F.sum("_rows").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(key, "_part").orderBy(order, tie))
-    return dealt.join(before, [key, "_part"]).withColumn("place", (F.col("_before") + inside).cast("long")).drop("_part", "_before")
+    return place(items.withColumn("_order", -F.col("confidence")), ["type"], ["_order", "item_id"], "place").join(n, "type").drop("_order")
 
 
 @query("a15_decisions_grouped", "SELECT l_returnflag AS type, l_orderkey * 10 + l_linenumber AS item_id, count(*) OVER (PARTITION BY l_returnflag) AS n_items, row_number() OVER (PARTITION BY l_returnflag ORDER BY -l_quantity, l_orderkey * 10 + l_linenumber) AS place FROM lineitem")

@@ -10,6 +10,7 @@ from ..functions.keys import thread_uuid
 from ..registry import query
 from ..sources.fixtures import cte, view
 from ..sources.tables import written
+from .running import before_ranges, in_ranges, with_before
 
 GAP_S = 300
 KEY = ["domain_id", "msg_id"]
@@ -17,10 +18,19 @@ KEY = ["domain_id", "msg_id"]
 
 def sessionize(messages: DataFrame, keys: list[str], gap_s: int = GAP_S) -> DataFrame:
     """Splits each key's messages, in time order, where the gap is longer: session_start and session_no."""
-    w = W.partitionBy(*keys).orderBy("msg_date", "msg_id")
     seconds = F.unix_micros(F.col("msg_date").cast("timestamp")) / 1_000_000
-    opens = F.coalesce((seconds - F.lag(seconds).over(w) > gap_s).cast("int"), F.lit(1))
-    return messages.withColumn("_open", opens).withColumn("session_no", F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_open")
+    dealt = in_ranges(messages, keys, seconds)
+    if dealt is None:
+        w = W.partitionBy(*keys).orderBy("msg_date", "msg_id")
+        opens = F.coalesce((seconds - F.lag(seconds).over(w) > gap_s).cast("int"), F.lit(1))
+        return messages.withColumn("_open", opens).withColumn("session_no", F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_open")
+    # a busy key: the first message of a range follows the last one of the ranges before
+    w = W.partitionBy(*keys, "_part").orderBy("msg_date", "msg_id")
+    both = with_before(dealt, before_ranges(dealt, keys, F.max(seconds), "_last", F.max), keys)
+    opens = F.coalesce((seconds - F.coalesce(F.lag(seconds).over(w), "_last") > gap_s).cast("int"), F.lit(1))
+    opened = written(both.withColumn("_open", opens).drop("_last"), "sessions")
+    whole = with_before(opened, before_ranges(opened, keys, F.sum("_open"), "_before"), keys)
+    return whole.withColumn("session_no", F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))).drop("_open", "_part", "_before")
 
 
 def reply_roots(messages: DataFrame, most_rounds: int = 32) -> DataFrame:

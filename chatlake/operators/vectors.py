@@ -216,6 +216,11 @@ def export_vectors(docs: DataFrame, most: int = 500) -> DataFrame:
     return docs.select(F.col("id"), F.substring("content", 1, most).alias("content"), F.struct(F.col("channel_id"), F.col("msg_ts")).alias("metadata"), "embedding")
 
 
+def write_export(docs: DataFrame, path: str, most: int = 500) -> None:
+    """The export as JSON lines."""
+    export_vectors(docs, most).write.mode("overwrite").json(path)
+
+
 @query("s8_export_vectors", cte("vectors") + " SELECT id, substr(text, 1, 500) AS content, channel_id, msg_ts, len(embedding) AS width FROM vectors JOIN documents ON doc_id = id")
 def s8(spark, sf_dir):
     from ..sources.fixtures import table

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chatlake.catalog import QUERIES
 from chatlake.functions import text as T
 from chatlake.functions.keys import register_sql_functions, thread_uuid
-from chatlake.operators import clean, graph, models, search, similar, tables, vectors
+from chatlake.operators import clean, graph, ledger, models, running, search, similar, threads, vectors
 from chatlake.plans import mapreduce, retrieval
 from chatlake.sources.fixtures import view
 from chatlake.sources.tables import new_path, shared_dir
@@ -375,14 +375,31 @@ def test_stream_equals_batch(spark):
         assert a == b, name
 
 
-def test_places_in_ranges(spark):
+def test_large_keys_are_ranged(spark, monkeypatch):
+    """Places, balances and sessions of keys that are cut into ranges equal those of plain windows."""
     r = random.Random(2)
-    data = [(k, float(r.randint(0, 30)), i) for i, k in enumerate(r.choices("aab", k=3000))]
+    data = [(k, float(r.randint(0, 30)), i) for i, k in enumerate(r.choices("aab", k=3000))] + [(None, 1.0, 9000 + i) for i in range(300)]
     df = spark.createDataFrame(data, "k string, o double, i long")
-    got = {x.i: x.place for x in tables.ranked_in_ranges(df, "k", "o", "i", 100).collect()}
-    for key in "ab":
-        own = sorted((o, i) for k, o, i in data if k == key)
-        assert all(got[i] == n + 1 for n, (_, i) in enumerate(own))
+    got = {x.i: (x.place, x.total) for x in running.running_sum(running.place(df, ["k"], ["o", "i"], "place", 100), ["k"], ["o", "i"], "i", "total", 100).collect()}
+    assert len(got) == len(data)
+    for key in ("a", "b", None):
+        total = 0
+        for n, (_, i) in enumerate(sorted((o, i) for k, o, i in data if k == key)):
+            total += i
+            assert got[i] == (n + 1, total)
+    m, e = view(spark, SF, "messages"), view(spark, SF, "ledger")
+    plain = [sorted(map(str, x.collect())) for x in (threads.sessionize(m, ["domain_id"]).select("msg_id", "session_no"), threads.assign_threads(m).select("msg_id", "thread_root"), ledger.ledger_balance(e).select("tx_id", "balance_after"))]
+    monkeypatch.setattr(running, "RANGE", 5)
+    ranged = [sorted(map(str, x.collect())) for x in (threads.sessionize(m, ["domain_id"]).select("msg_id", "session_no"), threads.assign_threads(m).select("msg_id", "thread_root"), ledger.ledger_balance(e).select("tx_id", "balance_after"))]
+    assert plain == ranged
+
+
+def test_json_export(spark):
+    docs = spark.createDataFrame([(1, "x" * 600, 7, 5, [0.5, 1.0])], "id long, content string, channel_id int, msg_ts long, embedding array<double>")
+    path = new_path(spark, "export")
+    vectors.write_export(docs, path)
+    r = spark.read.json(path).first()
+    assert (r.id, r.content, r.metadata.channel_id, r.metadata.msg_ts, r.embedding) == (1, "x" * 500, 7, 5, [0.5, 1.0])
 
 
 # ---- text and keys
