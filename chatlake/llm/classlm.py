@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, id_remainder, written
+from .shared import gathered, id_remainder, written
 from .textops import LOWER, U, chunks, counts_per, span_hashes, words
 
 END = np.uint64(0x656E64)
@@ -93,8 +93,9 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         limit = row["level"]
     if limit is None:
         return np.zeros(0, U), np.zeros(0, np.int64)
-    got = counts.where(level >= limit).toPandas().sort_values(["c", "h"], ascending=[False, True])
-    return got["h"].to_numpy(np.int64).view(U), got["c"].to_numpy(np.int64)
+    got = gathered(counts.where(level >= limit).select("h", "c"))
+    order = np.lexsort((got["h"], -got["c"]))
+    return got["h"][order].view(U), got["c"][order]
 
 
 def word_bigrams(texts: DataFrame, clustered: np.ndarray) -> np.ndarray:
@@ -114,10 +115,9 @@ def word_bigrams(texts: DataFrame, clustered: np.ndarray) -> np.ndarray:
             part = at[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["pair", "n"])
 
-    with batches(texts.sparkSession):
-        rows = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = gathered(texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     out = np.zeros(w * w)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    out[rows["pair"]] = rows["n"]
     return out.reshape(w, w)
 
 
@@ -242,8 +242,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top, top_counts = frequent(counts, kept)
     if len(top) < min(clustered, stats.v):  # a band of equal counts passes `kept`
-        got = counts.orderBy(F.desc("c"), "h").limit(clustered).toPandas()
-        top, top_counts = got["h"].to_numpy(np.int64).view(U), got["c"].to_numpy(np.int64)
+        got = gathered(counts.orderBy(F.desc("c"), "h").limit(clustered).select("h", "c"))
+        top, top_counts = got["h"].view(U), got["c"]
     if not (top == END).any():  # no training rows, or more tokens than `kept` as frequent as the end
         n_end = counts.where(F.col("h") == int(END.view(np.int64))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
         top, top_counts = np.r_[top, END], np.r_[top_counts, n_end]
@@ -261,8 +261,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     class_of = class_of[by_hash]
     near = tail.where(F.col("c") >= int(top_counts[top != END].min() if (top != END).any() else 1 << 62))
     if len(top) > len(words_):
-        got = near.join(spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "h long"), "h", "left_semi").toPandas()
-        class_of[np.searchsorted(ranked, got["h"].to_numpy(np.int64).view(U))] = got["cls"].to_numpy(np.int64)
+        got = near.join(spark.createDataFrame([(int(x),) for x in top.view(np.int64)], "h long"), "h", "left_semi").select("h", "cls")
+        got = gathered(got)
+        class_of[np.searchsorted(ranked, got["h"].view(U))] = got["cls"]
     everyone = np.arange(len(top))
 
     def place_words(batches):
@@ -321,10 +322,9 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    with batches(spark):
-        got = sequences.where("not held_out").select("cls").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    got = gathered(sequences.where("not held_out").select("cls").mapInArrow(transitions, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     g = np.zeros(k * k)
-    g[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy()
+    g[got["pair"]] = got["n"]
     n_class, v_class = np.bincount(of[:-1], word_counts, k), np.bincount(of[:-1], minlength=k).astype(float)
     for r in tail.groupBy("cls").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
         n_class[r.cls] += r.c
