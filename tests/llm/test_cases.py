@@ -578,3 +578,61 @@ def test_defined_cases_of_the_table_operators(spark):
         assert make(docs).count() == n
         assert make(docs.limit(0)).count() == 0
     assert len(TEXTS) < n
+
+
+# ---- the pipeline, stage by stage
+
+def plain_quality(rows):
+    """The ids that the quality stage keeps, by plain rules and the posterior of each host."""
+    fails = {}
+    for doc, text, host in rows:
+        words, lines = WORD.findall(text or ""), [x for x in (text or "").split("\n") if WORD.search(x)]
+        seen = collections.Counter(zip(words, words[1:], words[2:]))
+        covered = {i + j for i, g in enumerate(zip(words, words[1:], words[2:])) if seen[g] > 1 for j in range(3)}
+        n, chars, symbols = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or "")
+        base = n < 50 or 100 * len(covered) > 50 * n
+        soft = 10 * symbols > n or 3 * (len(lines) - len(set(lines))) > len(lines) or chars < 3 * n or chars > 40 * n
+        fails[doc] = (base, soft, host)
+    hosts = collections.defaultdict(lambda: [0, 0])
+    for base, soft, host in fails.values():
+        hosts[host][0] += 1
+        hosts[host][1] += base or soft
+    total, failed = sum(n for n, _ in hosts.values()), sum(f for _, f in hosts.values())
+    mean = failed / total
+    between = max(sum(f * f / n for n, f in hosts.values()) / total - mean**2 - mean * (1 - mean) * len(hosts) / total, 1e-6)
+    strength = min(max(mean * (1 - mean) / between - 1, 2.0), 1e6)
+    kept = set()
+    for doc, (base, soft, host) in fails.items():
+        n, f = hosts[host]
+        rate = (f + mean * strength) / (n + strength)
+        rejected = rate - 2 * math.sqrt(rate * (1 - rate) / (n + strength + 1)) > 0.5
+        if not base and not rejected and (not soft or rate < 0.5 * mean):
+            kept.add(doc)
+    return kept
+
+
+def test_pipeline_by_plain_stages(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import public_tokenizers as P
+    import sentencepiece
+
+    docs = sample(spark)
+    stage = dict(pipeline.STAGES)
+    at = {"": docs}
+    for name, fn in pipeline.STAGES:
+        at[name] = docs = shared.written(fn(spark, docs, SF), name)
+    ids = {name: collections.Counter(r.doc_id for r in df.select("doc_id").collect()) for name, df in at.items()}
+    learnt = at[""].where(shared.id_remainder("doc_id", 3) != 1)
+    said = langid.predicted(at[""], langid.train(learnt), ["doc_id"]).collect()
+    assert set(ids["language_id"]) == {r.doc_id for r in said if r.lang_pred != "und" and r.score >= 0.4}
+    assert set(ids["quality_rules"]) == plain_quality([(r.doc_id, r.text, r.source) for r in at["language_id"].collect()])
+    groups = brute_components([(r.doc_id, r.text) for r in at["quality_rules"].collect()])
+    assert set(ids["near_duplicates"]) == {first for _, _, first in groups}
+    plan = mixing.mix_sources(at["near_duplicates"], pipeline.WEIGHTS, pipeline.SHARE).collect()
+    want = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in plan if r["size"]}
+    assert ids["mix"] == collections.Counter({k: n for k, n in want.items() if n})
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    text = {r.doc_id: r.text for r in at["mix"].collect()}
+    for r in at["token_ids"].collect():
+        assert r.ids == [*sp.encode(text[r.doc_id]), 2] and r.n_tokens == len(r.ids)
+    assert ids["token_ids"] == ids["mix"] and set(stage) == set(ids) - {""}
