@@ -10,7 +10,8 @@ No piece holds a space mark after another character, and a character that is in
 into words at both and each distinct word's ids are remembered while there is room. Characters outside the vocabulary become
 their UTF-8 bytes' pieces.
 
-Defined cases: a null text is encoded as an empty one (the end id alone); an empty table gives no rows; repeated
+Defined cases: a null text is encoded as an empty one (the end id alone); very long texts are encoded whole, and very long words without
+the store; null or equal ids are rows like others; an empty table gives no rows; repeated
 rows are each encoded; extra columns are ignored.
 """
 

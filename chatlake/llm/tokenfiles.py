@@ -8,7 +8,7 @@ a copy (`TokenShard`). A second stream beside it lists the shard's documents: do
 
 Documents go to shards by ranges of doc_id; a window over the shards' totals, one row per shard, gives each document's
 start. Defined cases: a null text is empty and still has its end id; null ids come first; rows with equal ids lie
-in one shard, ordered by text; an empty table gives no shards; extra columns are ignored.
+in one shard, ordered by text; very long texts are encoded whole and span rows and batches; an empty table gives no shards; extra columns are ignored.
 """
 
 from __future__ import annotations
