@@ -1,6 +1,11 @@
 """The corpus pipeline: every stage works on all that the one before it kept, written as Parquet and read again.
 
 language ID -> quality rules -> one document of each near-duplicate component -> mix of the sources -> token ids.
+
+Defined cases, in all stages: a null text, or one without letters, goes in the first; a null source is a source, and a host, of its own;
+null ids are documents like others (near copies without any id are represented by the text whose SHA-256 comes first); repeated rows
+count one by one until near_duplicates keeps one of them; ties go to the smaller id, or as the operators state; very long texts are read
+whole; extra columns pass through whatever their names, up to token_ids; an empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
