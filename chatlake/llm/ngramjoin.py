@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .components import components
-from .shared import batches, free_name, written
+from .shared import free_name, gathered, written
 from .textops import LOWER, U, chained, chunks, mix, span_hashes, words
 
-SHINGLE, BLOCK, SMALL = 5, 512, 8
-LEAST_BITS, MOST_BITS = 256, 65_536
+SHINGLE, BLOCK, SMALL = 5, 1024, 8
+LEAST_BITS, MOST_BITS = 256, 65_536  # a half has 128 bits at least
 SAMPLE_DOCS, SAMPLE_COMMON, SEGMENT = 4000, 4, 4096
 #: Bytes of bitmaps that a traversal holds side by side, and shingles that the sample can send through the driver.
 PAIR_BYTES, MOST_COMMON = 4_000_000, 200_000
@@ -71,13 +71,18 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """One bit per shingle among a power of two of bits, 8 to 16 times as many as shingles (within LEAST_BITS, MOST_BITS)."""
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * len(s)).bit_length()))
+    """One bit per shingle among a power of two of bits, 4 to 8 times as many as shingles (within LEAST_BITS, MOST_BITS)."""
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(s)).bit_length()))
     hot = np.zeros(width, np.uint8)
     hot[(s & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(hot).tobytes()
 
 
+def halved(bits: bytes) -> bytes:
+    """The bitmap of half the width, which travels with blocks, since a node is in several of them."""
+    return folded(np.frombuffer(bits, U)[None], 4 * len(bits)).tobytes()
+
+
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
     """The bitmaps at a smaller width: halves are ORed."""
     while bits.shape[1] * 64 > width:
@@ -101,15 +106,14 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
 
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(every)) == 0).select("text")
     counted = sample.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_COMMON)
-    with batches(rows.sparkSession):
-        found = counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
-    h, n = found["h"].to_numpy(np.int64).view(U), found["count"].to_numpy(np.int64) * every
+    found = gathered(counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON))
+    h, n = found["h"].view(U), found["count"] * every
     order = np.argsort(h)
     return h[order], n[order]
 
 
 def nodes_of(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """uid, id, null_key, n, s1, s2, prefix, bits of each row."""
+    """uid, id, null_key, n, s1, s2, prefix, bits and half (of the bits) of each row."""
 
     def make(batches):
         uid = TaskContext.get().partitionId() << 34
@@ -125,13 +129,13 @@ def nodes_of(rows: DataFrame, common: np.ndarray) -> DataFrame:
                     p = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))] if len(s) else s
                     prefixes.append(p)
                     offsets.append(offsets[-1] + len(p))
-                both = [digest(s) for s in sets]
+                both, maps = [digest(s) for s in sets], [bitmap(s) for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([*prefixes, np.zeros(0, U)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), lists, pa.array([bitmap(s) for s in sets], pa.binary())], names=["uid", "id", "null_key", "n", "s1", "s2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + m)), batch.column(0).slice(at, m), batch.column(2).slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), lists, pa.array(maps, pa.binary()), pa.array([halved(b) for b in maps], pa.binary())], names=["uid", "id", "null_key", "n", "s1", "s2", "prefix", "bits", "half"])
                 uid += m
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"uid long, id {kind}, null_key string, n long, s1 long, s2 long, prefix array<long>, bits binary")
+    return rows.mapInArrow(make, f"uid long, id {kind}, null_key string, n long, s1 long, s2 long, prefix array<long>, bits binary, half binary")
 
 
 BLOCKS = "gid long, block int, alone boolean, size int, lo long, hi long, members array<long>"
@@ -501,7 +505,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed_rows = rows.withColumn("null_key", F.when(F.col("id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256)))
     every = written(nodes_of(keyed_rows, common), "join-rows")
     # nodes: one for each set
-    nodes = written(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("id"), F.min("null_key").alias("null_key"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "join-nodes")
+    nodes = written(every.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("uid").alias("uid"), F.min("id").alias("id"), F.min("null_key").alias("null_key"), F.count("*").alias("rows"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.first("half").alias("half")), "join-nodes")
     tokens = nodes.select("uid", "n", F.explode("prefix").alias("token"))
     cut_up = {int(h.view(np.int64)): int(-(-n // SEGMENT)) for h, n in zip(common, common_n) if n > SEGMENT}
     seg = F.lit(-1)
@@ -514,7 +518,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alone = blocks.where("alone").groupBy("gid", "size", "lo", "hi").agg(F.first("members").alias("members")).select("gid", F.lit(0).alias("block"), "size", "lo", "hi", "members")
     blocks = written(alone.unionByName(blocks.where("not alone").select("gid", "block", "size", "lo", "hi", "members")).withColumn("bid", F.monotonically_increasing_id()), "join-blocks")
     light = nodes.select("uid", "n", "bits")
-    members = blocks.select("bid", F.explode("members").alias("uid")).join(light, "uid")
+    members = blocks.select("bid", F.explode("members").alias("uid")).join(nodes.select("uid", "n", F.col("half").alias("bits")), "uid")
     near = written(block_pairs(members.repartition("bid").sortWithinPartitions("bid", "n", "uid")).distinct(), "join-pairs")
     settled = Settled(rows, nodes)
     settled.settle(near)
