@@ -116,9 +116,9 @@ def test_communities_of_all_orders(spark):
     ends = lines.join(firms, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", "s_name", F.concat(F.lit("Part#"), F.col("l_partkey") % 50).alias("target"))
     want = {(r[0], x) for r in ends.distinct().collect() for x in r[1:]}
     got = {(r.domain_id, r.name) for r in graph.g5(spark, SF).collect()}
-    few = {(r[0], x) for r in view(spark, SF, "relations").select("domain_id", "source", "target").collect() for x in r[1:]}
-    assert got <= want and len(got) > len(few) and few < want
-    assert view(spark, SF, "relations").exceptAll(view(spark, SF, "all_relations")).isEmpty()
+    named = {(r[0], x) for r in view(spark, SF, "relations").select("domain_id", "source", "target").collect() for x in r[1:]}
+    # every order's relations are there, and only communities of less than three names are left out
+    assert named == want and got <= want and len(got) > 0.9 * len(want)
 
 
 def test_communities_modularity(spark):
@@ -196,7 +196,8 @@ def test_search_in_blocks(spark, monkeypatch):
 def test_all_queries_are_asked(spark):
     ids = lambda name: {r.query_id for r in view(spark, SF, name).collect()}
     given = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").where("vec_id % 100 = 0").collect()}
-    assert ids("all_query_vectors") == given and {r.query_id for r in vectors.r4(spark, SF).collect()} == given
+    assert ids("query_vectors") == given and {r.query_id for r in vectors.r4(spark, SF).collect()} == given
+    assert ids("queries") == {r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
 
 
 def test_pruned_recall(spark):
