@@ -320,50 +320,48 @@ def block_survivors(n: np.ndarray, label: np.ndarray, one: dict, two: dict | Non
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def small_pairs(blocks: DataFrame, half: DataFrame) -> DataFrame:
+    """Blocks of at most SMALL nodes -> their pairs, each once, that may be linked. half: uid, n and the bitmap that travels.
+
+    Near copies of long texts share many tokens in many combinations: their pairs are far fewer than their blocks' members.
+    """
+    each = F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, F.lit(SMALL)), lambda y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")))))
+    pairs = blocks.select(F.explode(each).alias("p")).select("p.a", "p.b").distinct()
+    first = pairs.join(half.select(F.col("uid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
+    both = first.join(half.select(F.col("uid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
+
+    def check(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(c).to_numpy() for c in range(4))
+            left, right = Bitmaps(batch.column(4)), Bitmaps(batch.column(5))
+            ok = np.zeros(len(a), bool)
+            for w, (at, bits) in left.by.items():
+                for v, (to, other) in right.by.items():
+                    rows = np.intersect1d(at, to)
+                    if len(rows) and max(w, v) <= 2 * min(w, v):
+                        x, y = folded(bits[np.searchsorted(at, rows)], min(w, v)), folded(other[np.searchsorted(to, rows)], min(w, v))
+                        slack = np.minimum(na[rows] - np.bitwise_count(x).sum(axis=1), nb[rows] - np.bitwise_count(y).sum(axis=1))
+                        ok[rows] = 9 * (np.bitwise_count(x & y).sum(axis=1) + slack) >= 4 * (na[rows] + nb[rows])
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], schema=PAIRS)
+
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+
+
 def block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (bid, uid, n, bits) sorted by (bid, n, uid) -> pairs to verify: all of small blocks, each node's hub in others."""
+    """Rows (bid, uid, n, bits) of larger blocks, sorted by (bid, n, uid) -> each node's pair with its hub."""
 
     def traverse(part):
         k, n, uid = (part.column(c).to_numpy() for c in (0, 2, 1))
         maps = Bitmaps(part.column(3))
         heads = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        sizes = np.diff(np.r_[heads, len(k)])
-        found, small = [(np.zeros(0, np.int64),) * 2], [(np.zeros(0, np.int64),) * 2]
-        for size in range(2, SMALL + 1):
-            at = heads[sizes == size]
-            one, two = np.triu_indices(size, 1)
-            i, j = (at[:, None] + one).ravel(), (at[:, None] + two).ravel()
-            fit = 5 * n[i] >= 4 * n[j]
-            small.append((i[fit], j[fit]))
-        i, j = (np.concatenate(x) for x in zip(*small))
-        width = np.zeros(len(k), np.int64)
-        for w, (at, _) in maps.by.items():
-            width[at] = w
-        lower = np.minimum(width[i], width[j])
-        for w in maps.by:  # a pair's trees are its two leaves
-            pick = np.flatnonzero(lower == w)
-            place = np.full(len(k), -1)
-            bits = []
-            for v in (w, 2 * w):
-                if v in maps.by:
-                    at, rows_ = maps.by[v]
-                    place[at] = sum(map(len, bits)) + np.arange(len(at))
-                    bits.append(folded(rows_, w))
-            bits = np.concatenate(bits)
-            slack = np.zeros(len(bits), np.int64)
-            there = np.flatnonzero(place >= 0)
-            slack[place[there]] = n[there] - np.bitwise_count(bits[place[there]]).sum(axis=1)
-            bound = largest_overlaps(place[i[pick]], place[j[pick]], bits, bits, slack, slack)
-            may = 9 * bound >= 4 * (n[i[pick]] + n[j[pick]])
-            found.append((i[pick][may], j[pick][may]))
-        for head, size in zip(heads[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            own = uid[head : head + size]
-            i, j, _ = block_survivors(n[head : head + size], own, maps.within(head, head + size))
+        found = [(np.zeros(0, np.int64),) * 2]
+        for head, end in zip(heads.tolist(), [*heads[1:].tolist(), len(k)]):
+            own = uid[head:end]
+            i, j, _ = block_survivors(n[head:end], own, maps.within(head, end))
             i, j = block_hubs(i, j, own)
             found.append((i + head, j + head))
         i, j = (np.concatenate(x) for x in zip(*found))
-        a, b = np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=PAIRS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j]))], schema=PAIRS)
 
     return rows.select("bid", "uid", "n", "bits").mapInArrow(lambda batches: _runs(batches, 0, traverse), "a long, b long")
 
@@ -517,9 +515,10 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = written(token_blocks(keyed), "join-cuts", rows=50_000)
     alone = blocks.where("alone").groupBy("gid", "size", "lo", "hi").agg(F.first("members").alias("members")).select("gid", F.lit(0).alias("block"), "size", "lo", "hi", "members")
     blocks = written(alone.unionByName(blocks.where("not alone").select("gid", "block", "size", "lo", "hi", "members")).withColumn("bid", F.monotonically_increasing_id()), "join-blocks")
-    light = nodes.select("uid", "n", "bits")
-    members = blocks.select("bid", F.explode("members").alias("uid")).join(nodes.select("uid", "n", F.col("half").alias("bits")), "uid")
-    near = written(block_pairs(members.repartition("bid").sortWithinPartitions("bid", "n", "uid")).distinct(), "join-pairs")
+    half = nodes.select("uid", "n", F.col("half").alias("bits"))
+    members = blocks.where(F.col("size") > SMALL).select("bid", F.explode("members").alias("uid")).join(half, "uid")
+    hubs = block_pairs(members.repartition("bid").sortWithinPartitions("bid", "n", "uid"))
+    near = written(small_pairs(blocks.where(F.col("size") <= SMALL), half).unionByName(hubs).distinct(), "join-pairs")
     settled = Settled(rows, nodes)
     settled.settle(near)
 
@@ -534,7 +533,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if tiles.take(1):
         sides = tiles.select("tile", F.lit(0).alias("side"), F.col("bid1").alias("bid")).union(tiles.where("bid1 <> bid2").select("tile", F.lit(1).alias("side"), F.col("bid2").alias("bid")))
         placed = sides.join(blocks.select("bid", "members"), "bid").select("tile", "side", F.explode("members").alias("uid"))
-        full = placed.join(settled.label(light, "uid", "label"), "uid")
+        full = placed.join(settled.label(half, "uid", "label"), "uid")
         rest = tile_pairs(full.repartition("tile").sortWithinPartitions("tile", "side", "label", "n", "uid")).distinct().join(near, ["a", "b"], "left_anti")
         settled.settle(written(rest, "join-rest"))
 
