@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, gathered, id_remainder, slices
+from .shared import free_name, gathered, id_remainder, slices, written
 from .textops import LOWER, U, chunks, words
 
 BITS = 15
@@ -219,4 +219,5 @@ def well_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     lang, score = (F.col(f"`{c}`") for c in judged.columns[len(docs.columns) :][:2])
     # where nothing is labelled, only texts without letters go
     ok = (lang != "und") & (score >= least) if model[0] else F.col("text").rlike(r"\p{L}")
-    return judged.where(ok).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # written here, in small batches: the next stage's workers stand beside these
+    return written(judged.where(ok).select(*[F.col(f"`{c}`") for c in docs.columns]), "identified")

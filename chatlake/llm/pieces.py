@@ -26,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 
 MARK = "▁"
 
 
 class PrefixTableEncoder:
-    def __init__(self, model_path: str, most_words: int = 900_000, most_pairs: int = 2_000_000):
+    def __init__(self, model_path: str, most_words: int = 400_000, most_pairs: int = 1_000_000):
         import ahocorasick
         import sentencepiece
 
@@ -220,4 +221,4 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return written(encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model")), "pieces")
