@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+    return written(encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True), "token-ids")
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mix", mix), ("token_ids", token_ids)]
