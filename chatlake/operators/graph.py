@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -206,32 +210,62 @@ def g8(spark, sf_dir):
     return find(view(spark, sf_dir, "relations"), [("a", "A", "b"), ("c", "R", "b")])
 
 
-#: Characters of the pieces by which names are found; shorter names are found by their first three.
-GRAM, SHORT = 6, 3
+#: Names of fewer characters are not sought; bytes of names in one automaton (its nodes take about 50 times as many).
+SHORT, AUTOMATON_BYTES = 3, 2_000_000
+
+
+_built: dict = {}
+
 
+def _automaton(key: str, names):
+    """The automaton of a shard of names, (name, its lower form) each; a worker process keeps the last one."""
+    import ahocorasick
 
-def grams(text: Column, n: int) -> Column:
-    """All runs of n characters, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))"), 1))
+    if key in _built:
+        return _built[key]
+    _built.clear()
+    forms: dict[str, list[str]] = {}
+    for name, low in zip(*(c.to_pylist() for c in names.value.columns)):
+        forms.setdefault(low, []).append(name)
+    found = ahocorasick.Automaton()
+    for low, same in forms.items():
+        found.add_word(low, tuple(same))
+    found.make_automaton()
+    _built[key] = found
+    return found
 
 
-def entities_in_text(texts: DataFrame, names: DataFrame, least: int = SHORT) -> DataFrame:
+def entities_in_text(texts: DataFrame, names: DataFrame, least: int = SHORT, most_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """(id, name): names of at least `least` characters that occur in the text, as any part of it, whatever the case.
 
-    A text holds a name only if it holds each of the name's grams. Each name is filed under the one that fewest texts hold; texts'
-    grams fetch candidates by an equi-join of ids alone, and `contains` confirms them on the texts, joined back by id.
+    Tasks stream the texts through an Aho-Corasick automaton of the names: no row is made but the result's. Names of more than
+    `most_bytes` are dealt by hash to shards of about so many bytes, one after another: what a task or the driver holds does not grow with them.
     """
-    low = texts.select("id", F.lower("content").alias("low"))
-    named = names.select("name").distinct().where(F.char_length("name") >= max(least, SHORT)).withColumn("n", F.lower("name"))
-    keys = named.select("name", "n", F.explode(F.when(F.char_length("n") >= GRAM, grams(F.col("n"), GRAM)).otherwise(F.array(F.substring("n", 1, SHORT)))).alias("gram"))
-    known = written(keys, "name-grams")
-    held = low.select("id", F.explode(F.concat(grams(F.col("low"), GRAM), grams(F.col("low"), SHORT))).alias("gram"))
-    held = written(held.join(known.select("gram").distinct(), "gram", "left_semi"), "text-grams")
-    seen = held.groupBy("gram").agg(F.count("*").alias("texts"))
-    filed = known.join(seen, "gram").groupBy("name", "n").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("texts", "gram")).alias("gram"))
-    whole = known.groupBy("name").agg(F.count("*").alias("all"))  # a name with a gram that no text holds is in none
-    candidates = held.join(filed.join(whole, "name").where("found = all").select("name", "n", "gram"), "gram").select("id", "name", "n").distinct()
-    return candidates.join(low, "id").where(F.contains("low", F.col("n"))).select("id", "name").distinct()
+    spark = texts.sparkSession
+    named = names.select("name").distinct().where(F.char_length("name") >= max(least, SHORT)).select("name", F.lower("name").alias("low"))
+    named = written(named, "names")
+    shards = max(1, -(-(named.agg(F.sum(F.octet_length("low"))).first()[0] or 0) // most_bytes))
+    low = texts.select("id", F.lower("content").alias("low")).where("low is not null")
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def found_in(shard: int) -> DataFrame:
+        own = named.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard) if shards > 1 else named
+        sent = spark.sparkContext.broadcast(own.toArrow())
+        key = uuid.uuid4().hex
+
+        def search(batches):
+            automaton = _automaton(key, sent)
+            for batch in batches:
+                rows, out = [], []
+                for i, text in enumerate(batch.column(1)):
+                    for same in {x for _, x in automaton.iter(text.as_py())} if len(automaton) else ():
+                        rows += [i] * len(same)
+                        out += same
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], names=["id", "name"])
+
+        return low.mapInArrow(search, f"id {kind}, name string")
+
+    return reduce(DataFrame.unionByName, map(found_in, range(shards))).distinct()
 
 
 _NAMED = "CASE WHEN doc_id % 3 = 0 THEN concat(text, ' about counterSupplier#00000000', doc_id % 9, ' and more') WHEN doc_id % 3 = 1 THEN concat(text, ' supplier#00000000', doc_id % 9, '5th') ELSE text END"

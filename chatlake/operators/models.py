@@ -75,13 +75,13 @@ def rerank(hits: DataFrame, queries: DataFrame, most: int, model: Model | None =
         both = hits.join(got, ["query_id", "id"], "left").withColumn("_bad", F.max(F.col("_new").isNull()).over(W.partitionBy("query_id")))
         scored = both.withColumn("_by", F.when(F.col("_bad"), F.col("score")).otherwise(F.col("_new"))).withColumn("score", F.col("_by")).drop("_new", "_bad", "_by", "rank")
         return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id"))
-    q = queries.select("query_id", T.bm25_terms(F.col("query_text")).alias("ts"))
-    words = F.array_distinct(T.terms(F.col("content")))
-    joined = hits.join(q, "query_id").withColumn("ws", words)
-    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["boost"])
-    held = add(F.filter("ts", lambda t: F.array_contains(F.col("ws"), t["term"])))
-    scored = joined.withColumn("score", F.round(held / F.greatest(add("ts"), F.lit(1.0)) + 0.1 * F.col("score") / (1 + F.col("score")), 6))
-    return top_per_key(scored.drop("ts", "ws", "rank"), ["query_id"], most, F.desc("score"), F.col("id"))
+    # a map above the join, and the words as an argument: a text is tokenised once, not once a term
+    q = queries.select("query_id", F.map_from_entries(T.bm25_terms(F.col("query_text"))).alias("boosts"))
+    shared = F.array_intersect(F.map_keys("boosts"), F.coalesce(T.terms(F.col("content")), F.array().cast("array<string>")))
+    held = F.aggregate(shared, F.lit(0.0), lambda s, t: s + F.element_at("boosts", t))
+    every = F.aggregate(F.map_values("boosts"), F.lit(0.0), lambda s, x: s + x)
+    scored = hits.join(q, "query_id").withColumn("score", F.round(held / F.greatest(every, F.lit(1.0)) + 0.1 * F.col("score") / (1 + F.col("score")), 6))
+    return top_per_key(scored.drop("boosts", "rank"), ["query_id"], most, F.desc("score"), F.col("id"))
 
 
 @query("r8_rerank")

@@ -10,13 +10,9 @@ from ..functions import text as T
 from ..functions.keys import message_link
 from ..registry import query
 from ..sources.fixtures import cte, view
-from ..sources.tables import written
+from .index import _BM25, _POSTINGS, _TERMS, BM25_SQL, query_terms, search_texts
 from .tables import top_per_key
 
-K1, B = 1.2, 0.75
-#: Up to so many query terms are sought in each text's words where they stand; more are joined to the words.
-MOST_TERMS = 5000
-
 
 def postings(docs: DataFrame, stem=lambda c: c) -> DataFrame:
     """(id, term, tf, dl); stem: a column function on the array of terms."""
@@ -24,52 +20,14 @@ def postings(docs: DataFrame, stem=lambda c: c) -> DataFrame:
     return words.select("id", "dl", F.explode("ws").alias("term")).groupBy("id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-_POSTINGS = r", w AS (SELECT id, regexp_extract_all(lower(content), '[\p{L}\p{N}_]+') AS ws FROM posts), f5 AS (SELECT id, len(ws) AS dl, unnest(ws) AS term FROM w), post AS (SELECT id, term, CAST(dl AS BIGINT) AS dl, count(*) AS tf FROM f5 GROUP BY 1, 2, 3)"
-
-
 @query("f5_postings", cte("posts") + _POSTINGS + " SELECT id, term, tf, dl FROM post")
 def f5(spark, sf_dir):
     return postings(view(spark, sf_dir, "posts")).select("id", "term", "tf", "dl")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.inline(T.bm25_terms(F.col("query_text"))))
-
-
 def bm25_search(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """(query_id, id, score, rank, total_matches): OR-search of many queries at once.
-
-    Only postings of query terms leave the scan. Scores are rounded to 4 decimals.
-    """
-    q = query_terms(queries)
-    vocabulary = q.select("term").distinct()
-    words = docs.select("id", T.terms(F.col("content")).alias("ws")).withColumn("dl", F.size("ws").cast("double"))
-    # the texts are read once: each row keeps its length and, of its words, those of a query
-    wanted = [r.term for r in vocabulary.limit(MOST_TERMS + 1).collect()]
-    if len(wanted) > MOST_TERMS:
-        held = words.select("id", "dl", F.explode("ws").alias("term")).join(vocabulary, "term")
-        stats = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    else:
-        few = written(words.select("id", "dl", F.filter("ws", lambda w: w.isin(wanted)).alias("ws")), "bm25-words")
-        stats = few.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-        held = few.select("id", "dl", F.explode("ws").alias("term"))
-    hits = written(held.groupBy("id", "term", "dl").agg(F.count("*").cast("double").alias("tf")), "bm25-hits")
-    df = hits.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    idf = F.log(1 + (F.lit(float(stats.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q.join(df, "term").select("query_id", "term", (F.col("boost") * idf).alias("w"))
-    gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / (stats.avgdl or 1.0)))
-    # terms are summed in order, so that every plan gives the same last digits
-    terms = hits.join(weights, "term").groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("term", gain.alias("g")))).alias("gs"))
-    scored = terms.select("query_id", "id", F.round(F.aggregate("gs", F.lit(0.0), lambda s, x: s + x["g"]), 4).alias("score"))
-    # totals are counted apart, so that the ranking can cut each task's rows early
-    totals = scored.groupBy("query_id").agg(F.count("*").alias("total_matches"))
-    return top_per_key(scored, ["query_id"], most, F.desc("score"), F.col("id")).join(totals, "query_id")
-
-
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS["ru"])
-_TERMS = rf", qw AS (SELECT query_id, list_filter(regexp_split_to_array(lower(regexp_replace(query_text, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: length(x) >= 2) AS ws FROM queries), qf AS (SELECT query_id, ws, list_filter(ws, lambda x: x NOT IN ({_STOP})) AS fs FROM qw), qd AS (SELECT DISTINCT query_id, unnest(CASE WHEN len(fs) > 0 THEN fs ELSE ws END) AS term FROM qf), qt AS (SELECT query_id, term, CASE WHEN length(term) >= 10 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM qd)"
-_BM25 = _POSTINGS + _TERMS + ", st AS (SELECT count(*)::DOUBLE AS n, avg(len(ws)::DOUBLE) AS avgdl FROM w), dfs AS (SELECT term, count(*)::DOUBLE AS df FROM post WHERE term IN (SELECT term FROM qt) GROUP BY 1), g AS (SELECT query_id, id, term, boost * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS g FROM post JOIN qt USING (term) JOIN dfs USING (term), st), sc AS (SELECT query_id, id, round(sum(g ORDER BY term), 4) AS score FROM g GROUP BY 1, 2), bm AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS total_matches FROM sc)"
-BM25_SQL = cte("posts", "queries") + _BM25
+    """(query_id, id, score, rank, total_matches): OR-search of many queries at once, of texts without a stored index."""
+    return search_texts(docs, queries, most)
 
 
 @query("r1_bm25_search", BM25_SQL + " SELECT query_id, id, score, rank, total_matches FROM bm WHERE rank <= 10")

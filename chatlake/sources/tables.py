@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "{rows}", "spark.sql.execution.arrow.maxBytesPerBatch": "{mb}m"}
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int = 10_000, mb: int = 4) -> Iterator[None]:
+    """Actions inside hand Python workers at most so many rows and MB at a time. The session's own settings come back."""
+    before = {key: spark.conf.get(key) for key in _BATCH}
+    for key, value in _BATCH.items():
+        spark.conf.set(key, value.format(rows=rows, mb=mb))
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder."""
     path = new_path(df.sparkSession, name)
