@@ -2,8 +2,10 @@
 
 Records are gzip members of their own. The reader checks each member (gzip checksum), its version line, its length and the block
 and payload digests that it names (SHA-256, SHA-1, MD5; of HTTP responses the body's). After a failed check it looks for the next
-valid member or, in plain files, the next version line, goes on there, and logs the skipped bytes as a gap row with the reason.
-Files are read as streams: a reader holds one record and a window of the file, whatever the file's length.
+valid member or the next version line (inside the member, too), goes on there, and logs the skipped bytes as a gap row with the reason.
+Files are read as streams: a reader holds one record and a window of the file, whatever the file's length. A record's length is believed
+only once the bytes where it says to end are a record's end; they are looked at without what stands before them, so a damaged
+length loads nothing.
 
 Defined cases: a null payload is empty; a null id or URL is written as `-` and read as null; rows with one id are each written;
 of equal payloads the smallest id is the response, and rows that share that id all are; very long payloads are one record each;
@@ -18,6 +20,8 @@ import base64
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import ExitStack
 
@@ -31,7 +35,8 @@ from .shared import new_path, slices, written
 
 LEAST_REVISIT = 100
 VERSION = b"WARC/1.1"
-HEAD = re.compile(rb"WARC/1\.[01]\r\n")
+HEAD, END = re.compile(rb"WARC/1\.[01]\r\n"), b"\r\n\r\n"
+ENDS = re.compile(rb"\r\n(?=\r\n)")  # with two bytes to come: they may be a part of the next
 FILE_BYTES, WINDOW = 256_000_000, 1 << 20
 #: Payloads with at least this share of all rows are heavy: 1 / share of them at most.
 HEAVY = 1 / 1000
@@ -122,6 +127,13 @@ class Window:
             self.start, self.held = offset, self.file.read_at(max(n, min(WINDOW, self.size - offset)), offset)
         return self.held[offset - self.start : offset - self.start + n]
 
+    def ends(self, offset: int) -> bool:
+        """True if a record's last bytes end at offset."""
+        if offset > self.size:
+            return False
+        inside = self.start <= offset - len(END) and offset <= self.start + len(self.held)
+        return (self.at(offset - len(END), len(END)) if inside else self.file.read_at(len(END), offset - len(END))) == END
+
     def find(self, sought: re.Pattern, offset: int) -> int:
         """The first match of a pattern of at most 32 bytes, or the file's end."""
         while offset < self.size:
@@ -141,6 +153,9 @@ class Plain:
     def peek(self, n: int) -> bytes:
         return self.window.at(self.offset, n)
 
+    def ends(self, n: int) -> bool:
+        return self.window.ends(self.offset + n)
+
     def skip(self, n: int) -> None:
         self.offset += n
 
@@ -150,6 +165,7 @@ class Member:
 
     def __init__(self, window: Window, offset: int):
         self.window, self.offset, self.unpack, self.held, self.whole = window, offset, zlib.decompressobj(31), bytearray(), False
+        self.past, self.ahead = 0, None  # bytes that were skipped; a copy that unpacks what is far ahead and keeps nothing of it
 
     def peek(self, n: int) -> bytes:
         while len(self.held) < n and not self.whole:
@@ -165,9 +181,39 @@ class Member:
                 self.whole = True
         return bytes(self.held[:n])
 
+    def ends(self, n: int) -> bool:
+        """True if a record's last bytes end n bytes on. What is far ahead is unpacked once, and only the places of such bytes are kept."""
+        if n <= len(self.held) + WINDOW or self.whole:
+            return self.peek(n)[n - len(END) :] == END
+        if self.ahead is None:
+            self.ahead, self.from_, self.seen, self.last, self.places = self.unpack.copy(), self.offset, self.past + len(self.held), bytes(self.held[-3:]), array("q")
+        while self.seen < self.past + n and not self.ahead.eof:
+            left = self.ahead.unconsumed_tail
+            data = left or self.window.file.read_at(min(1 << 16, self.window.size - self.from_), self.from_)
+            more = self.ahead.decompress(data, WINDOW)
+            if not (data or more or self.ahead.eof):
+                raise zlib.error("cut")
+            both = self.last + more
+            self.places.extend(self.seen - len(self.last) + hit.end() + 2 for hit in ENDS.finditer(both))
+            self.from_, self.seen, self.last = self.from_ + (0 if left else len(data)), self.seen + len(more), both[-3:]
+        at = bisect_left(self.places, self.past + n)
+        return at < len(self.places) and self.places[at] == self.past + n
+
     def skip(self, n: int) -> None:
+        self.past += min(n, len(self.held))
         del self.held[:n]
 
+    def seek(self, sought: re.Pattern) -> bool:
+        """Skips to the next match of a pattern of at most 32 bytes; False if there is none."""
+        while True:
+            part = self.peek(WINDOW)
+            if hit := sought.search(part):
+                self.skip(hit.start())
+                return True
+            if len(part) < WINDOW:
+                return False
+            self.skip(WINDOW - 32)
+
 
 def _differs(digest: str, data: bytes) -> bool:
     """True if data doesn't have the digest, as `algorithm:value` in hex or base32; algorithms that are not known pass."""
@@ -204,9 +250,9 @@ def _record(stream) -> tuple[dict[str, str], bytes] | str:
     length = head.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return "no content length"
-    whole = stream.peek(end + 8 + int(length))
-    if whole[end + 4 + int(length) :] != b"\r\n\r\n":
+    if len(length) > 18 or not stream.ends(end + 8 + int(length)):
         return "block is cut or followed by other bytes"
+    whole = stream.peek(end + 8 + int(length))
     block = whole[end + 4 : -4]
     if _differs(head.get("warc-block-digest", ""), block):
         return "block digest differs"
@@ -218,27 +264,30 @@ def _record(stream) -> tuple[dict[str, str], bytes] | str:
 
 
 def _of_member(window: Window, at: int) -> Iterator[tuple[dict[str, str], bytes] | str | int]:
-    """A member's records, then where it ends, or what is wrong; the last record only once the checksum fits."""
-    stream, last = Member(window, at), None
+    """A member's records, then where it ends, or what is wrong; the last record only once the checksum fits.
+
+    After a damaged record it goes on at the member's next version line."""
+    stream, last, wrong = Member(window, at), None, ""
     try:
         while stream.peek(1):
             found = _record(stream)
             if isinstance(found, str):
-                if last is not None:
-                    yield last
-                yield found
-                return
+                wrong = wrong or found
+                stream.skip(1)
+                if not stream.seek(HEAD):
+                    break
+                continue
             if last is not None:
                 yield last
             last = found
+        while wrong and not stream.whole:  # to the checksum
+            stream.skip(len(stream.peek(WINDOW)))
     except zlib.error:
-        yield "gzip member is damaged"
-        return
-    if last is None:
-        yield "no version line"
+        yield wrong or "gzip member is damaged"
         return
-    yield last
-    yield stream.offset
+    if last is not None:
+        yield last
+    yield wrong or (stream.offset if last is not None else "no version line")
 
 
 NEXT = re.compile(rb"\x1f\x8b\x08|" + HEAD.pattern)
