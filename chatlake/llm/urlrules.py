@@ -5,8 +5,8 @@ URLs hold least often; a URL's tokens fetch the rules filed under them, and only
 token of their own run on every URL. Among fitting rules the longest wins; where none fits, the default patterns decide, found in
 the same way.
 
-Rules come from code (`host_rule`) or from lines of a filter list (`parse_rule`). Up to MOST_RULES of them travel to the tasks;
-a longer list becomes a table of (token, rule), which is joined to the URLs' tokens by a shuffle, with equal results.
+Rules come from code (`host_rule`) or from lines of a filter list (`parse_rule`). Up to MOST_RULES of them travel to the tasks; of
+a longer list those with a token become a table of (token, rule), which is joined to the URLs' tokens by a shuffle, with equal results.
 
 Defined cases: a null URL, or one without `://`, has empty host and path, fits no host rule and is allowed; equally long fitting
 rules are decided by name, the last in code-point order; very long URLs are judged whole; rows with equal ids are each judged; an
@@ -58,7 +58,8 @@ _OPTIONS = re.compile(r"\$(?P<names>~?[a-z-]+(?:=[^,]*)?(?:,~?[a-z-]+(?:=[^,]*)?
 
 
 def parse_rule(line: str) -> Rule | None:
-    """A line of a filter list: `||host^` and `|` anchor, `*` stands for anything, `^` for a separator or the end, `@@` allows.
+    """A line of a filter list: `||host^` and `|` anchor, `*` stands for anything, `^` for a separator or the end, `@@` allows, and
+    what stands between slashes is a regular expression if it has a sign of one (`/ads/` is a part of a path).
 
     Of options, `match-case`, `document` and `all` are known; a rule with another concerns parts of pages, or what a URL doesn't tell,
     and gives None, as do comments, headings and rules on elements.
@@ -72,6 +73,13 @@ def parse_rule(line: str) -> Rule | None:
         names, body = set(found["names"].split(",")), body[: found.start()]
     if names - {"match-case", "document", "all"} or not body.strip("|*^"):
         return None
+    if len(body) > 2 and body[0] == body[-1] == "/":  # a regular expression, which has no token of its own
+        try:
+            re.compile(body[1:-1])
+        except re.error:
+            return None
+        if re.search(r"[\\\[\](){}+?|^$]|\.\*", body[1:-1]):
+            return Rule(text, body[1:-1] if "match-case" in names else f"(?i:{body[1:-1]})", (), verdict, len(body) - 2)
     host, start, end = body.startswith("||"), body.startswith("|") and not body.startswith("||"), body.endswith("|")
     core = body[2 if host else int(start) : len(body) - end]
     middle = "".join(".*" if c == "*" else SEPARATOR if c == "^" else re.escape(c) for c in core)
@@ -119,8 +127,13 @@ def _best(fits: list[Rule]) -> Rule | None:
 
 def judge_urls(pages: DataFrame, rules: list[Rule], defaults: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule (null where none fits), verdict, matched (a default pattern's name)."""
-    if len(rules) > MOST_RULES:
+    if sum(bool(r.tokens) for r in rules) > MOST_RULES:
         return judged_by_join(pages, rules, defaults, id_col, url_col)
+    return judged_in_tasks(pages, rules, defaults, id_col, url_col)
+
+
+def judged_in_tasks(pages: DataFrame, rules: list[Rule], defaults: list[Rule], id_col: str, url_col: str) -> DataFrame:
+    """judge_urls with all rules in every task. Rules without a token run on every URL, in any form."""
     counts = token_counts(pages, url_col, {t for r in [*rules, *defaults] for t in r.tokens})
     own, fallback = index_rules(rules, counts), index_rules(defaults, counts)
 
@@ -178,11 +191,9 @@ def judged_by_join(pages: DataFrame, rules: list[Rule], defaults: list[Rule], id
     met = held.join(index, "token").select("uid", "url", "pattern", "name", "verdict", "weight")
     fits = met.mapInArrow(match, "uid long, name string, verdict string, weight int")
     best = fits.groupBy("uid").agg(F.max(F.struct("weight", "name", "verdict")).alias("best"))
-    others = judge_urls(urls, loose, defaults, "uid", "url")
-    weights = F.lit(-1)
-    for r in loose:
-        weights = F.when(F.col("rule") == r.name, F.lit(r.weight)).otherwise(weights)
-    both = others.join(best, "uid", "left").join(urls.select("uid", "id"), "uid").withColumn("w", weights)
+    others = judged_in_tasks(urls, loose, defaults, "uid", "url")
+    weights = spark.createDataFrame([(r.name, r.weight) for r in {r.name: r for r in loose}.values()], "rule string, w int")
+    both = others.join(weights, "rule", "left").join(best, "uid", "left").join(urls.select("uid", "id"), "uid")
     wins = F.col("best").isNotNull() & (F.col("rule").isNull() | (F.struct(F.col("best.weight"), F.col("best.name")) > F.struct("w", "rule")))
     return both.select(F.col("id").alias(id_col), "host", "path", F.when(wins, F.col("best.name")).otherwise(F.col("rule")).alias("rule"), F.when(wins, F.col("best.verdict")).otherwise(F.col("verdict")).alias("verdict"), F.when(~wins | wins.isNull(), F.col("matched")).alias("matched"))
 
