@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,49 +25,123 @@ def near_pairs(posts: DataFrame, threshold: float, size: int = BLOCK) -> DataFra
     is spread over tasks.
     """
     rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").cast("array<double>").alias("x"))
-    parts = rows.groupBy("batch").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
-    filed = rows.join(parts, "batch").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return _compared(rows.withColumn("bucket", F.lit(0).cast("long")), threshold, size)
+
+
+def _compared(rows: DataFrame, threshold: float, size: int) -> DataFrame:
+    """(batch, a, b, cosine) of the pairs above the threshold in each (batch, bucket) of rows: batch, bucket, id, x."""
+    parts = rows.groupBy("batch", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("batch", "bucket", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    filed = rows.join(parts, ["batch", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     filed = filed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
-    def compare(both: pa.Table) -> pa.Table:
-        lo, hi, batch = both.column("lo")[0].as_py(), both.column("hi")[0].as_py(), both.column("batch")[0].as_py()
-        x, ids, own = unit_rows(both.column("x")), both.column("id").to_numpy(), both.column("own").to_numpy()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in range(0, len(left), 200):
-            like = np.round(x[left[i : i + 200]] @ x[right].T, 9)
-            at, to = np.nonzero(like > threshold)
-            p, q = ids[left[i + at]], ids[right[to]]
-            once = p < q if lo == hi else np.ones(len(p), bool)
-            a.append(np.minimum(p, q)[once])
-            b.append(np.maximum(p, q)[once])
-            c.append(like[at, to][once])
-        a, b, c = map(np.concatenate, (a, b, c))
-        return pa.table({"batch": np.full(len(a), batch, np.int64), "a": a, "b": b, "cosine": c})
-
-    columns = filed.select(F.col("batch").cast("long").alias("batch"), "lo", "hi", "own", F.col("id").cast("long").alias("id"), "x")
-    return columns.groupBy("batch", "lo", "hi").applyInArrow(compare, "batch long, a long, b long, cosine double")
-
-
-def sign_pairs(vectors: DataFrame, threshold: float, tables: int = 12, bits: int = 10, seed: int = 5, width: int = 64) -> DataFrame:
-    """(a, b, cosine) with cosine above the threshold, found by buckets of random sign bits, then computed exactly.
-
-    A pair of cosine c is found with probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** tables: 0.97 at 0.92, but 0.09 at
-    0.35 with the default values. `near_pairs` finds every pair.
-    Buckets of very many copies are the reason to remove exact copies first (`dropDuplicates` on the vector).
+    def compare(batches):
+        for whole in batches:
+            keys = [whole.column(c).to_numpy() for c in range(4)]
+            heads = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if whole.num_rows else []
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            x, ids, own = unit_rows(pa.chunked_array([whole.column(6)])), whole.column(5).to_numpy(), whole.column(4).to_numpy()
+            for s, e in zip(heads, [*heads[1:], whole.num_rows]):
+                lo, hi = keys[2][s], keys[3][s]
+                left, right = s + np.flatnonzero(own[s:e] == lo), s + np.flatnonzero(own[s:e] == hi)
+                for i in range(0, len(left), 200):
+                    like = np.round(x[left[i : i + 200]] @ x[right].T, 9)
+                    at, to = np.nonzero(like > threshold)
+                    p, q = ids[left[i + at]], ids[right[to]]
+                    once = p < q if lo == hi else np.ones(len(p), bool)
+                    found.append((np.full(int(once.sum()), keys[0][s]), np.minimum(p, q)[once], np.maximum(p, q)[once], like[at, to][once]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["batch", "a", "b", "cosine"])
+
+    def whole_groups(batches):
+        """Rows in order of their group -> batches of whole groups."""
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = batch if held is None else pa.concat_batches([held, batch])
+                last = np.all([(k := held.column(c).to_numpy()) == k[-1] for c in range(4)], axis=0)
+                cut = int(np.argmax(last))
+                if cut:
+                    yield from compare([held.slice(0, cut)])
+                    held = held.slice(cut)
+        if held is not None:
+            yield from compare([held])
+
+    keys = ["batch", "bucket", "lo", "hi"]
+    columns = filed.select(F.col("batch").cast("long").alias("batch"), "bucket", "lo", "hi", "own", F.col("id").cast("long").alias("id"), "x")
+    return columns.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(whole_groups, "batch long, a long, b long, cosine double")
+
+
+# ---- candidates by random sign bits
+
+#: Of a row's cost: shuffling it once, in comparisons of two rows.
+FILING = 300
+
+
+def sign_plan(threshold: float, recall: float, rows: float, width: int, seed: int = 5, most_tables: int = 64) -> tuple[int, int, int] | None:
+    """(bits, probes, tables) that find a pair of the threshold's cosine with the wished probability at the least expected cost, for a
+    batch of so many rows; None where comparing all pairs costs no more.
+
+    A row is filed in each table under its own bits and under those with one of its `probes` least certain bits turned over. How often two rows
+    then share a bucket is simulated with pairs at the threshold and with independent ones; closer pairs are found more often.
+    """
+    rng = np.random.default_rng(seed)
+    n, best, cost = 4000, None, rows / 2 + FILING * max(1.0, rows / BLOCK)
+    x, y = rng.normal(size=(2, n, width))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    x = unit(x)
+    y = unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+    near = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y
+    far = unit(rng.normal(size=(n, width)))
+    for bits in range(2, 25):
+        planes = rng.normal(size=(width, bits))
+        sides = [m @ planes for m in (x, near, far)]
+        for probes in range(0, min(bits, 6)):
+            keys = [_buckets(s, probes) for s in sides]
+            share = [np.mean((keys[0][:, :, None] == other[:, None, :]).any(axis=(1, 2))) for other in keys[1:]]
+            if share[0] <= 0:
+                continue
+            tables = 1 if share[0] >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - share[0])))
+            if tables > most_tables:
+                continue
+            filed = tables * (1 + probes)
+            expected = rows * filed * max(share[1] / (1 + probes), 2.0**-bits) / 2 + FILING * filed
+            if expected < cost:
+                best, cost = (bits, probes, tables), expected
+    return best
+
+
+def _buckets(sides: np.ndarray, probes: int) -> np.ndarray:
+    """The keys of rows, given their products with the planes: own bits first, then with one of the least certain ones turned over."""
+    weights = 1 << np.arange(sides.shape[1], dtype=np.int64)
+    own = (sides > 0) @ weights
+    unsure = np.argsort(np.abs(sides), axis=1, kind="stable")[:, :probes]
+    return np.concatenate([own[:, None], own[:, None] ^ weights[unsure]], axis=1)
+
+
+def sign_pairs(posts: DataFrame, threshold: float, recall: float = 0.95, size: int = BLOCK, seed: int = 5, width: int | None = None) -> DataFrame:
+    """(batch, a, b, cosine), a < b: pairs of a batch with cosine above the threshold, each found with the wished probability at least.
+
+    Bits, probes and tables follow from threshold, recall and the largest batch (`sign_plan`); where they would save nothing, all pairs are
+    compared. Rows of one bucket are compared by matrix products of blocks, so a hot bucket is split and not cut off.
     """
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, width)).astype(float)
+    posts = posts if "batch" in posts.columns else posts.withColumn("batch", F.lit(0).cast("long"))
+    rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").cast("array<double>").alias("x"))
+    largest = rows.groupBy("batch").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).agg(F.max("n"), F.max("w")).first()
+    plan = sign_plan(threshold, recall, float(largest[0] or 0), width or largest[1] or 1, seed)
+    if plan is None:
+        return near_pairs(posts, threshold, size)
+    bits, probes, tables = plan
+    planes = np.random.default_rng([seed, 1]).normal(size=(width or largest[1], tables * bits))
 
-    @F.pandas_udf("array<long>")
-    def keys(v: pd.Series) -> pd.Series:
-        side = np.stack(v.to_numpy()).astype(float) @ planes.T > 0
-        weights = 1 << np.arange(bits)
-        return pd.Series([[int(t << 40 | int(row[t * bits : (t + 1) * bits] @ weights)) for t in range(tables)] for row in side])
+    def file(batches):
+        for batch in batches:
+            sides = unit_rows(pa.chunked_array([batch.column(2)])) @ planes if batch.num_rows else np.zeros((0, tables * bits))
+            keys = np.concatenate([(t << 32) | _buckets(sides[:, t * bits : (t + 1) * bits], probes) for t in range(tables)], axis=1)
+            at = np.repeat(np.arange(batch.num_rows), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.ravel()), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["batch", "bucket", "id", "x"])
 
-    filed = vectors.select("id", "embedding", F.explode(keys("embedding")).alias("bucket"))
-    left, right = filed.select(F.col("id").alias("a"), F.col("embedding").alias("va"), "bucket"), filed.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), "bucket")
-    pairs = left.join(right, "bucket").where("a < b").dropDuplicates(["a", "b"])
-    return pairs.select("a", "b", F.round(cosine("va", "vb"), 6).alias("cosine")).where(F.col("cosine") > threshold)
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("batch", "id")}
+    filed = rows.mapInArrow(file, f"batch {kinds['batch']}, bucket long, id {kinds['id']}, x array<double>")
+    return _compared(written(filed, "sign-buckets"), threshold, size).distinct()
 
 
 def keep_local_best(scores: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -86,16 +162,18 @@ def keep_local_best(scores: DataFrame, pairs: DataFrame, by: tuple[str, ...] = (
     return state.select(*by, "id", "kept")
 
 
-def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
+def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK, recall: float = 1.0) -> DataFrame:
     """(batch, id, kept): the verdicts of `dedup_semantic` for batches of any size.
 
-    Of equal vectors only the best post is compared: whatever becomes of it, its copies go.
+    Of equal vectors only the best post is compared: whatever becomes of it, its copies go. recall: with less than 1, a near pair is
+    found with this probability at least (`sign_pairs`), for a work that does not grow with the square of a batch.
     """
     posts = written(posts.select("batch", "id", "score", "embedding"), "similar-posts")
     alone = F.when(F.coalesce(F.forall("embedding", lambda x: x == 0), F.lit(True)) | F.lit(threshold >= 1), F.col("id"))
     first = posts.groupBy("batch", "embedding", alone.alias("alone")).agg(F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("id")).select("batch", "id")
     some = written(posts.join(first, ["batch", "id"], "left_semi"), "similar-firsts")
-    verdict = keep_local_best(some, near_pairs(some, threshold, size), ("batch",))
+    pairs = near_pairs(some, threshold, size) if recall >= 1 else sign_pairs(some, threshold, recall, size)
+    verdict = keep_local_best(some, pairs, ("batch",))
     return posts.select("batch", "id").join(verdict, ["batch", "id"], "left").select("batch", "id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
@@ -192,6 +270,18 @@ def d4s(spark, sf_dir):
     return dedup_in_blocks(v.withColumn("batch", F.lit(0).cast("long")), 0.35).select("id", "kept")
 
 
+def near_copies(spark, sf_dir: str) -> DataFrame:
+    """Every post's vector, and of each a copy under an id of its own whose numbers are moved by up to a fifth of a unit row's mean."""
+    v = _posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))).withColumn("batch", F.lit(0).cast("long"))
+    moved = F.transform("embedding", lambda x, i: (x + (F.pmod(F.xxhash64("id", i), F.lit(1001)) / 1000 - 0.5) * 0.05).cast("float"))
+    return v.unionByName(v.select("batch", (-F.col("id") - 1).alias("id"), (F.col("score") - 1).alias("score"), moved.alias("embedding")))
+
+
+@query("d4_dedup_near_copies")
+def d4c(spark, sf_dir):
+    return dedup_in_blocks(near_copies(spark, sf_dir), 0.92, recall=0.97).select("id", "kept")
+
+
 @query("c1_greedy_clusters")
 def c1(spark, sf_dir):
     return clusters_in_blocks(_posts(spark, sf_dir, F.least(F.char_length("text") / 100, F.lit(5.0))), 0.3)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.fixtures import cte, view
-from ..sources.tables import new_path, written
+from ..sources.tables import new_path
 from .search import _BM25, bm25_search, merge_hits, rank_lists, rrf
 from .tables import top_per_key
 
@@ -55,12 +55,54 @@ def unit_rows(vectors: pa.ChunkedArray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, most: int, places: int = 4, size: int = BLOCK) -> DataFrame:
+#: Bytes of queries (8 a number) that travel to the tasks that read the vectors; more meet them in blocks.
+QUERY_BYTES = 32_000_000
+_HITS = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+
+
+def best_of(block: np.ndarray, ids: np.ndarray, matrix: np.ndarray, asked: np.ndarray, most: int, places: int) -> pa.RecordBatch:
+    """Each query's best rows of a block: scores of a matrix product, ties to the smaller id. All rows have length 1."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for i in range(0, len(asked), 200):
+        scores = np.round(matrix[i : i + 200] @ block.T, places)
+        best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :most]
+        found.append((np.repeat(asked[i : i + 200], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found), _HITS)], schema=_HITS)
+
+
+def small_queries(queries: DataFrame, most_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and unit rows of queries of at most so many bytes, else None."""
+    q = queries.where("q is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("q").cast("array<double>").alias("q"))
+    size = q.agg(F.sum(8 * F.size("q"))).first()[0] or 0
+    if size > (QUERY_BYTES if most_bytes is None else most_bytes):
+        return None
+    table = q.toArrow()
+    return table.column("query_id").to_numpy(), unit_rows(table.column("q")) if len(table) else np.zeros((0, 1))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, most: int, places: int = 4, size: int | None = None, query_bytes: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top-k of any number of queries.
 
-    Vectors and queries are cut into blocks, and a task gets one block of each: one matrix product, of which k rows per query
-    are kept. Neither the driver nor a task holds all queries. Filter vectors beforehand; the filters reach the scan.
+    While the queries take few bytes, they travel to the tasks that read the vectors: each batch gives its k best rows a query, and no
+    vector is shuffled. More queries, and the vectors, are cut into blocks, and a task gets one block of each; neither the driver nor a
+    task holds all of them then. size: asks for blocks of so many rows. Filter vectors beforehand; the filters reach the scan.
     """
+    small = None if size else small_queries(queries, query_bytes)
+    if small is None:
+        return vector_search_in_blocks(vectors, queries, most, places, size or BLOCK)
+    sent = vectors.sparkSession.sparkContext.broadcast(small)
+
+    def search(batches):
+        asked, matrix = sent.value
+        for batch in batches:
+            if batch.num_rows and len(asked):
+                yield best_of(unit_rows(pa.chunked_array([batch.column(1)])), batch.column(0).to_numpy(), matrix, asked, most, places)
+
+    known = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    return top_per_key(known.mapInArrow(search, "query_id long, id long, score double"), ["query_id"], most, F.desc("score"), F.col("id"))
+
+
+def vector_search_in_blocks(vectors: DataFrame, queries: DataFrame, most: int, places: int = 4, size: int = BLOCK) -> DataFrame:
     v, n_v = in_blocks(vectors.where("embedding is not null").select("id", "embedding"), "id", "vb", size)
     q, n_q = in_blocks(queries.where("q is not null").select("query_id", "q"), "query_id", "qb", size)
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
@@ -71,14 +113,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, most: int, places: int
         asks = both.column("asks").to_numpy()
         own, ids = (both.filter(pa.array(mask)) for mask in (~asks, asks))
         if not own.num_rows or not ids.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()))})
-        block, at, found = unit_rows(own.column("x")), own.column("id").to_numpy(), []
-        matrix, asked = unit_rows(ids.column("x")), ids.column("id").to_numpy()
-        for i in range(0, len(asked), 200):
-            scores = np.round(matrix[i : i + 200] @ block.T, places)
-            best = np.lexsort((np.broadcast_to(at, scores.shape), -scores), axis=1)[:, :most]
-            found.append((np.repeat(asked[i : i + 200], best.shape[1]), at[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
-        return pa.table(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*found)))))
+            return _HITS.empty_table()
+        return pa.Table.from_batches([best_of(unit_rows(own.column("x")), own.column("id").to_numpy(), unit_rows(ids.column("x")), ids.column("id").to_numpy(), most, places)])
 
     near = left.unionByName(right).groupBy("vb", "qb").applyInArrow(search, "query_id long, id long, score double")
     return top_per_key(near, ["query_id"], most, F.desc("score"), F.col("id"))
@@ -129,18 +165,34 @@ def stored_cells(vectors: DataFrame, n_cells: int, path: str) -> tuple[DataFrame
     return vectors.sparkSession.read.parquet(path), centroids
 
 
-def vector_search_pruned(placed: DataFrame, centroids: np.ndarray, queries: DataFrame, most: int, probes: int) -> DataFrame:
-    """Top-k in each query's nearest cells only; of a table stored by cell, the folders of other cells are not read."""
-
-    @F.pandas_udf("array<int>")
-    def nearest(q: pd.Series) -> pd.Series:
-        far = (((centroids - np.array(x)) ** 2).sum(axis=1) for x in q)
-        return pd.Series([np.argsort(f, kind="stable")[:probes].astype(np.int32) for f in far])
+def vector_search_pruned(placed: DataFrame, centroids: np.ndarray, queries: DataFrame, most: int, probes: int, places: int = 4) -> DataFrame:
+    """Top-k in each query's nearest cells only; of a table stored by cell, the folders of other cells are not read.
 
-    probe = written(queries.where("q is not null").select("query_id", "q", F.explode(nearest("q")).alias("cell")), "probes")
-    asked = [r.cell for r in probe.select("cell").distinct().collect()]  # at most the number of cells
-    hits = placed.where(F.col("cell").isin(asked)).join(probe, "cell").select("query_id", "id", F.round(cosine("embedding", "q"), 4).alias("score"))
-    return top_per_key(hits, ["query_id"], most, F.desc("score"), F.col("id"))
+    Queries travel to the tasks in batches of QUERY_BYTES at most, each with the cells that it probes; a task multiplies a cell's rows
+    with the queries of that cell.
+    """
+    numbered, n = in_blocks(queries.where("q is not null").select("query_id", "q"), "query_id", "qb", max(1, QUERY_BYTES // (8 * centroids.shape[1])))
+    found = None
+    for part in range(n):
+        asked, matrix = small_queries(numbered.where(F.col("qb") == part), 4 * QUERY_BYTES)  # a batch is about QUERY_BYTES
+        far = ((centroids**2).sum(axis=1) - 2 * matrix @ centroids.T) if len(asked) else np.zeros((0, len(centroids)))
+        nearest = np.argsort(far, axis=1, kind="stable")[:, :probes]
+        by_cell = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
+        sent = placed.sparkSession.sparkContext.broadcast((asked, matrix, by_cell))
+
+        def search(batches, sent=sent):
+            asked, matrix, by_cell = sent.value
+            for batch in batches:
+                cell, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+                for c in np.unique(cell).tolist():
+                    at = np.flatnonzero(cell == c)
+                    rows = unit_rows(pa.chunked_array([batch.column(1).take(pa.array(at))]))
+                    yield best_of(rows, ids[at], matrix[by_cell[c]], asked[by_cell[c]], most, places)
+
+        rows = placed.where(F.col("cell").isin(list(by_cell))).select("id", F.col("embedding").cast("array<double>").alias("x"), "cell")
+        hits = rows.mapInArrow(search, "query_id long, id long, score double")
+        found = hits if found is None else found.unionByName(hits)
+    return top_per_key(found, ["query_id"], most, F.desc("score"), F.col("id"))
 
 
 @query("r4_vector_search_pruned")
