@@ -35,7 +35,9 @@ def apply_model(df: DataFrame, build: Callable[[], Callable[[list[str]], list]],
             for at in range(0, len(keep), batch):
                 part = keep[at : at + batch]
                 try:
-                    got = model([texts[i][:most_chars] for i in part])
+                    got = list(model([texts[i][:most_chars] for i in part]))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} values for {len(part)} texts")
                     values, errors = [json.dumps(v, ensure_ascii=False) for v in got], [None] * len(part)
                 except Exception as e:  # noqa: BLE001  a failed batch is reported, not fatal
                     values, errors = [None] * len(part), [f"{type(e).__name__}: {e}"[:500]] * len(part)

@@ -65,7 +65,8 @@ def a9(spark, sf_dir):
 
 
 def ingestion_stats(messages: DataFrame, **tables: DataFrame) -> DataFrame:
-    """Totals of a run in one row: all, noise, clean, replies and duration of the messages, and n_NAME of each further table."""
+    """Totals of stored tables in one row: all, noise, clean, replies of the messages and the seconds that they span, and n_NAME of each further
+    table. A run's own duration is in `ingest_run`, which counts as it writes."""
     noisy = with_noise(messages)
     span = F.unix_seconds(F.max("msg_date").cast("timestamp")) - F.unix_seconds(F.min("msg_date").cast("timestamp"))
     out = noisy.agg(F.count("*").alias("n_all"), F.count_if("is_noise").alias("n_noise"), F.count_if(~F.col("is_noise")).alias("n_clean"), F.count_if(F.col("reply_to_msg_id").isNotNull()).alias("n_replies"), span.alias("duration_s"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -115,41 +117,79 @@ def embedded(df: DataFrame, key: str, text: str, model: Model | None = None) ->
     return got.where("error is null").select(key, F.from_json("value", "array<double>").alias("embedding")), got.where("error is not null").select(key, "error")
 
 
-def enriched(messages: DataFrame) -> DataFrame:
-    """The columns that cleaning adds, for batch and stream alike."""
-    return with_noise(messages).where("not is_noise").withColumn("language", T.detect_language(F.col("content"))).withColumn("hashtags", T.hashtags(F.col("content")))
+def enriched(messages: DataFrame, watch: Observation | None = None) -> DataFrame:
+    """The columns that cleaning adds, for batch and stream alike. watch: counts what goes through, noise and all."""
+    marked = with_noise(messages)
+    if watch is not None:
+        marked = marked.observe(watch, F.count(F.lit(1)).alias("n_all"), F.count_if("is_noise").alias("n_noise"), F.count_if(~F.col("is_noise")).alias("n_clean"), F.count_if(F.col("reply_to_msg_id").isNotNull()).alias("n_replies"))
+    return marked.where("not is_noise").withColumn("language", T.detect_language(F.col("content"))).withColumn("hashtags", T.hashtags(F.col("content")))
 
 
-def ingest_initial(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+def ingest_initial(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None, watch: Observation | None = None) -> dict[str, DataFrame]:
     """Messages -> clean messages, threads, vectors, tags, entities, relations, communities, failures: the tables of one run.
 
     A text for which a model fails is a row of `failures` and missing in that table; the run goes on.
     """
-    out = ingest_part(messages, embed_model, graph_model)
+    out = ingest_part(messages, embed_model, graph_model, watch)
     entities, relations = merge_graph(out["entities"].limit(0), out["entities"], out["relations"].limit(0), out["relations"])
     relations = written(relations, "ingest-relations")
     return out | {"entities": entities, "relations": relations, "communities": communities(relations)}
 
 
-def ingest_part(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+def ingest_part(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None, watch: Observation | None = None) -> dict[str, DataFrame]:
     """The tables that some messages add: nothing is merged with what is known already."""
-    clean = written(enriched(messages), "ingest-clean")
+    clean = written(enriched(messages, watch), "ingest-clean")
     threads = written(build_threads(clean), "ingest-threads")
     vectors, failed = embedded(threads, "thread_id", "text", embed_model)
     entities, relations = extract_entities(threads, model=graph_model)
     return {"messages": clean, "threads": threads, "vectors": vector_docs(threads, vectors), "tags": posts_per_hashtag(clean), "entities": entities, "relations": relations, "failures": failed.withColumn("step", F.lit("embed"))}
 
 
+def ingest_run(messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The tables of `ingest_initial`, each written, and the run in one row: when it began and ended, its seconds, messages (all, noise, clean,
+    replies) and n_NAME of each table. All are counted as they are written: no table is read again for it."""
+    began, watch, counts = time.time(), Observation(), {}
+    out = ingest_initial(messages, embed_model, graph_model, watch)
+    for name, df in out.items():
+        seen = Observation()
+        out[name] = written(df.observe(seen, F.count(F.lit(1)).alias("n")), f"run-{name}")
+        counts[f"n_{name}"] = seen.get["n"]
+    ended = time.time()
+    row = {"started_at": began, "finished_at": ended, "duration_s": ended - began} | watch.get | counts
+    kinds = {name: "double" if name in ("started_at", "finished_at", "duration_s") else "long" for name in row}
+    stats = messages.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{n} {k}" for n, k in kinds.items()))
+    return out, stats.withColumns({c: F.timestamp_micros((F.col(c) * 1_000_000).cast("long")) for c in ("started_at", "finished_at")})
+
+
+def topics_filled(known: DataFrame, again: DataFrame) -> DataFrame:
+    """Known messages gain the topic that a message sent again has, if they had none (M1)."""
+    if "topic_id" not in known.columns or "topic_id" not in again.columns:
+        return known
+    key = ["domain_id", "msg_id"]
+    topics = again.where("topic_id is not null").groupBy(*key).agg(F.min("topic_id").alias("_topic"))
+    return known.join(topics, key, "left").withColumn("topic_id", F.coalesce("topic_id", "_topic")).select(*known.columns)
+
+
 def ingest_incremental(known: dict[str, DataFrame], messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
     """The known tables after new messages: M1 on messages, threads and vectors of the new ones, tag counts, G1 on the graph.
 
-    Messages that are known already are left out. Communities stay as they are until the next whole run.
+    Messages that are known already only gain a topic that they lacked. Tag summaries, where they are among the known tables, become stale where new
+    messages have their tag. Communities stay as they are until the next whole run.
     """
-    fresh = messages.dropDuplicates(["domain_id", "msg_id"]).join(known["messages"].select("domain_id", "msg_id"), ["domain_id", "msg_id"], "left_anti")
+    from .upkeep import mark_changed
+
+    key = ["domain_id", "msg_id"]
+    once = messages.dropDuplicates(key)
+    if "topic_id" in messages.columns:  # of equal messages, one with a topic
+        once = topics_filled(once, messages)
+    fresh = once.join(known["messages"].select(*key), key, "left_anti")
     part = ingest_part(fresh, embed_model, graph_model)
     counted = known["tags"].unionByName(part["tags"]).groupBy("domain_id", "tag").agg(F.sum("n_posts").alias("n_posts"))
     entities, relations = merge_graph(known["entities"], part["entities"], known["relations"], part["relations"])
-    grown = {name: known[name].unionByName(part[name]) for name in ("messages", "threads", "vectors", "failures")}
+    before = known | {"messages": topics_filled(known["messages"], messages)}
+    grown = {name: before[name].unionByName(part[name]) for name in ("messages", "threads", "vectors", "failures")}
+    if "summaries" in known:
+        grown["summaries"] = mark_changed(known["summaries"], part["messages"])
     return known | grown | {"tags": counted, "entities": entities, "relations": relations}
 
 
@@ -182,6 +222,12 @@ def m9_incremental(spark, sf_dir):
     return tables_of(ingest_incremental(first, m))
 
 
+@query("a10_ingestion_run", _CLEAN + r", e AS (SELECT DISTINCT domain_id, unnest(regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)) AS tag FROM m) SELECT (SELECT count(*) FROM messages) AS n_all, (SELECT count(*) FROM messages) - (SELECT count(*) FROM m) AS n_noise, (SELECT count(*) FROM m) AS n_clean, (SELECT count(reply_to_msg_id) FROM messages) AS n_replies, (SELECT count(*) FROM m) AS n_messages, (SELECT count(*) FROM e) AS n_tags, true AS timed")
+def a10_run(spark, sf_dir):
+    stats = ingest_run(view(spark, sf_dir, "messages"))[1]
+    return stats.select("n_all", "n_noise", "n_clean", "n_replies", "n_messages", "n_tags", ((F.col("duration_s") > 0) & (F.col("finished_at") > F.col("started_at"))).alias("timed"))
+
+
 @query("s7_vector_docs")
 def s7(spark, sf_dir):
     threads = build_threads(view(spark, sf_dir, "messages"))

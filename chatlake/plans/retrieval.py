@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from ..operators.clean import entity_type_hits, since
 from ..operators.graph import entities_in_text, graph_enrich, graph_retrieve
 from ..operators.models import Model, decisions, rerank
 from ..operators.search import BM25_SQL, bm25_search, hits_with_domain, merge_hits, rank_lists, relevance_gate, rrf
-from ..operators.tables import top_per_key
+from ..operators.tables import component_scores, top_per_key
 from ..operators.vectors import cosine, hash_embed, vector_search
 from ..registry import query
 from ..sources.fixtures import cte, view
@@ -194,10 +196,17 @@ def eval_metrics(answers: DataFrame, golden: DataFrame, entities: DataFrame | No
 
 
 def eval_run(docs: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, entities: DataFrame, relations: DataFrame, golden: DataFrame, contexts: int = 15, **options) -> DataFrame:
-    """Golden questions through the standard pipeline: a row per question with its metrics, over the first contexts' texts."""
-    ran = standard_pipeline(docs, vectors, queries, query_vectors, entities, relations, **options)
+    """Golden questions through the standard pipeline: a row per question with its metrics, over the first contexts' texts, and the scores of
+    the run's parts: high_precision and n_chunks of its hits, context_tokens, and latency, its share of the run's seconds."""
+    began = time.time()
+    ran = written(standard_pipeline(docs, vectors, queries, query_vectors, entities, relations, **options), "eval-ran")
+    seconds = (time.time() - began) / max(1, ran.count())
     answers = ran.select("query_id", F.array_join(F.transform(F.slice("hits", 1, contexts), lambda h: h["snippet"]), "\n").alias("context"))
-    return eval_metrics(written(answers, "eval-answers"), golden, entities)
+    chunks = ran.select(F.col("query_id").alias("item_id"), F.inline("hits")).select("item_id", F.col("id").alias("chunk_id"), "relevance", F.lit(seconds).alias("latency"))
+    parts = component_scores(chunks).withColumnRenamed("item_id", "query_id").drop("latency")
+    tokens = ran.select("query_id", T.count_tokens(F.col("context")).alias("context_tokens"), F.lit(round(seconds, 6)).alias("latency"))
+    scored = eval_metrics(written(answers, "eval-answers"), golden, entities).join(tokens, "query_id").join(parts, "query_id", "left")
+    return scored.withColumn("high_precision", F.coalesce("high_precision", F.lit(0.0))).withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
 _GOLD = "concat(query_text, CASE WHEN query_id % 2 = 0 THEN ' supplier#000000001' ELSE '' END)"
@@ -216,4 +225,4 @@ def m13(spark, sf_dir):
 def m13_pipeline(spark, sf_dir):
     inputs = _inputs(spark, sf_dir)
     golden = inputs[2].select("query_id", F.expr(_GOLD).alias("golden"))
-    return eval_run(*inputs, golden, mode="fast", domains=view(spark, sf_dir, "domains"))
+    return eval_run(*inputs, golden, mode="fast", domains=view(spark, sf_dir, "domains")).drop("latency")

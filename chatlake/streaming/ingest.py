@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators.graph import merge_graph
 from ..operators.threads import GAP_S
-from ..plans.mapreduce import _CLEAN, _tables_sql, enriched, ingest_part, tables_of
+from ..plans.mapreduce import _CLEAN, _tables_sql, enriched, ingest_part, tables_of, topics_filled
+from ..plans.upkeep import mark_changed
 from ..registry import query
 from ..sources.fixtures import cte, view
 from ..sources.tables import new_path, written
@@ -26,30 +27,46 @@ INGESTED = ("messages", "threads", "vectors", "tags", "entities", "relations", "
 
 def stream_ingest(messages: DataFrame, path: str, checkpoint: str, **models) -> StreamingQuery:
     """Every micro-batch adds its clean messages, threads, vectors, tag counts and graph: a folder per table and batch, overwritten
-    if the batch is run again. Messages that earlier batches have stored are left out, so that a late copy adds nothing."""
+    if the batch is run again. Messages that earlier batches have stored are left out, so that a late copy adds nothing but a topic that
+    the first one lacked (M1). Of what earlier batches have seen, a batch reads the ids between its own smallest and largest: files of others are skipped.
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["domain_id", "msg_id"])
+        spark, key = batch.sparkSession, ["domain_id", "msg_id"]
+        batch = written(batch, "ingest-batch")
+        once = batch.dropDuplicates(key)
+        fresh = topics_filled(once, batch)
         if number:
-            before = spark.read.schema("domain_id long, msg_id long, batch long").option("basePath", f"{path}/seen").parquet(f"{path}/seen").where(F.col("batch") < number)
-            fresh = fresh.join(before.select("domain_id", "msg_id"), ["domain_id", "msg_id"], "left_anti")
+            low, high = batch.agg(F.min("msg_id"), F.max("msg_id")).first()
+            seen = spark.read.schema("domain_id long, msg_id long, batch long").option("basePath", f"{path}/seen").parquet(f"{path}/seen")
+            before = seen.where(F.col("batch") < number).where(F.col("msg_id").between(low, high) if low is not None else F.lit(False))
+            fresh = fresh.join(before.select(*key), key, "left_anti")
         fresh = written(fresh, "ingest-fresh")
-        for name, table in ingest_part(fresh, **models).items():
+        part = ingest_part(fresh, **models)
+        for name, table in part.items():
             table.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
-        fresh.select("domain_id", "msg_id").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        if "topic_id" in batch.columns:
+            late = batch.where("topic_id is not null").join(fresh.select(*key), key, "left_anti")
+            late.groupBy(*key).agg(F.min("topic_id").alias("topic_id")).write.mode("overwrite").parquet(f"{path}/topics/batch={number}")
+        fresh.select(*key).repartitionByRange(1, "msg_id").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
 
     return messages.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The ingested batches as tables: tag counts are summed, the graph is merged, the latest batch winning on attributes."""
+def snapshot(spark: SparkSession, path: str, summaries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ingested batches as tables: tag counts are summed, the graph is merged, the latest batch winning on attributes, topics that came
+    later are filled in, the earliest first; summaries of tags, where they are given, are marked stale by all that has come since."""
     read = lambda name: spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
     out = {name: read(name) for name in INGESTED}
     entities = out["entities"].groupBy("domain_id", "name").agg(F.max_by(F.struct("type", "confidence"), F.struct("batch", "type")).alias("a"), F.sum("n_threads").alias("n_threads")).select("domain_id", "name", "a.*", "n_threads")
     tags = out["tags"].groupBy("domain_id", "tag").agg(F.sum("n_posts").alias("n_posts"))
     entities, relations = merge_graph(entities.limit(0), entities, out["relations"].drop("batch").limit(0), out["relations"].drop("batch"))
-    return {name: df.drop("batch") for name, df in out.items()} | {"tags": tags, "entities": entities, "relations": relations}
+    messages = out["messages"].drop("batch")
+    if "topic_id" in messages.columns:
+        later = read("topics").groupBy("domain_id", "msg_id").agg(F.min_by("topic_id", F.struct("batch", "topic_id")).alias("topic_id"))
+        messages = topics_filled(messages, later)
+    merged = {name: df.drop("batch") for name, df in out.items()} | {"messages": messages, "tags": tags, "entities": entities, "relations": relations}
+    return merged | ({"summaries": mark_changed(summaries, messages)} if summaries is not None else {})
 
 
 def stream_threads(messages: DataFrame, late: str = "10 minutes") -> DataFrame:
