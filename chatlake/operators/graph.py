@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from functools import reduce
 
@@ -117,7 +118,7 @@ def louvain(edges: DataFrame) -> DataFrame:
                 if now <= reached + 1e-9:
                     break
                 reached, best_labels = now, labels
-        labels = best_labels
+        labels = refined(both, best_labels)
         member = labels.select("domain_id", F.col("a").alias("name"), F.col("c").alias("community")) if member is None else written(member.join(labels.select("domain_id", F.col("a").alias("community"), F.col("c").alias("up")), ["domain_id", "community"]).select("domain_id", "name", F.col("up").alias("community")), "louvain-members")
         if not labels.where("a <> c").take(1):
             return member
@@ -126,6 +127,22 @@ def louvain(edges: DataFrame) -> DataFrame:
         graph = graph.join(la, ["domain_id", "a"]).join(lb, ["domain_id", "b"]).groupBy("domain_id", F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
 
 
+def refined(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with each community cut into what its own edges connect, named after the smallest node: nodes that moved on may have left the
+    others without a link. Cutting such a community apart can only raise the modularity."""
+    la, lb = labels.select("domain_id", "a", F.col("c").alias("ca")), labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("cb"))
+    inner = written(both.where("a <> b").join(la, ["domain_id", "a"]).join(lb, ["domain_id", "b"]).where("ca = cb").select("domain_id", "a", "b"), "louvain-inner")
+    now = labels.select("domain_id", "a", F.col("a").alias("c"))
+    while True:
+        near = inner.join(now.select("domain_id", F.col("a").alias("b"), F.col("c").alias("near")), ["domain_id", "b"]).groupBy("domain_id", "a").agg(F.min("near").alias("near"))
+        low = now.join(near, ["domain_id", "a"], "left").select("domain_id", "a", F.col("c").alias("old"), F.least("c", F.coalesce("near", "c")).alias("c"))
+        far = now.select("domain_id", F.col("a").alias("c"), F.col("c").alias("far"))  # a node takes the label that its label had
+        new = written(low.join(far, ["domain_id", "c"], "left").select("domain_id", "a", "old", F.least("c", F.coalesce("far", "c")).alias("c")), "louvain-parts")
+        now = new.select("domain_id", "a", "c")
+        if not new.where("old <> c").take(1):
+            return now
+
+
 def modularity(both: DataFrame, degree: DataFrame, total: DataFrame, labels: DataFrame) -> float:
     """Sum of all domains' modularities; both: each edge in either direction."""
     la, lb = labels.withColumnRenamed("c", "ca"), labels.select("domain_id", F.col("a").alias("b"), F.col("c").alias("cb"))
@@ -195,16 +212,92 @@ def g7(spark, sf_dir):
     return community_brief(mb, r)
 
 
-def find(relations: DataFrame, motif: list[tuple[str, str | None, str]]) -> DataFrame:
-    """Rows of names for a motif [(a, type, b), ...]: each triple is a relation from a to b, type None for any."""
-    out = None
+def walks(relations: DataFrame, kind: str | None, least: int, most: int) -> DataFrame:
+    """(domain_id, source, target), once each: names joined by a walk of `least` to `most` relations of a type (None: any)."""
+    key = ["domain_id", "source", "target"]
+    step = written((relations.where(F.col("type") == kind) if kind else relations).select(*key).distinct(), "walk-steps")
+    front, out = step, None
+    for length in range(1, most + 1):
+        if length > 1:
+            onward = step.select("domain_id", F.col("source").alias("target"), F.col("target").alias("next"))
+            front = front.join(onward, ["domain_id", "target"]).select("domain_id", "source", F.col("next").alias("target")).distinct()
+            # where any length counts, a pair that a shorter walk has reached leads nowhere new
+            front = written(front.join(out, key, "left_anti") if least <= 1 else front, "walk-front")
+            if not front.take(1):
+                break
+        if length >= least:
+            out = front if out is None else written(out.unionByName(front).distinct(), "walks")
+    return out if out is not None else step.limit(0)
+
+
+_WALK = re.compile(r"(?P<kind>[^*]*)\*(?P<least>\d+)\.\.(?P<most>\d+)\Z")
+
+
+def find(relations: DataFrame, motif: list[tuple[str, str | None, str]], product: bool = False) -> DataFrame:
+    """Rows of names for a motif [(a, type, b), ...]: each triple is a relation from a to b; type None for any, "T*1..3" (or "*1..3") for a
+    walk of one to three of them.
+
+    Triples are joined along the names that they share, from the first one on; before that each is cut to the rows that have a partner in those that
+    are joined after it, so that in a motif without cycles no row of a join is made in vain. Triples that share no name with
+    the others multiply, which has to be asked for by `product`.
+    """
+    tables = []
     for a, kind, b in motif:
-        step = relations.where(F.col("type") == kind) if kind else relations
-        step = step.select("domain_id", F.col("source").alias(a), F.col("target").alias(b)).distinct()
-        out = step if out is None else out.join(step, ["domain_id", *[c for c in (a, b) if c in out.columns]])
+        walk = _WALK.match(kind or "")
+        step = walks(relations, walk["kind"] or None, int(walk["least"]), int(walk["most"])) if walk else relations.where(F.col("type") == kind) if kind else relations
+        step = step.where("source = target").select("domain_id", F.col("source").alias(a)) if a == b else step.select("domain_id", F.col("source").alias(a), F.col("target").alias(b))
+        tables.append(step.distinct())
+    # the order of joins, and of each triple the one before it that it hangs on
+    order, hangs, left = [0], {}, list(range(1, len(motif)))
+    while left:
+        found = next(((i, j) for i in left for j in order if {motif[i][0], motif[i][2]} & {motif[j][0], motif[j][2]}), None)
+        if found is None and not product:
+            raise ValueError(f"{motif[left[0]]} shares no name with the triples before it")
+        i = left[0] if found is None else found[0]
+        if found:
+            hangs[i] = found[1]
+        order.append(i)
+        left.remove(i)
+    names = lambda i: {motif[i][0], motif[i][2]}
+    for i in reversed(order[1:]):
+        if i in hangs:
+            on = ["domain_id", *sorted(names(i) & names(hangs[i]))]
+            tables[hangs[i]] = tables[hangs[i]].join(tables[i], on, "left_semi")
+    out = tables[order[0]]
+    for i in order[1:]:
+        out = out.join(tables[i], ["domain_id", *[c for c in sorted(names(i)) if c in out.columns]])
     return out
 
 
+def places(spark, sf_dir: str) -> DataFrame:
+    """Relations of customers, suppliers and nations to where they are, for motifs."""
+    from ..sources.fixtures import table
+
+    c, s, n, r = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region"))
+    edge = lambda df, a, kind, b: df.select(F.lit(0).cast("long").alias("domain_id"), F.col(a).alias("source"), F.lit(kind).alias("type"), F.col(b).alias("target"))
+    lives = edge(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), "c_name", "LIVES_IN", "n_name")
+    sells = edge(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")), "s_name", "SELLS_IN", "n_name")
+    return lives.unionByName(sells).unionByName(edge(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "PART_OF", "r_name"))
+
+
+_PLACES = "WITH p AS (SELECT c_name AS source, 'LIVES_IN' AS type, n_name AS target FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, 'SELLS_IN', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION ALL SELECT n_name, 'PART_OF', r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query("g8_star", _PLACES + " SELECT DISTINCT x.source AS c, y.source AS s, x.target AS n, z.target AS r FROM p x JOIN p y ON x.target = y.target AND x.type = 'LIVES_IN' AND y.type = 'SELLS_IN' JOIN p z ON z.source = x.target AND z.type = 'PART_OF'")
+def g8_star(spark, sf_dir):
+    return find(places(spark, sf_dir), [("c", "LIVES_IN", "n"), ("s", "SELLS_IN", "n"), ("n", "PART_OF", "r")]).drop("domain_id")
+
+
+@query("g8_chain", _PLACES + " SELECT DISTINCT x.source AS s, x.target AS n, z.target AS r FROM p x JOIN p z ON z.source = x.target AND x.type = 'SELLS_IN'")
+def g8_chain(spark, sf_dir):
+    return find(places(spark, sf_dir), [("s", "SELLS_IN", "n"), ("n", None, "r")]).drop("domain_id")
+
+
+@query("g8_path", _PLACES.replace("WITH ", "WITH RECURSIVE ") + ", w AS (SELECT source, target, 1 AS n FROM p UNION ALL SELECT w.source, p.target, n + 1 FROM w JOIN p ON p.source = w.target WHERE n < 3) SELECT DISTINCT source AS a, target AS b FROM w")
+def g8_path(spark, sf_dir):
+    return find(places(spark, sf_dir), [("a", "*1..3", "b")]).drop("domain_id")
+
+
 @query("g8_graph_pattern", cte("relations") + " SELECT DISTINCT r.domain_id, r.source AS a, r.target AS b, s.source AS c FROM relations r JOIN relations s ON r.domain_id = s.domain_id AND r.target = s.target AND r.type = 'A' AND s.type = 'R'")
 def g8(spark, sf_dir):
     return find(view(spark, sf_dir, "relations"), [("a", "A", "b"), ("c", "R", "b")])

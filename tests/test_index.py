@@ -133,3 +133,54 @@ def test_texts_are_tokenised_once(spark):
     q = view(spark, SF, "queries").withColumn("query_id", F.lit(1))
     plan = models.rerank(hits, q, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(lower(content") == 1 and not re.search(r"lambdafunction\([^)]*regexp_extract_all", plan)
+
+
+# ---- motifs and communities
+
+def test_motifs(spark):
+    rows = [(1, "a", "b", "T"), (1, "b", "c", "T"), (1, "c", "d", "T"), (1, "d", "a", "U"), (1, "e", "e", "T"), (2, "a", "z", "T"), (1, "a", "b", "U")]
+    r = spark.createDataFrame(rows, "domain_id long, source string, target string, type string")
+    names = lambda df, *c: sorted(tuple(x) for x in df.select("domain_id", *c).collect())
+    assert names(graph.find(r, [("x", "T*2..3", "y")]), "x", "y") == [(1, "a", "c"), (1, "a", "d"), (1, "b", "d"), (1, "e", "e")]
+    assert names(graph.find(r, [("x", "*1..9", "y")]), "x", "y") == sorted([(1, x, y) for x in "abcd" for y in "abcd"] + [(1, "e", "e"), (2, "a", "z")])
+    assert names(graph.find(r, [("x", "T", "x")]), "x") == [(1, "e")]
+    assert names(graph.find(r, [("x", "T", "y"), ("z", "U", "w"), ("y", "T", "z")]), "x", "y", "z", "w") == [(1, "b", "c", "d", "a")]
+    assert names(graph.find(r, [("x", "T", "y"), ("y", "T", "z"), ("z", "T*1..2", "w"), ("w", "U", "x")]), "x", "y", "z", "w") == [(1, "a", "b", "c", "d")]
+    with pytest.raises(ValueError, match="shares no name"):
+        graph.find(r, [("x", "T", "y"), ("v", "U", "w")])
+    assert graph.find(r, [("x", "T", "y"), ("v", "U", "w")], product=True).count() == 8
+    assert graph.find(r.limit(0), [("x", "*2..3", "y")]).count() == 0
+
+
+def test_motifs_are_reduced_from_the_leaves(spark):
+    """A hub with a thousand relations of which one leads on: the first join already has that one alone."""
+    rows = [(1, f"s{i}", "hub", "T") for i in range(1000)] + [(1, "s7", "x", "U")]
+    r = spark.createDataFrame(rows, "domain_id long, source string, target string, type string")
+    got = graph.find(r, [("p", "T", "h"), ("q", "T", "h"), ("p", "U", "x"), ("q", "U", "x")])
+    assert [tuple(x) for x in got.select("p", "q", "h", "x").collect()] == [("s7", "s7", "hub", "x")]
+
+
+def test_communities_are_connected(spark):
+    r = random.Random(3)
+    edges = {(min(a, b), max(a, b)) for _ in range(260) for a, b in [(r.randrange(90), r.randrange(90))] if a != b}
+    df = spark.createDataFrame([(1, f"n{a:02}", f"n{b:02}", "T") for a, b in edges], "domain_id long, source string, target string, type string")
+    groups = collections.defaultdict(set)
+    for x in graph.communities(df, 1).collect():
+        groups[x.community_id].add(x.name)
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[f"n{a:02}"].add(f"n{b:02}")
+        near[f"n{b:02}"].add(f"n{a:02}")
+    for group in groups.values():
+        seen, todo = set(), [min(group)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near[x] & group
+        assert seen == group
+    # and a community that fell apart is cut
+    labels = spark.createDataFrame([(1, f"n{i:02}", "n00") for i in range(90)], "domain_id long, a string, c string")
+    both = spark.createDataFrame([(1, a, b, 1.0) for a, bs in near.items() for b in bs if (a < "n40") == (b < "n40")], "domain_id long, a string, b string, w double")
+    parts = {(x.a < "n40", x.c) for x in graph.refined(both, labels).collect()}
+    assert len({c for _, c in parts}) == len(parts) >= 2
