@@ -19,6 +19,10 @@ def uuid5(name: Column, namespace: str = THREAD_NAMESPACE) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(F.element_at(F.split(F.regexp_replace(variant, "(?<=.)(?=.)", ","), ","), nibble), F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+#: The same in SQL, of the domain's and the root's number.
+THREAD_UUID_SQL = f"""list_transform([sha1(unhex('{THREAD_NAMESPACE.replace("-", "")}') || encode(concat_ws('_', {{0}}, {{1}})))], lambda h: concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)))[1]"""
+
+
 def thread_uuid(domain_id: Column, root_id: Column) -> Column:
     return uuid5(F.concat_ws("_", domain_id.cast("string"), root_id.cast("string")))
 

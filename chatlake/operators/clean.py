@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.keys import THREAD_UUID_SQL, thread_uuid
 from ..registry import query
 from ..sources.fixtures import AS_OF, cte, table, view
 from ..sources.messages import newest_per_domain
@@ -300,10 +301,8 @@ def f17(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.skip_lines(F.expr(_SKIPPY.replace("\n", "\\n"))).alias("kept"))
 
 
-@query("f7_thread_uuid")
+@query("f7_thread_uuid", cte("messages") + f" SELECT msg_id, {THREAD_UUID_SQL.format('domain_id', 'msg_id')} AS thread_id FROM messages")
 def f7(spark, sf_dir):
-    from ..functions.keys import thread_uuid
-
     return view(spark, sf_dir, "messages").select("msg_id", thread_uuid(F.col("domain_id"), F.col("msg_id")).alias("thread_id"))
 
 

@@ -303,7 +303,7 @@ def g8(spark, sf_dir):
     return find(view(spark, sf_dir, "relations"), [("a", "A", "b"), ("c", "R", "b")])
 
 
-#: Names of fewer characters are not sought; bytes of names in one automaton (its nodes take about 50 times as many).
+#: Entities of fewer characters are not sought; bytes of names in one automaton (its nodes take about 50 times as many).
 SHORT, AUTOMATON_BYTES = 3, 2_000_000
 
 
@@ -335,7 +335,7 @@ def entities_in_text(texts: DataFrame, names: DataFrame, least: int = SHORT, mos
     `most_bytes` are dealt by hash to shards of about so many bytes, one after another: what a task or the driver holds does not grow with them.
     """
     spark = texts.sparkSession
-    named = names.select("name").distinct().where(F.char_length("name") >= max(least, SHORT)).select("name", F.lower("name").alias("low"))
+    named = names.select("name").distinct().where(F.char_length("name") >= least).select("name", F.lower("name").alias("low"))
     named = written(named, "names")
     shards = max(1, -(-(named.agg(F.sum(F.octet_length("low"))).first()[0] or 0) // most_bytes))
     low = texts.select("id", F.lower("content").alias("low")).where("low is not null")

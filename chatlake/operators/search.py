@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.keys import message_link
 from ..registry import query
 from ..sources.fixtures import cte, view
+from .graph import entities_in_text
 from .index import _BM25, _POSTINGS, _TERMS, BM25_SQL, query_terms, search_texts
 from .tables import top_per_key
 
@@ -52,10 +53,8 @@ def fts_fallback(docs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
     tf = words.select("id", "dl", F.explode("ws").alias("term")).join(q, "term").groupBy("query_id", "id").agg(F.round(F.count("*") / F.max("dl"), 6).alias("score"))
     level2 = tf.withColumn("level", F.lit(2))
     open_terms = q.join(level2.select("query_id").distinct(), "query_id", "left_anti")
-    # the terms of queries without an answer, one row of distinct words: each text is held against a word once
-    sought = F.broadcast(open_terms.agg(F.collect_set("term").alias("ts")))
-    low = docs.select("id", F.lower("content").alias("low")).join(sought)
-    found = low.select("id", F.explode(F.filter("ts", lambda t: F.contains(F.col("low"), t))).alias("term"))
+    # the terms of queries without an answer, as parts of words
+    found = entities_in_text(docs, open_terms.select(F.col("term").alias("name")), 1).withColumnRenamed("name", "term")
     level3 = found.join(open_terms, "term").select("query_id", "id").distinct().select("query_id", "id", F.lit(1.0).alias("score"), F.lit(3).alias("level"))
     return top_per_key(level2.unionByName(level3), ["query_id"], most, F.desc("score"), F.col("id"))
 

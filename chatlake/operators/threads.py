@@ -68,6 +68,30 @@ def assign_threads(messages: DataFrame, gap_s: int = GAP_S) -> DataFrame:
     return chains.unionByName(groups).drop("_chain", "_parent", "root")
 
 
+def grown_threads(labelled: DataFrame, fresh: DataFrame, gap_s: int = GAP_S) -> tuple[DataFrame, DataFrame]:
+    """After new messages: the messages whose thread may have changed, new ones included, with thread_root, and the threads (domain_id,
+    thread_root) that they take the place of. Whatever the order in which messages come, the threads are those of `assign_threads` over all.
+
+    labelled: known messages with thread_root. Touched is a thread with a message that a new one replies to, that replies to a new one (a root that
+    comes late), or that stands within the gap of a new one in time; only these are taken apart and put together again.
+    """
+    known = labelled.select(*KEY, "reply_to_msg_id", "msg_date", "thread_root")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000
+    new = fresh.select("domain_id", F.col("msg_id").alias("_new"), F.col("reply_to_msg_id").alias("_to"), seconds("msg_date").alias("_at"))
+    answered = known.join(new.select("domain_id", F.col("_to").alias("msg_id")).distinct(), KEY, "left_semi")
+    answering = known.join(new.select("domain_id", F.col("_new").alias("reply_to_msg_id")), ["domain_id", "reply_to_msg_id"], "left_semi")
+    # within the gap: in the same stretch of that length, or in one beside it
+    stretch = F.floor(F.col("_at") / gap_s)
+    timed = new.where("_at is not null").select("domain_id", "_at", F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("_stretch"))
+    spans = timed.groupBy("domain_id", "_stretch").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    at = known.withColumn("_y", seconds("msg_date")).withColumn("_stretch", F.floor(F.col("_y") / gap_s))
+    beside = at.join(spans, ["domain_id", "_stretch"]).where((F.col("_y") >= F.col("_first") - gap_s) & (F.col("_y") <= F.col("_last") + gap_s))
+    thread = ["domain_id", "thread_root"]
+    touched = written(answered.select(*thread).union(answering.select(*thread)).union(beside.select(*thread)).distinct(), "threads-touched")
+    again = labelled.join(touched, thread, "left_semi").drop("thread_root")
+    return written(assign_threads(written(again.unionByName(fresh, allowMissingColumns=True), "threads-again"), gap_s), "threads-grown"), touched
+
+
 def thread_agg(assigned: DataFrame) -> DataFrame:
     """A row per thread: id, combined text in date order, first and last date, number of messages."""
     line = F.concat(F.coalesce(F.concat(F.lit("["), F.col("sender_name"), F.lit("] ")), F.lit("")), F.coalesce("content", F.lit("")))

@@ -249,9 +249,13 @@ def hash_embed(text: Column, width: int = 64) -> Column:
     return embed(text)
 
 
-@query("u2_hash_embed")
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, _: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT)"""
+
+
+@query("u2_hash_embed", cte("messages") + rf", w AS (SELECT msg_id, unnest(regexp_extract_all(lower(content), '[\p{{L}}\p{{N}}_]+')) AS w FROM messages), h AS (SELECT w, {_CRC} % 64 AS bucket FROM (SELECT DISTINCT w FROM w)), c AS (SELECT msg_id, bucket, count(*)::DOUBLE AS c FROM w JOIN h USING (w) GROUP BY 1, 2) SELECT msg_id, CAST(bucket AS INTEGER) AS bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY msg_id)), 6) AS value FROM c")
 def u2(spark, sf_dir):
-    return view(spark, sf_dir, "messages").select("msg_id", F.transform(hash_embed(F.col("content")), lambda x: F.round(x, 6)).alias("embedding"))
+    embedded = view(spark, sf_dir, "messages").select("msg_id", F.posexplode(hash_embed(F.col("content"))).alias("bucket", "value"))
+    return embedded.where("value <> 0").select("msg_id", "bucket", F.round("value", 6).alias("value"))
 
 
 def vector_docs(threads: DataFrame, vectors: DataFrame, most: int = 32_000) -> DataFrame:

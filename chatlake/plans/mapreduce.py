@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.keys import message_link
+from ..functions.keys import THREAD_UUID_SQL, message_link, thread_uuid
 from ..operators.clean import drop_digest_posts, with_noise
 from ..operators.graph import communities, merge_graph
 from ..operators.models import Model, apply_model, extract_entities
 from ..operators.similar import dedup_semantic, greedy_clusters
 from ..operators.tables import posts_per_hashtag, reply_counts, representatives, top_per_key
-from ..operators.threads import build_threads
+from ..operators.threads import THREADS_SQL, assign_threads, build_threads, grown_threads, thread_agg
 from ..operators.vectors import hash_embed, vector_docs
 from ..registry import query
 from ..sources.fixtures import cte, view
@@ -170,7 +170,7 @@ def topics_filled(known: DataFrame, again: DataFrame) -> DataFrame:
     return known.join(topics, key, "left").withColumn("topic_id", F.coalesce("topic_id", "_topic")).select(*known.columns)
 
 
-def ingest_incremental(known: dict[str, DataFrame], messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None) -> dict[str, DataFrame]:
+def ingest_incremental(known: dict[str, DataFrame], messages: DataFrame, embed_model: Model | None = None, graph_model: Model | None = None, across: bool = False) -> dict[str, DataFrame]:
     """The known tables after new messages: M1 on messages, threads and vectors of the new ones, tag counts, G1 on the graph.
 
     Messages that are known already only gain a topic that they lacked. Tag summaries, where they are among the known tables, become stale where new
@@ -188,11 +188,27 @@ def ingest_incremental(known: dict[str, DataFrame], messages: DataFrame, embed_m
     entities, relations = merge_graph(known["entities"], part["entities"], known["relations"], part["relations"])
     before = known | {"messages": topics_filled(known["messages"], messages)}
     grown = {name: before[name].unionByName(part[name]) for name in ("messages", "threads", "vectors", "failures")}
+    if across:
+        grown |= _threads_across(known, before["messages"], part["messages"], embed_model)
     if "summaries" in known:
         grown["summaries"] = mark_changed(known["summaries"], part["messages"])
     return known | grown | {"tags": counted, "entities": entities, "relations": relations}
 
 
+def _threads_across(known: dict[str, DataFrame], before: DataFrame, fresh: DataFrame, embed_model: Model | None) -> dict[str, DataFrame]:
+    """threads, vectors, failures and labels (domain_id, msg_id, thread_root) of the known messages and the new ones together."""
+    key = ["domain_id", "msg_id"]
+    labels = known["labels"] if "labels" in known else assign_threads(before).select(*key, "thread_root")
+    changed, touched = grown_threads(before.join(labels, key), fresh)
+    threads = written(thread_agg(changed), "threads-made")
+    vectors, failed = embedded(threads, "thread_id", "text", embed_model)
+    gone = touched.select(thread_uuid(F.col("domain_id"), F.col("thread_root")).alias("thread_id"))
+    kept = {name: known[name].join(gone, "thread_id", "left_anti") for name in ("threads", "vectors", "failures")}
+    made = {"threads": threads, "vectors": vector_docs(threads, vectors), "failures": failed.withColumn("step", F.lit("embed"))}
+    new_labels = changed.select(*key, "thread_root")
+    return {name: kept[name].unionByName(made[name]) for name in kept} | {"labels": labels.join(new_labels, key, "left_anti").unionByName(new_labels)}
+
+
 def _tables_sql() -> str:
     """What an ingestion gives, as (name, a, b, n): every message, the tags' counts, the tag entities."""
     tags = r"regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)"
@@ -222,13 +238,30 @@ def m9_incremental(spark, sf_dir):
     return tables_of(ingest_incremental(first, m))
 
 
+def _clean_threads(also: str = "TRUE") -> str:
+    """THREADS_SQL over clean messages."""
+    clean = f"clean AS (SELECT * FROM messages WHERE content_type NOT IN ('sticker') AND NOT (content_type = 'poll' AND trim(coalesce(content, '')) = '') AND NOT (length(trim(coalesce(content, ''))) < 5 AND reply_to_msg_id IS NULL) AND {also}), up AS ("
+    return THREADS_SQL.replace("FROM messages", "FROM clean").replace("JOIN messages", "JOIN clean").replace("up AS (", clean, 1)
+
+
+_VECTOR_DOCS = f", a AS (SELECT domain_id, thread_root, string_agg(coalesce('[' || sender_name || '] ', '') || coalesce(content, ''), chr(10) ORDER BY msg_date, msg_id) AS text, min(msg_date) AS first_date FROM t GROUP BY 1, 2) SELECT {THREAD_UUID_SQL.format('domain_id', 'thread_root')} AS thread_id, domain_id, substr(text, 1, 32000) AS content, CAST(epoch(first_date) AS BIGINT) AS msg_ts FROM a WHERE trim(text) <> ''"
+
+
+@query("w1_threads_across", _clean_threads() + " SELECT domain_id, msg_id, thread_root FROM t")
+def w1_across(spark, sf_dir):
+    m = view(spark, sf_dir, "messages")
+    known = ingest_initial(m.where("pmod(xxhash64(msg_id), 3) = 0"))
+    known = ingest_incremental(known, m.where("pmod(xxhash64(msg_id), 3) = 1"), across=True)
+    return ingest_incremental(known, m, across=True)["labels"]
+
+
 @query("a10_ingestion_run", _CLEAN + r", e AS (SELECT DISTINCT domain_id, unnest(regexp_extract_all(content, '#([\p{L}\p{N}_]+)', 1)) AS tag FROM m) SELECT (SELECT count(*) FROM messages) AS n_all, (SELECT count(*) FROM messages) - (SELECT count(*) FROM m) AS n_noise, (SELECT count(*) FROM m) AS n_clean, (SELECT count(reply_to_msg_id) FROM messages) AS n_replies, (SELECT count(*) FROM m) AS n_messages, (SELECT count(*) FROM e) AS n_tags, true AS timed")
 def a10_run(spark, sf_dir):
     stats = ingest_run(view(spark, sf_dir, "messages"))[1]
     return stats.select("n_all", "n_noise", "n_clean", "n_replies", "n_messages", "n_tags", ((F.col("duration_s") > 0) & (F.col("finished_at") > F.col("started_at"))).alias("timed"))
 
 
-@query("s7_vector_docs")
+@query("s7_vector_docs", THREADS_SQL + _VECTOR_DOCS)
 def s7(spark, sf_dir):
     threads = build_threads(view(spark, sf_dir, "messages"))
     return vector_docs(threads, threads.select("thread_id", hash_embed(F.col("text")).alias("embedding"))).select("thread_id", "domain_id", "content", "msg_ts")
@@ -248,7 +281,7 @@ def ingest_vectors(messages: DataFrame) -> DataFrame:
     return vector_docs(threads, threads.select("thread_id", hash_embed(F.substring("text", 1, 8192)).alias("embedding")))
 
 
-@query("s9_reembed")
+@query("s9_reembed", _clean_threads("domain_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)") + _VECTOR_DOCS)
 def s9(spark, sf_dir):
     return reembed(view(spark, sf_dir, "messages"), view(spark, sf_dir, "domains"), new_path(spark, "reembed")).select("thread_id", "domain_id", "content", "msg_ts")
 

@@ -12,8 +12,10 @@ from ..operators.graph import merge_graph
 from ..operators.threads import GAP_S
 from ..plans.mapreduce import _CLEAN, _tables_sql, enriched, ingest_part, tables_of, topics_filled
 from ..plans.upkeep import mark_changed
-from ..registry import query
+from ..registry import SQL, query
+from ..sources import messages as _messages  # noqa: F401  its queries' SQL
 from ..sources.fixtures import cte, view
+from ..sources.stream import stream_log, write_log
 from ..sources.tables import new_path, written
 
 
@@ -134,6 +136,16 @@ def t1(spark, sf_dir):
     return spark.read.parquet(where).select("domain_id", "msg_id", "language")
 
 
+@query("s2_stream_fetch", SQL["s2_incremental_fetch"])
+def s2_stream(spark, sf_dir):
+    m, path = view(spark, sf_dir, "messages"), new_path(spark, "log")
+    write_log(m, path)
+    # an offset is an entry a domain
+    after = {r.domain_id: r.last for r in m.where("msg_id < 5000").groupBy("domain_id").agg(F.max("msg_id").alias("last")).collect()}
+    got = _run(spark, stream_log(spark, path, "domain_id long, msg_id long, msg_date timestamp_ntz", after), "append")
+    return got.where("msg_date >= timestamp_ntz'2024-01-01 12:00:00'").select("domain_id", "msg_id")
+
+
 @query("t2_stream_ingest", _CLEAN + _tables_sql())
 def t2(spark, sf_dir):
     m, where = view(spark, sf_dir, "messages"), new_path(spark, "ingest")
