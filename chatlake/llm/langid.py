@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, gathered, id_remainder, slices, written
+from .shared import free_name, gathered, id_remainder, slices, trimmed, written
 from .textops import LOWER, U, chunks, words
 
 BITS = 15
@@ -203,7 +203,7 @@ def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[s
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     columns = [F.col(f"`{c}`") for c in keep] + [F.col(text_col).alias(free_name("_text", keep))] * own_text
-    return docs.select(*columns).mapInArrow(predict, f"{kept}, {made[0]} string, {made[1]} double, {made[2]} map<string,double>")
+    return docs.select(*columns).mapInArrow(trimmed(predict), f"{kept}, {made[0]} string, {made[1]} double, {made[2]} map<string,double>")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
@@ -219,5 +219,4 @@ def well_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     lang, score = (F.col(f"`{c}`") for c in judged.columns[len(docs.columns) :][:2])
     # where nothing is labelled, only texts without letters go
     ok = (lang != "und") & (score >= least) if model[0] else F.col("text").rlike(r"\p{L}")
-    # written here, in small batches: the next stage's workers stand beside these
-    return written(judged.where(ok).select(*[F.col(f"`{c}`") for c in docs.columns]), "identified")
+    return judged.where(ok).select(*[F.col(f"`{c}`") for c in docs.columns])

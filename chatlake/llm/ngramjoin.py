@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from .components import components
-from .shared import free_name, gathered, written
+from .shared import free_name, gathered, trimmed, written
 from .textops import LOWER, U, chained, chunks, mix, span_hashes, words
 
 SHINGLE, BLOCK, SMALL = 5, 1024, 8
@@ -105,7 +105,7 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*shingle_sets(data, off), np.zeros(0, U)]).view(np.int64))], names=["h"])
 
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(every)) == 0).select("text")
-    counted = sample.mapInArrow(shingles, "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_COMMON)
+    counted = sample.mapInArrow(trimmed(shingles), "h long").groupBy("h").count().where(F.col("count") >= SAMPLE_COMMON)
     found = gathered(counted.orderBy(F.desc("count"), "h").limit(MOST_COMMON))
     h, n = found["h"].view(U), found["count"] * every
     order = np.argsort(h)
@@ -135,7 +135,7 @@ def nodes_of(rows: DataFrame, common: np.ndarray) -> DataFrame:
                 uid += m
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(make, f"uid long, id {kind}, null_key string, n long, s1 long, s2 long, prefix array<long>, bits binary, half binary")
+    return rows.mapInArrow(trimmed(make), f"uid long, id {kind}, null_key string, n long, s1 long, s2 long, prefix array<long>, bits binary, half binary")
 
 
 BLOCKS = "gid long, block int, alone boolean, size int, lo long, hi long, members array<long>"
@@ -196,7 +196,7 @@ def token_blocks(sorted_tokens: DataFrame) -> DataFrame:
         if out:
             yield emit()
 
-    return sorted_tokens.mapInArrow(cut, BLOCKS)
+    return sorted_tokens.mapInArrow(trimmed(cut), BLOCKS)
 
 
 def largest_overlaps(i: np.ndarray, j: np.ndarray, bits: np.ndarray, bits2: np.ndarray, slack: np.ndarray, slack2: np.ndarray) -> np.ndarray:
@@ -344,7 +344,7 @@ def small_pairs(blocks: DataFrame, half: DataFrame) -> DataFrame:
                         ok[rows] = 9 * (np.bitwise_count(x & y).sum(axis=1) + slack) >= 4 * (na[rows] + nb[rows])
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], schema=PAIRS)
 
-    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def block_pairs(rows: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def block_pairs(rows: DataFrame) -> DataFrame:
         i, j = (np.concatenate(x) for x in zip(*found))
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(uid[i], uid[j])), pa.array(np.maximum(uid[i], uid[j]))], schema=PAIRS)
 
-    return rows.select("bid", "uid", "n", "bits").mapInArrow(lambda batches: _runs(batches, 0, traverse), "a long, b long")
+    return rows.select("bid", "uid", "n", "bits").mapInArrow(trimmed(lambda batches: _runs(batches, 0, traverse)), "a long, b long")
 
 
 def tile_pairs(rows: DataFrame) -> DataFrame:
@@ -394,7 +394,7 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 yield from emit(held)
         yield from emit(held)
 
-    return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(lambda batches: _runs(batches, 0, traverse), "a long, b long")
+    return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(trimmed(lambda batches: _runs(batches, 0, traverse)), "a long, b long")
 
 
 def whole_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -412,7 +412,7 @@ def whole_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFram
                 both = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "s1", "s2", "set"])
 
-    sets = texts.mapInArrow(make, "n long, s1 long, s2 long, set binary")
+    sets = texts.mapInArrow(trimmed(make), "n long, s1 long, s2 long, set binary")
     key = who.select("uid", "n", "s1", "s2")
     return sets.join(F.broadcast(key) if small else key, ["n", "s1", "s2"]).select("uid", "set")
 
@@ -438,7 +438,7 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
     first = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("set_a")), "a")
     second = first.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    return written(second.mapInArrow(check, "a long, b long").distinct(), "join-links")
+    return written(second.mapInArrow(trimmed(check), "a long, b long").distinct(), "join-links")
 
 
 def toward_hubs(pairs: DataFrame) -> DataFrame:

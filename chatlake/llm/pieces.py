@@ -19,20 +19,19 @@ from __future__ import annotations
 
 import heapq
 import re
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import store, trimmed, written
 
 MARK = "▁"
 
 
 class PrefixTableEncoder:
-    def __init__(self, model_path: str, most_words: int = 400_000, most_pairs: int = 1_000_000):
+    def __init__(self, model_path: str, most_words: int = 400_000, most_pairs: int = 1_000_000, most_bytes: int = 250_000_000):
         import ahocorasick
         import sentencepiece
 
@@ -55,7 +54,8 @@ class PrefixTableEncoder:
         self.alone: dict[int, bool] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.most_words, self.most_pairs = most_words, most_pairs
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.most_words, self.most_bytes, self.most_pairs, self.held = most_words, most_bytes, most_pairs, 0
         probe = f"a  b{MARK}c\n\td ﬁ"
         self.plain_normalizer = sp.normalize(probe) == MARK + probe.replace(" ", MARK)
 
@@ -158,23 +158,26 @@ class PrefixTableEncoder:
         return [text] if self.whole else re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", text)
 
     def encode(self, text: str) -> tuple[list[int], str]:
-        """Ids and their decimals joined by spaces, the end id included."""
-        words, known = self.cuts(text), self.words
+        """Ids and their decimals joined by spaces, the end id included.
+
+        Words are remembered in two generations: where the young one is full, it takes the old one's place, and an old word that is met again is
+        young again. So what is frequent stays, and at most `most_words` words are held, of about `most_bytes` in all.
+        """
+        words = self.cuts(text)
+        if self.held >= self.most_bytes // 2 or len(self.words) >= self.most_words // 2:
+            self.old, self.words, self.held = self.words, {}, 0
+        known, old = self.words, self.old
         for w in set(words):
             if w not in known:
-                ids = self.word(w)
-                if len(w) > 64:
-                    words = None
-                    break
-                if len(known) >= self.most_words:
-                    words = None
-                    break
-                known[w] = (tuple(ids), " ".join(map(str, ids)))
-        if words is None:  # a very long word, or no room left: this text without the store
-            if len(known) >= self.most_words:
-                known.clear()
-            ids = [i for w in self.cuts(text) for i in self.word(w)]
-            return [*ids, self.end_id], " ".join(map(str, [*ids, self.end_id]))
+                found = old.get(w)
+                if found is None:
+                    ids = self.word(w)
+                    if len(w) > 64 or len(known) >= self.most_words:  # a very long word, or more than there is room for: this text without the store
+                        ids = [i for w in words for i in self.word(w)]
+                        return [*ids, self.end_id], " ".join(map(str, [*ids, self.end_id]))
+                    found = (tuple(ids), " ".join(map(str, ids)))
+                known[w] = found
+                self.held += 320 + len(w) + 50 * len(found[0])  # about what the entry takes
         got = [known[w] for w in words]
         ids = [i for row in got for i in row[0]]
         ids.append(self.end_id)
@@ -184,7 +187,7 @@ class PrefixTableEncoder:
         return self.sp.decode(ids)
 
 
-@lru_cache(maxsize=1)
+@store
 def encoder_for(path: str) -> PrefixTableEncoder:
     """One encoder per worker process: what a task learns, the next one knows."""
     return PrefixTableEncoder(path)
@@ -214,7 +217,7 @@ def encoded_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(encode, encoder_for), schema).withColumnRenamed("id", id_col)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import slices, trimmed, written
 from .textops import U, chained, chunks, code_points, counts_per, mix, span_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -88,13 +88,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source",
     n = len(kept) + 1
 
     def measure(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             made = [measures(data, off) for _, data, off in chunks(batch.column(place))]
             all_rows = np.concatenate(made) if made else np.zeros((0, len(ALL)), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(all_rows[:, i]) for i in range(len(ALL))]], names=[*batch.schema.names[:n], *ALL])
 
     fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:n]]
-    out = rows.mapInArrow(measure, ", ".join([*fields, *[f"{m} long" for m in ALL]]))
+    out = rows.mapInArrow(trimmed(measure), ", ".join([*fields, *[f"{m} long" for m in ALL]]))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     soft = (10 * F.col("n_symbols") > F.col("n_words")) | (3 * F.col("n_dup_lines") > F.col("n_lines")) | (F.col("word_chars") < 3 * F.col("n_words")) | (F.col("word_chars") > 40 * F.col("n_words"))
     out = out.withColumn("base_failed", base).withColumn("soft_failed", soft)
@@ -123,9 +123,8 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT, trust: float = TRU
     return hosts.select("*", shrunk.alias("host_rate"), (shrunk - SURE * spread > limit).alias("host_rejected"), (shrunk < trust * mean).alias("host_trusted"))
 
 
-def with_verdicts(rows: DataFrame, limit: float, trust: float) -> DataFrame:
-    """Rows of `measured` with host_rate and kept."""
-    hosts = written(host_verdicts(rows, limit, trust), "quality-hosts")
+def with_verdicts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows of `measured` with host_rate and kept; hosts: of `host_verdicts`."""
     judged = rows.withColumn("host_key", host_key()).join(hosts, "host_key", "left")
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected") & (~F.col("soft_failed") | F.col("host_trusted")))
 
@@ -133,13 +132,17 @@ def with_verdicts(rows: DataFrame, limit: float, trust: float) -> DataFrame:
 def judged_quality(docs: DataFrame, limit: float = HOST_LIMIT, trust: float = TRUST, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """id, host, ALL, base_failed, soft_failed, host_rate, kept."""
     rows = written(measured(docs, id_col, host_col, text_col), "quality-rows")
-    return with_verdicts(rows, limit, trust).select(id_col, "host", *ALL, "base_failed", "soft_failed", "host_rate", "kept")
+    hosts = written(host_verdicts(rows, limit, trust), "quality-hosts")
+    return with_verdicts(rows, hosts).select(id_col, "host", *ALL, "base_failed", "soft_failed", "host_rate", "kept")
 
 
 def good_documents(docs: DataFrame, limit: float = HOST_LIMIT, trust: float = TRUST) -> DataFrame:
-    """The documents that neither a rule nor their host's verdict rejects, measured once. Same columns as docs."""
-    rows = written(measured(docs, whole=True), "quality-rows")
-    return with_verdicts(rows, limit, trust).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    """The documents that neither a rule nor their host's verdict rejects. Same columns as docs.
+
+    Texts are measured for the hosts' counts, and again where they pass: that costs less than a second copy of all texts.
+    """
+    hosts = written(host_verdicts(measured(docs), limit, trust), "quality-hosts")
+    return with_verdicts(measured(docs, whole=True), hosts).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

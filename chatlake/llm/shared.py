@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 from ..sources import tables
 from ..sources.tables import new_path
 
-__all__ = ["batches", "free_name", "gathered", "id_remainder", "new_path", "slices", "written"]
+__all__ = ["batches", "free_name", "gathered", "id_remainder", "new_path", "slices", "store", "trimmed", "written"]
 
 _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -63,3 +66,35 @@ def free_name(name: str, taken: list[str]) -> str:
 def id_remainder(column: str, modulus: int):
     """crc32 of the id as text, mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+_stores: list = []
+
+
+def store(make: Callable) -> Callable:
+    """make, whose last result a worker process keeps for its next task, until a task of another operator needs the room."""
+    kept = functools.lru_cache(maxsize=1)(make)
+    _stores.append(kept)
+    return kept
+
+
+def trimmed(task: Callable, keep: Callable | None = None) -> Callable:
+    """A function on batches that first drops what other operators' tasks left in its worker process, but for `keep`, and gives free
+    memory back to the system then and in the end: executors' workers outlive their tasks."""
+
+    def give_back() -> None:
+        dropped = [kept.cache_clear() for kept in _stores if kept is not keep and kept.cache_info().currsize]
+        if dropped:
+            gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    def run(batches):
+        give_back()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run

@@ -17,7 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.llm import classlm, entries, fingerprints, langid, mixing, ngramjoin, quality, shared, textops, tokenfiles, urlrules, warc
+from chatlake.llm import classlm, entries, fingerprints, langid, mixing, ngramjoin, pieces, quality, shared, textops, tokenfiles, urlrules, warc
 from chatlake.llm.files import opened
 
 from ..conftest import SF
@@ -636,3 +636,104 @@ def test_pipeline_by_plain_stages(spark):
     for r in at["token_ids"].collect():
         assert r.ids == [*sp.encode(text[r.doc_id]), 2] and r.n_tokens == len(r.ids)
     assert ids["token_ids"] == ids["mix"] and set(stage) == set(ids) - {""}
+
+
+# ---- records with damaged lengths, memory of workers, rules without tokens
+
+def _sized(i, block, length=None):
+    return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("length", [0, 10, 999, 1001, 5000, 10**7 + 1, 10**15, 10**30])
+@pytest.mark.parametrize("form", ["plain", "members", "one member"])
+def test_damaged_lengths(length, form):
+    """A wrong length loses its own record and no other."""
+    records = [_sized(i, b"%05d" % i + b"x" * 995, length if i % 7 == 3 else None) for i in range(400)]
+    pack = gzip.compress if form == "members" else bytes
+    data = b"".join(map(pack, records))
+    data = gzip.compress(data) if form == "one member" else data
+    got = list(warc.salvage(data))
+    assert [r[2]["warc-record-id"] for r in got if r[2]] == [f"<urn:uuid:{i}>" for i in range(400) if i % 7 != 3]
+    assert any(r[2] is None and r[4] for r in got)
+    if form != "one member":
+        assert sum(r[1] for r in got) == len(data) and sum(r[2] is None for r in got) == 57
+
+
+def test_damaged_lengths_load_nothing(monkeypatch):
+    """40 MB of records that promise ten thousand times their size: no window is asked for more than a header."""
+    asked = []
+    plain = warc.Window.at
+    monkeypatch.setattr(warc.Window, "at", lambda self, offset, n: asked.append(n) or plain(self, offset, n))
+    data = b"".join(_sized(i % 10, b"x" * 1000, 10**7 + 7) for i in range(36_000))
+    assert sum(r[2] is not None for r in warc.salvage(data)) == 0 and max(asked) <= warc.WINDOW
+    held = []
+    skip = warc.Member.skip
+    monkeypatch.setattr(warc.Member, "skip", lambda self, n: held.append(len(self.held)) or skip(self, n))
+    packed = gzip.compress(b"".join(_sized(i % 10, b"x" * 1000, 10**7 + 7 if i % 2 else None) for i in range(18_000)), 1)
+    assert sum(r[2] is not None for r in warc.salvage(packed)) == 9_000 and max(held) <= 2 * warc.WINDOW
+
+
+def test_long_records_of_a_member():
+    """Blocks of several windows, with ends of records inside them."""
+    block = (b"y" * 700_000 + b"\r\n\r\nWARC/1.1\r\n") * 6
+    data = gzip.compress(_sized(1, block) + _sized(2, b"z") + _sized(3, block, len(block) + 5) + _sized(4, block))
+    assert [r[2]["warc-record-id"][-2] for r in warc.salvage(data) if r[2] and len(r[3]) in (1, len(block))] == ["1", "2", "4"]
+
+
+def test_empty_archives_are_read(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, digest int, payload string")
+    folder = shared.new_path(spark, "warc")
+    manifest = warc.write_warc(warc.record_plan(pages, "page_id", "url", "html"), folder)
+    for of in (manifest, None):
+        if of is None:
+            system, path = opened(folder)
+            system.create_dir(path, recursive=True)
+        records, gaps = warc.archived(spark, folder, manifest=of)
+        assert records.count() == gaps.count() == 0
+
+
+def test_clashing_names_in_files_and_pieces(spark):
+    import public_tokenizers as P
+
+    docs = clashing(texts_table(spark)).withColumns({"ids": F.lit(1), "start": F.lit("s"), "n_tokens": F.lit("t"), "shard": F.lit(0)})
+    folder = shared.new_path(spark, "tokens")
+    assert tokenfiles.read_tokens(tokenfiles.write_tokens(docs, P.path("byte_bpe_50k.json"), folder), folder).count() == len(TEXTS)
+    assert pieces.encoded_texts(docs, P.path("piece_bpe_32k.model"), with_ids=True, with_text=True).count() == len(TEXTS)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a/").alias("url"), F.col("text").alias("html"), F.lit(1).alias("digest"), F.lit(2).alias("payload"), F.lit(3).alias("refers_to"), F.lit("x").alias("join_key"))
+    assert warc.archived(spark, folder + "w", manifest=warc.write_warc(warc.record_plan(pages, "page_id", "url", "html"), folder + "w"))[0].count() == len(TEXTS)
+
+
+def test_rules_without_tokens_beyond_the_limit(spark, monkeypatch):
+    lines = ["track", "ads", r"/banner[0-9]+\.gif/", "@@/ok=(1|2)/", "||a.com^", "||b.com^", "@@||c.com^", "/x/$match-case"]
+    rules = [urlrules.parse_rule(x) for x in lines]
+    assert sum(not r.tokens for r in rules) == 4
+    urls = ["http://a.com/track", "http://z.com/mytracks", "http://z.com/banner12.gif", "http://z.com/banner.gif", "http://b.com/?ok=2", "http://c.com/ads", "http://z.com/x/", "http://z.com/X/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = sorted(map(str, urlrules.judge_urls(pages, rules, urlrules.default_rules()).collect()))
+    for most in (2, 3, 4):
+        monkeypatch.setattr(urlrules, "MOST_RULES", most)
+        assert sorted(map(str, urlrules.judge_urls(pages, rules, urlrules.default_rules()).collect())) == want
+    assert "banner[0-9]" in want[2] and "rule=None" in want[3]
+    assert urlrules.parse_rule("/ads[/") is None and urlrules.parse_rule("/ads/").tokens == ("ads",)
+
+
+def test_workers_drop_what_other_operators_keep():
+    made = []
+    first, second = (shared.store(lambda i, f=f: made.append((f, i)) or f) for f in "ab")
+    try:
+        assert first(1) == first(1) == "a" and second(1) == "b" and len(made) == 2
+        assert list(shared.trimmed(lambda batches: (x for x in batches), first)([1, 2])) == [1, 2]
+        first(1), second(1)
+        assert made == [("a", 1), ("b", 1), ("b", 1)]
+    finally:
+        shared._stores[:] = [s for s in shared._stores if s not in (first, second)]
+
+
+def test_store_of_words_is_bounded_by_bytes():
+    import public_tokenizers as P
+
+    encoder = pieces.PrefixTableEncoder(P.path("piece_bpe_32k.model"), most_bytes=20_000)
+    for i in range(300):
+        text = f"word{i} other{i * 7}"
+        assert encoder.encode(text)[0] == [*encoder.sp.encode(text), 2]
+        assert encoder.held <= 21_000 and len(encoder.words) < 70
