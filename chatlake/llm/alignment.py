@@ -17,7 +17,6 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -26,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batches, gathered, slices, written
-from .tokenfiles import load_tokenizer
+from .pieces import MARK
+from .shared import batches, gathered, slices, store, trimmed, written
+from .tokenfiles import _OTHER_SPACE, WordCachedEncoder, load_tokenizer
 
-MARK = "▁"
 #: Tokens of A in a lane; bytes of text that a task aligns at once (MB); pairs whose counts travel to tasks.
 LANE, SLICE_MB, KEPT = 512, 0.5, 100_000
 _SHIFT = 32
@@ -43,19 +42,29 @@ def byte_of_char() -> dict[str, int]:
     return out
 
 
+class SpacedEncoder(WordCachedEncoder):
+    """Of texts that begin with a space of their own: the first word is like any other."""
+
+    def cuts(self, text: str) -> list[str]:
+        rest = super().cuts(text[1:]) if text[1:] and text[1] not in " \n" else None
+        # where the text falls at every space, its first word is a cut as well
+        return super().cuts(text) if rest is None or _OTHER_SPACE.search(text[1]) else ["", *rest]
+
+
 class Aligner:
     """Both tokenizers, and the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a = load_tokenizer(path_a)
+        tokenizer = load_tokenizer(path_a)
+        self.a, self.b = SpacedEncoder(tokenizer, 300_000), sentencepiece.SentencePieceProcessor(model_file=path_b)
         chars = byte_of_char()
-        entries = json.loads(self.a.to_str())["model"]["vocab"]
+        entries = json.loads(tokenizer.to_str())["model"]["vocab"]
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for token, i in entries.items():
             self.bytes_a[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
-        self.b = sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        sp = self.b
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.length_a, self.length_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
@@ -66,16 +75,16 @@ class Aligner:
     def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of A and B of each text; none where their bytes are not those of a space and the text."""
         whole = [" " + t for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        ids_a = [np.frombuffer(x, "<u4").tolist() for x in self.a.encode(whole)]
         ids_b = self.b.encode(texts, num_threads=1)
         for i, t in enumerate(whole):
             want = t.encode()
-            if not texts[i] or b"".join([self.bytes_a[x] for x in ids_a[i]]) != want or b"".join([self.bytes_b[x] for x in ids_b[i]]) != want:
+            if not texts[i] or b"".join(map(self.bytes_a.__getitem__, ids_a[i])) != want or b"".join(map(self.bytes_b.__getitem__, ids_b[i])) != want:
                 ids_a[i] = ids_b[i] = []
         return [np.array(x, np.int64) for x in ids_a], [np.array(x, np.int64) for x in ids_b]
 
 
-@lru_cache(maxsize=1)
+@store
 def aligner_for(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
@@ -152,7 +161,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
 
     schema = f"uid long, id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<int>"
     schema += ", groups array<struct<a_ids: array<int>, b_ids: array<int>>>" * with_groups
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(make, aligner_for), schema)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
