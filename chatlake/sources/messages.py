@@ -47,10 +47,14 @@ def content_type(raw: Column) -> Column:
     return out.otherwise("text")
 
 
+#: Fixed value: the forms of a channel's link.
+LINK = r"(?:https?://)?(?:t\.me|telegram\.me)/(?:\+)?([a-zA-Z0-9_]+)"
+
+
 def parse_handle(text: Column) -> Column:
     """A channel link, @name or bare name -> name."""
     given = F.trim(text)
-    link = F.regexp_extract(given, r"(?:https?://)?(?:t\.me|telegram\.me)/(?:\+)?([a-zA-Z0-9_]+)", 1)
+    link = F.regexp_extract(given, LINK, 1)
     return F.when(F.startswith(given, F.lit("@")), F.substring(given, 2, 1_000_000)).when(link != "", link).otherwise(given)
 
 
