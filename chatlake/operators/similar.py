@@ -15,7 +15,7 @@ from ..registry import query
 from ..sources.fixtures import table, view
 from ..sources.tables import written
 from .tables import top_per_key
-from .vectors import BLOCK, cosine, unit_rows
+from .vectors import BLOCK, QUERY_BYTES, unit_rows
 
 
 def near_pairs(posts: DataFrame, threshold: float, size: int = BLOCK) -> DataFrame:
@@ -162,6 +162,79 @@ def keep_local_best(scores: DataFrame, pairs: DataFrame, by: tuple[str, ...] = (
     return state.select(*by, "id", "kept")
 
 
+#: Rows that one task holds of the lists of a round's front.
+LISTED = 1_000_000
+
+
+class Rounds:
+    """A table of posts (batch, id, score, embedding) decided in rounds, each batch's posts in the order (score desc, id).
+
+    A round's front is the first so many undecided posts of each batch. It is small: one task decides a batch's front, and the vectors of
+    all fronts travel to the tasks that read the undecided posts. No pair is stored, and no more than a front's part of all pairs compared.
+    """
+
+    def __init__(self, posts: DataFrame, size: int):
+        self.size, self.width = size, None
+        self.live = self._keep(posts.select("batch", "id", "score", "embedding"))
+
+    def _keep(self, live: DataFrame) -> DataFrame:
+        live = written(live, "undecided")
+        self.sizes = {r["batch"]: r["n"] for r in live.groupBy("batch").agg(F.count("*").alias("n")).where(F.col("n") > self.size).collect()}
+        return live
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """Undecided posts of batches that one task can take whole, and those of the others."""
+        large = F.col("batch").isin(list(self.sizes))
+        return self.live.where(~large | F.col("batch").isNull()), self.live.where(large)
+
+    def front(self, large: DataFrame, most: int) -> DataFrame:
+        """(batch, id, score, embedding, seed): the first undecided posts of each large batch, numbered; of many batches fewer each."""
+        self.width = self.width or large.agg(F.max(F.size("embedding"))).first()[0] or 1
+        most = max(1, min(most, QUERY_BYTES // (8 * self.width * len(self.sizes))))
+        return written(top_per_key(large, ["batch"], most, F.desc("score"), F.col("id")).withColumnRenamed("rank", "seed"), "front")
+
+    def beside(self, rows: DataFrame, front: DataFrame, threshold: float, most: int | None) -> DataFrame:
+        """Rows beside those of their batch's front that are above the threshold: (batch, seed, id, score, cosine), of each Arrow batch
+        at most the `most` nearest of a seed; without `most`, the ids of such rows: (batch, id)."""
+        table = front.where("embedding is not null").select("batch", "seed", "id", "embedding").orderBy("batch", "seed").toArrow()
+        of, matrix = table.column("batch").to_numpy(), unit_rows(table.column("embedding")) if len(table) else np.zeros((0, 1))
+        sent = rows.sparkSession.sparkContext.broadcast((of, table.column("seed").to_numpy(), table.column("id").to_numpy(), matrix))
+
+        def compare(batches):
+            of, seeds, own, matrix = sent.value
+            for batch in batches:
+                here = batch.column(0).to_numpy()
+                for b in np.unique(here).tolist():
+                    at, asks = np.flatnonzero(here == b), np.flatnonzero(of == b)
+                    x, ids = unit_rows(pa.chunked_array([batch.column(3).take(pa.array(at))])), batch.column(1).take(pa.array(at)).to_numpy()
+                    scores, met = batch.column(2).take(pa.array(at)), np.zeros(len(at), bool)
+                    for i in range(0, len(asks), 100):
+                        part = asks[i : i + 100]
+                        like = np.round(matrix[part] @ x.T, 9)
+                        if most is None:
+                            met |= (like > threshold).any(axis=0)
+                            continue
+                        hit = (like > threshold) & (own[part][:, None] != ids)
+                        if hit.shape[1] > most:
+                            order = np.lexsort((np.broadcast_to(ids, like.shape), np.broadcast_to(-scores.to_numpy(), like.shape), np.where(hit, -like, 9.0)), axis=1)
+                            np.put_along_axis(hit, order[:, most:], False, axis=1)
+                        p, q = np.nonzero(hit)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), b, np.int64)), pa.array(seeds[part[p]]), pa.array(ids[q]), scores.take(pa.array(q)), pa.array(like[p, q])], names=["batch", "seed", "id", "score", "cosine"])
+                    if most is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(met.sum()), b, np.int64)), pa.array(ids[met])], names=["batch", "id"])
+
+        return rows.where("embedding is not null").mapInArrow(compare, "batch long, id long" if most is None else "batch long, seed long, id long, score double, cosine double")
+
+    def drop(self, *decided: DataFrame) -> None:
+        for some in decided:
+            self.live = self.live.join(some.select("batch", "id"), ["batch", "id"], "left_anti")
+        self.live = self._keep(self.live)
+
+
+def _plain(posts: DataFrame) -> DataFrame:
+    return posts.select(F.col("batch").cast("long").alias("batch"), F.col("id").cast("long").alias("id"), F.col("score").cast("double").alias("score"), "embedding")
+
+
 def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK, recall: float = 1.0) -> DataFrame:
     """(batch, id, kept): the verdicts of `dedup_semantic` for batches of any size.
 
@@ -180,29 +253,73 @@ def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK, recal
 def clusters_in_blocks(posts: DataFrame, threshold: float, most: int = 25, least: int = 3, size: int = BLOCK) -> DataFrame:
     """(batch, id, cluster_id, position): the clusters of `greedy_clusters` for batches of any size.
 
-    In rounds, an unassigned post that is the best of all within two steps is a seed: no earlier seed can take it or one of its
-    neighbours. Each round has the best unassigned post at least.
+    In rounds: of each post of a front its nearest undecided posts are listed, and one task a batch goes through the lists in the front's order, up to
+    the first that is cut off and whose other posts are taken. A front's length falls when it was not reached to the end, down to where
+    the lists always suffice: a round then decides all of its front. Batches of at most `size` posts are decided in one piece.
     """
-    posts = written(posts.select("batch", "id", F.struct(F.col("score"), -F.col("id")).alias("r"), "embedding"), "cluster-posts")
-    pairs = near_pairs(posts, threshold, size)
-    edges = written(pairs.unionByName(pairs.select("batch", F.col("b").alias("a"), F.col("a").alias("b"), "cosine")), "cluster-edges")
-    live, done = posts.select("batch", "id", "r"), None
-    while live.take(1):
-        named = lambda df, to: df.withColumnRenamed("id", to)
-        edges = written(edges.join(named(live.select("batch", "id"), "a"), ["batch", "a"], "left_semi").join(named(live.select("batch", "id"), "b"), ["batch", "b"], "left_semi").select("batch", "a", "b", "cosine"), "cluster-edges")
-        best, step = live.withColumn("best", F.col("r")), None
-        for _ in range(2):
-            step = edges.join(named(best.select("batch", "id", "best"), "b"), ["batch", "b"]).groupBy("batch", F.col("a").alias("id")).agg(F.max("best").alias("near"))
-            best = written(best.join(step, ["batch", "id"], "left").select("batch", "id", "r", F.when(F.col("near") > F.col("best"), F.col("near")).otherwise(F.col("best")).alias("best")), "cluster-best")
-        seeds = best.where("best = r").select("batch", "id")
-        near = edges.join(named(seeds, "a"), ["batch", "a"]).join(named(live, "b"), ["batch", "b"])
-        taken = top_per_key(near, ["batch", "a"], most - 1, F.desc("cosine"), F.desc("r")).select("batch", F.col("b").alias("id"), F.col("a").alias("seed"), F.col("rank").alias("position"))
-        new = written(seeds.select("batch", "id", F.col("id").alias("seed"), F.lit(0).cast("long").alias("position")).unionByName(taken), "clusters")
+    least_front = max(1, min(size, math.isqrt(LISTED // most)))
+
+    def decided(key, seeds: np.ndarray, ids: np.ndarray, longest: int | None) -> pa.Table:
+        """Lists in order, each headed by its own seed."""
+        heads = np.flatnonzero(np.r_[True, seeds[1:] != seeds[:-1]])
+        names, at = np.unique(ids, return_inverse=True)
+        free, out = np.ones(len(names), bool), []
+        for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(seeds)]):
+            if not free[at[s]]:
+                continue
+            near = at[s + 1 : e]
+            taken = near[free[near]][: most - 1]
+            if longest is not None and len(taken) < most - 1 and len(near) >= longest:
+                break
+            taken = np.r_[at[s], taken]
+            free[taken] = False
+            out += [(names[taken], np.full(len(taken), ids[s]), np.arange(len(taken)))]
+        new = [np.concatenate(c) for c in zip(*out)]
+        return pa.table({"batch": pa.array([key[0].as_py()] * len(new[0]), pa.int64()), "id": new[0], "seed": new[1], "position": new[2]})
+
+    def whole(key, rows):
+        rows = rows.sort_by([("score", "descending"), ("id", "ascending")])
+        known = np.flatnonzero(rows.column("embedding").is_valid().to_numpy(zero_copy_only=False))
+        ids, x = rows.column("id").to_numpy(), unit_rows(rows.column("embedding").take(pa.array(known))) if len(known) else np.zeros((0, 1))
+        seeds, listed, place = [], [], {int(k): i for i, k in enumerate(known)}
+        for i in range(len(ids)):
+            near = np.zeros(0, np.int64)
+            if i in place:
+                like = np.round(x @ x[place[i]], 9)
+                like[place[i]] = -2.0
+                near = np.flatnonzero(like > threshold)
+                near = known[near[np.argsort(-like[near], kind="stable")]]
+            listed.append(np.r_[ids[i], ids[near]])
+            seeds.append(np.full(len(near) + 1, i))
+        return decided(key, np.concatenate(seeds), np.concatenate(listed), None)
+
+    def in_order(longest: int):
+        def run(key, rows):
+            rows = rows.sort_by([("seed", "ascending"), ("cosine", "descending"), ("score", "descending"), ("id", "ascending")])
+            return decided(key, rows.column("seed").to_numpy(), rows.column("id").to_numpy(), longest)
+
+        return run
+
+    posts = written(_plain(posts), "cluster-posts")
+    form = "batch long, id long, seed long, position long"
+    rounds, done, length = Rounds(posts, size), None, size
+    while True:
+        small, large = rounds.split()
+        if not rounds.sizes:
+            last = written(small.select("batch", "id", "score", "embedding").groupBy("batch").applyInArrow(whole, form), "clusters")
+            done = last if done is None else done.unionByName(last)
+            break
+        front = rounds.front(large, length)
+        longest = max(most, LISTED // length)
+        heads = front.select("batch", "seed", "id", "score", F.lit(9.0).alias("cosine"))
+        lists = top_per_key(rounds.beside(large, front, threshold, longest), ["batch", "seed"], longest, F.desc("cosine"), F.desc("score"), F.col("id")).drop("rank")
+        new = written(heads.unionByName(lists).groupBy("batch").applyInArrow(in_order(longest), form), "clusters")
+        missed = front.join(new, ["batch", "id"], "left_anti").count()
+        length = max(least_front, length // 2) if missed > front.count() // 2 else min(size, length * 2)
         done = new if done is None else done.unionByName(new)
-        live = written(live.join(new, ["batch", "id"], "left_anti"), "cluster-live")
-    if done is None:
-        return posts.select("batch", "id", F.lit(-1).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("position"))
-    big = done.groupBy("batch", "seed").count().where(F.col("count") >= least).join(posts.select("batch", F.col("id").alias("seed"), "r"), ["batch", "seed"])
+        rounds.drop(new)
+    order = posts.select("batch", F.col("id").alias("seed"), F.struct(F.col("score"), -F.col("id")).alias("r"))
+    big = done.groupBy("batch", "seed").count().where(F.col("count") >= least).join(order, ["batch", "seed"])
     numbers = big.select("batch", "seed", (F.row_number().over(W.partitionBy("batch").orderBy(F.desc("r"))).cast("long") - 1).alias("cluster_id"))
     return done.join(numbers, ["batch", "seed"], "left").select("batch", "id", F.coalesce("cluster_id", F.lit(-1).cast("long")).alias("cluster_id"), "position")
 
