@@ -238,18 +238,51 @@ def _plain(posts: DataFrame) -> DataFrame:
 def dedup_in_blocks(posts: DataFrame, threshold: float, size: int = BLOCK, recall: float = 1.0) -> DataFrame:
     """(batch, id, kept): the verdicts of `dedup_semantic` for batches of any size.
 
-    Of equal vectors only the best post is compared: whatever becomes of it, its copies go. recall: with less than 1, a near pair is
-    found with this probability at least (`sign_pairs`), for a work that does not grow with the square of a batch.
+    Of equal vectors only the best post is compared: whatever becomes of it, its copies go. While the kept posts of a front of about `size`
+    remove much of a batch, it goes in such rounds; where posts are mostly unlike, their few near pairs are listed and decided.
+    recall: with less than 1, a near pair is found with this probability at least (`sign_pairs`), for a work that does not grow
+    with the square of a batch.
     """
-    posts = written(posts.select("batch", "id", "score", "embedding"), "similar-posts")
+    posts = written(_plain(posts), "similar-posts")
     alone = F.when(F.coalesce(F.forall("embedding", lambda x: x == 0), F.lit(True)) | F.lit(threshold >= 1), F.col("id"))
     first = posts.groupBy("batch", "embedding", alone.alias("alone")).agg(F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("id")).select("batch", "id")
     some = written(posts.join(first, ["batch", "id"], "left_semi"), "similar-firsts")
-    pairs = near_pairs(some, threshold, size) if recall >= 1 else sign_pairs(some, threshold, recall, size)
-    verdict = keep_local_best(some, pairs, ("batch",))
+    verdict = keep_local_best(some, sign_pairs(some, threshold, recall, size), ("batch",)) if recall < 1 else _dedup_in_rounds(some, threshold, size)
     return posts.select("batch", "id").join(verdict, ["batch", "id"], "left").select("batch", "id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def _dedup_in_rounds(posts: DataFrame, threshold: float, size: int) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of posts of a batch in order those that no kept one before them removes."""
+        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
+        known = pdf["embedding"].notna().to_numpy()
+        near, alive = _matrix(pdf[known]) if known.any() else np.zeros((0, 1)), np.ones(int(known.sum()), bool)
+        for i in range(len(alive)):
+            if alive[i]:
+                alive[i + 1 :] &= np.round(near[i + 1 :] @ near[i], 9) <= threshold
+        kept = np.ones(len(pdf), bool)
+        kept[known] = alive
+        return pdf.assign(kept=kept)[["batch", "id", "kept"]]
+
+    decide = lambda df: written(df.select("batch", "id", "score", "embedding").groupBy("batch").applyInPandas(run, "batch long, id long, kept boolean"), "similar-verdicts")
+    rounds, done = Rounds(posts, size), None
+    while True:
+        small, large = rounds.split()
+        if not rounds.sizes:
+            last = decide(small)
+            return last if done is None else done.unionByName(last)
+        before = sum(rounds.sizes.values())
+        front = rounds.front(large, size)
+        verdict = decide(front)
+        kept = front.join(verdict.where("kept"), ["batch", "id"], "left_semi")
+        gone = written(rounds.beside(large.join(verdict, ["batch", "id"], "left_anti"), kept, threshold, None), "similar-gone").withColumn("kept", F.lit(False))
+        done = verdict.unionByName(gone) if done is None else done.unionByName(verdict).unionByName(gone)
+        rounds.drop(verdict, gone)
+        if rounds.sizes and sum(rounds.sizes.values()) > 0.9 * before:
+            rest = keep_local_best(rounds.live, near_pairs(rounds.live, threshold, size), ("batch",))
+            return done.unionByName(rest)
+
+
 def clusters_in_blocks(posts: DataFrame, threshold: float, most: int = 25, least: int = 3, size: int = BLOCK) -> DataFrame:
     """(batch, id, cluster_id, position): the clusters of `greedy_clusters` for batches of any size.
 

@@ -36,3 +36,17 @@ def test_clusters_in_few_rounds(spark, monkeypatch, writes, spread, listed):
     assert [r for r in rows_of(got, *columns) if r[1] < 9000] == want
     assert {(r.id, r.cluster_id) for r in got.where("id >= 9000").collect()} == {(9000, -1), (9001, -1)}
     assert len(writes) <= (20 if listed > 400 else 120)
+
+
+@pytest.mark.parametrize("spread", [0.3, 2.0])
+def test_dense_batches_list_no_pairs(spark, monkeypatch, spread):
+    """Where kept posts remove much of a batch, its pairs are never listed; where they do not, only those of the undecided are."""
+    listed, plain = [], similar.near_pairs
+    monkeypatch.setattr(similar, "near_pairs", lambda posts, *a: listed.append(posts.count()) or plain(posts, *a))
+    posts = posts_of(spark, 600, spread)
+    for threshold in (0.5, 0.97):
+        listed.clear()
+        got = similar.dedup_in_blocks(posts, threshold, size=50)
+        kept = [r for r in rows_of(got.where("kept"), "batch", "id") if r[1] < 9000]
+        assert kept == rows_of(similar.dedup_semantic(posts.where("id < 9000"), threshold), "batch", "id") and got.count() == 602
+        assert not listed if spread == 0.3 and threshold == 0.5 else sum(listed) < 602
