@@ -24,7 +24,7 @@ def near_pairs(posts: DataFrame, threshold: float, size: int = BLOCK) -> DataFra
     A batch is cut into blocks of about `size` rows, and a task compares two blocks by a matrix product: a batch of any size
     is spread over tasks.
     """
-    rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").cast("array<double>").alias("x"))
+    rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").alias("x"))
     return _compared(rows.withColumn("bucket", F.lit(0).cast("long")), threshold, size)
 
 
@@ -124,7 +124,7 @@ def sign_pairs(posts: DataFrame, threshold: float, recall: float = 0.95, size: i
     compared. Rows of one bucket are compared by matrix products of blocks, so a hot bucket is split and not cut off.
     """
     posts = posts if "batch" in posts.columns else posts.withColumn("batch", F.lit(0).cast("long"))
-    rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").cast("array<double>").alias("x"))
+    rows = posts.where("embedding is not null").select("batch", "id", F.col("embedding").alias("x"))
     largest = rows.groupBy("batch").agg(F.count("*").alias("n"), F.max(F.size("x")).alias("w")).agg(F.max("n"), F.max("w")).first()
     plan = sign_plan(threshold, recall, float(largest[0] or 0), width or largest[1] or 1, seed)
     if plan is None:
@@ -139,8 +139,8 @@ def sign_pairs(posts: DataFrame, threshold: float, recall: float = 0.95, size: i
             at = np.repeat(np.arange(batch.num_rows), keys.shape[1])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.ravel()), batch.column(1).take(pa.array(at)), batch.column(2).take(pa.array(at))], names=["batch", "bucket", "id", "x"])
 
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("batch", "id")}
-    filed = rows.mapInArrow(file, f"batch {kinds['batch']}, bucket long, id {kinds['id']}, x array<double>")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("batch", "id", "x")}
+    filed = rows.mapInArrow(file, f"batch {kinds['batch']}, bucket long, id {kinds['id']}, x {kinds['x']}")
     return _compared(written(filed, "sign-buckets"), threshold, size).distinct()
 
 
