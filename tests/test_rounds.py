@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.operators import similar
+from chatlake.operators import similar, vectors
 
 
 def posts_of(spark, n, spread, seed=1):
@@ -50,3 +50,29 @@ def test_dense_batches_list_no_pairs(spark, monkeypatch, spread):
         kept = [r for r in rows_of(got.where("kept"), "batch", "id") if r[1] < 9000]
         assert kept == rows_of(similar.dedup_semantic(posts.where("id < 9000"), threshold), "batch", "id") and got.count() == 602
         assert not listed if spread == 0.3 and threshold == 0.5 else sum(listed) < 602
+
+
+def test_vectors_are_shuffled_as_they_are(spark, monkeypatch):
+    """Of four bytes a number, not eight."""
+    filed, plain = [], similar._compared
+    monkeypatch.setattr(similar, "_compared", lambda rows, *a: filed.append(rows.schema["x"].dataType.simpleString()) or plain(rows, *a))
+    posts = posts_of(spark, 60, 1.0).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    monkeypatch.setattr(similar, "sign_plan", lambda *a, **k: (3, 1, 4))
+    assert similar.near_pairs(posts, 0.9).count() >= similar.sign_pairs(posts, 0.9).count()
+    assert set(filed) == {"array<float>"}
+
+
+def test_all_cosines_without_a_join(spark):
+    """The values of the query's SQL also for null rows (0) and rows of zeros (NaN); queries in parts give the same rows."""
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(size=(40, 8)).astype(np.float32).tolist(), None, [0.0] * 8]
+    v = spark.createDataFrame(list(enumerate(x)), "id long, embedding array<float>")
+    q = v.where("id % 3 = 0 or id >= 40").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
+    got = vectors.all_cosines(v, q)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.id, r.query_id): r.cosine for r in got.collect()}
+    assert len(rows) == 42 * 16 and rows[41, 40] == rows[40, 41] == 0.0 and np.isnan(rows[41, 0]) and np.isnan(rows[0, 41])
+    u = np.array(x[:40], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert all(abs(rows[i, j] - u[i] @ u[j]) <= 5.1e-5 for i in range(40) for j in range(0, 40, 3))
+    assert {(r.id, r.query_id): r.cosine for r in vectors.all_cosines(v.where("id < 40"), q.where("query_id < 40"), 300).collect()} == {k: c for k, c in rows.items() if max(k) < 40}
