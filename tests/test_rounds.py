@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake.operators import similar, vectors
+from chatlake.operators import graph, similar, vectors
 
 
 def posts_of(spark, n, spread, seed=1):
@@ -76,3 +76,26 @@ def test_all_cosines_without_a_join(spark):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     assert all(abs(rows[i, j] - u[i] @ u[j]) <= 5.1e-5 for i in range(40) for j in range(0, 40, 3))
     assert {(r.id, r.query_id): r.cosine for r in vectors.all_cosines(v.where("id < 40"), q.where("query_id < 40"), 300).collect()} == {k: c for k, c in rows.items() if max(k) < 40}
+
+
+def test_hops_between_kinds_and_hot_keys(spark, monkeypatch):
+    """Two hops in a dense graph take steps in the number of kinds; a join of few hot keys is dealt to more tasks than keys."""
+    rel = spark.createDataFrame([(1, f"s{i}", f"p{j}", "r") for i in range(40) for j in range(10)] + [(1, "p0", "q", "r"), (1, "q", "q", "r"), (1, "s0", "s1", "r")], "domain_id long, source string, target string, type string")
+    starts = spark.createDataFrame([(1, f"s{i}") for i in range(0, 40, 2)] + [(1, "p0"), (1, "none")], "domain_id long, name string")
+    near = {}
+    for r in rel.collect():
+        if r.source != r.target:
+            near.setdefault(r.source, set()).add(r.target)
+            near.setdefault(r.target, set()).add(r.source)
+    want = {(s.name, y) for s in starts.collect() for x in near.get(s.name, ()) for y in {x, *near[x]} if y != s.name}
+    steps, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (lambda out: steps.append((name, out.count())) or out)(plain(df, name)))
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    got = graph.neighbors(rel, starts).select("start", "name").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert dict(steps)["neighbor-steps"] == 16
+    star = rel.withColumn("type", F.when(F.col("source").startswith("s"), "A").otherwise("B"))
+    found = graph.find(star, [("a", "A", "n"), ("c", "A", "n"), ("n", "B", "m")])
+    rows = {(r.source, r.target, r.type) for r in star.collect()}
+    assert sorted((r.a, r.c, r.n, r.m) for r in found.collect()) == sorted((a, c, n, m) for a, n, k in rows if k == "A" for c, n2, k2 in rows if k2 == "A" and n2 == n for n3, m, k3 in rows if k3 == "B" and n3 == n)
+    assert "_part" in found._jdf.queryExecution().executedPlan().toString()
