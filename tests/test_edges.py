@@ -243,3 +243,12 @@ def test_same_at_any_partitioning(spark):
         results.append(sorted(map(tuple, threads.assign_threads(m.repartition(n)).select("msg_id", "thread_root").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1] == results[2]
+
+
+def test_merged_hits_come_once(spark):
+    """Both lists are shuffled by query when they meet, and adaptive execution may give them other partitions: a hit of both came twice."""
+    from chatlake.registry import QUERIES
+
+    for _ in range(2):
+        got = [(r.query_id, r.id) for r in QUERIES["d1_merge_hits"](spark, SF).collect()]
+        assert len(got) == len(set(got)) > 0
