@@ -454,16 +454,22 @@ def toward_hubs(pairs: DataFrame) -> DataFrame:
 
 
 class Settled:
-    """Links found so far, and the components that they make."""
+    """The components that the links found so far make: the smallest node of each linked one."""
 
     def __init__(self, rows: DataFrame, nodes: DataFrame):
         self.rows, self.nodes = rows, nodes
-        self.links = self.labels = rows.sparkSession.createDataFrame([], "a long, b long")
-        self.labels = self.labels.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        self.labels = rows.sparkSession.createDataFrame([], "node long, label long")
 
     def label(self, df: DataFrame, uid: str, name: str) -> DataFrame:
         return df.join(self.labels.select(F.col("node").alias(uid), F.col("label").alias("_l")), uid, "left").withColumn(name, F.coalesce("_l", uid)).drop("_l")
 
+    def merge(self, found: DataFrame) -> None:
+        """Labels after more links: components of the labels that these link, so that earlier links are not gone through again."""
+        ends = self.label(self.label(found, "a", "la"), "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        joined = components(ends)
+        moved = self.labels.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        self.labels = written(moved.unionByName(joined.join(self.labels, "node", "left_anti")), "join-labels")
+
     def settle(self, pairs: DataFrame, hub_rounds: int = 2) -> None:
         """Verifies pairs until none is left whose nodes are in two components: towards hubs first, then all."""
         left = pairs
@@ -473,8 +479,7 @@ class Settled:
             chosen = written(toward_hubs(left) if turn < hub_rounds else left, "join-chosen")
             found = verified(chosen, self.rows, self.nodes)
             if found.take(1):
-                self.links = written(self.links.union(found), "join-links")
-                self.labels = components(self.links)
+                self.merge(found)
             ordered = chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             rest = left.join(ordered, ["a", "b"], "left_anti")
             left = written(self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b"), "join-left")

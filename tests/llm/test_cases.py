@@ -737,3 +737,15 @@ def test_store_of_words_is_bounded_by_bytes():
         text = f"word{i} other{i * 7}"
         assert encoder.encode(text)[0] == [*encoder.sp.encode(text), 2]
         assert encoder.held <= 21_000 and len(encoder.words) < 70
+
+
+def test_later_links_do_not_go_through_earlier_ones(spark, monkeypatch):
+    seen, whole = [], ngramjoin.components
+    monkeypatch.setattr(ngramjoin, "components", lambda edges: (seen.append(edges.count()), whole(edges))[1])
+    monkeypatch.setattr(ngramjoin, "verified", lambda pairs, rows, nodes: pairs)
+    settled = ngramjoin.Settled(spark.range(1), None)
+    for links in ([(i, i + 1) for i in range(40) if i % 10 != 9], [(9, 10), (35, 12), (50, 51)]):
+        settled.settle(spark.createDataFrame(links, "a long, b long"), hub_rounds=0)
+    assert seen == [36, 3]
+    want = {i: 20 if 20 <= i < 30 else 0 for i in range(40)} | {50: 50, 51: 50}
+    assert {r.node: r.label for r in settled.labels.collect()} == want
