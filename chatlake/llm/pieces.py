@@ -188,17 +188,18 @@ class PrefixTableEncoder:
 
 
 @store
-def encoder_for(path: str, most_words: int = 400_000) -> PrefixTableEncoder:
+def encoder_for(path: str, most_words: int = 400_000, most_pairs: int = 1_000_000) -> PrefixTableEncoder:
     """One encoder per worker process: what a task learns, the next one knows."""
-    return PrefixTableEncoder(path, most_words)
+    return PrefixTableEncoder(path, most_words, most_pairs)
 
 
-def encoded_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False, most_words: int = 400_000) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256, and on request ids and decoded. most_words: that a worker process remembers, about 500 bytes each."""
+def encoded_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False, most_words: int = 400_000, most_pairs: int = 1_000_000) -> DataFrame:
+    """id, n_tokens, ids_sha256, decoded_sha256, and on request ids and decoded. most_words: that a worker process remembers, about 500 bytes each;
+    most_pairs: of neighbouring tokens."""
     extra = [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
     def encode(batches):
-        encoder = encoder_for(model_path, most_words)
+        encoder = encoder_for(model_path, most_words, most_pairs)
         for batch in batches:
             n, a, b, ids_out, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():

@@ -40,8 +40,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # fewer remembered words than op5: the executors' heaps are as large as the stages before left them
-    return written(encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, most_words=120_000), "token-ids")
+    # fewer remembered words and pairs than op5, in smaller batches: the executors' heaps are as large as the stages before left them
+    return written(encoded_texts(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, most_words=50_000, most_pairs=100_000), "token-ids", mb=1)
 
 
 STAGES = [("language_id", language_id), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mix", mix), ("token_ids", token_ids)]

@@ -749,3 +749,12 @@ def test_later_links_do_not_go_through_earlier_ones(spark, monkeypatch):
     assert seen == [36, 3]
     want = {i: 20 if 20 <= i < 30 else 0 for i in range(40)} | {50: 50, 51: 50}
     assert {r.node: r.label for r in settled.labels.collect()} == want
+
+
+def test_few_remembered_pairs_change_no_id(spark):
+    import public_tokenizers as P
+
+    path = P.path("piece_bpe_32k.model")
+    docs = texts_table(spark)
+    plain, tight = (pieces.encoded_texts(docs, path, with_ids=True, **k).select("doc_id", "n_tokens", "ids").collect() for k in ({}, {"most_words": 4, "most_pairs": 3}))
+    assert sorted(map(str, plain)) == sorted(map(str, tight))
