@@ -252,3 +252,16 @@ def test_merged_hits_come_once(spark):
     for _ in range(2):
         got = [(r.query_id, r.id) for r in QUERIES["d1_merge_hits"](spark, SF).collect()]
         assert len(got) == len(set(got)) > 0
+
+
+def test_fallback_reads_the_words_once(spark, monkeypatch):
+    from chatlake.operators import search
+
+    docs = spark.createDataFrame([(1, "red apple apple pie"), (2, "green apple"), (3, None), (4, "greenish")], "id long, content string")
+    queries = spark.createDataFrame([(7, "apple"), (8, "eenis")], "query_id long, query_text string")
+    for most_terms in (5000, 0):  # by a list of terms, by the join
+        monkeypatch.setattr(search, "MOST_TERMS", most_terms, raising=False)
+        df = search.fts_fallback(docs, queries, 10)
+        assert sorted((r.query_id, r.id, r.level, r.score) for r in df.collect()) == [(7, 1, 2, 0.5), (7, 2, 2, 0.5), (8, 4, 3, 1.0)]
+        # what had an answer was found by going through all words again
+        assert "regexp_extract_all" not in df._jdf.queryExecution().toString()
