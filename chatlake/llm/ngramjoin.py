@@ -15,7 +15,8 @@ document's connected component. Steps:
    again each node's pair with its most connected neighbour is verified on the whole sets, components are found, and so on
    with the pairs that still connect two of them. Then larger groups that still hold several components are traversed again, every
    pair of their blocks, now also dropping pairs of one component: no link between components is lost, and a group of
-   thousands of near copies costs pairs in proportion to its size.
+   thousands of near copies costs pairs in proportion to its size. Where blocks still have more such pairs than nodes, the nodes' whole sets
+   are brought to one task, which verifies all pairs there and gives the links that connect components.
 
 Shingles are compared by 64-bit hashes, at the end whole sets of them. Work on pairs is cut by the bytes of their bitmaps and
 batches by their bytes, so that long texts cost time and not memory. Defined cases: a null text, or one without words, has an empty set and is a
@@ -25,7 +26,9 @@ component's id is the smallest that is not null; an empty table gives no rows; e
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ LEAST_BITS, MOST_BITS = 256, 65_536  # a half has 128 bits at least
 SAMPLE_DOCS, SAMPLE_COMMON, SEGMENT = 4000, 4, 4096
 #: Bytes of bitmaps that a traversal holds side by side, and shingles that the sample can send through the driver.
 PAIR_BYTES, MOST_COMMON = 4_000_000, 200_000
+#: Bytes of whole sets of a side of a part (one set can be larger).
+PART_BYTES = 8_000_000
 #: Numeric ids of at most so many nodes (32 bytes each) travel by broadcast; beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -287,7 +292,7 @@ class Bitmaps:
     """Bitmaps of several widths: rows and matrix of each width."""
 
     def __init__(self, column):
-        rows = column.to_pylist()
+        rows = column if isinstance(column, list) else column.to_pylist()
         widths = np.array([8 * len(r) for r in rows])
         self.by = {int(w): (at := np.flatnonzero(widths == w), np.frombuffer(b"".join([rows[i] for i in at]), U).reshape(len(at), -1)) for w in np.unique(widths)}
 
@@ -366,16 +371,37 @@ def block_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("bid", "uid", "n", "bits").mapInArrow(trimmed(lambda batches: _runs(batches, 0, traverse)), "a long, b long")
 
 
+MET = pa.schema([("part", pa.int64()), ("side", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def parts_of(uid: np.ndarray, n: np.ndarray, sides: list[np.ndarray], numbers: Iterator[int]) -> list[np.ndarray]:
+    """(part, side, uid) of the nodes at places `sides`: parts of a run of each side, or of one side of two runs of it or of one alone."""
+    cut = [np.split(at, np.flatnonzero(np.diff(np.cumsum(8 * n[at]) // PART_BYTES)) + 1) for at in sides]
+    out = []
+    for p, first in enumerate(cut[0]):
+        for second in cut[1] if len(cut) > 1 else [None, *cut[0][p + 1 :]]:
+            number = next(numbers)
+            out += [np.stack([np.full(len(at), number), np.full(len(at), side), uid[at]], axis=1) for side, at in enumerate((first, second)) if at is not None]
+    return out
+
+
 def tile_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (tile, side, uid, n, label, bits) sorted by (tile, side, label, n) -> surviving pairs of different labels."""
+    """Rows (tile, side, uid, n, label, bits) sorted by (tile, side, label, n) -> surviving pairs (a, b) of different labels.
 
-    def emit(held):
-        pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
-        held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=PAIRS)
+    A tile with more pairs than nodes gives the nodes of these instead, for `tight_links`: (part, side, a), in parts of at most two times
+    PART_BYTES of whole sets; any pair of them is in one part.
+    """
 
-    def traverse(part):
-        held: list[np.ndarray] = []
+    def emit(held):
+        pairs = np.unique(np.concatenate(held["pairs"]), axis=0) if held["pairs"] else np.zeros((0, 2), np.int64)
+        whole = np.concatenate([*held["parts"], np.zeros((0, 3), np.int64)])
+        held["pairs"], held["parts"] = [], []
+        none = np.r_[np.ones(len(pairs), bool), np.zeros(len(whole), bool)]
+        part, side, a, b = (np.r_[x, y] for x, y in ((pairs[:, 0], whole[:, 0]), (pairs[:, 0], whole[:, 1]), (pairs[:, 0], whole[:, 2]), (pairs[:, 1], whole[:, 2])))
+        yield pa.RecordBatch.from_arrays([pa.array(part, mask=none), pa.array(side.astype(np.int32), mask=none), pa.array(a), pa.array(b, mask=~none)], schema=MET)
+
+    def traverse(part, numbers):
+        held: dict[str, list[np.ndarray]] = {"pairs": [], "parts": []}
         tile, side, uid, n, label = (part.column(c).to_numpy() for c in range(5))
         maps = Bitmaps(part.column(5))
         heads = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
@@ -387,14 +413,64 @@ def tile_pairs(rows: DataFrame) -> DataFrame:
                 # rows of the second side keep their numbers after the first's
                 right = {w: (at + (mid - a), bits) for w, (at, bits) in maps.within(mid, b).items()}
                 i, j, _ = block_survivors(n[a:b], label[a:b], maps.within(a, mid), right)
-            x, y = uid[a + i], uid[a + j]
             differ = label[a + i] != label[a + j]
-            held.append(np.stack([np.minimum(x, y)[differ], np.maximum(x, y)[differ]], axis=1))
-            if sum(map(len, held)) > 200_000:
+            i, j = a + i[differ], a + j[differ]
+            if len(i) > b - a:
+                held["parts"] += parts_of(uid, n, [np.unique(np.r_[i, j])] if mid == b else [np.unique(i), np.unique(j)], numbers)
+            else:
+                held["pairs"].append(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])], axis=1))
+            if sum(map(len, held["pairs"])) + sum(map(len, held["parts"])) > 200_000:
                 yield from emit(held)
         yield from emit(held)
 
-    return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(trimmed(lambda batches: _runs(batches, 0, traverse)), "a long, b long")
+    def run(batches):
+        numbers = itertools.count(TaskContext.get().partitionId() << 34)
+        yield from _runs(batches, 0, lambda part: traverse(part, numbers))
+
+    return rows.select("tile", "side", "uid", "n", "label", "bits").mapInArrow(trimmed(run), "part long, side int, a long, b long")
+
+
+def tight_links(rows: DataFrame) -> DataFrame:
+    """Rows (part, side, uid, label, set) sorted by (part, side, label) -> links between labels: of all pairs of whole sets in a part (of its two sides,
+    where it has two) as many as connect the labels that they connect."""
+
+    def links(uid: np.ndarray, label: np.ndarray, sets: list[np.ndarray], mid: int):
+        n = np.array([len(s) for s in sets])
+        maps = Bitmaps([bitmap(s) for s in sets])
+        if mid == len(uid):
+            i, j, _ = block_survivors(n, label, maps.within(0, mid))
+        else:
+            right = {w: (at + mid, bits) for w, (at, bits) in maps.within(mid, len(uid)).items()}
+            i, j, _ = block_survivors(n, label, maps.within(0, mid), right)
+        order = np.argsort(i, kind="stable")
+        i, j, root = i[order], j[order], label.copy()
+        heads = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+        for a, b in zip(heads, [*heads[1:], len(i)]):
+            one, to = sets[i[a]], j[a:b]
+            # as many at a time as fit PAIR_BYTES
+            for near in np.split(to, np.flatnonzero(np.diff(np.cumsum(8 * n[to]) // PAIR_BYTES)) + 1):
+                near = near[root[near] != root[i[a]]]
+                if not len(near):
+                    continue
+                all_of = np.concatenate([sets[x] for x in near])
+                same = one[np.minimum(np.searchsorted(one, all_of), len(one) - 1)] == all_of
+                both = np.add.reduceat(same.astype(np.int64), np.r_[0, np.cumsum(n[near])[:-1]])
+                for x in near[100 * both >= 80 * (len(one) + n[near] - both)]:
+                    if root[x] != root[i[a]]:
+                        root[root == root[x]] = root[i[a]]
+                        yield uid[i[a]], uid[x]
+
+    def verify(held):
+        part, side, uid, label = (held.column(c).to_numpy() for c in range(4))
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        found: list = []
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)]):
+            sets = [np.frombuffer(x.as_buffer(), U) for x in held.column(4).slice(a, b - a)]
+            found.extend(links(uid[a:b], label[a:b], sets, int(np.searchsorted(side[a:b], 1))))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ends.min(axis=1)), pa.array(ends.max(axis=1))] if len(ends) else [pa.array([], pa.int64())] * 2, schema=PAIRS)
+
+    return rows.select("part", "side", "uid", "label", "set").mapInArrow(trimmed(lambda batches: _runs(batches, 0, verify)), "a long, b long")
 
 
 def whole_sets(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -484,6 +560,19 @@ class Settled:
             rest = left.join(ordered, ["a", "b"], "left_anti")
             left = written(self.label(self.label(rest, "a", "la"), "b", "lb").where("la <> lb").select("a", "b"), "join-left")
 
+    def settle_parts(self, parts: DataFrame) -> None:
+        """Verifies all pairs of the nodes of a part (part, side, uid), where they are."""
+        named = written(self.label(parts, "uid", "label"), "join-parts")
+        mixed = named.groupBy("part").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("part")
+        left = written(named.join(mixed, "part", "left_semi"), "join-mixed")
+        if not left.take(1):
+            return
+        sets = written(whole_sets(self.rows, self.nodes, left.select("uid").distinct()), "join-sets").dropDuplicates(["uid"])
+        placed = left.join(sets, "uid").repartition("part").sortWithinPartitions("part", "side", "label", "uid")
+        found = written(tight_links(placed).distinct(), "join-links")
+        if found.take(1):
+            self.merge(found)
+
 
 def tiles_of(summary: DataFrame) -> DataFrame:
     """(gid, bid, lo, hi, first, last), a row per block -> the pairs of a group's blocks that can hold a link between components.
@@ -539,8 +628,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sides = tiles.select("tile", F.lit(0).alias("side"), F.col("bid1").alias("bid")).union(tiles.where("bid1 <> bid2").select("tile", F.lit(1).alias("side"), F.col("bid2").alias("bid")))
         placed = sides.join(blocks.select("bid", "members"), "bid").select("tile", "side", F.explode("members").alias("uid"))
         full = placed.join(settled.label(half, "uid", "label"), "uid")
-        rest = tile_pairs(full.repartition("tile").sortWithinPartitions("tile", "side", "label", "n", "uid")).distinct().join(near, ["a", "b"], "left_anti")
-        settled.settle(written(rest, "join-rest"))
+        met = written(tile_pairs(full.repartition("tile").sortWithinPartitions("tile", "side", "label", "n", "uid")), "join-met")
+        settled.settle(written(met.where("part is null").select("a", "b").distinct().join(near, ["a", "b"], "left_anti"), "join-rest"))
+        settled.settle_parts(met.where("part is not null").select("part", "side", F.col("a").alias("uid")))
 
     # back to rows: a set's node, its label, and the label's smallest id
     sets = written(settled.label(nodes.select("s1", "s2", "n", "uid", "id", "null_key", "rows"), "uid", "label"), "join-set-labels")

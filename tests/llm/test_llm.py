@@ -488,3 +488,31 @@ def test_pipeline(spark):
     # nothing that the join links survives twice, but for the mix's own copies
     links = {r.doc_id: r.component_id for r in ngramjoin.linked_components(docs).collect()}
     assert len({links[i] for i in ids}) == len(ids)
+
+
+def _look_alikes():
+    """Copies of one text with so many changes that most pairs look near and few of them link."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(90):
+        t = base.copy()
+        for at in r.sample(range(150), r.randint(2, 4)):
+            t[at] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("part_bytes", [8_000_000, 9_000])
+def test_jaccard_look_alikes_are_linked_where_they_meet(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(ngramjoin, "BLOCK", 32)
+    monkeypatch.setattr(ngramjoin, "SMALL", 3)
+    monkeypatch.setattr(ngramjoin, "PART_BYTES", part_bytes)
+    # nothing is linked before the tiles
+    monkeypatch.setattr(ngramjoin, "block_pairs", lambda rows: rows.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0))
+    seen, whole = [], ngramjoin.tile_pairs
+    monkeypatch.setattr(ngramjoin, "tile_pairs", lambda rows: (seen.append((rows.count(), (out := ngramjoin.written(whole(rows), "seen")).count(), out.where("part is not null").count())), out)[1])
+    texts = _look_alikes()
+    assert joined(texts_table(spark, texts)) == brute_components(list(enumerate(texts)))
+    (rows, made, in_parts), = seen
+    assert in_parts > 0 and (made <= rows or part_bytes < 8_000_000)
