@@ -111,11 +111,12 @@ def stale_counters(tags: DataFrame, least: int = 100) -> DataFrame:
 
 # ---- each stream, run to the end of the given table's messages, as files
 
-def _stream(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
-    """df as a stream of files in the shared folder."""
+def _stream(spark: SparkSession, df: DataFrame, files: int | None = 4) -> DataFrame:
+    """df as a stream of files in the shared folder, two a batch; files None: as df's tasks write them, all in one batch."""
     base = new_path(spark, "stream")
-    df.repartition(files).write.parquet(base)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(base)
+    (df if files is None else df.repartition(files)).write.parquet(base)
+    reader = spark.readStream.schema(df.schema)
+    return (reader if files is None else reader.option("maxFilesPerTrigger", 2)).parquet(base)
 
 
 def _run(spark: SparkSession, out: DataFrame, mode: str) -> DataFrame:
@@ -158,13 +159,13 @@ def t3(spark, sf_dir):
     m = view(spark, sf_dir, "messages")
     # a message of a later day ends what is open, and its own group stays open
     end = m.orderBy(F.desc("msg_date")).limit(1).withColumn("domain_id", F.lit(-1).cast("long")).withColumn("msg_date", F.col("msg_date") + F.expr("INTERVAL 2 DAYS"))
-    return _run(spark, stream_threads(_stream(spark, m.unionByName(end), 1), "10 minutes"), "append").select("domain_id", "n_messages")
+    return _run(spark, stream_threads(_stream(spark, m.unionByName(end), None), "10 minutes"), "append").select("domain_id", "n_messages")
 
 
 @query("t4_stream_dedup", cte("messages") + " SELECT domain_id, msg_id FROM messages")
 def t4(spark, sf_dir):
     m = view(spark, sf_dir, "messages")
-    return _run(spark, stream_dedup(_stream(spark, m.unionByName(m), 1), "60 days"), "append").select("domain_id", "msg_id")
+    return _run(spark, stream_dedup(_stream(spark, m.unionByName(m), None), "60 days"), "append").select("domain_id", "msg_id")
 
 
 @query("t5_stream_payments", "SELECT r.event_id AS request_id, p.event_id AS payment_id FROM events r JOIN events p ON p.user_id = r.user_id AND r.event_type = 'click' AND p.event_type = 'purchase' AND p.value >= 0.95::DOUBLE * r.value AND p.ts >= r.ts AND p.ts <= r.ts + INTERVAL 6 HOURS")
@@ -174,7 +175,7 @@ def t5(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
     requests = e.where("event_type = 'click'").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("comment"), F.col("value").alias("expected"), F.col("at").alias("requested_at"))
     payments = e.where("event_type = 'purchase'").select(F.col("event_id").alias("payment_id"), F.col("user_id").alias("comment"), F.col("value").alias("amount"), F.col("at").alias("paid_at"))
-    return _run(spark, stream_payments(_stream(spark, requests, 1), _stream(spark, payments, 1), 6 * 3600, late="90 days"), "append").where("payment_id is not null")
+    return _run(spark, stream_payments(_stream(spark, requests, None), _stream(spark, payments, None), 6 * 3600, late="90 days"), "append").where("payment_id is not null")
 
 
 @query("t6_stream_counters", cte("messages") + " SELECT domain_id, count(*) AS n_messages, max(msg_id) AS last_id FROM messages GROUP BY domain_id")

@@ -265,3 +265,16 @@ def test_fallback_reads_the_words_once(spark, monkeypatch):
         assert sorted((r.query_id, r.id, r.level, r.score) for r in df.collect()) == [(7, 1, 2, 0.5), (7, 2, 2, 0.5), (8, 4, 3, 1.0)]
         # what had an answer was found by going through all words again
         assert "regexp_extract_all" not in df._jdf.queryExecution().toString()
+
+
+def test_a_stream_of_one_batch_is_not_one_file(spark, monkeypatch):
+    """Its rows are written and read by as many tasks as they come in, and in one batch none is late."""
+    from chatlake.streaming import ingest
+
+    paths, make = [], ingest.new_path
+    monkeypatch.setattr(ingest, "new_path", lambda s, name: (paths.append((name, p := make(s, name))), p)[1])
+    got = ingest.t4(spark, SF).count()
+    base = dict(paths)["stream"]
+    assert len(spark.read.parquet(base).inputFiles()) > 1
+    assert len({r.batch for r in spark.read.parquet(dict(paths)["stream-out"]).select("batch").collect()}) == 1
+    assert got == view(spark, SF, "messages").count()
