@@ -110,7 +110,8 @@ def mixed_documents(docs: DataFrame, weights: list[int], share: float, most: flo
     plan = written(plan, "mix-times")
     own, times, rank, copy = (free_name(c, docs.columns) for c in ("_id", "_times", "_rank", "_copy"))
     once = plan.groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias("rows"), F.max("times").alias(times))
-    alone = docs.join(once.where((F.col("rows") == 1) & (F.col(times) > 0)).select(own, times), docs["doc_id"].eqNullSafe(F.col(own))).select(*[docs[c] for c in docs.columns], times)
+    # texts are shuffled once, whatever the size: ids that travel whole would not stay small
+    alone = docs.join(once.where((F.col("rows") == 1) & (F.col(times) > 0)).select(own, times).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(own))).select(*[docs[c] for c in docs.columns], times)
     several = once.where("rows > 1").select(own)
     if several.take(1):
         size = free_name("_size", docs.columns)

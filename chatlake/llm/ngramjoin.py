@@ -654,7 +654,8 @@ def one_per_component(docs: DataFrame) -> DataFrame:
     key = free_name("_null_key", [*docs.columns, own])
     linked = written(linked_components(docs), "join-linked")
     first = linked.where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    kept = docs.join(first, docs["doc_id"] == F.col(own), "left_semi")
+    # texts are shuffled once, whatever the size: ids that travel whole would not stay small
+    kept = docs.join(first.hint("shuffle_hash"), docs["doc_id"] == F.col(own), "left_semi")
     without = linked.where("null_key is not null").select(F.col("null_key").alias(key)).distinct()
     if without.take(1):
         nameless = docs.where("doc_id is null")

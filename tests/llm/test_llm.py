@@ -516,3 +516,10 @@ def test_jaccard_look_alikes_are_linked_where_they_meet(spark, monkeypatch, part
     assert joined(texts_table(spark, texts)) == brute_components(list(enumerate(texts)))
     (rows, made, in_parts), = seen
     assert in_parts > 0 and (made <= rows or part_bytes < 8_000_000)
+
+
+def test_texts_are_shuffled_alike_at_all_sizes(spark):
+    """A small table's texts are not joined by a broadcast that a large one's would not get."""
+    docs = texts_table(spark, ["one two three four five six", "seven", "eight nine"])
+    for kept in (ngramjoin.one_per_component(docs), mixing.mixed_documents(docs, [3, 1, 2], 1.5)):
+        assert "ShuffledHashJoin" in kept._jdf.queryExecution().toString()
