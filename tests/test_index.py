@@ -184,3 +184,25 @@ def test_communities_are_connected(spark):
     both = spark.createDataFrame([(1, a, b, 1.0) for a, bs in near.items() for b in bs if (a < "n40") == (b < "n40")], "domain_id long, a string, b string, w double")
     parts = {(x.a < "n40", x.c) for x in graph.refined(both, labels).collect()}
     assert len({c for _, c in parts}) == len(parts) >= 2
+
+
+@pytest.mark.parametrize("most", [1, 6, 900])
+def test_texts_are_scanned_once_and_keep_ties(spark, monkeypatch, most):
+    """Without a stored index no blocks are made and no postings are shuffled; of equal texts, in whatever order, the smallest ids are kept."""
+    r = random.Random(3)
+    docs = corpus(n=1300) + [(2000 + i, "w3 rarest w60 longestwords") for i in range(700)]
+    r.shuffle(docs)
+    df = spark.createDataFrame([*docs, (5000, None)], DOC).coalesce(2)
+    queries = spark.createDataFrame([(1, "w3 rarest w60"), (2, "longestwords w0"), (4, "w1 w2 w5 w8 w13 w90 w91")], "query_id long, query_text string")
+    rows = lambda x: sorted((y.query_id, y["rank"], y.id, y.score, y.total_matches) for y in x.collect())
+    blocks = rows(index.search(index.write_index(df, new_path(spark, "index")), queries, most))
+    monkeypatch.setattr(index, "block_rows", lambda *_: pytest.fail("blocks were made"))
+    got = rows(index.search_texts(df, queries, most))
+    assert got == blocks and [x[2] for x in got[:most]][:600] == list(range(2000, 2000 + min(most, 600)))
+
+
+def test_many_queries_are_answered_by_blocks(spark):
+    df = spark.createDataFrame(corpus(n=200), DOC)
+    queries = spark.createDataFrame([(1, "w3 rarest w60"), (2, "longestwords w0")], "query_id long, query_text string")
+    rows = lambda x: sorted((y.query_id, y["rank"], y.id, y.score, y.total_matches) for y in x.collect())
+    assert rows(index.search_texts(df, queries, 5)) == rows(index.search_texts(df, queries, 5, cells=3))
