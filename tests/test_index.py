@@ -206,3 +206,17 @@ def test_many_queries_are_answered_by_blocks(spark):
     queries = spark.createDataFrame([(1, "w3 rarest w60"), (2, "longestwords w0")], "query_id long, query_text string")
     rows = lambda x: sorted((y.query_id, y["rank"], y.id, y.score, y.total_matches) for y in x.collect())
     assert rows(index.search_texts(df, queries, 5)) == rows(index.search_texts(df, queries, 5, cells=3))
+
+
+def test_a_stored_index_is_read_once_for_few_queries(spark, monkeypatch):
+    """Counts by range, without bounds and second reads of the blocks; the same rows as by bounds, also of replaced and lost texts."""
+    path = new_path(spark, "index")
+    index.write_index(spark.createDataFrame([*corpus(n=300), (4000, None)], DOC), path)
+    stored = index.append(spark.createDataFrame([*corpus(5, 90), (3, None), (None, "rarest w0"), (4000, "w0 " * 300)], DOC), path)
+    queries = spark.createDataFrame([(1, "w3 rarest w60"), (2, "longestwords w0"), (3, "nowhere"), (4, " ".join(f"w{i}" for i in range(119)))], "query_id long, query_text string")
+    rows = lambda x: sorted((y.query_id, y["rank"], y.id or -1, y.score, y.total_matches) for y in x.collect())
+    bounds = rows(index.search(stored, queries, 8, first=1, cells=0))
+    made, written = [], index.written
+    monkeypatch.setattr(index, "written", lambda df, name: (made.append(name), written(df, name))[1])
+    assert rows(index.search(stored, queries, 8)) == bounds and len(bounds) == 24
+    assert made == ["index-terms", "index-counts", "index-found"]
