@@ -1,5 +1,7 @@
 """Clusters and verdicts of large batches in few rounds, and without pairs."""
 
+import collections
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +101,34 @@ def test_hops_between_kinds_and_hot_keys(spark, monkeypatch):
     rows = {(r.source, r.target, r.type) for r in star.collect()}
     assert sorted((r.a, r.c, r.n, r.m) for r in found.collect()) == sorted((a, c, n, m) for a, n, k in rows if k == "A" for c, n2, k2 in rows if k2 == "A" and n2 == n for n3, m, k3 in rows if k3 == "B" and n3 == n)
     assert "_part" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_by_many_copies_little(spark, monkeypatch):
+    """A key's rows are copied along a grid: 400 by 400 rows in 64 parts take 8 copies a row, not 64 of one side. Nulls, repeated rows and keys of one row stay."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 2_500)
+    shuffled, plain = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: shuffled.append(self) or plain(self, *a))
+    side = lambda n, c: spark.createDataFrame([(1, f"{c}{i}") for i in range(n)] + [(2, "x"), (2, "x"), (2, None), (3, c), (None, c)] + [(4, f"{c}{i}") for i in range(n // 4 if c == "a" else 1)], f"k long, {c} string")
+    left, right = side(400, "a"), side(400, "c")
+    got = graph.multiplied(left, right, ["k"])
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(map(tuple, left.join(right, "k").collect()))
+    assert sum(df.count() for df in shuffled) <= 2 * 8 * 400 + 200
+
+
+def test_right_rows_of_a_part_are_bounded(spark, monkeypatch):
+    """One left row meets 3,000 right rows of its key: they go to several parts, though the join makes few rows."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 3_000)
+    monkeypatch.setattr(graph, "COLUMN_ROWS", 300, raising=False)
+    parts, plain = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: parts.append(self) or plain(self, *a))
+    got = graph.multiplied(spark.createDataFrame([(1, "a")], "k long, a string"), spark.range(3000).select(F.lit(1).cast("long").alias("k"), F.col("id").alias("c")), ["k"])
+    assert sorted(r.c for r in got.collect()) == list(range(3000))
+    assert max(r["count"] for df in parts for r in df.groupBy("_part").count().collect()) <= 400
+
+
+def test_motif_steps_are_made_once(spark, monkeypatch):
+    rel = spark.createDataFrame([(1, "a", "p", "A"), (1, "b", "p", "R"), (1, "c", "q", "A"), (1, "d", "q", "N")], "domain_id long, source string, target string, type string")
+    plans, plain = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    assert [tuple(r) for r in graph.find(rel, [("a", "A", "b"), ("c", "R", "b")]).select("a", "b", "c").collect()] == [("a", "p", "b")]
+    assert sum("= R)" in p for p in plans) == 1
